@@ -242,3 +242,271 @@ def q_time_parts(spark, sf_dir):
 @query("decimal_year")
 def q_decimal_year(spark, sf_dir):
     return rounded(grid(spark, sf_dir).select("t", *CELL, decimal_year("t").alias("decimal_year")))
+
+
+# --- trend, rolling, resampling ---------------------------------------------------------------------
+
+from thermocline.operators import extremes, grid as grid_ops, roll, runs, trend, udf  # noqa: E402
+from thermocline.plans import pipelines  # noqa: E402
+from thermocline.sources import store  # noqa: E402
+
+# Oracle parameters for the heatwave keys (the test grid has no season, see FIXTURES).
+MHW_Q, MHW_MIN_DAYS = 0.75, 3
+ROLL_ROWS = 51  # 3 * int(52 / 3)
+
+
+def anom9(spark, sf_dir) -> DataFrame:
+    """Monthly anomalies rounded to 9 places (the comparison convention)."""
+    return clim.anomaly(grid(spark, sf_dir), ndigits=CMP_DIGITS)
+
+
+@query("trend_map")
+def q_trend_map(spark, sf_dir):
+    return rounded(trend.trend_map(anom9(spark, sf_dir)))
+
+
+@query("trend_fit")
+def q_trend_fit(spark, sf_dir):
+    out = trend.trend_fit(anom9(spark, sf_dir))
+    return rounded(out.select("t", *CELL, "anom", "continuous_time", "pred_ols"))
+
+
+@query("rolling_mean")
+def q_rolling_mean(spark, sf_dir):
+    out = roll.rolling_mean(anom9(spark, sf_dir), "anom", ROLL_ROWS)
+    return rounded(out.select("t", *CELL, "anom", "rolled"))
+
+
+@query("resample_sme")
+def q_resample_sme(spark, sf_dir):
+    return rounded(roll.resample_sme(grid(spark, sf_dir), "sst"))
+
+
+@query("rolling_sme")
+def q_rolling_sme(spark, sf_dir):
+    return rounded(roll.rolling_sme(anom9(spark, sf_dir), "anom", years=3, per_year=24))
+
+
+# --- extremes ---------------------------------------------------------------------------------------------
+
+
+def flags95(spark, sf_dir) -> DataFrame:
+    return extremes.extreme_flags(anom9(spark, sf_dir), "anom", EXTREME_QUANTILE, ndigits=CMP_DIGITS)
+
+
+@query("point_quantiles")
+def q_point_quantiles(spark, sf_dir):
+    return rounded(extremes.point_quantiles(anom9(spark, sf_dir), "anom"))
+
+
+@query("point_extremes")
+def q_point_extremes(spark, sf_dir):
+    return rounded(flags95(spark, sf_dir).select("t", *CELL, "anom", "year", "threshold", "q95"))
+
+
+@query("extreme_rows")
+def q_extreme_rows(spark, sf_dir):
+    f = flags95(spark, sf_dir).select("t", *CELL, "anom", "year", "threshold", "q95")
+    return rounded(select.extreme_rows(f, "q95"))
+
+
+@query("extremes_per_year")
+def q_extremes_per_year(spark, sf_dir):
+    return rounded(extremes.extremes_per_year(flags95(spark, sf_dir), "q95"))
+
+
+@query("flag_counts")
+def q_flag_counts(spark, sf_dir):
+    return extremes.flag_counts(flags95(spark, sf_dir), "q95")
+
+
+@query("year_histogram")
+def q_year_histogram(spark, sf_dir):
+    return extremes.year_histogram(flags95(spark, sf_dir), "q95")
+
+
+@query("repeat_years")
+def q_repeat_years(spark, sf_dir):
+    return extremes.repeat_years(extremes.extremes_per_year(flags95(spark, sf_dir), "q95"))
+
+
+@query("kde_years")
+def q_kde_years(spark, sf_dir):
+    return rounded(extremes.kde_years(extremes.extremes_per_year(flags95(spark, sf_dir), "q95")))
+
+
+@query("kde_scott")
+def q_kde_scott(spark, sf_dir):
+    return rounded(extremes.kde_years(extremes.extremes_per_year(flags95(spark, sf_dir), "q95"), bw="scott"))
+
+
+@query("global_quantiles")
+def q_global_quantiles(spark, sf_dir):
+    return rounded(extremes.global_quantiles(anom9(spark, sf_dir), "anom", (0.01, 0.99)))
+
+
+@query("exceed_fraction")
+def q_exceed_fraction(spark, sf_dir):
+    return rounded(extremes.exceed_fraction(grid(spark, sf_dir), 0.9))
+
+
+@query("clip_scale")
+def q_clip_scale(spark, sf_dir):
+    from thermocline.functions.scalar import clip_scale
+
+    a = anom9(spark, sf_dir)
+    return rounded(a.select("t", *CELL, "anom", clip_scale(F.col("anom"), P001, P099).alias("clipped"),
+                            clip_scale(F.col("anom"), P001, P099, scale=True).alias("scaled")))
+
+
+# --- heatwaves ---------------------------------------------------------------------------------------------
+
+
+def mhw_parts(spark, sf_dir):
+    c = grid(spark, sf_dir)
+    thr = extremes.doy_threshold(c, MHW_Q)
+    ex = extremes.exceedance(c, thr, ndigits=CMP_DIGITS)
+    mask = runs.mark_runs(ex, "exceed", MHW_MIN_DAYS, out="mhw")
+    return c, thr, ex, mask
+
+
+@query("doy_threshold")
+def q_doy_threshold(spark, sf_dir):
+    return rounded(extremes.doy_threshold(grid(spark, sf_dir), MHW_Q))
+
+
+@query("exceedance")
+def q_exceedance(spark, sf_dir):
+    _, _, ex, _ = mhw_parts(spark, sf_dir)
+    return rounded(ex.select("t", *CELL, "sst", "dayofyear", "thr", "exceed"))
+
+
+@query("mhw_mask")
+def q_mhw_mask(spark, sf_dir):
+    _, _, _, mask = mhw_parts(spark, sf_dir)
+    return rounded(mask.select("t", *CELL, "sst", "thr", "exceed", "mhw"))
+
+
+@query("apply_along_time")
+def q_apply_along_time(spark, sf_dir):
+    _, _, ex, _ = mhw_parts(spark, sf_dir)
+    ex = ex.select("t", *CELL, "sst", "thr", "exceed")
+    return rounded(udf.mark_runs_pandas(ex, "exceed", MHW_MIN_DAYS, out="mhw"))
+
+
+@query("mhw_days")
+def q_mhw_days(spark, sf_dir):
+    c, _, _, mask = mhw_parts(spark, sf_dir)
+    return select.mask_apply(runs.days_per_year(mask, "mhw"), select.land_mask(c), ["days"])
+
+
+@query("mhw_events")
+def q_mhw_events(spark, sf_dir):
+    c, _, _, mask = mhw_parts(spark, sf_dir)
+    return select.mask_apply(runs.events_per_year(mask, "mhw", MHW_MIN_DAYS), select.land_mask(c), ["events"])
+
+
+@query("mhw_pipeline")
+def q_mhw_pipeline(spark, sf_dir):
+    """Heatwave days per year, masked on land, block-averaged 2 x 2 with the ragged end trimmed."""
+    out = pipelines.mhw_pipeline(grid(spark, sf_dir), MHW_Q, MHW_MIN_DAYS, pre_block=None, events_block=None,
+                                 ndigits=CMP_DIGITS)
+    return rounded(out["days_ds"])
+
+
+@query("dedup_days")
+def q_dedup_days(spark, sf_dir):
+    return rounded(extremes.dedup_days(grid(spark, sf_dir)))
+
+
+# --- grid reshaping ----------------------------------------------------------------------------------------
+
+
+@query("coarsen_exact")
+def q_coarsen_exact(spark, sf_dir):
+    return rounded(grid_ops.coarsen(grid(spark, sf_dir), 2, 2, boundary="exact"))
+
+
+@query("coarsen_trim")
+def q_coarsen_trim(spark, sf_dir):
+    return rounded(grid_ops.coarsen(grid(spark, sf_dir), 4, 4, boundary="trim"))
+
+
+@query("unstack_year")
+def q_unstack_year(spark, sf_dir):
+    return rounded(grid_ops.unstack_year(grid(spark, sf_dir)))
+
+
+@query("frames")
+def q_frames(spark, sf_dir):
+    return pipelines.frame_export(grid(spark, sf_dir), every=2, ndigits=CMP_DIGITS)
+
+
+# --- sources and sinks -------------------------------------------------------------------------------------
+
+
+@query("concat_time")
+def q_concat_time(spark, sf_dir):
+    c = grid(spark, sf_dir)
+    y = F.year("t")
+    pieces = [c.where(y < 1997), c.where((y >= 1997) & (y < 1999)), c.where(y >= 1999)]
+    return rounded(cube_io.concat_time(pieces))
+
+
+@query("sort_time")
+def q_sort_time(spark, sf_dir):
+    return rounded(cube_io.sort_time(grid(spark, sf_dir)))
+
+
+@query("decode_time")
+def q_decode_time(spark, sf_dir):
+    """Encode the dates as CF numbers (days since 1800-01-01), then decode them."""
+    c = grid(spark, sf_dir).select("t", *CELL, F.datediff("t", F.lit("1800-01-01").cast("date")).cast("double").alias("days"))
+    return rounded(cube_io.decode_cf_time(c, "days", "days since 1800-01-01", out="t_decoded"))
+
+
+@query("decode_values")
+def q_decode_values(spark, sf_dir):
+    """Pack the values as int16 hundredths with a fill value, then decode them."""
+    c = grid(spark, sf_dir)
+    raw = F.when(F.col("sst").isNull(), F.lit(-32767)).otherwise(F.floor(F.col("sst") * F.lit(100.0) + F.lit(0.5))).cast("short")
+    c = c.select("t", *CELL, raw.alias("raw"))
+    return rounded(c.withColumn("sst", cube_io.decode_values(F.col("raw"), scale=0.01, offset=0.0, fill=-32767)))
+
+
+@query("map_float32")
+def q_map_float32(spark, sf_dir):
+    m = q_variability_map(spark, sf_dir)
+    return store.as_float32(m, ["variability"])
+
+
+@query("materialize")
+def q_materialize(spark, sf_dir):
+    """Q1 through the cache-aside store in the shared checkpoint folder."""
+    from thermocline.session import scratch_path
+    import hashlib
+
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+    path = scratch_path(spark, f"variability_map_{tag}")
+    return pipelines.cached_variability_map(grid(spark, sf_dir), path, MIN_DATE, MAX_DATE)
+
+
+# --- reports -------------------------------------------------------------------------------------------------
+
+
+@query("cell_reports")
+def q_cell_reports(spark, sf_dir):
+    return rounded(pipelines.cell_reports(grid(spark, sf_dir), EXTREME_QUANTILE, ndigits=CMP_DIGITS))
+
+
+@query("point_report")
+def q_point_report(spark, sf_dir):
+    return rounded(pipelines.point_report(grid(spark, sf_dir), fixtures.points(spark), EXTREME_QUANTILE, ndigits=CMP_DIGITS))
+
+
+@query("regional_study")
+def q_regional_study(spark, sf_dir):
+    c = grid(spark, sf_dir)
+    bounds = {"lat_min": 20.5, "lat_max": 40.5, "lon_min": 0.5, "lon_max": 20.5}
+    return pipelines.regional_study(c, c, bounds, fixtures.points(spark), EXTREME_QUANTILE,
+                                    exclude=[2001], mask_mode="coord", ndigits=CMP_DIGITS)

@@ -266,3 +266,337 @@ sql(
 sql("time_parts", f"SELECT {CUBE_COLS}, {YEAR} AS year, {MONTH} AS month, {DOY} AS dayofyear FROM cube")
 
 sql("decimal_year", f"SELECT t, lat_idx, lon_idx, ROUND({DECYEAR}, 6) AS decimal_year FROM cube")
+
+
+# --- trend, rolling, resampling ---------------------------------------------------------------------
+
+
+def R9(expr: str) -> str:
+    return r_arith(expr, 9)
+
+
+AN9 = f"""an9 AS (SELECT *, {MONTH} AS month,
+       {R9("sst - AVG(sst) OVER (PARTITION BY lat_idx, lon_idx, MONTH(t))")} AS anom FROM cube)"""
+
+sql(
+    "trend_map",
+    f"""SELECT lat_idx, lon_idx, MIN(lat) AS lat, MIN(lon) AS lon,
+       ROUND(REGR_SLOPE(anom, {DECYEAR}) * 10, 6) AS trend_decade,
+       ROUND(REGR_INTERCEPT(anom, {DECYEAR}), 6) AS intercept,
+       CAST(REGR_COUNT(anom, {DECYEAR}) AS BIGINT) AS n,
+       ROUND(ROUND_EVEN(REGR_SLOPE(anom, {DECYEAR}) * 10, 3), 6) AS trend_r3
+FROM an9 GROUP BY lat_idx, lon_idx""",
+    AN9,
+)
+
+sql(
+    "trend_fit",
+    f"""SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom, ROUND(x, 6) AS continuous_time,
+       ROUND(REGR_INTERCEPT(anom, x) OVER w + REGR_SLOPE(anom, x) OVER w * x, 6) AS pred_ols
+FROM (SELECT *, {DECYEAR} AS x FROM an9) WINDOW w AS (PARTITION BY lat_idx, lon_idx)""",
+    AN9,
+)
+
+sql(
+    "rolling_mean",
+    """SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom,
+       ROUND(CASE WHEN COUNT(anom) OVER w = 51 THEN AVG(anom) OVER w END, 6) AS rolled
+FROM an9 WINDOW w AS (PARTITION BY lat_idx, lon_idx ORDER BY t ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)""",
+    AN9,
+)
+
+
+def sme(src: str, value: str) -> list[str]:
+    """CTEs for a semi-month resample of ``value`` in ``src`` -> ``res(lat_idx, lon_idx, t, mean)``."""
+    return [
+        f"""b AS (SELECT lat_idx, lon_idx, {value} AS v,
+       CASE WHEN t = LAST_DAY(t) THEN t
+            WHEN DAY(t) >= 15 THEN CAST(DATE_TRUNC('month', t) + INTERVAL 14 DAY AS DATE)
+            ELSE CAST(DATE_TRUNC('month', t) - INTERVAL 1 DAY AS DATE) END AS t FROM {src})""",
+        "mm AS (SELECT lat_idx, lon_idx, t, AVG(v) AS mean FROM b GROUP BY lat_idx, lon_idx, t)",
+        """months AS (SELECT CAST(generate_series AS DATE) AS m FROM generate_series(
+       CAST((SELECT DATE_TRUNC('month', MIN(t)) FROM b) AS TIMESTAMP) - INTERVAL 1 MONTH,
+       CAST((SELECT DATE_TRUNC('month', MAX(t)) FROM b) AS TIMESTAMP), INTERVAL 1 MONTH))""",
+        """bins AS (SELECT x AS t FROM (SELECT CAST(m + INTERVAL 14 DAY AS DATE) AS x FROM months
+                              UNION SELECT LAST_DAY(m) FROM months)
+       WHERE x BETWEEN (SELECT MIN(t) FROM b) AND (SELECT MAX(t) FROM b))""",
+        """res AS (SELECT c.lat_idx, c.lon_idx, bins.t, mm.mean
+FROM (SELECT DISTINCT lat_idx, lon_idx FROM cube) c CROSS JOIN bins
+LEFT JOIN mm ON mm.lat_idx = c.lat_idx AND mm.lon_idx = c.lon_idx AND mm.t = bins.t)""",
+    ]
+
+
+sql("resample_sme", "SELECT lat_idx, lon_idx, t, ROUND(mean, 6) AS mean FROM res", *sme("cube", "sst"))
+
+sql(
+    "rolling_sme",
+    """SELECT lat_idx, lon_idx, t, ROUND(mean, 6) AS mean,
+       ROUND(CASE WHEN COUNT(mean) OVER w = 72 THEN AVG(mean) OVER w END, 6) AS rolled
+FROM res WINDOW w AS (PARTITION BY lat_idx, lon_idx ORDER BY t ROWS BETWEEN 36 PRECEDING AND 35 FOLLOWING)""",
+    AN9,
+    *sme("an9", "anom"),
+)
+
+# --- extremes -------------------------------------------------------------------------------------------
+
+sql(
+    "point_quantiles",
+    """SELECT lat_idx, lon_idx, MIN(lat) AS lat, MIN(lon) AS lon,
+       ROUND(QUANTILE_CONT(anom, 0.05), 6) AS q05, ROUND(QUANTILE_CONT(anom, 0.10), 6) AS q10,
+       ROUND(QUANTILE_CONT(anom, 0.90), 6) AS q90, ROUND(QUANTILE_CONT(anom, 0.95), 6) AS q95
+FROM an9 GROUP BY lat_idx, lon_idx""",
+    AN9,
+)
+
+FL = f"""fl AS (SELECT t, lat_idx, lon_idx, anom, {YEAR} AS year, threshold,
+       CAST(COALESCE({R9("anom")} > {R9("threshold")}, FALSE) AS INTEGER) AS q95
+FROM (SELECT *, QUANTILE_CONT(anom, 0.95) OVER (PARTITION BY lat_idx, lon_idx) AS threshold FROM an9))"""
+
+sql("point_extremes",
+    "SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom, year, ROUND(threshold, 6) AS threshold, q95 FROM fl", AN9, FL)
+
+sql("extreme_rows",
+    "SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom, year, ROUND(threshold, 6) AS threshold, q95 FROM fl WHERE q95 = 1",
+    AN9, FL)
+
+EP = """ep AS (SELECT s.lat_idx, s.lon_idx, s.year, CAST(COALESCE(p.n, 0) AS BIGINT) AS n_extreme
+FROM (SELECT lat_idx, lon_idx, CAST(UNNEST(generate_series(MIN(year), MAX(year))) AS INTEGER) AS year
+      FROM fl GROUP BY lat_idx, lon_idx) s
+LEFT JOIN (SELECT lat_idx, lon_idx, year, SUM(q95) AS n FROM fl GROUP BY lat_idx, lon_idx, year) p
+USING (lat_idx, lon_idx, year))"""
+
+sql("extremes_per_year", "SELECT * FROM ep", AN9, FL, EP)
+
+sql("flag_counts", "SELECT lat_idx, lon_idx, q95 AS flag, COUNT(*) AS n FROM fl GROUP BY lat_idx, lon_idx, q95", AN9, FL)
+
+sql(
+    "year_histogram",
+    """SELECT s.lat_idx, s.lon_idx, s.bin_start, CAST(COALESCE(c.n, 0) AS BIGINT) AS n
+FROM (SELECT lat_idx, lon_idx, CAST(UNNEST(generate_series(MIN(year), MAX(year))) AS INTEGER) AS bin_start
+      FROM fl WHERE q95 = 1 GROUP BY lat_idx, lon_idx) s
+LEFT JOIN (SELECT lat_idx, lon_idx, year AS bin_start, COUNT(*) AS n FROM fl WHERE q95 = 1 GROUP BY ALL) c
+USING (lat_idx, lon_idx, bin_start)""",
+    AN9, FL,
+)
+
+sql("repeat_years",
+    "SELECT lat_idx, lon_idx, year FROM (SELECT lat_idx, lon_idx, year, UNNEST(range(n_extreme)) AS r FROM ep)",
+    AN9, FL, EP)
+
+
+def kde(factor: str) -> list[str]:
+    return [
+        """st AS (SELECT lat_idx, lon_idx, MIN(year) AS y0, MAX(year) AS y1, MAX(n_extreme) AS nmax,
+       CAST(SUM(n_extreme) AS DOUBLE) AS nn, CAST(SUM(n_extreme * year) AS DOUBLE) / CAST(SUM(n_extreme) AS DOUBLE) AS mu
+FROM ep GROUP BY lat_idx, lon_idx)""",
+        f"""par AS (SELECT st.*, {factor} * SQRT(v.ss / (st.nn - 1)) AS h FROM st JOIN (
+       SELECT e.lat_idx, e.lon_idx, SUM(e.n_extreme * POW(e.year - s.mu, 2)) AS ss
+       FROM ep e JOIN st s USING (lat_idx, lon_idx) GROUP BY e.lat_idx, e.lon_idx) v USING (lat_idx, lon_idx)
+WHERE st.nn >= 2)""",
+        """g AS (SELECT par.*, CAST(i AS INTEGER) AS i,
+       CASE WHEN i = 399 THEN CAST(y1 AS DOUBLE)
+            ELSE CAST(y0 AS DOUBLE) + CAST(i AS DOUBLE) * (CAST(y1 - y0 AS DOUBLE) / CAST(399 AS DOUBLE)) END AS x
+FROM par, range(400) r(i) WHERE h > 0)""",
+        """k AS (SELECT g.lat_idx, g.lon_idx, g.i, g.x, g.nmax,
+       SUM(e.n_extreme * EXP(-0.5 * POW((g.x - e.year) / g.h, 2))) / (g.nn * g.h * SQRT(2 * PI())) AS kde
+FROM g JOIN ep e USING (lat_idx, lon_idx) GROUP BY g.lat_idx, g.lon_idx, g.i, g.x, g.nmax, g.nn, g.h)""",
+    ]
+
+
+KDE_OUT = """SELECT lat_idx, lon_idx, i, ROUND(x, 6) AS year_x, ROUND(kde, 6) AS kde,
+       ROUND(kde * nmax / MAX(kde) OVER (PARTITION BY lat_idx, lon_idx), 6) AS kde_scaled FROM k"""
+
+sql("kde_years", KDE_OUT, AN9, FL, EP, *kde("0.35"))
+sql("kde_scott", KDE_OUT, AN9, FL, EP, *kde("POW(st.nn, -0.2)"))
+
+sql(
+    "global_quantiles",
+    "SELECT ROUND(QUANTILE_CONT(anom, 0.01), 6) AS p001, ROUND(QUANTILE_CONT(anom, 0.99), 6) AS p099 FROM an9",
+    AN9,
+)
+
+sql(
+    "exceed_fraction",
+    f"""SELECT lat_idx, lon_idx, {YEAR} AS year,
+       ROUND(SUM(CASE WHEN sst > (SELECT QUANTILE_CONT(sst, 0.9) FROM cube) THEN 1 ELSE 0 END)
+             / MAX(st.n), 6) AS fraction
+FROM cube JOIN (SELECT YEAR(t) AS y, COUNT(*) AS n FROM (SELECT DISTINCT t FROM cube) GROUP BY YEAR(t)) st
+ON st.y = YEAR(t) GROUP BY lat_idx, lon_idx, {YEAR}""",
+)
+
+sql(
+    "clip_scale",
+    """SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom, ROUND(c, 6) AS clipped,
+       ROUND((c - CAST(-2.0892258 AS DOUBLE)) / (CAST(2.215498 AS DOUBLE) - CAST(-2.0892258 AS DOUBLE)), 6) AS scaled
+FROM (SELECT *, LEAST(GREATEST(anom, CAST(-2.0892258 AS DOUBLE)), CAST(2.215498 AS DOUBLE)) AS c FROM an9)""",
+    AN9,
+)
+
+# --- heatwaves --------------------------------------------------------------------------------------------
+
+THR = [
+    """ax AS (SELECT d, CAST(ROW_NUMBER() OVER (ORDER BY d) - 1 AS INTEGER) AS pos, COUNT(*) OVER () AS n
+FROM (SELECT DISTINCT CAST(DAYOFYEAR(t) AS INTEGER) AS d FROM cube))""",
+    """thr AS (SELECT c.lat_idx, c.lon_idx, a.d AS dayofyear, QUANTILE_CONT(v.sst, 0.75) AS thr
+FROM (SELECT DISTINCT lat_idx, lon_idx FROM cube) c
+CROSS JOIN ax a CROSS JOIN range(-5, 6) o(off)
+JOIN ax a2 ON a2.pos = (a.pos + o.off + a.n) % a.n
+LEFT JOIN (SELECT lat_idx, lon_idx, CAST(DAYOFYEAR(t) AS INTEGER) AS d, sst FROM cube WHERE sst IS NOT NULL) v
+  ON v.lat_idx = c.lat_idx AND v.lon_idx = c.lon_idx AND v.d = a2.d
+GROUP BY c.lat_idx, c.lon_idx, a.d)""",
+]
+
+EX = f"""ex AS (SELECT c.t, c.lat_idx, c.lon_idx, c.lat, c.lon, c.sst, {DOY} AS dayofyear, thr.thr,
+       COALESCE({R9("c.sst")} > {R9("thr.thr")}, FALSE) AS exceed
+FROM cube c JOIN thr ON thr.lat_idx = c.lat_idx AND thr.lon_idx = c.lon_idx AND thr.dayofyear = DAYOFYEAR(c.t))"""
+
+MK = """mk AS (SELECT *, exceed AND SUM(CAST(exceed AS INTEGER)) OVER (PARTITION BY lat_idx, lon_idx, isl) >= 3 AS mhw
+FROM (SELECT *, SUM(CASE WHEN exceed THEN 0 ELSE 1 END)
+                OVER (PARTITION BY lat_idx, lon_idx ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl FROM ex))"""
+
+sql("doy_threshold", "SELECT lat_idx, lon_idx, dayofyear, ROUND(thr, 6) AS thr FROM thr", *THR)
+
+sql("exceedance",
+    "SELECT t, lat_idx, lon_idx, ROUND(sst, 6) AS sst, dayofyear, ROUND(thr, 6) AS thr, exceed FROM ex", *THR, EX)
+
+MASK_OUT = "SELECT t, lat_idx, lon_idx, ROUND(sst, 6) AS sst, ROUND(thr, 6) AS thr, exceed, mhw FROM mk"
+sql("mhw_mask", MASK_OUT, *THR, EX, MK)
+sql("apply_along_time", MASK_OUT, *THR, EX, MK)
+
+DAYS = f"""days AS (SELECT m.lat_idx, m.lon_idx, {YEAR} AS year,
+       CASE WHEN MAX(l.land) THEN NULL ELSE CAST(SUM(CAST(mhw AS INTEGER)) AS BIGINT) END AS days
+FROM mk m JOIN land l USING (lat_idx, lon_idx) GROUP BY m.lat_idx, m.lon_idx, {YEAR})"""
+
+sql("mhw_days", "SELECT * FROM days", *THR, EX, MK, LAND, DAYS)
+
+sql(
+    "mhw_events",
+    """SELECT e.lat_idx, e.lon_idx, e.year, CASE WHEN l.land THEN NULL ELSE e.events END AS events
+FROM (SELECT lat_idx, lon_idx, year, CAST(SUM(CAST(st AS INTEGER)) AS BIGINT) AS events FROM (
+        SELECT *, lng AND NOT COALESCE(LAG(lng) OVER (PARTITION BY lat_idx, lon_idx, year ORDER BY t), FALSE) AS st
+        FROM (SELECT *, mhw AND SUM(CAST(mhw AS INTEGER)) OVER (PARTITION BY lat_idx, lon_idx, year, isl2) >= 3 AS lng
+              FROM (SELECT *, SUM(CASE WHEN mhw THEN 0 ELSE 1 END) OVER (
+                        PARTITION BY lat_idx, lon_idx, year ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl2
+                    FROM (SELECT *, CAST(YEAR(t) AS INTEGER) AS year FROM mk))))
+      GROUP BY lat_idx, lon_idx, year) e
+JOIN land l USING (lat_idx, lon_idx)""",
+    *THR, EX, MK, LAND,
+)
+
+sql(
+    "mhw_pipeline",
+    """SELECT d.year, d.lat_idx, d.lon_idx, bl.lat, bo.lon, ROUND(d.days, 6) AS days
+FROM (SELECT year, CAST(lat_idx // 2 AS INTEGER) AS lat_idx, CAST(lon_idx // 2 AS INTEGER) AS lon_idx,
+             AVG(days) AS days FROM days WHERE lat_idx < 6 AND lon_idx < 4 GROUP BY ALL) d
+JOIN (SELECT CAST(lat_idx // 2 AS INTEGER) AS lat_idx, AVG(lat) AS lat
+      FROM (SELECT DISTINCT lat_idx, lat FROM cube) WHERE lat_idx < 6 GROUP BY 1) bl USING (lat_idx)
+JOIN (SELECT CAST(lon_idx // 2 AS INTEGER) AS lon_idx, AVG(lon) AS lon
+      FROM (SELECT DISTINCT lon_idx, lon FROM cube) WHERE lon_idx < 4 GROUP BY 1) bo USING (lon_idx)""",
+    *THR, EX, MK, LAND, DAYS,
+)
+
+sql(
+    "dedup_days",
+    f"""SELECT {CUBE_COLS} FROM (SELECT *, ROW_NUMBER() OVER (
+       PARTITION BY lat_idx, lon_idx, YEAR(t), DAYOFYEAR(t) ORDER BY t) AS rn FROM cube) WHERE rn = 1""",
+)
+
+# --- grid reshaping ------------------------------------------------------------------------------------------
+
+
+def coarsen_sql(k_lat: int, k_lon: int, keep_lat: int, keep_lon: int) -> str:
+    return f"""SELECT d.t, d.lat_idx, d.lon_idx, bl.lat, bo.lon, ROUND(d.sst, 6) AS sst
+FROM (SELECT t, CAST(lat_idx // {k_lat} AS INTEGER) AS lat_idx, CAST(lon_idx // {k_lon} AS INTEGER) AS lon_idx,
+             AVG(sst) AS sst FROM cube WHERE lat_idx < {keep_lat} AND lon_idx < {keep_lon} GROUP BY ALL) d
+JOIN (SELECT CAST(lat_idx // {k_lat} AS INTEGER) AS lat_idx, AVG(lat) AS lat
+      FROM (SELECT DISTINCT lat_idx, lat FROM cube) WHERE lat_idx < {keep_lat} GROUP BY 1) bl USING (lat_idx)
+JOIN (SELECT CAST(lon_idx // {k_lon} AS INTEGER) AS lon_idx, AVG(lon) AS lon
+      FROM (SELECT DISTINCT lon_idx, lon FROM cube) WHERE lon_idx < {keep_lon} GROUP BY 1) bo USING (lon_idx)"""
+
+
+sql("coarsen_exact", coarsen_sql(2, 2, 6, 4))
+sql("coarsen_trim", coarsen_sql(4, 4, 4, 4))
+
+sql(
+    "unstack_year",
+    """SELECT s.lat_idx, s.lon_idx, s.year, s.dayofyear, ROUND(c.sst, 6) AS sst
+FROM (SELECT * FROM (SELECT DISTINCT lat_idx, lon_idx FROM cube)
+      CROSS JOIN (SELECT DISTINCT CAST(YEAR(t) AS INTEGER) AS year FROM cube)
+      CROSS JOIN (SELECT DISTINCT CAST(DAYOFYEAR(t) AS INTEGER) AS dayofyear FROM cube)) s
+LEFT JOIN cube c ON c.lat_idx = s.lat_idx AND c.lon_idx = s.lon_idx
+  AND YEAR(c.t) = s.year AND DAYOFYEAR(c.t) = s.dayofyear""",
+)
+
+# --- sources and sinks ---------------------------------------------------------------------------------------
+
+sql("concat_time", f"SELECT {CUBE_COLS} FROM cube")
+sql("sort_time", f"SELECT {CUBE_COLS} FROM cube")
+
+sql(
+    "decode_time",
+    """SELECT t, lat_idx, lon_idx, ROUND(days, 6) AS days,
+       CAST(TIMESTAMP '1800-01-01 00:00:00' + TO_MICROSECONDS(CAST(days * CAST(86400000000 AS DOUBLE) AS BIGINT)) AS TIMESTAMP) AS t_decoded
+FROM (SELECT t, lat_idx, lon_idx, CAST(DATEDIFF('day', DATE '1800-01-01', t) AS DOUBLE) AS days FROM cube)""",
+)
+
+sql(
+    "decode_values",
+    """SELECT t, lat_idx, lon_idx, raw,
+       ROUND(CASE WHEN raw <> -32767 THEN CAST(raw AS DOUBLE) * CAST(0.01 AS DOUBLE) + CAST(0.0 AS DOUBLE) END, 6) AS sst
+FROM (SELECT t, lat_idx, lon_idx,
+             CAST(CASE WHEN sst IS NULL THEN -32767 ELSE FLOOR(sst * CAST(100.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) END AS SMALLINT) AS raw
+      FROM cube)""",
+)
+
+sql(
+    "map_float32",
+    """SELECT lat_idx, lon_idx, lat, lon, CAST(ROUND(v, 6) AS FLOAT) AS variability FROM (
+SELECT lat_idx, lon_idx, MIN(lat) AS lat, MIN(lon) AS lon, AVG(sd) AS v FROM m GROUP BY lat_idx, lon_idx)""",
+    "sel AS (SELECT * FROM cube WHERE t >= DATE '1982-01-01' AND t < DATE '2026-01-01')",
+    "tax AS (SELECT t, ROW_NUMBER() OVER (ORDER BY t) - 1 AS time_idx FROM (SELECT DISTINCT t FROM sel))",
+    "sub AS (SELECT sel.* FROM sel JOIN tax USING (t) WHERE time_idx % 3 = 0 AND lat_idx % 2 = 0 AND lon_idx % 2 = 0)",
+    "m AS (" + MONTHLY.format(src="sub") + ")",
+)
+
+# --- reports ---------------------------------------------------------------------------------------------------
+
+
+def report(keys: str, src: str) -> str:
+    return f"""SELECT {keys}, MIN(lat) AS lat, MIN(lon) AS lon,
+       ROUND(REGR_SLOPE(anom, {DECYEAR}) * 10, 6) AS trend_decade,
+       ROUND(MAX(threshold), 6) AS threshold, COUNT(anom) AS n_valid,
+       CAST(SUM(flag) AS BIGINT) AS n_extreme, MIN(year) AS first_year, MAX(year) AS last_year,
+       ROUND(ROUND_EVEN(REGR_SLOPE(anom, {DECYEAR}) * 10, 3), 6) AS trend_r3
+FROM {src} GROUP BY {keys}"""
+
+
+def flags_over(src: str, keys: str) -> str:
+    return f"""(SELECT *, {YEAR} AS year, CAST(COALESCE({R9("anom")} > {R9("threshold")}, FALSE) AS INTEGER) AS flag
+FROM (SELECT *, QUANTILE_CONT(anom, 0.95) OVER (PARTITION BY {keys}) AS threshold FROM {src}))"""
+
+
+sql("cell_reports", report("lat_idx, lon_idx", flags_over("an9", "lat_idx, lon_idx")), AN9)
+
+sql(
+    "point_report",
+    report("point_id, lat_idx, lon_idx", flags_over("pa", "point_id, lat_idx, lon_idx")),
+    POINTS,
+    NEAREST,
+    f"""pa AS (SELECT n.point_id, c.*,
+       {R9("c.sst - AVG(c.sst) OVER (PARTITION BY n.point_id, c.lat_idx, c.lon_idx, MONTH(c.t))")} AS anom
+FROM cube c JOIN near n USING (lat_idx, lon_idx))""",
+)
+
+sql(
+    "regional_study",
+    f"""SELECT point_id, flag, COUNT(*) AS n FROM {flags_over("ps", "point_id, lat_idx, lon_idx")}
+WHERE year <> 2001 GROUP BY point_id, flag""",
+    REFMASK,
+    """mc AS (SELECT c.t, c.lat_idx, c.lon_idx, c.lat, c.lon, CASE WHEN m.lat IS NULL THEN c.sst END AS sst
+FROM cube c LEFT JOIN (SELECT DISTINCT lat, lon FROM refmask) m USING (lat, lon)
+WHERE c.lat BETWEEN 20.5 AND 40.5 AND c.lon BETWEEN 0.5 AND 20.5)""",
+    f"""an AS (SELECT *, {R9("sst - AVG(sst) OVER (PARTITION BY lat_idx, lon_idx, MONTH(t))")} AS anom FROM mc)""",
+    POINTS,
+    NEAREST.replace("FROM cube) a", "FROM mc) a"),
+    "ps AS (SELECT n.point_id, a.* FROM an a JOIN near n USING (lat_idx, lon_idx))",
+)
