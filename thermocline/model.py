@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,15 +51,57 @@ def checked_small(df: DataFrame, max_rows: int = MAX_AXIS, what: str = "table")
     return F.broadcast(df)
 
 
-def axis_table(df: DataFrame, label: str, idx: str, descending: bool = False) -> DataFrame:
-    """Distinct labels of one dimension with a zero-based position.
+# Largest per-cell table (e.g. a land mask) that is broadcast; beyond it the join shuffles.
+MAX_BROADCAST_CELLS = 4_000_000
+
+
+def small_or_shuffle(df: DataFrame, max_rows: int = MAX_BROADCAST_CELLS) -> DataFrame:
+    """Broadcast hint when ``df`` is proven to have at most ``max_rows`` rows, else a plain
+    (shuffled) join side."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
 
-    The distinct runs as a partial aggregate on every task, so only one row per
-    label and task crosses the shuffle; the ranking runs on the (small) axis.
+def _bounded(values: list, what: str, max_len: int = MAX_AXIS) -> list:
+    if values is None:
+        return []
+    if len(values) > max_len:
+        raise ValueError(f"{what} has {len(values)} entries, more than {max_len}")
+    return values
+
+
+def label_axes(df: DataFrame) -> tuple[list[float], list[float]]:
+    """Sorted distinct ``lat`` and ``lon`` labels in one pass.
+
+    Each task keeps a set of the labels it saw (bounded by the grid size), so only sets
+    cross the shuffle; the sizes are checked before anything is broadcast.
     """
-    labels = df.select(label).where(F.col(label).isNotNull()).distinct()
-    order = F.col(label).desc() if descending else F.col(label).asc()
-    return labels.withColumn(idx, (F.row_number().over(Window.orderBy(order)) - 1).cast("int"))
+    row = df.agg(F.collect_set("lat").alias("a"), F.collect_set("lon").alias("b")).first()
+    return sorted(_bounded(row["a"], "lat axis")), sorted(_bounded(row["b"], "lon axis"))
+
+
+def index_axes(df: DataFrame) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
+    """``(lat_idx, lat)`` and ``(lon_idx, lon)`` pairs of an indexed cube in one pass."""
+    row = df.agg(
+        F.collect_set(F.struct("lat_idx", "lat")).alias("a"),
+        F.collect_set(F.struct("lon_idx", "lon")).alias("b"),
+    ).first()
+    lat = sorted((r[0], r[1]) for r in _bounded(row["a"], "lat axis"))
+    lon = sorted((r[0], r[1]) for r in _bounded(row["b"], "lon axis"))
+    return lat, lon
+
+
+def axis_frame(spark, pairs, idx: str, label: str, label_type: str = "double") -> DataFrame:
+    """A small local DataFrame ``(idx, label)`` (cheap to broadcast; no rescan of the cube)."""
+    return spark.createDataFrame([(int(i), v) for i, v in pairs], f"{idx} int, {label} {label_type}")
+
+
+def axis_table(df: DataFrame, label: str, idx: str, descending: bool = False) -> DataFrame:
+    """Distinct labels of one dimension with a zero-based position (a local, broadcastable table)."""
+    row = df.agg(F.collect_set(label).alias("a")).first()
+    vals = sorted(_bounded(row["a"], f"{label} axis"), reverse=descending)
+    ltype = df.schema[label].dataType.simpleString()
+    return axis_frame(df.sparkSession, list(enumerate(vals)), idx, label, ltype).select(label, idx)
 
 
 def with_cell_index(
@@ -68,19 +110,33 @@ def with_cell_index(
     lon_axis: DataFrame | None = None,
     lat_descending: bool = False,
 ) -> DataFrame:
-    """Attach ``lat_idx, lon_idx`` by joining the (broadcast, size-checked) axis tables."""
-    if lat_axis is None:
-        lat_axis = axis_table(df, "lat", "lat_idx", descending=lat_descending)
-    if lon_axis is None:
-        lon_axis = axis_table(df, "lon", "lon_idx")
+    """Attach ``lat_idx, lon_idx`` by joining the (broadcast, size-checked) axis tables.
+
+    Without given axes both are derived in one pass over the label columns.
+    """
+    spark = df.sparkSession
+    if lat_axis is None or lon_axis is None:
+        lats, lons = label_axes(df)
+        if lat_descending:
+            lats = lats[::-1]
+        lat_axis = lat_axis if lat_axis is not None else axis_frame(spark, list(enumerate(lats)), "lat_idx", "lat")
+        lon_axis = lon_axis if lon_axis is not None else axis_frame(spark, list(enumerate(lons)), "lon_idx", "lon")
     lat_axis = checked_small(lat_axis.select("lat", "lat_idx"), what="lat axis")
     lon_axis = checked_small(lon_axis.select("lon", "lon_idx"), what="lon axis")
     return df.join(lat_axis, "lat").join(lon_axis, "lon")
 
 
+def time_labels(cube: DataFrame) -> list:
+    """Sorted distinct time steps (the axis shared by all cells), from one pass."""
+    row = cube.agg(F.collect_set("t").alias("a")).first()
+    return sorted(_bounded(row["a"], "time axis"))
+
+
 def time_axis(cube: DataFrame) -> DataFrame:
-    """Distinct time steps of the cube with a zero-based ``time_idx`` (shared by all cells)."""
-    return axis_table(cube, "t", "time_idx")
+    """Distinct time steps with a zero-based ``time_idx`` as a local broadcastable table."""
+    ts = time_labels(cube)
+    ttype = cube.schema["t"].dataType.simpleString()
+    return axis_frame(cube.sparkSession, list(enumerate(ts)), "time_idx", "t", ttype).select("t", "time_idx")
 
 
 def cells(cube: DataFrame) -> DataFrame:

@@ -9,13 +9,19 @@ from thermocline.model import CELL
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row of ``df``.
+    """Attach the columns of a one-row aggregate to every row of ``df`` as literals.
 
-    Written as an equi join on a constant key against the broadcast single row, so
-    no row of ``df`` moves and nothing is paired beyond that one row.
+    The aggregate runs as its own (partial, then single-row) job; its values then travel
+    inside the plan, so filters on them can reach the Parquet scan.
     """
-    k = "__one"
-    return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)
+    row = one_row.first()
+    fields = one_row.schema.fields
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in fields})
+
+
+def scalar(df: DataFrame, expr) -> object:
+    """One aggregate value of ``df`` (a single small job)."""
+    return df.agg(expr.alias("v")).first()["v"]
 
 
 def cell_labels() -> list:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermocline.functions.scalar import exceed_flag, sorted_array_quantile
-from thermocline.model import CELL, MAX_AXIS
-from thermocline.operators.common import attach_scalars, cell_labels
+from thermocline.model import CELL
+from thermocline.operators.common import cell_labels
 from thermocline.operators.quantile import exact_quantiles
 
 
@@ -167,8 +167,7 @@ def dedup_days(cube: DataFrame) -> DataFrame:
 
 def doy_axis(cube: DataFrame) -> list[int]:
     """Days of year present anywhere in the cube (the axis shared by all cells; <= 366)."""
-    rows = cube.select(F.dayofyear("t").alias("d")).distinct().limit(MAX_AXIS).collect()
-    return sorted(r["d"] for r in rows)
+    return sorted(cube.agg(F.collect_set(F.dayofyear("t")).alias("d")).first()["d"])
 
 
 def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: list[int] | None = None) -> DataFrame:
@@ -182,14 +181,16 @@ def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: l
     n = len(axis)
     if n < half_window:
         raise ValueError(f"day-of-year axis of {n} days is shorter than the window radius")
-    days = dedup_days(cube).where(F.col("sst").isNotNull())
-    per_day = days.groupBy(*CELL, F.dayofyear("t").alias("d")).agg(F.collect_list("sst").alias("vs"))
-    per_cell = per_day.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("d", "vs"))).alias("m"))
-    all_cells = cube.select(*CELL).distinct()
-    per_cell = all_cells.join(per_cell, CELL, "left")
+    # collect_list skips NULLs, so an all-missing (land) cell keeps its rows with empty lists.
+    per_day = dedup_days(cube).groupBy(*CELL, F.dayofyear("t").alias("d")).agg(
+        *cell_labels(), F.collect_list("sst").alias("vs")
+    )
+    per_cell = per_day.groupBy(*CELL).agg(
+        *cell_labels(), F.map_from_entries(F.collect_list(F.struct("d", "vs"))).alias("m")
+    )
     ax = F.array(*[F.lit(int(d)) for d in axis])
     empty = F.array().cast("array<double>")
-    per_pos = per_cell.select(*CELL, "m", F.posexplode(ax).alias("pos", "dayofyear"))
+    per_pos = per_cell.select(*CELL, "lat", "lon", "m", F.posexplode(ax).alias("pos", "dayofyear"))
     offsets = F.sequence(F.lit(-half_window), F.lit(half_window))
     pool = F.flatten(
         F.transform(
@@ -199,8 +200,8 @@ def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: l
             ),
         )
     )
-    out = per_pos.select(*CELL, F.col("dayofyear").cast("int").alias("dayofyear"), F.sort_array(pool).alias("_pool"))
-    return out.select(*CELL, "dayofyear", sorted_array_quantile(F.col("_pool"), q).alias("thr"))
+    out = per_pos.select(*CELL, "lat", "lon", F.col("dayofyear").cast("int").alias("dayofyear"), F.sort_array(pool).alias("_pool"))
+    return out.select(*CELL, "lat", "lon", "dayofyear", sorted_array_quantile(F.col("_pool"), q).alias("thr"))
 
 
 def attach_by_cell_day(cube: DataFrame, thr: DataFrame) -> DataFrame:

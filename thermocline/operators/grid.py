@@ -6,14 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.functions.scalar import clip_scale
-from thermocline.model import CELL, MAX_AXIS, checked_small
+from thermocline.model import CELL, axis_frame, checked_small, index_axes
 from thermocline.operators.extremes import dedup_days
 
 
-def _axis(df: DataFrame, idx: str, label: str) -> DataFrame:
-    return df.groupBy(idx).agg(F.first(label).alias(label))
-
-
 def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str = "t",
             boundary: str = "exact", lat_axis: DataFrame | None = None, lon_axis: DataFrame | None = None) -> DataFrame:
     """Block means over ``k_lat x k_lon`` cells per time step (missing values skipped).
@@ -22,9 +18,11 @@ def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str
     Block labels are the means of the axis labels in the block.  The partial aggregate runs
     before the shuffle, so the shuffle carries at most one row per block and task.
     """
-    lat_axis = lat_axis if lat_axis is not None else _axis(df, "lat_idx", "lat")
-    lon_axis = lon_axis if lon_axis is not None else _axis(df, "lon_idx", "lon")
-    n_lat, n_lon = lat_axis.count(), lon_axis.count()  # axis sizes (small aggregates)
+    if lat_axis is None or lon_axis is None:
+        lat_pairs, lon_pairs = index_axes(df)
+        lat_axis = axis_frame(df.sparkSession, lat_pairs, "lat_idx", "lat")
+        lon_axis = axis_frame(df.sparkSession, lon_pairs, "lon_idx", "lon")
+    n_lat, n_lon = lat_axis.count(), lon_axis.count()  # local tables
     if boundary == "exact":
         if n_lat % k_lat or n_lon % k_lon:
             raise ValueError(f"grid {n_lat} x {n_lon} is not divisible by {k_lat} x {k_lon}")
@@ -48,8 +46,8 @@ def unstack_year(cube: DataFrame) -> DataFrame:
     """Dense ``(cell, dayofyear, year)`` table: every day of year and year present anywhere in the
     cube, for every cell; missing combinations have a NULL value (first row wins on duplicates)."""
     d = dedup_days(cube).select(*CELL, F.year("t").cast("int").alias("year"), F.dayofyear("t").cast("int").alias("dayofyear"), "sst")
-    years = sorted(r[0] for r in cube.select(F.year("t")).distinct().limit(MAX_AXIS).collect())
-    doys = sorted(r[0] for r in cube.select(F.dayofyear("t")).distinct().limit(MAX_AXIS).collect())
+    row = cube.agg(F.collect_set(F.year("t")).alias("y"), F.collect_set(F.dayofyear("t")).alias("d")).first()
+    years, doys = sorted(row["y"]), sorted(row["d"])  # at most years and 366 entries
     spine = cube.select(*CELL).distinct().select(
         *CELL,
         F.explode(F.array(*[F.lit(int(y)) for y in years])).alias("year"),

@@ -7,8 +7,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.model import CELL, MAX_AXIS, axis_table, checked_small, time_axis
-from thermocline.operators.common import attach_scalars, cell_labels
+from thermocline.model import CELL, checked_small, index_axes, small_or_shuffle, time_axis, time_labels
+from thermocline.operators.common import attach_scalars, cell_labels, scalar
 
 
 def _date(x) -> _dt.date:
@@ -25,30 +25,24 @@ def region_labels(cube: DataFrame, lat_min: float, lat_max: float, lon_min: floa
     )
 
 
-def _edge_positions(axis: DataFrame, label: str, idx: str, edges) -> tuple[int, int]:
+def _edge_positions(pairs, edges, label: str) -> tuple[int, int]:
     """Positions of two exact edge labels on an axis (fails when one is absent)."""
+    found = {v: i for i, v in pairs}
     a, b = float(edges[0]), float(edges[1])
-    rows = axis.where(F.col(label).isin(a, b)).select(label, idx).collect()  # <= 2 rows
-    found = {r[label]: r[idx] for r in rows}
     missing = [e for e in (a, b) if e not in found]
     if missing:
         raise KeyError(f"edge label(s) {missing} not on the {label} axis")
-    i, j = found[a], found[b]
-    return min(i, j), max(i, j)
-
-
-def region_index(
-    cube: DataFrame,
-    lat_edges,
-    lon_edges,
-    lat_axis: DataFrame | None = None,
-    lon_axis: DataFrame | None = None,
-) -> DataFrame:
-    """Box by axis position: the indices of exact edge labels, both ends inclusive."""
-    lat_axis = lat_axis if lat_axis is not None else axis_table(cube, "lat", "lat_idx")
-    lon_axis = lon_axis if lon_axis is not None else axis_table(cube, "lon", "lon_idx")
-    i0, i1 = _edge_positions(lat_axis, "lat", "lat_idx", lat_edges)
-    j0, j1 = _edge_positions(lon_axis, "lon", "lon_idx", lon_edges)
+    return min(found[a], found[b]), max(found[a], found[b])
+
+
+def region_index(cube: DataFrame, lat_edges, lon_edges, axes=None) -> DataFrame:
+    """Box by axis position: the indices of exact edge labels, both ends inclusive.
+
+    ``axes`` are the ``(idx, label)`` pairs of both dimensions (derived in one pass if absent).
+    """
+    lat_pairs, lon_pairs = axes if axes is not None else index_axes(cube)
+    i0, i1 = _edge_positions(lat_pairs, lat_edges, "lat")
+    j0, j1 = _edge_positions(lon_pairs, lon_edges, "lon")
     return cube.where(F.col("lat_idx").between(i0, i1) & F.col("lon_idx").between(j0, j1))
 
 
@@ -90,65 +84,62 @@ def stride_subsample(cube: DataFrame, t_step: int = 3, lat_step: int = 2, lon_st
 
 
 def frame_at(cube: DataFrame, k: int) -> DataFrame:
-    """Positional time selection; negative ``k`` counts from the end (-1 = last step)."""
-    ax = time_axis(cube)
-    if k < 0:
-        n = ax.agg(F.count(F.lit(1)).alias("_n"))
-        pick = attach_scalars(ax, n).where(F.col("time_idx") == F.col("_n") + F.lit(k)).select("t")
-    else:
-        pick = ax.where(F.col("time_idx") == k).select("t")
-    return cube.join(F.broadcast(pick), "t")
+    """Positional time selection; negative ``k`` counts from the end (-1 = last step).
+
+    The step is looked up on the (bounded) time axis and applied as a literal filter, which
+    reaches the Parquet scan.
+    """
+    ts = time_labels(cube)
+    return cube.where(F.col("t") == F.lit(ts[k]))
 
 
 def last_frame(cube: DataFrame) -> DataFrame:
-    """The last time step of the cube (max of t, a one-row broadcast)."""
-    last = cube.agg(F.max("t").alias("t"))
-    return cube.join(F.broadcast(last), "t")
+    """The last time step of the cube (``max(t)`` as a literal filter)."""
+    return cube.where(F.col("t") == F.lit(scalar(cube, F.max("t"))))
 
 
 # --- nearest point -------------------------------------------------------------------------
 
 
-def _axis_values(axis: DataFrame, label: str) -> list[float]:
-    """Sorted labels of one axis; the axis is metadata bounded by the grid size (checked)."""
-    rows = axis.select(label).distinct().limit(MAX_AXIS + 1).collect()
-    if len(rows) > MAX_AXIS:
-        raise ValueError(f"{label} axis longer than {MAX_AXIS}")
-    return sorted(r[0] for r in rows)
-
-
-def nearest_label(x: Column, values: list[float]) -> Column:
-    """Nearest label on a sorted axis: clamped to the ends, no wrap, a tie goes to the larger label."""
+def nearest_position(x: Column, values: list[float]) -> Column:
+    """1-based position of the nearest label on a sorted axis: clamped to the ends, no wrap,
+    a tie goes to the larger label.  The axis is a literal array (bounded by the grid)."""
     arr = F.array(*[F.lit(float(v)) for v in values])
     n = len(values)
     below = F.size(F.filter(arr, lambda a: a < x))  # labels strictly below x
     left = F.element_at(arr, F.greatest(below, F.lit(1)))
     right = F.element_at(arr, F.least(below + 1, F.lit(n)))
     take_right = (below == 0) | ((below < n) & ((right - x) <= (x - left)))
-    return F.when(take_right, right).otherwise(left)
-
-
-def nearest_point(
-    cube: DataFrame,
-    points: DataFrame,
-    lat_axis: DataFrame | None = None,
-    lon_axis: DataFrame | None = None,
-) -> DataFrame:
-    """Map each point ``(point_id, lat, lon)`` to its nearest grid cell, each axis independently."""
-    lat_axis = lat_axis if lat_axis is not None else axis_table(cube, "lat", "lat_idx")
-    lon_axis = lon_axis if lon_axis is not None else axis_table(cube, "lon", "lon_idx")
-    lats, lons = _axis_values(lat_axis, "lat"), _axis_values(lon_axis, "lon")
-    p = points.select(
+    return F.when(take_right, F.least(below + 1, F.lit(n))).otherwise(below)
+
+
+def nearest_point(cube: DataFrame, points: DataFrame, axes=None) -> DataFrame:
+    """Map each point ``(point_id, lat, lon)`` to its nearest grid cell, each axis independently.
+
+    No join: the axes (collected once, bounded by the grid) are literal arrays and each
+    point finds its label position with array functions.
+    """
+    lat_pairs, lon_pairs = axes if axes is not None else index_axes(cube)
+    lat_pairs = sorted(lat_pairs, key=lambda p: p[1])
+    lon_pairs = sorted(lon_pairs, key=lambda p: p[1])
+
+    def pick(pairs, col):
+        pos = nearest_position(F.col(col), [v for _, v in pairs])
+        idx = F.element_at(F.array(*[F.lit(int(i)) for i, _ in pairs]), pos)
+        lab = F.element_at(F.array(*[F.lit(float(v)) for _, v in pairs]), pos)
+        return idx, lab
+
+    lat_i, lat_v = pick(lat_pairs, "lat")
+    lon_i, lon_v = pick(lon_pairs, "lon")
+    return points.select(
         "point_id",
         F.col("lat").alias("point_lat"),
         F.col("lon").alias("point_lon"),
-        nearest_label(F.col("lat"), lats).alias("lat"),
-        nearest_label(F.col("lon"), lons).alias("lon"),
-    )
-    p = p.join(checked_small(lat_axis.select("lat", "lat_idx")), "lat").join(
-        checked_small(lon_axis.select("lon", "lon_idx")), "lon"
+        lat_i.alias("lat_idx"),
+        lon_i.alias("lon_idx"),
+        lat_v.alias("lat"),
+        lon_v.alias("lon"),
     )
-    return p.select("point_id", "point_lat", "point_lon", *CELL, "lat", "lon")
 
 
 def point_series(cube: DataFrame, nearest: DataFrame) -> DataFrame:
@@ -168,11 +159,11 @@ def land_mask(cube: DataFrame) -> DataFrame:
 def mask_apply(df: DataFrame, land: DataFrame, cols) -> DataFrame:
     """Set ``cols`` to NULL on land cells.
 
-    A left join with the per-cell mask: it has at most one row per grid cell, and AQE
-    turns the join into a broadcast at run time when the mask is small.
+    A left join with the per-cell mask (at most one row per grid cell): broadcast when its
+    size is proven small, a shuffled join otherwise.
     """
     m = land.where("land").select(*CELL, F.lit(True).alias("_land"))
-    out = df.join(m, CELL, "left")
+    out = df.join(small_or_shuffle(m), CELL, "left")
     for c in cols:
         out = out.withColumn(c, F.when(F.col("_land").isNull(), F.col(c)))
     return out.drop("_land")
@@ -180,8 +171,8 @@ def mask_apply(df: DataFrame, land: DataFrame, cols) -> DataFrame:
 
 def reference_mask(ref: DataFrame) -> DataFrame:
     """Cells missing in the reference's first time step (absent rows count as missing)."""
-    t0 = ref.agg(F.min("t").alias("t"))
-    present = ref.join(F.broadcast(t0), "t").where(F.col("sst").isNotNull()).select(*CELL).distinct()
+    t0 = scalar(ref, F.min("t"))
+    present = ref.where((F.col("t") == F.lit(t0)) & F.col("sst").isNotNull()).select(*CELL).distinct()
     grid = ref.select(*CELL, "lat", "lon").distinct()
     return grid.join(present, CELL, "left_anti")
 
@@ -198,7 +189,7 @@ def mask_reference(target: DataFrame, ref: DataFrame, mode: str = "coord", n_lat
         m = m.select("lat", "lon")
     else:
         if n_lat is None:
-            n_lat = target.select("lat_idx").distinct().count()  # axis size, a small aggregate
+            n_lat = len(index_axes(target)[0])  # axis size, one pass over the label columns
         i = F.col("lat_idx")
         row = (F.lit(n_lat) - i) % F.lit(n_lat) if mode == "index_negate" else F.lit(n_lat - 1) - i
         if mode not in ("index_negate", "flip"):
@@ -206,7 +197,7 @@ def mask_reference(target: DataFrame, ref: DataFrame, mode: str = "coord", n_lat
         m = m.select(row.cast("int").alias("lat_idx"), "lon_idx")
         keys = CELL
     m = m.distinct().withColumn("_masked", F.lit(True))
-    out = target.join(checked_small(m, what="mask"), keys, "left")
+    out = target.join(small_or_shuffle(m), keys, "left")
     return out.withColumn("sst", F.when(F.col("_masked").isNull(), F.col("sst"))).drop("_masked")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from thermocline.functions.scalar import round_arith
 from thermocline.functions.time import decimal_year, time_parts
-from thermocline.model import CELL
+from thermocline.model import CELL, by_cell
 from thermocline.operators import clim, select
 from thermocline.sources import cube as cube_io
 from thermocline.sources import fixtures
@@ -363,7 +363,7 @@ def q_clip_scale(spark, sf_dir):
 
 
 def mhw_parts(spark, sf_dir):
-    c = grid(spark, sf_dir)
+    c = by_cell(grid(spark, sf_dir))
     thr = extremes.doy_threshold(c, MHW_Q)
     ex = extremes.exceedance(c, thr, ndigits=CMP_DIGITS)
     mask = runs.mark_runs(ex, "exceed", MHW_MIN_DAYS, out="mhw")
@@ -372,7 +372,7 @@ def mhw_parts(spark, sf_dir):
 
 @query("doy_threshold")
 def q_doy_threshold(spark, sf_dir):
-    return rounded(extremes.doy_threshold(grid(spark, sf_dir), MHW_Q))
+    return rounded(extremes.doy_threshold(grid(spark, sf_dir), MHW_Q).drop("lat", "lon"))
 
 
 @query("exceedance")

@@ -96,8 +96,11 @@ def mhw_pipeline(cube: DataFrame, q: float = 0.9, min_days: int = 5, half_window
     land = select.land_mask(c)
     days = select.mask_apply(runs.days_per_year(mask), land, ["days"])
     events = select.mask_apply(runs.events_per_year(mask, "mhw", min_days), land, ["events"])
-    lat_axis = c.groupBy("lat_idx").agg(F.first("lat").alias("lat"))
-    lon_axis = c.groupBy("lon_idx").agg(F.first("lon").alias("lon"))
+    from thermocline.model import axis_frame, index_axes
+
+    lat_pairs, lon_pairs = index_axes(c)
+    lat_axis = axis_frame(c.sparkSession, lat_pairs, "lat_idx", "lat")
+    lon_axis = axis_frame(c.sparkSession, lon_pairs, "lon_idx", "lon")
     out = {"threshold": thr, "mask": mask, "days": days, "events": events, "land": land}
     if days_block:
         out["days_ds"] = grid.coarsen(days, *days_block, value="days", time="year", boundary="trim",
