@@ -51,17 +51,6 @@ def checked_small(df: DataFrame, max_rows: int = MAX_AXIS, what: str = "table")
     return F.broadcast(df)
 
 
-# Largest per-cell table (e.g. a land mask) that is broadcast; beyond it the join shuffles.
-MAX_BROADCAST_CELLS = 4_000_000
-
-
-def small_or_shuffle(df: DataFrame, max_rows: int = MAX_BROADCAST_CELLS) -> DataFrame:
-    """Broadcast hint when ``df`` is proven to have at most ``max_rows`` rows, else a plain
-    (shuffled) join side."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def _bounded(values: list, what: str, max_len: int = MAX_AXIS) -> list:
     if values is None:
         return []
@@ -121,6 +110,9 @@ def with_cell_index(
             lats = lats[::-1]
         lat_axis = lat_axis if lat_axis is not None else axis_frame(spark, list(enumerate(lats)), "lat_idx", "lat")
         lon_axis = lon_axis if lon_axis is not None else axis_frame(spark, list(enumerate(lons)), "lon_idx", "lon")
+        return df.join(F.broadcast(lat_axis.select("lat", "lat_idx")), "lat").join(
+            F.broadcast(lon_axis.select("lon", "lon_idx")), "lon"
+        )  # local tables whose length was checked when collected
     lat_axis = checked_small(lat_axis.select("lat", "lat_idx"), what="lat axis")
     lon_axis = checked_small(lon_axis.select("lon", "lon_idx"), what="lon axis")
     return df.join(lat_axis, "lat").join(lon_axis, "lon")

@@ -56,16 +56,27 @@ def extreme_flags(df: DataFrame, value: str = "anom", q: float = 0.95, keys=CELL
     )
 
 
+def _yearly_map(df: DataFrame, n_col, keys) -> DataFrame:
+    """Per cell: ``m`` = map year -> count, and the first / last year (one row per cell,
+    bounded by the number of years)."""
+    per = df.groupBy(*keys, "year").agg(n_col.alias("n"))
+    return per.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("m"),
+        F.min("year").alias("y0"),
+        F.max("year").alias("y1"),
+    )
+
+
 def extremes_per_year(flags: DataFrame, flag: str = "q95", keys=CELL, fill: bool = True) -> DataFrame:
     """Flagged rows per cell and year; with ``fill`` every year between the cell's first and
-    last year appears, zero when nothing was flagged."""
-    per = flags.groupBy(*keys, "year").agg(F.sum(F.col(flag)).cast("long").alias("n_extreme"))
+    last year appears, zero when nothing was flagged.  No join: the yearly counts of a cell
+    are folded into a map and expanded over the cell's year range."""
     if not fill:
+        per = flags.groupBy(*keys, "year").agg(F.sum(F.col(flag)).cast("long").alias("n_extreme"))
         return per.where(F.col("n_extreme") > 0)
-    span = flags.groupBy(*keys).agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"))
-    spine = span.select(*keys, F.explode(F.sequence("_y0", "_y1")).alias("year"))
-    out = spine.join(per, [*keys, "year"], "left")
-    return out.withColumn("n_extreme", F.coalesce("n_extreme", F.lit(0).cast("long")))
+    ym = _yearly_map(flags, F.sum(F.col(flag)).cast("long"), keys)
+    out = ym.select(*keys, "m", F.explode(F.sequence("y0", "y1")).alias("year"))
+    return out.select(*keys, "year", F.coalesce(F.element_at("m", F.col("year")), F.lit(0).cast("long")).alias("n_extreme"))
 
 
 def flag_counts(flags: DataFrame, flag: str = "q95", keys=CELL) -> DataFrame:
@@ -76,17 +87,13 @@ def flag_counts(flags: DataFrame, flag: str = "q95", keys=CELL) -> DataFrame:
 def year_histogram(flags: DataFrame, flag: str = "q95", keys=CELL, width: int = 1) -> DataFrame:
     """Histogram of the years of flagged rows, bins of ``width`` years from the first flagged
     year, empty bins included up to the last flagged year."""
-    ext = flags.where(F.col(flag) == 1)
-    span = ext.groupBy(*keys).agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"))
-    counts = ext.join(span, list(keys)).groupBy(*keys, "_y0", F.floor((F.col("year") - F.col("_y0")) / width).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    spine = span.select(*keys, "_y0", F.explode(F.sequence(F.lit(0), F.floor((F.col("_y1") - F.col("_y0")) / width).cast("int"))).alias("bin"))
-    out = spine.join(counts, [*keys, "_y0", "bin"], "left")
-    return out.select(
-        *keys, (F.col("_y0") + F.col("bin") * width).cast("int").alias("bin_start"),
-        F.coalesce("n", F.lit(0).cast("long")).alias("n"),
-    )
+    ym = _yearly_map(flags.where(F.col(flag) == 1), F.count(F.lit(1)), keys)
+    nbins = F.floor((F.col("y1") - F.col("y0")) / width).cast("int")
+    out = ym.select(*keys, "m", "y0", F.explode(F.sequence(F.lit(0), nbins)).alias("bin"))
+    lo = F.col("y0") + F.col("bin") * width
+    in_bin = F.filter(F.map_entries("m"), lambda e: (e["key"] >= lo) & (e["key"] < lo + width))
+    n = F.aggregate(in_bin, F.lit(0).cast("long"), lambda a, e: a + e["value"])
+    return out.select(*keys, lo.cast("int").alias("bin_start"), n.alias("n"))
 
 
 def repeat_years(per_year: DataFrame, count: str = "n_extreme", keys=CELL) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.functions.scalar import clip_scale
-from thermocline.model import CELL, axis_frame, checked_small, index_axes
+from thermocline.model import CELL, axis_frame, index_axes
 from thermocline.operators.extremes import dedup_days
 
 
@@ -20,9 +20,12 @@ def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str
     """
     if lat_axis is None or lon_axis is None:
         lat_pairs, lon_pairs = index_axes(df)
-        lat_axis = axis_frame(df.sparkSession, lat_pairs, "lat_idx", "lat")
-        lon_axis = axis_frame(df.sparkSession, lon_pairs, "lon_idx", "lon")
-    n_lat, n_lon = lat_axis.count(), lon_axis.count()  # local tables
+    else:
+        lat_pairs = [(r[0], r[1]) for r in lat_axis.select("lat_idx", "lat").collect()]  # bounded axes
+        lon_pairs = [(r[0], r[1]) for r in lon_axis.select("lon_idx", "lon").collect()]
+    lat_axis = axis_frame(df.sparkSession, lat_pairs, "lat_idx", "lat")
+    lon_axis = axis_frame(df.sparkSession, lon_pairs, "lon_idx", "lon")
+    n_lat, n_lon = len(lat_pairs), len(lon_pairs)
     if boundary == "exact":
         if n_lat % k_lat or n_lon % k_lon:
             raise ValueError(f"grid {n_lat} x {n_lon} is not divisible by {k_lat} x {k_lon}")
@@ -37,7 +40,8 @@ def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str
         (F.col("lat_idx") / k_lat).cast("int").alias("lat_idx"),
         (F.col("lon_idx") / k_lon).cast("int").alias("lon_idx"),
     ).agg(F.avg(value).alias(value))
-    return means.join(checked_small(blat, what="lat blocks"), "lat_idx").join(checked_small(blon, what="lon blocks"), "lon_idx").select(
+    # Block label tables are local and no longer than the axes.
+    return means.join(F.broadcast(blat), "lat_idx").join(F.broadcast(blon), "lon_idx").select(
         time, *CELL, "lat", "lon", value
     )
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,14 +29,18 @@ def _exact_ranks(sub: DataFrame, ranks: list[int]) -> dict[int, float]:
     return {k: row[f"r{i}"] for i, k in enumerate(ranks)}
 
 
+def _stats(vals: DataFrame):
+    return vals.agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.approx_count_distinct("v", 0.05).alias("nd"),
+    ).first()
+
+
 def rank_values(vals: DataFrame, ranks: list[int], exact_distinct: int = EXACT_DISTINCT,
-                buckets: int = BUCKETS, max_depth: int = 12) -> dict[int, float]:
+                buckets: int = BUCKETS, max_depth: int = 12, stats=None) -> dict[int, float]:
     """Values at zero-based ``ranks`` of the ascending non-null column ``v``."""
     ranks = sorted(set(ranks))
-    st = vals.agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.approx_count_distinct("v", 0.05).alias("nd"),
-    ).first()
+    st = stats if stats is not None else _stats(vals)
     if st["lo"] == st["hi"]:
         return {k: st["lo"] for k in ranks}
     if st["nd"] <= exact_distinct // 2 or max_depth <= 0:
@@ -65,12 +70,23 @@ def rank_values(vals: DataFrame, ranks: list[int], exact_distinct: int = EXACT_D
 def exact_quantiles(df: DataFrame, col: str, qs, **kw) -> list[float | None]:
     """Linear-interpolation quantiles (position ``q * (n - 1)``) of the non-null values of ``col``."""
     vals = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-    n = vals.count()
+    # The search reads the column several times: keep the one column (memory, spilling to
+    # disk) instead of recomputing its lineage each time; lost blocks are recomputed.
+    vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _quantiles_of(vals, qs, **kw)
+    finally:
+        vals.unpersist()
+
+
+def _quantiles_of(vals: DataFrame, qs, **kw) -> list[float | None]:
+    st = _stats(vals)  # count, range and approximate distinct count in one job
+    n = st["n"]
     if n == 0:
         return [None for _ in qs]
     pos = [float(q) * (n - 1) for q in qs]
     ranks = sorted({int(math.floor(p)) for p in pos} | {int(math.ceil(p)) for p in pos})
-    got = rank_values(vals, ranks, **kw)
+    got = rank_values(vals, ranks, stats=st, **kw)
     res = []
     for p in pos:
         lo_i, hi_i = int(math.floor(p)), int(math.ceil(p))

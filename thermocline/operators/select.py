@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.model import CELL, checked_small, index_axes, small_or_shuffle, time_axis, time_labels
+from thermocline.model import CELL, checked_small, index_axes, time_axis, time_labels
 from thermocline.operators.common import attach_scalars, cell_labels, scalar
 
 
@@ -71,7 +71,8 @@ def exclude_years(df: DataFrame, years, col: str = "t") -> DataFrame:
 
 def with_time_index(cube: DataFrame, axis: DataFrame | None = None) -> DataFrame:
     """Attach the shared zero-based time position (broadcast join with the size-checked time axis)."""
-    axis = axis if axis is not None else time_axis(cube)
+    if axis is None:
+        return cube.join(F.broadcast(time_axis(cube)), "t")  # local table, length checked when collected
     return cube.join(checked_small(axis.select("t", "time_idx"), what="time axis"), "t")
 
 
@@ -159,11 +160,11 @@ def land_mask(cube: DataFrame) -> DataFrame:
 def mask_apply(df: DataFrame, land: DataFrame, cols) -> DataFrame:
     """Set ``cols`` to NULL on land cells.
 
-    A left join with the per-cell mask (at most one row per grid cell): broadcast when its
-    size is proven small, a shuffled join otherwise.
+    A left join with the per-cell mask (at most one row per grid cell).  No hint: adaptive
+    execution measures the materialized mask and broadcasts it only when it is small.
     """
     m = land.where("land").select(*CELL, F.lit(True).alias("_land"))
-    out = df.join(small_or_shuffle(m), CELL, "left")
+    out = df.join(m, CELL, "left")
     for c in cols:
         out = out.withColumn(c, F.when(F.col("_land").isNull(), F.col(c)))
     return out.drop("_land")
@@ -197,7 +198,7 @@ def mask_reference(target: DataFrame, ref: DataFrame, mode: str = "coord", n_lat
         m = m.select(row.cast("int").alias("lat_idx"), "lon_idx")
         keys = CELL
     m = m.distinct().withColumn("_masked", F.lit(True))
-    out = target.join(small_or_shuffle(m), keys, "left")
+    out = target.join(m, keys, "left")  # adaptive execution broadcasts it when measured small
     return out.withColumn("sst", F.when(F.col("_masked").isNull(), F.col("sst"))).drop("_masked")
 
 

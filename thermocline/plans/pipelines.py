@@ -98,7 +98,7 @@ def mhw_pipeline(cube: DataFrame, q: float = 0.9, min_days: int = 5, half_window
     events = select.mask_apply(runs.events_per_year(mask, "mhw", min_days), land, ["events"])
     from thermocline.model import axis_frame, index_axes
 
-    lat_pairs, lon_pairs = index_axes(c)
+    lat_pairs, lon_pairs = index_axes(cube if pre_block is None else c)
     lat_axis = axis_frame(c.sparkSession, lat_pairs, "lat_idx", "lat")
     lon_axis = axis_frame(c.sparkSession, lon_pairs, "lon_idx", "lon")
     out = {"threshold": thr, "mask": mask, "days": days, "events": events, "land": land}
