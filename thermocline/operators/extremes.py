@@ -216,13 +216,19 @@ def attach_by_cell_day(cube: DataFrame, thr: DataFrame) -> DataFrame:
 
     Written as a union followed by a window over (cell, day): when both inputs are
     partitioned by cell, Spark needs no further shuffle (a join on (cell, day) would
-    re-shuffle both sides on all three keys).
+    re-shuffle both sides on all three keys).  The threshold rows keep the cell labels,
+    so both branches read the same columns and adaptive execution reuses one cell shuffle.
     """
-    a = cube.withColumn("dayofyear", F.dayofyear("t").cast("int")).withColumn("thr", F.lit(None).cast("double")).withColumn("_is_thr", F.lit(False))
-    b = thr.select(*CELL, "dayofyear", "thr")
-    for c in cube.columns:
+    a = cube.withColumns({
+        "dayofyear": F.dayofyear("t").cast("int"),
+        "thr": F.lit(None).cast("double"),
+        "_is_thr": F.lit(False),
+    })
+    keep = [c for c in [*CELL, "lat", "lon", "dayofyear", "thr"] if c in thr.columns]
+    b = thr.select(*keep)
+    for c in a.columns:
         if c not in b.columns:
-            b = b.withColumn(c, F.lit(None).cast(cube.schema[c].dataType))
+            b = b.withColumn(c, F.lit(None).cast(a.schema[c].dataType))
     b = b.withColumn("_is_thr", F.lit(True)).select(*a.columns)
     w = Window.partitionBy(*CELL, "dayofyear")
     u = a.unionByName(b).withColumn("thr", F.max("thr").over(w))

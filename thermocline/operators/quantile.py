@@ -48,7 +48,10 @@ def rank_values(vals: DataFrame, ranks: list[int], exact_distinct: int = EXACT_D
     # Bucket edges from approximate quantiles (a mergeable sketch, partial per task).
     probs = [i / buckets for i in range(1, buckets)]
     edges = vals.agg(F.percentile_approx("v", probs, 4 * buckets).alias("e")).first()["e"]
-    splits = [-math.inf] + sorted({e for e in edges if st["lo"] < e <= st["hi"]}) + [math.inf]
+    # Each edge also gets the next double above it, so a value holding many rows ends up
+    # alone in its bucket (resolved at once); the midpoint guarantees an interior split.
+    cand = set(edges) | {math.nextafter(e, math.inf) for e in edges} | {st["lo"] + (st["hi"] - st["lo"]) / 2}
+    splits = [-math.inf] + sorted(e for e in cand if st["lo"] < e <= st["hi"]) + [math.inf]
     b = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(vals)
     counts = sorted((int(r["b"]), r["n"]) for r in b.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect())
     spans, before = [], 0  # (bucket, rows before it, rows in it); at most ``buckets`` entries
