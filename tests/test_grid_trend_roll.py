@@ -107,3 +107,14 @@ def test_decimal_year_is_double(spark):
     df = spark.createDataFrame([(dt.date(2001, 7, 2),)], "t date")
     v = df.select(decimal_year("t")).first()[0]
     assert v == 2001 + (183 - 1) / 365.25
+
+
+def test_frames_are_dense_and_clipped(spark):
+    rows = [(d, i, j, float(i * 10 + j)) for d in days("2000-01-01", 5) for i in range(3) for j in range(4)
+            if not (i == 1 and j == 2)]
+    cube = make_cube(spark, rows)
+    fr = grid.frames(cube, "sst", every=2, lo=0.0, hi=15.0).orderBy("t").collect()
+    assert [r["time_idx"] for r in fr] == [0, 2, 4]
+    m = fr[0]["frame"]
+    assert len(m) == 3 and all(len(row) == 4 for row in m)
+    assert m[1][2] is None and m[0][3] == 3.0 and m[2][3] == 15.0  # 23 clipped to 15

@@ -87,3 +87,10 @@ def test_concat_and_sort_time(spark):
     assert u.count() == 10
     s = cube_io.sort_time(u, 2)
     assert [r["t"] for r in s.collect()] == sorted(r["t"] for r in c.collect())
+
+
+def test_concat_drops_repeated_steps(spark):
+    c = make_cube(spark, [(d, 0, j, 1.0) for d in days("2000-01-01", 5) for j in range(2)])
+    piece = c.where("t = date'2000-01-02'")
+    assert cube_io.concat_time([c, piece, piece]).count() == 10
+    assert cube_io.concat_time([c, piece], dedupe=False).count() == 12

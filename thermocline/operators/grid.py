@@ -60,19 +60,22 @@ def unstack_year(cube: DataFrame) -> DataFrame:
 
 
 def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """One row per kept time step (every ``every``-th): ``frame`` is a lat x lon matrix
-    (rows by ascending lat index, columns by lon index), values clipped to ``[lo, hi]``.
-    A frame is bounded by the grid size; frames are independent and spread over tasks."""
+    """One row per kept time step (every ``every``-th): ``frame`` is a dense lat x lon matrix
+    (rows by lat index, columns by lon index, NULL where a cell has no value), clipped to
+    ``[lo, hi]``.  A frame is bounded by the grid size; frames are spread over tasks."""
     from thermocline.operators.select import with_time_index
 
+    lat_pairs, lon_pairs = index_axes(cube)
+    n_lat, n_lon = len(lat_pairs), len(lon_pairs)
     c = with_time_index(cube).where(F.col("time_idx") % every == 0)
     v = F.col(value)
     if lo is not None and hi is not None:
         v = clip_scale(v, lo, hi)
     rows = c.groupBy("t", "time_idx", "lat_idx").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("lon_idx"), v.alias("v")))).alias("cells")
-    )
-    rows = rows.withColumn("row", F.transform("cells", lambda s: s["v"]))
-    return rows.groupBy("t", "time_idx").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("lat_idx", "row"))), lambda s: s["row"]).alias("frame")
+        F.map_from_entries(F.collect_list(F.struct(F.col("lon_idx"), v.alias("v")))).alias("m")
     )
+    rows = rows.withColumn("row", F.transform(F.sequence(F.lit(0), F.lit(n_lon - 1)), lambda j: F.element_at("m", j)))
+    per_t = rows.groupBy("t", "time_idx").agg(F.map_from_entries(F.collect_list(F.struct("lat_idx", "row"))).alias("m"))
+    empty = F.array_repeat(F.lit(None).cast("double"), n_lon)
+    matrix = F.transform(F.sequence(F.lit(0), F.lit(n_lat - 1)), lambda i: F.coalesce(F.element_at("m", i), empty))
+    return per_t.select("t", "time_idx", matrix.alias("frame"))

@@ -29,11 +29,12 @@ def index_cube(raw: DataFrame, var: str = "sst", time: str = "t", lat_descending
 
 
 def load_cube(spark: SparkSession, path, fmt: str = "parquet", var: str = "sst", time: str = "t",
-              schema: T.StructType | None = None, glob: str | None = None, **axes) -> DataFrame:
+              schema: T.StructType | None = None, glob: str | None = None, dedupe: bool = False,
+              **axes) -> DataFrame:
     """Read cube files (Parquet, CSV or JSON) with an explicit schema and index the cells.
 
     ``glob`` keeps one file extension (``*.parquet``); unreadable files are skipped, as the
-    multi-file daily loader did.
+    multi-file daily loader did.  ``dedupe`` keeps one row per (t, cell) when files overlap.
     """
     reader = spark.read.format(fmt).option("ignoreCorruptFiles", "true")
     if glob:
@@ -44,8 +45,10 @@ def load_cube(spark: SparkSession, path, fmt: str = "parquet", var: str = "sst",
         reader = reader.option("header", "true")
     df = reader.load(path)
     if "lat_idx" in df.columns and "lon_idx" in df.columns and not axes:
-        return normalize_cube(df, var=var, time=time).select("t", *CELL, "lat", "lon", "sst")
-    return index_cube(df, var=var, time=time, **axes)
+        out = normalize_cube(df, var=var, time=time).select("t", *CELL, "lat", "lon", "sst")
+    else:
+        out = index_cube(df, var=var, time=time, **axes)
+    return dedupe_steps(out) if dedupe else out
 
 
 def _raw_schema(var: str, time: str) -> T.StructType:
@@ -59,14 +62,27 @@ def _raw_schema(var: str, time: str) -> T.StructType:
     )
 
 
-def concat_time(pieces) -> DataFrame:
-    """Append pieces along time (``unionByName``); one row per (t, cell) is expected."""
+def concat_time(pieces, dedupe: bool = True) -> DataFrame:
+    """Append pieces along time (``unionByName``).
+
+    With ``dedupe`` a step that arrives in several pieces (a file read twice) is kept once,
+    so no cell can grow beyond the length of the time axis.
+    """
     out = None
     for p in pieces:
         out = p if out is None else out.unionByName(p)
     if out is None:
         raise ValueError("no pieces to concatenate")
-    return out
+    return dedupe_steps(out) if dedupe else out
+
+
+def dedupe_steps(cube: DataFrame) -> DataFrame:
+    """One row per (t, cell).
+
+    ``dropDuplicates`` aggregates partially before its shuffle: copies inside a task collapse
+    there, so even a key repeated in a third of all rows sends at most one row per task.
+    """
+    return cube.dropDuplicates(["t", *CELL])
 
 
 def sort_time(cube: DataFrame, partitions: int | None = None) -> DataFrame:
