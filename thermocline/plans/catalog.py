@@ -510,3 +510,19 @@ def q_regional_study(spark, sf_dir):
     bounds = {"lat_min": 20.5, "lat_max": 40.5, "lon_min": 0.5, "lon_max": 20.5}
     return pipelines.regional_study(c, c, bounds, fixtures.points(spark), EXTREME_QUANTILE,
                                     exclude=[2001], mask_mode="coord", ndigits=CMP_DIGITS)
+
+
+@query("region_yearly")
+def q_region_yearly(spark, sf_dir):
+    """Yearly mean of the region series with the first and last year."""
+    y = clim.region_yearly(clim.region_series(grid(spark, sf_dir)))
+    span = y.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year")).first()
+    return rounded(y.withColumns({"first_year": F.lit(span[0]), "last_year": F.lit(span[1])}))
+
+
+@query("mhw_events_ds")
+def q_mhw_events_ds(spark, sf_dir):
+    """Heatwave events per year, masked on land, block-averaged 4 x 4 with the ragged end trimmed."""
+    out = pipelines.mhw_pipeline(grid(spark, sf_dir), MHW_Q, MHW_MIN_DAYS, pre_block=None, days_block=None,
+                                 ndigits=CMP_DIGITS)
+    return rounded(out["events_ds"])

@@ -600,3 +600,33 @@ WHERE c.lat BETWEEN 20.5 AND 40.5 AND c.lon BETWEEN 0.5 AND 20.5)""",
     NEAREST.replace("FROM cube) a", "FROM mc) a"),
     "ps AS (SELECT n.point_id, a.* FROM an a JOIN near n USING (lat_idx, lon_idx))",
 )
+
+sql(
+    "region_yearly",
+    """SELECT year, ROUND(mean, 6) AS mean, CAST(MIN(year) OVER () AS INTEGER) AS first_year,
+       CAST(MAX(year) OVER () AS INTEGER) AS last_year
+FROM (SELECT year, AVG(region_mean) AS mean FROM rs GROUP BY year)""",
+    REGION,
+)
+
+EVENTS = f"""events AS (SELECT e.lat_idx, e.lon_idx, e.year, CASE WHEN l.land THEN NULL ELSE e.events END AS events
+FROM (SELECT lat_idx, lon_idx, year, CAST(SUM(CAST(st AS INTEGER)) AS BIGINT) AS events FROM (
+        SELECT *, lng AND NOT COALESCE(LAG(lng) OVER (PARTITION BY lat_idx, lon_idx, year ORDER BY t), FALSE) AS st
+        FROM (SELECT *, mhw AND SUM(CAST(mhw AS INTEGER)) OVER (PARTITION BY lat_idx, lon_idx, year, isl2) >= 3 AS lng
+              FROM (SELECT *, SUM(CASE WHEN mhw THEN 0 ELSE 1 END) OVER (
+                        PARTITION BY lat_idx, lon_idx, year ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl2
+                    FROM (SELECT *, {YEAR} AS year FROM mk))))
+      GROUP BY lat_idx, lon_idx, year) e
+JOIN land l USING (lat_idx, lon_idx))"""
+
+sql(
+    "mhw_events_ds",
+    """SELECT d.year, d.lat_idx, d.lon_idx, bl.lat, bo.lon, ROUND(d.events, 6) AS events
+FROM (SELECT year, CAST(lat_idx // 4 AS INTEGER) AS lat_idx, CAST(lon_idx // 4 AS INTEGER) AS lon_idx,
+             AVG(events) AS events FROM events WHERE lat_idx < 4 AND lon_idx < 4 GROUP BY ALL) d
+JOIN (SELECT CAST(lat_idx // 4 AS INTEGER) AS lat_idx, AVG(lat) AS lat
+      FROM (SELECT DISTINCT lat_idx, lat FROM cube) WHERE lat_idx < 4 GROUP BY 1) bl USING (lat_idx)
+JOIN (SELECT CAST(lon_idx // 4 AS INTEGER) AS lon_idx, AVG(lon) AS lon
+      FROM (SELECT DISTINCT lon_idx, lon FROM cube) WHERE lon_idx < 4 GROUP BY 1) bo USING (lon_idx)""",
+    *THR, EX, MK, LAND, EVENTS,
+)
