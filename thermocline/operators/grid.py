@@ -10,6 +10,15 @@ from thermocline.model import CELL, axis_frame, index_axes
 from thermocline.operators.extremes import dedup_days
 
 
+def _block_labels(pairs, k: int, keep: int) -> list[tuple[int, float]]:
+    """Mean label of each block of ``k`` consecutive axis positions below ``keep``."""
+    blocks: dict[int, list[float]] = {}
+    for i, v in pairs:
+        if i < keep:
+            blocks.setdefault(i // k, []).append(v)
+    return [(b, sum(vs) / len(vs)) for b, vs in sorted(blocks.items())]
+
+
 def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str = "t",
             boundary: str = "exact", lat_axis: DataFrame | None = None, lon_axis: DataFrame | None = None) -> DataFrame:
     """Block means over ``k_lat x k_lon`` cells per time step (missing values skipped).
@@ -23,8 +32,6 @@ def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str
     else:
         lat_pairs = [(r[0], r[1]) for r in lat_axis.select("lat_idx", "lat").collect()]  # bounded axes
         lon_pairs = [(r[0], r[1]) for r in lon_axis.select("lon_idx", "lon").collect()]
-    lat_axis = axis_frame(df.sparkSession, lat_pairs, "lat_idx", "lat")
-    lon_axis = axis_frame(df.sparkSession, lon_pairs, "lon_idx", "lon")
     n_lat, n_lon = len(lat_pairs), len(lon_pairs)
     if boundary == "exact":
         if n_lat % k_lat or n_lon % k_lon:
@@ -32,8 +39,9 @@ def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str
     elif boundary != "trim":
         raise ValueError(boundary)
     keep_lat, keep_lon = (n_lat // k_lat) * k_lat, (n_lon // k_lon) * k_lon
-    blat = lat_axis.where(F.col("lat_idx") < keep_lat).groupBy((F.col("lat_idx") / k_lat).cast("int").alias("lat_idx")).agg(F.avg("lat").alias("lat"))
-    blon = lon_axis.where(F.col("lon_idx") < keep_lon).groupBy((F.col("lon_idx") / k_lon).cast("int").alias("lon_idx")).agg(F.avg("lon").alias("lon"))
+    spark = df.sparkSession
+    blat = axis_frame(spark, _block_labels(lat_pairs, k_lat, keep_lat), "lat_idx", "lat")
+    blon = axis_frame(spark, _block_labels(lon_pairs, k_lon, keep_lon), "lon_idx", "lon")
     src = df.where((F.col("lat_idx") < keep_lat) & (F.col("lon_idx") < keep_lon))
     means = src.groupBy(
         time,
