@@ -143,9 +143,23 @@ def nearest_point(cube: DataFrame, points: DataFrame, axes=None) -> DataFrame:
     )
 
 
+# Up to this many picked cells are also applied as a literal filter before the join.
+MAX_LITERAL_CELLS = 1000
+
+
 def point_series(cube: DataFrame, nearest: DataFrame) -> DataFrame:
-    """Series of the cells picked by ``nearest_point`` (one copy per point)."""
+    """Series of the cells picked by ``nearest_point`` (one copy per point).
+
+    A few picked cells also become a literal ``lat_idx IN (..) AND lon_idx IN (..)`` filter,
+    which reaches the Parquet scan (row groups of other cells are skipped in a cell-sorted
+    store); the broadcast join then keeps the exact cells.
+    """
     sel = checked_small(nearest.select("point_id", *CELL), what="points")
+    picked = nearest.select(*CELL).distinct().limit(MAX_LITERAL_CELLS + 1).collect()
+    if 0 < len(picked) <= MAX_LITERAL_CELLS:
+        cube = cube.where(
+            F.col("lat_idx").isin(sorted({r[0] for r in picked})) & F.col("lon_idx").isin(sorted({r[1] for r in picked}))
+        )
     return cube.join(sel, CELL)
 
 

@@ -29,12 +29,14 @@ def index_cube(raw: DataFrame, var: str = "sst", time: str = "t", lat_descending
 
 
 def load_cube(spark: SparkSession, path, fmt: str = "parquet", var: str = "sst", time: str = "t",
-              schema: T.StructType | None = None, glob: str | None = None, dedupe: bool = False,
+              schema: T.StructType | None = None, glob: str | None = None, dedupe: bool = True,
               **axes) -> DataFrame:
     """Read cube files (Parquet, CSV or JSON) with an explicit schema and index the cells.
 
     ``glob`` keeps one file extension (``*.parquet``); unreadable files are skipped, as the
-    multi-file daily loader did.  ``dedupe`` keeps one row per (t, cell) when files overlap.
+    multi-file daily loader did.  ``dedupe`` keeps one row per (t, cell) when files overlap
+    (the reference's own loader appends one file twice), so no cell can hold more rows than
+    the time axis; pass ``dedupe=False`` for inputs known to be unique to save a shuffle.
     """
     reader = spark.read.format(fmt).option("ignoreCorruptFiles", "true")
     if glob:
@@ -80,9 +82,12 @@ def dedupe_steps(cube: DataFrame) -> DataFrame:
     """One row per (t, cell).
 
     ``dropDuplicates`` aggregates partially before its shuffle: copies inside a task collapse
-    there, so even a key repeated in a third of all rows sends at most one row per task.
+    there, so even a key repeated in a third of all rows sends at most one row per task, and
+    the rest spreads over (t, cell).  The labels are part of the key (they depend on the
+    cell), so filters on them still reach the scan.
     """
-    return cube.dropDuplicates(["t", *CELL])
+    keys = ["t", *CELL] + [c for c in ("lat", "lon") if c in cube.columns]
+    return cube.dropDuplicates(keys)
 
 
 def sort_time(cube: DataFrame, partitions: int | None = None) -> DataFrame:
