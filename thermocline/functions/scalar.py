@@ -13,7 +13,9 @@ def round_arith(c: Column, ndigits: int) -> Column:
     gives the same bits for the same input; used where results are compared across engines.
     """
     p = F.lit(float(10**ndigits))
-    return F.floor(c * p + F.lit(0.5)).cast("double") / p
+    # |x| * 10^n must fit a long (floor returns BIGINT); larger values keep their own bits.
+    fits = F.abs(c) < F.lit(9.0e18 / 10**ndigits)
+    return F.when(fits, F.floor(c * p + F.lit(0.5)).cast("double") / p).otherwise(c)
 
 
 def maybe_round(c: Column, ndigits: int | None) -> Column:
@@ -49,8 +51,8 @@ def sorted_array_quantile(arr: Column, q: float) -> Column:
     pos = F.lit(float(q)) * (n - F.lit(1)).cast("double")
     lo_i = F.floor(pos).cast("int")
     hi_i = F.ceil(pos).cast("int")
-    lo = F.element_at(arr, lo_i + 1)
-    hi = F.element_at(arr, hi_i + 1)
+    lo = F.try_element_at(arr, lo_i + 1)  # NULL, not an error, for an empty array
+    hi = F.try_element_at(arr, hi_i + 1)
     frac = pos - lo_i.cast("double")
     val = F.when(lo_i == hi_i, lo).otherwise(lo + (hi - lo) * frac)
     return F.when(n > 0, val)

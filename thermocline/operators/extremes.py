@@ -76,7 +76,7 @@ def extremes_per_year(flags: DataFrame, flag: str = "q95", keys=CELL, fill: bool
         return per.where(F.col("n_extreme") > 0)
     ym = _yearly_map(flags, F.sum(F.col(flag)).cast("long"), keys)
     out = ym.select(*keys, "m", F.explode(F.sequence("y0", "y1")).alias("year"))
-    return out.select(*keys, "year", F.coalesce(F.element_at("m", F.col("year")), F.lit(0).cast("long")).alias("n_extreme"))
+    return out.select(*keys, "year", F.coalesce(F.try_element_at("m", F.col("year")), F.lit(0).cast("long")).alias("n_extreme"))
 
 
 def flag_counts(flags: DataFrame, flag: str = "q95", keys=CELL) -> DataFrame:
@@ -203,7 +203,7 @@ def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: l
         F.transform(
             offsets,
             lambda o: F.coalesce(
-                F.element_at(F.col("m"), F.element_at(ax, F.pmod(F.col("pos") + o, F.lit(n)) + 1)), empty
+                F.try_element_at(F.col("m"), F.element_at(ax, F.pmod(F.col("pos") + o, F.lit(n)) + 1)), empty
             ),
         )
     )

@@ -82,8 +82,8 @@ def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | Non
     rows = c.groupBy("t", "time_idx", "lat_idx").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("lon_idx"), v.alias("v")))).alias("m")
     )
-    rows = rows.withColumn("row", F.transform(F.sequence(F.lit(0), F.lit(n_lon - 1)), lambda j: F.element_at("m", j)))
+    rows = rows.withColumn("row", F.transform(F.sequence(F.lit(0), F.lit(n_lon - 1)), lambda j: F.try_element_at("m", j)))
     per_t = rows.groupBy("t", "time_idx").agg(F.map_from_entries(F.collect_list(F.struct("lat_idx", "row"))).alias("m"))
     empty = F.array_repeat(F.lit(None).cast("double"), n_lon)
-    matrix = F.transform(F.sequence(F.lit(0), F.lit(n_lat - 1)), lambda i: F.coalesce(F.element_at("m", i), empty))
+    matrix = F.transform(F.sequence(F.lit(0), F.lit(n_lat - 1)), lambda i: F.coalesce(F.try_element_at("m", i), empty))
     return per_t.select("t", "time_idx", matrix.alias("frame"))

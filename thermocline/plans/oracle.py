@@ -24,7 +24,8 @@ SQL: dict[str, str] = {}
 
 def r_arith(expr: str, n: int) -> str:
     p = f"CAST(1e{n} AS DOUBLE)"
-    return f"(FLOOR(({expr}) * {p} + CAST(0.5 AS DOUBLE)) / {p})"
+    lim = f"CAST({9.0e18 / 10**n!r} AS DOUBLE)"
+    return f"(CASE WHEN ABS({expr}) < {lim} THEN FLOOR(({expr}) * {p} + CAST(0.5 AS DOUBLE)) / {p} ELSE ({expr}) END)"
 
 
 def out_round(text: str) -> str:

@@ -106,7 +106,8 @@ def decode_cf_time(df: DataFrame, col: str, units: str, out: str = "t") -> DataF
         raise ValueError(f"unsupported CF unit {unit!r}")
     base = _dt.datetime.fromisoformat(origin.strip())
     micros = (F.col(col).cast("double") * F.lit(float(seconds[unit] * 1_000_000))).cast("long")
-    ts = F.timestamp_add("MICROSECOND", micros, F.lit(base).cast("timestamp_ntz"))
+    origin = F.lit(base.isoformat(sep=" ")).cast("timestamp_ntz")  # no time zone involved
+    ts = F.timestamp_add("MICROSECOND", micros, origin)
     return df.withColumn(out, ts)
 
 
