@@ -7,6 +7,7 @@ sums differ in the last bit.  The SQL twins live in ``thermocline.plans.oracle``
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,13 @@ from pyspark.sql import types as T
 from thermocline.functions.scalar import round_arith
 from thermocline.functions.time import decimal_year, time_parts
 from thermocline.model import CELL, by_cell
-from thermocline.operators import clim, select
+from thermocline.functions.scalar import clip_scale
+from thermocline.operators import clim, extremes, roll, runs, select, trend, udf
+from thermocline.operators import grid as grid_ops
+from thermocline.plans import pipelines
+from thermocline.session import scratch_path
 from thermocline.sources import cube as cube_io
-from thermocline.sources import fixtures
+from thermocline.sources import fixtures, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -246,10 +251,6 @@ def q_decimal_year(spark, sf_dir):
 
 # --- trend, rolling, resampling ---------------------------------------------------------------------
 
-from thermocline.operators import extremes, grid as grid_ops, roll, runs, trend, udf  # noqa: E402
-from thermocline.plans import pipelines  # noqa: E402
-from thermocline.sources import store  # noqa: E402
-
 # Oracle parameters for the heatwave keys (the test grid has no season, see FIXTURES).
 MHW_Q, MHW_MIN_DAYS = 0.75, 3
 ROLL_ROWS = 51  # 3 * int(52 / 3)
@@ -352,8 +353,6 @@ def q_exceed_fraction(spark, sf_dir):
 
 @query("clip_scale")
 def q_clip_scale(spark, sf_dir):
-    from thermocline.functions.scalar import clip_scale
-
     a = anom9(spark, sf_dir)
     return rounded(a.select("t", *CELL, "anom", clip_scale(F.col("anom"), P001, P099).alias("clipped"),
                             clip_scale(F.col("anom"), P001, P099, scale=True).alias("scaled")))
@@ -483,9 +482,6 @@ def q_map_float32(spark, sf_dir):
 @query("materialize")
 def q_materialize(spark, sf_dir):
     """Q1 through the cache-aside store in the shared checkpoint folder."""
-    from thermocline.session import scratch_path
-    import hashlib
-
     tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
     path = scratch_path(spark, f"variability_map_{tag}")
     return pipelines.cached_variability_map(grid(spark, sf_dir), path, MIN_DATE, MAX_DATE)

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.model import CELL, by_cell
+from pyspark.sql import Window
+
+from thermocline.functions.scalar import maybe_round
+from thermocline.functions.time import decimal_year
+from thermocline.model import CELL, axis_frame, by_cell, index_axes
 from thermocline.operators import clim, extremes, grid, runs, select
 from thermocline.operators.common import cell_labels
 from thermocline.sources.store import materialize
@@ -46,8 +50,6 @@ def cell_reports(cube: DataFrame, q: float = 0.95, keys=CELL, ndigits: int | Non
     c = by_cell(cube) if list(keys) == CELL else cube.repartition(*keys)
     an = clim.anomaly(c, ndigits=ndigits) if list(keys) == CELL else _anomaly_by(c, keys, ndigits)
     fl = extremes.extreme_flags(an, "anom", q, keys=keys, flag="flag", ndigits=ndigits)
-    from thermocline.functions.time import decimal_year
-
     x = decimal_year("t")
     out = fl.groupBy(*keys).agg(
         *cell_labels(),
@@ -62,10 +64,6 @@ def cell_reports(cube: DataFrame, q: float = 0.95, keys=CELL, ndigits: int | Non
 
 
 def _anomaly_by(c: DataFrame, keys, ndigits):
-    from pyspark.sql import Window
-
-    from thermocline.functions.scalar import maybe_round
-
     w = Window.partitionBy(*keys, "month")
     out = c.withColumn("month", F.month("t").cast("int"))
     return out.withColumn("anom", maybe_round(F.col("sst") - F.avg("sst").over(w), ndigits))
@@ -96,8 +94,6 @@ def mhw_pipeline(cube: DataFrame, q: float = 0.9, min_days: int = 5, half_window
     land = select.land_mask(c)
     days = select.mask_apply(runs.days_per_year(mask), land, ["days"])
     events = select.mask_apply(runs.events_per_year(mask, "mhw", min_days), land, ["events"])
-    from thermocline.model import axis_frame, index_axes
-
     lat_pairs, lon_pairs = index_axes(cube if pre_block is None else c)
     lat_axis = axis_frame(c.sparkSession, lat_pairs, "lat_idx", "lat")
     lon_axis = axis_frame(c.sparkSession, lon_pairs, "lon_idx", "lon")
