@@ -27,4 +27,4 @@ def test_entry_contract(spark):
     assert set(df.columns) == {"lat_idx", "lon_idx", "lat", "lon", "variability"}
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
-    assert set(qs) - set(sqls) == {"frames", "materialize"}
+    assert set(qs) - set(sqls) == {"frames"}

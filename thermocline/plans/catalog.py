@@ -253,6 +253,7 @@ def q_decimal_year(spark, sf_dir):
 
 # Oracle parameters for the heatwave keys (the test grid has no season, see FIXTURES).
 MHW_Q, MHW_MIN_DAYS = 0.75, 3
+CACHE_VERSION = "map-v1"  # part of cache paths: a changed build never reads an older cache
 ROLL_ROWS = 51  # 3 * int(52 / 3)
 
 
@@ -481,10 +482,14 @@ def q_map_float32(spark, sf_dir):
 
 @query("materialize")
 def q_materialize(spark, sf_dir):
-    """Q1 through the cache-aside store in the shared checkpoint folder."""
-    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+    """Q1 through the cache-aside store in the shared checkpoint folder (float32 map)."""
+    tag = hashlib.sha1(f"{CACHE_VERSION}|{sf_dir}".encode()).hexdigest()[:12]
     path = scratch_path(spark, f"variability_map_{tag}")
-    return pipelines.cached_variability_map(grid(spark, sf_dir), path, MIN_DATE, MAX_DATE)
+
+    def build():
+        return q_variability_map(spark, sf_dir)
+
+    return store.materialize(spark, path, build, float_cols=["variability"])
 
 
 # --- reports -------------------------------------------------------------------------------------------------
@@ -522,3 +527,18 @@ def q_mhw_events_ds(spark, sf_dir):
     out = pipelines.mhw_pipeline(grid(spark, sf_dir), MHW_Q, MHW_MIN_DAYS, pre_block=None, days_block=None,
                                  ndigits=CMP_DIGITS)
     return rounded(out["events_ds"])
+
+
+# --- weekly grid (the reference's main input is weekly) -------------------------------------------
+
+
+@query("rolling_mean_weekly")
+def q_rolling_mean_weekly(spark, sf_dir):
+    """Weekly anomalies and their centered 51-row (about one year) complete-window mean."""
+    a = clim.anomaly(fixtures.sst_weekly(spark, sf_dir), ndigits=CMP_DIGITS)
+    return rounded(roll.rolling_mean(a, "anom", ROLL_ROWS).select("t", *CELL, "anom", "rolled"))
+
+
+@query("cell_reports_weekly")
+def q_cell_reports_weekly(spark, sf_dir):
+    return rounded(pipelines.cell_reports(fixtures.sst_weekly(spark, sf_dir), EXTREME_QUANTILE, ndigits=CMP_DIGITS))

@@ -631,3 +631,24 @@ JOIN (SELECT CAST(lon_idx // 4 AS INTEGER) AS lon_idx, AVG(lon) AS lon
       FROM (SELECT DISTINCT lon_idx, lon FROM cube) WHERE lon_idx < 4 GROUP BY 1) bo USING (lon_idx)""",
     *THR, EX, MK, LAND, EVENTS,
 )
+
+
+# --- materialized map, weekly grid --------------------------------------------------------------------
+
+SQL["materialize"] = SQL["map_float32"]
+
+WEEKLY = """wk AS (SELECT CAST(DATE_TRUNC('week', t) AS DATE) AS t, lat_idx, lon_idx, MIN(lat) AS lat, MIN(lon) AS lon,
+       ROUND(AVG(sst), 6) AS sst FROM cube GROUP BY CAST(DATE_TRUNC('week', t) AS DATE), lat_idx, lon_idx)"""
+
+AN9W = f"""an9 AS (SELECT *, {MONTH} AS month,
+       {R9("sst - AVG(sst) OVER (PARTITION BY lat_idx, lon_idx, MONTH(t))")} AS anom FROM wk)"""
+
+sql(
+    "rolling_mean_weekly",
+    """SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom,
+       ROUND(CASE WHEN COUNT(anom) OVER w = 51 THEN AVG(anom) OVER w END, 6) AS rolled
+FROM an9 WINDOW w AS (PARTITION BY lat_idx, lon_idx ORDER BY t ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)""",
+    WEEKLY, AN9W,
+)
+
+sql("cell_reports_weekly", report("lat_idx, lon_idx", flags_over("an9", "lat_idx, lon_idx")), WEEKLY, AN9W)

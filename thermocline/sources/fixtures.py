@@ -51,11 +51,13 @@ def sst_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sst_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly means (weeks start on Monday), rounded to 6 places, like the weekly source files."""
+    from thermocline.functions.scalar import round_arith
+
     d = sst_daily(spark, sf_dir)
     return d.groupBy(F.to_date(F.date_trunc("week", "t")).alias("t"), "lat_idx", "lon_idx").agg(
         F.first("lat").alias("lat"),
         F.first("lon").alias("lon"),
-        F.round(F.avg("sst"), 6).alias("sst"),
+        round_arith(round_arith(F.avg("sst"), 9), 6).alias("sst"),
     )
 
 
