@@ -69,7 +69,7 @@ def test_filters_reach_the_scan(spark, stored):
 
 def test_threshold_attach_does_not_reshuffle(spark, stored):
     c = by_cell(cube_io.load_cube(spark, stored, dedupe=False))
-    thr = extremes.doy_threshold(c, 0.9)
+    thr = extremes.doy_threshold(c, 0.9, dense=False)
     ex = extremes.exceedance(c, thr)
     ex.collect()
     p = _plan(ex)  # final adaptive plan of this execution

@@ -69,3 +69,14 @@ def test_exceedance_is_strict_and_false_on_missing(spark):
     ex = extremes.exceedance(cube, thr)
     assert ex.where("exceed").count() == 0  # equal to the threshold is not above it
     assert ex.count() == 21
+
+
+def test_sparse_threshold_equals_dense_where_data_exists(spark):
+    rows = [r for r in _leap_cube(spark) if not (r[2] == 1 and 100 <= r[0].timetuple().tm_yday <= 110)]
+    cube = make_cube(spark, rows)
+    dense = {(r["lon_idx"], r["dayofyear"]): r["thr"] for r in extremes.doy_threshold(cube, 0.9).where("lat_idx = 0").collect()}
+    sparse = {(r["lon_idx"], r["dayofyear"]): r["thr"]
+              for r in extremes.doy_threshold(cube, 0.9, dense=False).where("lat_idx = 0").collect()}
+    have = {(j, d.timetuple().tm_yday) for d, i, j, v in rows if i == 0}
+    assert set(sparse) == have and len(have) < len(dense)
+    assert all(sparse[k] == dense[k] for k in have)

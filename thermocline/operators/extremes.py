@@ -109,15 +109,13 @@ def kde_years(per_year: DataFrame, count: str = "n_extreme", keys=CELL, bw: floa
     ``bw`` is the factor on the sample std of the repeated years (0.35 in the app; ``'scott'``
     uses ``N ** -0.2``).  Cells with fewer than two events, or all events in one year, give no rows.
     The yearly counts of a cell (one entry per year) are folded with array functions, so no
-    pairs of rows are formed.
+    pairs of rows are formed, and the peak is the maximum of the cell's own array.
     """
-    y, n = F.col("s.year").cast("double"), F.col("s.n").cast("double")
     per = per_year.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(F.col("year").alias("year"), F.col(count).alias("n")))).alias("yc"),
         F.min("year").alias("y0"), F.max("year").alias("y1"), F.max(count).alias("nmax"),
     )
-    tot = F.aggregate("yc", F.lit(0.0), lambda a, s: a + s["n"].cast("double"))
-    per = per.withColumn("N", tot)
+    per = per.withColumn("N", F.aggregate("yc", F.lit(0.0), lambda a, s: a + s["n"].cast("double")))
     mean = F.aggregate("yc", F.lit(0.0), lambda a, s: a + s["n"].cast("double") * s["year"].cast("double")) / F.col("N")
     per = per.withColumn("mu", mean)
     ss = F.aggregate("yc", F.lit(0.0), lambda a, s: a + s["n"].cast("double") * F.pow(s["year"].cast("double") - F.col("mu"), 2))
@@ -125,16 +123,26 @@ def kde_years(per_year: DataFrame, count: str = "n_extreme", keys=CELL, bw: floa
     factor = F.pow(F.col("N"), F.lit(-0.2)) if bw == "scott" else F.lit(float(bw))
     per = per.withColumn("h", factor * F.col("sd")).where((F.col("N") >= 2) & (F.col("h") > 0))
     step = (F.col("y1") - F.col("y0")).cast("double") / F.lit(float(points - 1))
-    grid = per.select("*", F.posexplode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_pos", "i")).drop("_pos")
-    grid = grid.withColumn("x", F.when(F.col("i") == points - 1, F.col("y1").cast("double")).otherwise(F.col("y0").cast("double") + F.col("i") * step))
-    dens = F.aggregate(
-        "yc", F.lit(0.0),
-        lambda a, s: a + s["n"].cast("double") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - s["year"].cast("double")) / F.col("h"), 2)),
-    ) / (F.col("N") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
-    grid = grid.withColumn("kde", dens)
-    peak = F.max("kde").over(Window.partitionBy(*keys))
-    grid = grid.withColumn("kde_scaled", F.col("kde") * F.col("nmax") / peak)
-    return grid.select(*keys, "i", F.col("x").alias("year_x"), "kde", "kde_scaled")
+    xs = F.transform(
+        F.sequence(F.lit(0), F.lit(points - 1)),
+        lambda i: F.when(i == points - 1, F.col("y1").cast("double")).otherwise(F.col("y0").cast("double") + i * step),
+    )
+    per = per.withColumn("xs", xs)
+    norm = F.col("N") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
+    dens = F.transform(
+        "xs",
+        lambda x: F.aggregate(
+            "yc", F.lit(0.0),
+            lambda a, s: a + s["n"].cast("double") * F.exp(F.lit(-0.5) * F.pow((x - s["year"].cast("double")) / F.col("h"), 2)),
+        ) / norm,
+    )
+    per = per.select(*keys, "nmax", "xs", dens.alias("kdes"))
+    per = per.withColumn("peak", F.array_max("kdes"))
+    out = per.select(*keys, "nmax", "peak", F.posexplode(F.arrays_zip("xs", "kdes")).alias("i", "z"))
+    return out.select(
+        *keys, "i", F.col("z.xs").alias("year_x"), F.col("z.kdes").alias("kde"),
+        (F.col("z.kdes") * F.col("nmax") / F.col("peak")).alias("kde_scaled"),
+    )
 
 
 def global_quantiles(df: DataFrame, value: str = "anom", qs=(0.01, 0.99)) -> DataFrame:
@@ -177,38 +185,50 @@ def doy_axis(cube: DataFrame) -> list[int]:
     return sorted(cube.agg(F.collect_set(F.dayofyear("t")).alias("d")).first()["d"])
 
 
-def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: list[int] | None = None) -> DataFrame:
+def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: list[int] | None = None,
+                  dense: bool = True) -> DataFrame:
     """Per cell and day of year: the ``q`` quantile of all years' values within ``half_window``
     positions on the circular day-of-year axis (linear interpolation, missing values skipped).
 
-    Each cell's values are grouped once per (cell, day) into a map; every position then
-    gathers its 2*half_window+1 neighbours from that map, so rows are not copied 11 times.
+    Plan: values grouped per (cell, day) into lists and placed on the shared axis position;
+    positions near the ends are copied once to ``pos -/+ n`` for the wrap-around; a RANGE
+    window of ``+/- half_window`` positions gathers each pool, so days a cell lacks need no
+    rows.  Every step is keyed by the cell: a cube partitioned by cell is not shuffled again.
+
+    ``dense`` returns every axis position for every cell (the threshold cube); without it only
+    the positions where the cell has data, which is all a lookup by the cube's rows needs.
     """
     axis = axis if axis is not None else doy_axis(cube)
     n = len(axis)
     if n < half_window:
         raise ValueError(f"day-of-year axis of {n} days is shorter than the window radius")
+    spark = cube.sparkSession
+    ax_df = spark.createDataFrame([(int(d), i) for i, d in enumerate(axis)], "d int, pos int")  # <= 366 rows
     # collect_list skips NULLs, so an all-missing (land) cell keeps its rows with empty lists.
-    per_day = dedup_days(cube).groupBy(*CELL, F.dayofyear("t").alias("d")).agg(
+    rows = dedup_days(cube).groupBy(*CELL, F.dayofyear("t").cast("int").alias("d")).agg(
         *cell_labels(), F.collect_list("sst").alias("vs")
     )
-    per_cell = per_day.groupBy(*CELL).agg(
-        *cell_labels(), F.map_from_entries(F.collect_list(F.struct("d", "vs"))).alias("m")
-    )
-    ax = F.array(*[F.lit(int(d)) for d in axis])
-    empty = F.array().cast("array<double>")
-    per_pos = per_cell.select(*CELL, "lat", "lon", "m", F.posexplode(ax).alias("pos", "dayofyear"))
-    offsets = F.sequence(F.lit(-half_window), F.lit(half_window))
-    pool = F.flatten(
-        F.transform(
-            offsets,
-            lambda o: F.coalesce(
-                F.try_element_at(F.col("m"), F.element_at(ax, F.pmod(F.col("pos") + o, F.lit(n)) + 1)), empty
-            ),
+    rows = rows.join(F.broadcast(ax_df), "d").select(*CELL, "lat", "lon", "pos", "vs")
+    if dense:
+        # One row per cell (partial aggregate), then every position; merged with the data rows.
+        spine = cube.groupBy(*CELL).agg(*cell_labels()).select(
+            *CELL, "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"),
+            F.array().cast("array<double>").alias("vs"),
         )
+        rows = rows.unionByName(spine).groupBy(*CELL, "pos").agg(
+            *cell_labels(), F.flatten(F.collect_list("vs")).alias("vs")
+        )
+    hw = half_window
+    pad = F.filter(F.array(F.col("pos") - n, F.col("pos"), F.col("pos") + n), lambda x: x.between(-hw, n - 1 + hw))
+    padded = rows.select(*CELL, "lat", "lon", "vs", F.explode(pad).alias("pp"))
+    w = Window.partitionBy(*CELL).orderBy("pp").rangeBetween(-hw, hw)
+    pooled = padded.withColumn("_pool", F.sort_array(F.flatten(F.collect_list("vs").over(w))))
+    pooled = pooled.where(F.col("pp").between(0, n - 1))
+    ax = F.array(*[F.lit(int(d)) for d in axis])
+    return pooled.select(
+        *CELL, "lat", "lon", F.element_at(ax, F.col("pp") + 1).cast("int").alias("dayofyear"),
+        sorted_array_quantile(F.col("_pool"), q).alias("thr"),
     )
-    out = per_pos.select(*CELL, "lat", "lon", F.col("dayofyear").cast("int").alias("dayofyear"), F.sort_array(pool).alias("_pool"))
-    return out.select(*CELL, "lat", "lon", "dayofyear", sorted_array_quantile(F.col("_pool"), q).alias("thr"))
 
 
 def attach_by_cell_day(cube: DataFrame, thr: DataFrame) -> DataFrame:

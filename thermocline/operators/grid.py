@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.functions.scalar import clip_scale
-from thermocline.model import CELL, axis_frame, index_axes
+from thermocline.model import CELL, axis_frame, by_cell, index_axes
 from thermocline.operators.extremes import dedup_days
 
 
@@ -56,15 +56,19 @@ def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str
 
 def unstack_year(cube: DataFrame) -> DataFrame:
     """Dense ``(cell, dayofyear, year)`` table: every day of year and year present anywhere in the
-    cube, for every cell; missing combinations have a NULL value (first row wins on duplicates)."""
-    d = dedup_days(cube).select(*CELL, F.year("t").cast("int").alias("year"), F.dayofyear("t").cast("int").alias("dayofyear"), "sst")
+    cube, for every cell; missing combinations have a NULL value (first row wins on duplicates).
+
+    The cube is partitioned by cell once; a per-cell spine of all (year, day) pairs is unioned
+    with the values and aggregated on (cell, year, day), all inside that partitioning.
+    """
     row = cube.agg(F.collect_set(F.year("t")).alias("y"), F.collect_set(F.dayofyear("t")).alias("d")).first()
     years, doys = sorted(row["y"]), sorted(row["d"])  # at most years and 366 entries
-    spine = cube.select(*CELL).distinct().select(
-        *CELL,
-        F.explode(F.array(*[F.lit(int(y)) for y in years])).alias("year"),
-    ).select(*CELL, "year", F.explode(F.array(*[F.lit(int(x)) for x in doys])).alias("dayofyear"))
-    return spine.join(d, [*CELL, "year", "dayofyear"], "left")
+    c = by_cell(cube)
+    d = dedup_days(c).select(*CELL, F.year("t").cast("int").alias("year"), F.dayofyear("t").cast("int").alias("dayofyear"), "sst")
+    spine = c.select(*CELL).distinct().select(
+        *CELL, F.explode(F.array(*[F.lit(int(y)) for y in years])).alias("year")
+    ).select(*CELL, "year", F.explode(F.array(*[F.lit(int(x)) for x in doys])).alias("dayofyear"), F.lit(None).cast("double").alias("sst"))
+    return d.unionByName(spine).groupBy(*CELL, "year", "dayofyear").agg(F.max("sst").alias("sst"))
 
 
 def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | None = None, hi: float | None = None) -> DataFrame:

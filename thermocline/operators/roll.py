@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermocline.functions.time import semi_month_label
 from thermocline.model import CELL
-from thermocline.operators.common import attach_scalars
 
 
 def rows_for_years(years: int, steps_per_year: float) -> int:
@@ -26,25 +27,37 @@ def rolling_mean(df: DataFrame, value: str, window: int, keys=CELL, order: str =
     return df.withColumn(out, F.when(F.count(value).over(frame) == w, F.avg(value).over(frame)))
 
 
-def _sme_bins(lo, hi):
-    """All semi-month bin labels from ``lo`` to ``hi`` (both labels), as an array column."""
-    months = F.sequence(F.trunc(lo, "MM"), F.trunc(hi, "MM"), F.expr("INTERVAL 1 MONTH"))
-    both = F.flatten(F.transform(months, lambda m: F.array(F.date_add(m, 14), F.last_day(m))))
-    # A bin that starts on the last day of the month before the first month.
-    both = F.concat(F.array(F.date_sub(F.trunc(lo, "MM"), 1)), both)
-    return F.filter(both, lambda d: (d >= lo) & (d <= hi))
+def sme_bins(lo: _dt.date, hi: _dt.date) -> list[_dt.date]:
+    """All semi-month bin labels (15th and last day of each month) from ``lo`` to ``hi``."""
+    out, y, m = [], lo.year, lo.month
+    first = _dt.date(lo.year, lo.month, 1) - _dt.timedelta(days=1)  # a bin may start on the previous month end
+    if first >= lo:
+        out.append(first)
+    while (y, m) <= (hi.year, hi.month):
+        nxt = _dt.date(y + (m == 12), m % 12 + 1, 1)
+        for d in (_dt.date(y, m, 15), nxt - _dt.timedelta(days=1)):
+            if lo <= d <= hi:
+                out.append(d)
+        y, m = nxt.year, nxt.month
+    return out
 
 
 def resample_sme(df: DataFrame, value: str = "sst", keys=CELL, out: str = "mean") -> DataFrame:
     """Semi-month-end resample: mean per bin, bins starting on the 15th and on month ends,
     closed left, labelled by their start.  Empty bins between the first and last bin of the
-    whole table appear with a NULL mean (the time axis is shared by all cells)."""
+    whole table appear with a NULL mean (the time axis is shared by all cells).
+
+    The bin means are unioned with a per-key spine of all bins and aggregated on
+    (key, bin): the spine never needs a join, and it shares the means' key partitioning.
+    """
     binned = df.withColumn("t", semi_month_label("t"))
     means = binned.groupBy(*keys, "t").agg(F.avg(value).alias(out))
-    span = binned.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    key_rows = df.select(*keys).distinct()
-    spine = attach_scalars(key_rows, span).select(*keys, F.explode(_sme_bins(F.col("_lo"), F.col("_hi"))).alias("t"))
-    return spine.join(means, [*keys, "t"], "left")
+    span = binned.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    if span["lo"] is None:
+        return means
+    bins = F.array(*[F.lit(d) for d in sme_bins(span["lo"], span["hi"])])  # 24 per year
+    spine = means.select(*keys).distinct().select(*keys, F.explode(bins).alias("t"), F.lit(None).cast("double").alias(out))
+    return means.unionByName(spine).groupBy(*keys, "t").agg(F.max(out).alias(out))
 
 
 def rolling_sme(df: DataFrame, value: str = "anom", years: int = 3, per_year: int = 24, keys=CELL) -> DataFrame:

@@ -88,7 +88,7 @@ def mhw_pipeline(cube: DataFrame, q: float = 0.9, min_days: int = 5, half_window
     if pre_block:
         c = grid.coarsen(c, pre_block[0], pre_block[1], boundary="exact")
     c = by_cell(c)
-    thr = extremes.doy_threshold(c, q, half_window)
+    thr = extremes.doy_threshold(c, q, half_window, dense=False)
     ex = extremes.exceedance(c, thr, ndigits=ndigits)
     mask = runs.mark_runs(ex, "exceed", min_days, out="mhw")
     land = select.land_mask(c)
