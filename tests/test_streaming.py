@@ -22,3 +22,4 @@ def test_ingest_appends_only_new_files(spark, tmp_path):
     assert back.count() == 8
     assert back.where("sst is null").count() == 4
     assert sorted(r["year"] for r in back.select("year").distinct().collect()) == [2000, 2001]
+    assert back.select("batch").distinct().count() == 2

@@ -74,20 +74,35 @@ def unstack_year(cube: DataFrame) -> DataFrame:
 def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """One row per kept time step (every ``every``-th): ``frame`` is a dense lat x lon matrix
     (rows by lat index, columns by lon index, NULL where a cell has no value), clipped to
-    ``[lo, hi]``.  A frame is bounded by the grid size; frames are spread over tasks."""
+    ``[lo, hi]``.
+
+    The values and a spine of every (kept step, cell) are shuffled once by time step; inside a
+    step the lists are complete, so sorting them yields the matrix directly (no lookups).  A
+    frame is bounded by the grid size; frames spread over tasks by step.
+    """
+    from thermocline.model import time_labels
     from thermocline.operators.select import with_time_index
 
+    spark = cube.sparkSession
     lat_pairs, lon_pairs = index_axes(cube)
     n_lat, n_lon = len(lat_pairs), len(lon_pairs)
-    c = with_time_index(cube).where(F.col("time_idx") % every == 0)
+    kept = [(t, i) for i, t in enumerate(time_labels(cube)) if i % every == 0]
     v = F.col(value)
     if lo is not None and hi is not None:
         v = clip_scale(v, lo, hi)
-    rows = c.groupBy("t", "time_idx", "lat_idx").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("lon_idx"), v.alias("v")))).alias("m")
+    data = with_time_index(cube).where(F.col("time_idx") % every == 0).select("t", "time_idx", *CELL, v.alias("v"))
+    ttype = cube.schema["t"].dataType.simpleString()
+    steps = spark.createDataFrame(kept, f"t {ttype}, time_idx int")
+    steps = steps.repartition(max(1, min(len(kept), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    spine = steps.select("t", "time_idx", F.explode(F.sequence(F.lit(0), F.lit(n_lat - 1))).alias("lat_idx")).select(
+        "t", "time_idx", "lat_idx", F.explode(F.sequence(F.lit(0), F.lit(n_lon - 1))).alias("lon_idx"),
+        F.lit(None).cast("double").alias("v"),
+    )
+    dense = data.unionByName(spine).repartition("t")
+    cells = dense.groupBy("t", "time_idx", *CELL).agg(F.max("v").alias("v"))
+    rows = cells.groupBy("t", "time_idx", "lat_idx").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("lon_idx", "v"))), lambda s: s["v"]).alias("row")
+    )
+    return rows.groupBy("t", "time_idx").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("lat_idx", "row"))), lambda s: s["row"]).alias("frame")
     )
-    rows = rows.withColumn("row", F.transform(F.sequence(F.lit(0), F.lit(n_lon - 1)), lambda j: F.try_element_at("m", j)))
-    per_t = rows.groupBy("t", "time_idx").agg(F.map_from_entries(F.collect_list(F.struct("lat_idx", "row"))).alias("m"))
-    empty = F.array_repeat(F.lit(None).cast("double"), n_lon)
-    matrix = F.transform(F.sequence(F.lit(0), F.lit(n_lat - 1)), lambda i: F.coalesce(F.try_element_at("m", i), empty))
-    return per_t.select("t", "time_idx", matrix.alias("frame"))

@@ -1,8 +1,10 @@
 """Append newly arrived daily cube files to a year-partitioned store.
 
 This is the multi-file daily concatenation run incrementally: a file source picks up only
-files it has not seen (tracked in the checkpoint), each micro-batch drops steps already
-present in the batch, normalizes NaN to NULL and appends to the store.  With
+files it has not seen (tracked in the checkpoint), each micro-batch drops steps repeated
+within the batch, normalizes NaN to NULL and writes its own ``batch=<id>/year=<y>`` folder of
+the store (idempotent on replay).  Read the store with ``load_cube`` (which drops steps
+repeated across batches).  With
 ``trigger(availableNow=True)`` it processes whatever is there and stops, so it can run as a
 scheduled batch job; the checkpoint makes a rerun after a failure resume where it stopped.
 """
@@ -41,7 +43,9 @@ def ingest_cube_files(spark: SparkSession, src: str, store: str, checkpoint: str
     def append(batch: DataFrame, batch_id: int) -> None:
         # One row per (t, cell) within the batch; partial aggregation keeps copies local.
         out = batch.dropDuplicates(["t", *CELL]).sortWithinPartitions(*CELL, "t")
-        out.write.mode("append").partitionBy("year").parquet(store)
+        # Each micro-batch owns one folder, written in overwrite mode: a batch replayed after a
+        # failure replaces its own output instead of appending it twice.
+        out.write.mode("overwrite").partitionBy("year").parquet(f"{store.rstrip('/')}/batch={batch_id}")
 
     ckpt = checkpoint or scratch_path(spark, "ingest-checkpoint")
     return (
