@@ -141,7 +141,7 @@ def kde_years(per_year: DataFrame, count: str = "n_extreme", keys=CELL, bw: floa
     out = per.select(*keys, "nmax", "peak", F.posexplode(F.arrays_zip("xs", "kdes")).alias("i", "z"))
     return out.select(
         *keys, "i", F.col("z.xs").alias("year_x"), F.col("z.kdes").alias("kde"),
-        (F.col("z.kdes") * F.col("nmax") / F.col("peak")).alias("kde_scaled"),
+        (F.col("z.kdes") * (F.col("nmax") / F.col("peak"))).alias("kde_scaled"),
     )
 
 

@@ -405,7 +405,7 @@ FROM g JOIN ep e USING (lat_idx, lon_idx) GROUP BY g.lat_idx, g.lon_idx, g.i, g.
 
 
 KDE_OUT = """SELECT lat_idx, lon_idx, i, ROUND(x, 6) AS year_x, ROUND(kde, 6) AS kde,
-       ROUND(kde * nmax / MAX(kde) OVER (PARTITION BY lat_idx, lon_idx), 6) AS kde_scaled FROM k"""
+       ROUND(kde * (nmax / MAX(kde) OVER (PARTITION BY lat_idx, lon_idx)), 6) AS kde_scaled FROM k"""
 
 sql("kde_years", KDE_OUT, AN9, FL, EP, *kde("0.35"))
 sql("kde_scott", KDE_OUT, AN9, FL, EP, *kde("POW(st.nn, -0.2)"))
