@@ -28,3 +28,21 @@ def test_entry_contract(spark):
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     assert set(qs) - set(sqls) == {"frames"}
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
+def test_point_report_equals_cell_report_of_nearest_cell(spark):
+    from thermocline.plans import pipelines
+    from thermocline.operators import select
+    from thermocline.sources import fixtures
+
+    cube = fixtures.sst_daily(spark, SF)
+    pts = fixtures.points(spark)
+    near = {r["point_id"]: (r["lat_idx"], r["lon_idx"]) for r in select.nearest_point(cube, pts).collect()}
+    cells = {(r["lat_idx"], r["lon_idx"]): r for r in pipelines.cell_reports(cube, 0.95, ndigits=9).collect()}
+    fields = ["trend_decade", "threshold", "n_valid", "n_extreme", "first_year", "last_year", "trend_r3"]
+    for r in pipelines.point_report(cube, pts, 0.95, ndigits=9).collect():
+        c = cells[near[r["point_id"]]]
+        for f in fields:
+            a, b = r[f], c[f]
+            assert (a is None and b is None) or a == pytest.approx(b, abs=1e-9), (r["point_id"], f, a, b)
