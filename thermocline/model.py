@@ -85,14 +85,6 @@ def axis_frame(spark, pairs, idx: str, label: str, label_type: str = "double") -
     return spark.createDataFrame([(int(i), v) for i, v in pairs], f"{idx} int, {label} {label_type}")
 
 
-def axis_table(df: DataFrame, label: str, idx: str, descending: bool = False) -> DataFrame:
-    """Distinct labels of one dimension with a zero-based position (a local, broadcastable table)."""
-    row = df.agg(F.collect_set(label).alias("a")).first()
-    vals = sorted(_bounded(row["a"], f"{label} axis"), reverse=descending)
-    ltype = df.schema[label].dataType.simpleString()
-    return axis_frame(df.sparkSession, list(enumerate(vals)), idx, label, ltype).select(label, idx)
-
-
 def with_cell_index(
     df: DataFrame,
     lat_axis: DataFrame | None = None,
@@ -131,11 +123,6 @@ def time_axis(cube: DataFrame) -> DataFrame:
     return axis_frame(cube.sparkSession, list(enumerate(ts)), "time_idx", "t", ttype).select("t", "time_idx")
 
 
-def cells(cube: DataFrame) -> DataFrame:
-    """One row per cell with its labels."""
-    return cube.groupBy(*CELL).agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
-
-
 def by_cell(cube: DataFrame) -> DataFrame:
     """Hash-partition on the integer cell key once; every later (cell, ...) window reuses it."""
     return cube.repartition(*CELL)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.model import CELL
-
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df`` as literals.
@@ -27,7 +25,3 @@ def scalar(df: DataFrame, expr) -> object:
 def cell_labels() -> list:
     """Aggregates that carry the (constant per cell) labels through a groupBy."""
     return [F.first("lat", ignorenulls=True).alias("lat"), F.first("lon", ignorenulls=True).alias("lon")]
-
-
-def group_cells(df: DataFrame, *extra: str):
-    return df.groupBy(*CELL, *extra)
