@@ -110,3 +110,31 @@ def test_properties_days_vs_events(spark):
     e = runs.events_per_year(mask, "mhw", 5)
     j = d.join(e, ["lat_idx", "lon_idx", "year"])
     assert j.where("days < 5 * events").count() == 0
+
+
+def test_mhw_pipeline_end_to_end_and_store(spark, tmp_path):
+    """Default parameters (q = 0.9, 5 days, 2 x 2 block mean first) on a hand-made 4 x 4 grid."""
+    from conftest import make_cube
+    from thermocline.plans import pipelines
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in days("2001-01-01", 8 * 365):
+        for i in range(4):
+            for j in range(4):
+                if (i, j) in {(0, 0), (0, 1), (1, 0), (1, 1)}:
+                    rows.append((d, i, j, None))  # a land block
+                    continue
+                v = 15 + rng.normal()
+                if d.year == 2002 and 100 <= d.timetuple().tm_yday < 110:
+                    v += 8  # a 10-day heatwave everywhere at sea
+                rows.append((d, i, j, float(v)))
+    out = pipelines.mhw_pipeline(make_cube(spark, rows), q=0.9, min_days=5, events_block=(2, 2))
+    days_ = {(r["lat_idx"], r["lon_idx"], r["year"]): r["days"] for r in out["days"].collect()}
+    ev = {(r["lat_idx"], r["lon_idx"], r["year"]): r["events"] for r in out["events"].collect()}
+    assert days_[(0, 0, 2002)] is None and ev[(0, 0, 2002)] is None  # land block after the 2 x 2 mean
+    assert days_[(1, 1, 2002)] >= 10 and ev[(1, 1, 2002)] >= 1
+    assert out["days_ds"].count() == 8  # 2 x 2 coarse grid -> one block per year (2001-2008)
+    pipelines.store_mhw(out, str(tmp_path / "mhw"))
+    back = spark.read.parquet(str(tmp_path / "mhw" / "days_ds"))
+    assert sorted(r["year"] for r in back.select("year").distinct().collect()) == list(range(2001, 2009))

@@ -107,6 +107,15 @@ def mhw_pipeline(cube: DataFrame, q: float = 0.9, min_days: int = 5, half_window
     return out
 
 
+def store_mhw(out: dict[str, DataFrame], base: str) -> None:
+    """Write the block-averaged days / events maps as year-partitioned stores (overwrite)."""
+    from thermocline.sources.store import write_store
+
+    for name in ("days_ds", "events_ds"):
+        if name in out:
+            write_store(out[name], f"{base.rstrip('/')}/{name}", partition_by=("year",))
+
+
 # Q5 -----------------------------------------------------------------------------------------------
 
 
