@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,25 @@ def sorted_array_quantile(arr: Column, q: float) -> Column:
     frac = pos - lo_i.cast("double")
     val = F.when(lo_i == hi_i, lo).otherwise(lo + (hi - lo) * frac)
     return F.when(n > 0, val)
+
+
+def lit_array(values) -> Column:
+    """A literal array as one SQL expression (one call to the JVM, whatever its length).
+
+    Consecutive integers become ``sequence(lo, hi)``; doubles are written with a ``D`` suffix
+    from their shortest exact decimal form, dates as ``DATE'...'`` literals.
+    """
+    vals = list(values)
+    if not vals:
+        raise ValueError("empty literal array")
+    if all(isinstance(v, bool) for v in vals):
+        raise TypeError("boolean arrays are not supported")
+    if all(isinstance(v, int) for v in vals):
+        if vals == list(range(vals[0], vals[0] + len(vals))):
+            return F.sequence(F.lit(vals[0]), F.lit(vals[-1]))
+        return F.expr("array(" + ", ".join(str(int(v)) for v in vals) + ")")
+    if all(isinstance(v, (int, float)) for v in vals):
+        return F.expr("array(" + ", ".join(f"CAST({float(v)!r}D AS DOUBLE)" if float(v) < 0 else f"{float(v)!r}D" for v in vals) + ")")
+    if all(isinstance(v, _dt.date) and not isinstance(v, _dt.datetime) for v in vals):
+        return F.expr("array(" + ", ".join(f"DATE'{v.isoformat()}'" for v in vals) + ")")
+    raise TypeError("unsupported literal array element type")

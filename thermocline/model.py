@@ -80,6 +80,30 @@ def index_axes(df: DataFrame) -> tuple[list[tuple[int, float]], list[tuple[int,
     return lat, lon
 
 
+def cube_axes(df: DataFrame, time: bool = False, doy: bool = False) -> dict:
+    """All axes an operator needs in one pass: ``lat``/``lon`` as (idx, label) pairs, and on
+    request the sorted time steps and days of year.  Run it on the cube *before* any
+    repartition, so the pass is a scan with a small partial aggregate, not a shuffle."""
+    aggs = [
+        F.collect_set(F.struct("lat_idx", "lat")).alias("a"),
+        F.collect_set(F.struct("lon_idx", "lon")).alias("b"),
+    ]
+    if time:
+        aggs.append(F.collect_set("t").alias("t"))
+    if doy:
+        aggs.append(F.collect_set(F.dayofyear("t")).alias("d"))
+    row = df.agg(*aggs).first()
+    out = {
+        "lat": sorted((r[0], r[1]) for r in _bounded(row["a"], "lat axis")),
+        "lon": sorted((r[0], r[1]) for r in _bounded(row["b"], "lon axis")),
+    }
+    if time:
+        out["time"] = sorted(_bounded(row["t"], "time axis"))
+    if doy:
+        out["doy"] = sorted(row["d"])
+    return out
+
+
 def axis_frame(spark, pairs, idx: str, label: str, label_type: str = "double") -> DataFrame:
     """A small local DataFrame ``(idx, label)`` (cheap to broadcast; no rescan of the cube)."""
     return spark.createDataFrame([(int(i), v) for i, v in pairs], f"{idx} int, {label} {label_type}")

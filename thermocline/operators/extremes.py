@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermocline.functions.scalar import exceed_flag, sorted_array_quantile
+from thermocline.functions.scalar import exceed_flag, lit_array, sorted_array_quantile
 from thermocline.model import CELL
 from thermocline.operators.common import cell_labels
 from thermocline.operators.quantile import exact_quantiles
@@ -224,7 +224,7 @@ def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: l
     w = Window.partitionBy(*CELL).orderBy("pp").rangeBetween(-hw, hw)
     pooled = padded.withColumn("_pool", F.sort_array(F.flatten(F.collect_list("vs").over(w))))
     pooled = pooled.where(F.col("pp").between(0, n - 1))
-    ax = F.array(*[F.lit(int(d)) for d in axis])
+    ax = lit_array([int(d) for d in axis])
     return pooled.select(
         *CELL, "lat", "lon", F.element_at(ax, F.col("pp") + 1).cast("int").alias("dayofyear"),
         sorted_array_quantile(F.col("_pool"), q).alias("thr"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.functions.scalar import clip_scale
-from thermocline.model import CELL, axis_frame, by_cell, index_axes
+from thermocline.functions.scalar import clip_scale, lit_array
+from thermocline.model import CELL, axis_frame, by_cell, cube_axes, index_axes
 from thermocline.operators.extremes import dedup_days
 
 
@@ -66,8 +66,8 @@ def unstack_year(cube: DataFrame) -> DataFrame:
     c = by_cell(cube)
     d = dedup_days(c).select(*CELL, F.year("t").cast("int").alias("year"), F.dayofyear("t").cast("int").alias("dayofyear"), "sst")
     spine = c.select(*CELL).distinct().select(
-        *CELL, F.explode(F.array(*[F.lit(int(y)) for y in years])).alias("year")
-    ).select(*CELL, "year", F.explode(F.array(*[F.lit(int(x)) for x in doys])).alias("dayofyear"), F.lit(None).cast("double").alias("sst"))
+        *CELL, F.explode(lit_array([int(y) for y in years])).alias("year")
+    ).select(*CELL, "year", F.explode(lit_array([int(x) for x in doys])).alias("dayofyear"), F.lit(None).cast("double").alias("sst"))
     return d.unionByName(spine).groupBy(*CELL, "year", "dayofyear").agg(F.max("sst").alias("sst"))
 
 
@@ -80,19 +80,17 @@ def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | Non
     step the lists are complete, so sorting them yields the matrix directly (no lookups).  A
     frame is bounded by the grid size; frames spread over tasks by step.
     """
-    from thermocline.model import time_labels
-    from thermocline.operators.select import with_time_index
-
     spark = cube.sparkSession
-    lat_pairs, lon_pairs = index_axes(cube)
-    n_lat, n_lon = len(lat_pairs), len(lon_pairs)
-    kept = [(t, i) for i, t in enumerate(time_labels(cube)) if i % every == 0]
+    axes = cube_axes(cube, time=True)  # grid and time axes in one pass
+    n_lat, n_lon = len(axes["lat"]), len(axes["lon"])
+    kept = [(t, i) for i, t in enumerate(axes["time"]) if i % every == 0]
     v = F.col(value)
     if lo is not None and hi is not None:
         v = clip_scale(v, lo, hi)
-    data = with_time_index(cube).where(F.col("time_idx") % every == 0).select("t", "time_idx", *CELL, v.alias("v"))
     ttype = cube.schema["t"].dataType.simpleString()
     steps = spark.createDataFrame(kept, f"t {ttype}, time_idx int")
+    # kept steps only: a local table, length checked when collected
+    data = cube.join(F.broadcast(steps), "t").select("t", "time_idx", *CELL, v.alias("v"))
     steps = steps.repartition(max(1, min(len(kept), int(spark.conf.get("spark.sql.shuffle.partitions")))))
     spine = steps.select("t", "time_idx", F.explode(F.sequence(F.lit(0), F.lit(n_lat - 1))).alias("lat_idx")).select(
         "t", "time_idx", "lat_idx", F.explode(F.sequence(F.lit(0), F.lit(n_lon - 1))).alias("lon_idx"),

@@ -7,6 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermocline.functions.scalar import lit_array
 from thermocline.functions.time import semi_month_label
 from thermocline.model import CELL
 
@@ -55,7 +56,7 @@ def resample_sme(df: DataFrame, value: str = "sst", keys=CELL, out: str = "mean"
     span = binned.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
     if span["lo"] is None:
         return means
-    bins = F.array(*[F.lit(d) for d in sme_bins(span["lo"], span["hi"])])  # 24 per year
+    bins = lit_array(sme_bins(span["lo"], span["hi"]))  # 24 per year
     spine = means.select(*keys).distinct().select(*keys, F.explode(bins).alias("t"), F.lit(None).cast("double").alias(out))
     return means.unionByName(spine).groupBy(*keys, "t").agg(F.max(out).alias(out))
 

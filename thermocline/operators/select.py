@@ -7,6 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermocline.functions.scalar import lit_array
 from thermocline.model import CELL, checked_small, index_axes, time_axis, time_labels
 from thermocline.operators.common import attach_scalars, cell_labels, scalar
 
@@ -105,7 +106,7 @@ def last_frame(cube: DataFrame) -> DataFrame:
 def nearest_position(x: Column, values: list[float]) -> Column:
     """1-based position of the nearest label on a sorted axis: clamped to the ends, no wrap,
     a tie goes to the larger label.  The axis is a literal array (bounded by the grid)."""
-    arr = F.array(*[F.lit(float(v)) for v in values])
+    arr = lit_array([float(v) for v in values])
     n = len(values)
     below = F.size(F.filter(arr, lambda a: a < x))  # labels strictly below x
     left = F.element_at(arr, F.greatest(below, F.lit(1)))
@@ -126,8 +127,8 @@ def nearest_point(cube: DataFrame, points: DataFrame, axes=None) -> DataFrame:
 
     def pick(pairs, col):
         pos = nearest_position(F.col(col), [v for _, v in pairs])
-        idx = F.element_at(F.array(*[F.lit(int(i)) for i, _ in pairs]), pos)
-        lab = F.element_at(F.array(*[F.lit(float(v)) for _, v in pairs]), pos)
+        idx = F.element_at(lit_array([int(i) for i, _ in pairs]), pos)
+        lab = F.element_at(lit_array([float(v) for _, v in pairs]), pos)
         return idx, lab
 
     lat_i, lat_v = pick(lat_pairs, "lat")

@@ -363,8 +363,10 @@ def q_clip_scale(spark, sf_dir):
 
 
 def mhw_parts(spark, sf_dir):
-    c = by_cell(grid(spark, sf_dir))
-    thr = extremes.doy_threshold(c, MHW_Q, dense=False)  # looked up by the cube's own rows
+    g = grid(spark, sf_dir)
+    doys = extremes.doy_axis(g)  # metadata pass before the cell shuffle
+    c = by_cell(g)
+    thr = extremes.doy_threshold(c, MHW_Q, axis=doys, dense=False)  # looked up by the cube's own rows
     ex = extremes.exceedance(c, thr, ndigits=CMP_DIGITS)
     mask = runs.mark_runs(ex, "exceed", MHW_MIN_DAYS, out="mhw")
     return c, thr, ex, mask

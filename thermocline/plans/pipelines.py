@@ -14,7 +14,7 @@ from pyspark.sql import Window
 
 from thermocline.functions.scalar import maybe_round
 from thermocline.functions.time import decimal_year
-from thermocline.model import CELL, axis_frame, by_cell, index_axes
+from thermocline.model import CELL, axis_frame, by_cell, cube_axes
 from thermocline.operators import clim, extremes, grid, runs, select
 from thermocline.operators.common import cell_labels
 from thermocline.sources.store import materialize
@@ -84,19 +84,17 @@ def mhw_pipeline(cube: DataFrame, q: float = 0.9, min_days: int = 5, half_window
                  ndigits: int | None = None) -> dict[str, DataFrame]:
     """Marine heatwaves: day-of-year threshold, exceedance, runs of ``min_days``, days and events
     per year (NULL on land), and their block-averaged maps."""
-    c = cube
-    if pre_block:
-        c = grid.coarsen(c, pre_block[0], pre_block[1], boundary="exact")
-    c = by_cell(c)
-    thr = extremes.doy_threshold(c, q, half_window, dense=False)
+    c0 = grid.coarsen(cube, pre_block[0], pre_block[1], boundary="exact") if pre_block else cube
+    axes = cube_axes(c0, doy=True)  # one pass, before the cell shuffle
+    c = by_cell(c0)
+    thr = extremes.doy_threshold(c, q, half_window, axis=axes["doy"], dense=False)
     ex = extremes.exceedance(c, thr, ndigits=ndigits)
     mask = runs.mark_runs(ex, "exceed", min_days, out="mhw")
     land = select.land_mask(c)
     days = select.mask_apply(runs.days_per_year(mask), land, ["days"])
     events = select.mask_apply(runs.events_per_year(mask, "mhw", min_days), land, ["events"])
-    lat_pairs, lon_pairs = index_axes(cube if pre_block is None else c)
-    lat_axis = axis_frame(c.sparkSession, lat_pairs, "lat_idx", "lat")
-    lon_axis = axis_frame(c.sparkSession, lon_pairs, "lon_idx", "lon")
+    lat_axis = axis_frame(c.sparkSession, axes["lat"], "lat_idx", "lat")
+    lon_axis = axis_frame(c.sparkSession, axes["lon"], "lon_idx", "lon")
     out = {"threshold": thr, "mask": mask, "days": days, "events": events, "land": land}
     if days_block:
         out["days_ds"] = grid.coarsen(days, *days_block, value="days", time="year", boundary="trim",
