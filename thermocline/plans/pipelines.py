@@ -7,17 +7,15 @@ cube once (plus small partial aggregates).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql import Window
-
 from thermocline.functions.scalar import maybe_round
 from thermocline.functions.time import decimal_year
 from thermocline.model import CELL, axis_frame, by_cell, cube_axes
 from thermocline.operators import clim, extremes, grid, runs, select
 from thermocline.operators.common import cell_labels
-from thermocline.sources.store import materialize
+from thermocline.sources.store import materialize, write_store
 
 
 # Q1 ---------------------------------------------------------------------------------------------
@@ -107,8 +105,6 @@ def mhw_pipeline(cube: DataFrame, q: float = 0.9, min_days: int = 5, half_window
 
 def store_mhw(out: dict[str, DataFrame], base: str) -> None:
     """Write the block-averaged days / events maps as year-partitioned stores (overwrite)."""
-    from thermocline.sources.store import write_store
-
     for name in ("days_ds", "events_ds"):
         if name in out:
             write_store(out[name], f"{base.rstrip('/')}/{name}", partition_by=("year",))
