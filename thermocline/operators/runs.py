@@ -32,10 +32,14 @@ def mark_runs_calendar(df: DataFrame, flag: str, min_len: int, keys=CELL, order:
     return d.withColumn(out, F.col("_f") & (run_len >= min_len)).drop("_f", "_isl")
 
 
+def _valid_count(df: DataFrame, value: str = "sst") -> list:
+    return [F.count(value).alias("n_valid")] if value in df.columns else []
+
+
 def days_per_year(mask: DataFrame, col: str = "mhw", keys=CELL) -> DataFrame:
-    """Flagged days per cell and calendar year."""
+    """Flagged days per cell and calendar year (plus ``n_valid`` for ``null_on_land``)."""
     return mask.groupBy(*keys, F.year("t").cast("int").alias("year")).agg(
-        F.sum(F.col(col).cast("int")).cast("long").alias("days")
+        F.sum(F.col(col).cast("int")).cast("long").alias("days"), *_valid_count(mask)
     )
 
 
@@ -46,4 +50,17 @@ def events_per_year(mask: DataFrame, col: str = "mhw", min_len: int = 5, keys=CE
     y = mark_runs(m, col, min_len, keys=[*keys, "year"], order=order, out="_long")
     prev = F.lag("_long").over(Window.partitionBy(*keys, "year").orderBy(order))
     y = y.withColumn("_start", F.col("_long") & ~F.coalesce(prev, F.lit(False)))
-    return y.groupBy(*keys, "year").agg(F.sum(F.col("_start").cast("int")).cast("long").alias("events"))
+    return y.groupBy(*keys, "year").agg(
+        F.sum(F.col("_start").cast("int")).cast("long").alias("events"), *_valid_count(mask)
+    )
+
+
+def null_on_land(yearly: DataFrame, cols, keys=CELL) -> DataFrame:
+    """NULL ``cols`` on cells without any valid value in any year (land).
+
+    Uses the ``n_valid`` counts of the yearly table itself: a window over the cell on the
+    small yearly table, no second pass over the cube.
+    """
+    land = F.sum("n_valid").over(Window.partitionBy(*keys)) == 0
+    out = yearly.withColumn("_land", land)
+    return out.withColumns({c: F.when(~F.col("_land"), F.col(c)) for c in cols}).drop("_land", "n_valid")

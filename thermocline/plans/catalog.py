@@ -398,14 +398,14 @@ def q_apply_along_time(spark, sf_dir):
 
 @query("mhw_days")
 def q_mhw_days(spark, sf_dir):
-    c, _, _, mask = mhw_parts(spark, sf_dir)
-    return select.mask_apply(runs.days_per_year(mask, "mhw"), select.land_mask(c), ["days"])
+    _, _, _, mask = mhw_parts(spark, sf_dir)
+    return runs.null_on_land(runs.days_per_year(mask, "mhw"), ["days"])
 
 
 @query("mhw_events")
 def q_mhw_events(spark, sf_dir):
-    c, _, _, mask = mhw_parts(spark, sf_dir)
-    return select.mask_apply(runs.events_per_year(mask, "mhw", MHW_MIN_DAYS), select.land_mask(c), ["events"])
+    _, _, _, mask = mhw_parts(spark, sf_dir)
+    return runs.null_on_land(runs.events_per_year(mask, "mhw", MHW_MIN_DAYS), ["events"])
 
 
 @query("mhw_pipeline")

@@ -88,12 +88,11 @@ def mhw_pipeline(cube: DataFrame, q: float = 0.9, min_days: int = 5, half_window
     thr = extremes.doy_threshold(c, q, half_window, axis=axes["doy"], dense=False)
     ex = extremes.exceedance(c, thr, ndigits=ndigits)
     mask = runs.mark_runs(ex, "exceed", min_days, out="mhw")
-    land = select.land_mask(c)
-    days = select.mask_apply(runs.days_per_year(mask), land, ["days"])
-    events = select.mask_apply(runs.events_per_year(mask, "mhw", min_days), land, ["events"])
+    days = runs.null_on_land(runs.days_per_year(mask), ["days"])
+    events = runs.null_on_land(runs.events_per_year(mask, "mhw", min_days), ["events"])
     lat_axis = axis_frame(c.sparkSession, axes["lat"], "lat_idx", "lat")
     lon_axis = axis_frame(c.sparkSession, axes["lon"], "lon_idx", "lon")
-    out = {"threshold": thr, "mask": mask, "days": days, "events": events, "land": land}
+    out = {"threshold": thr, "mask": mask, "days": days, "events": events}
     if days_block:
         out["days_ds"] = grid.coarsen(days, *days_block, value="days", time="year", boundary="trim",
                                       lat_axis=lat_axis, lon_axis=lon_axis)
