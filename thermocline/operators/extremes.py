@@ -186,7 +186,7 @@ def doy_axis(cube: DataFrame) -> list[int]:
 
 
 def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: list[int] | None = None,
-                  dense: bool = True) -> DataFrame:
+                  dense: bool = True, cells: DataFrame | None = None) -> DataFrame:
     """Per cell and day of year: the ``q`` quantile of all years' values within ``half_window``
     positions on the circular day-of-year axis (linear interpolation, missing values skipped).
 
@@ -197,6 +197,8 @@ def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: l
 
     ``dense`` returns every axis position for every cell (the threshold cube); without it only
     the positions where the cell has data, which is all a lookup by the cube's rows needs.
+    ``cells`` (``lat_idx, lon_idx, lat, lon``, one row per cell) feeds the dense spine; build it
+    with a partial aggregate before repartitioning the cube, so it costs a tiny shuffle.
     """
     axis = axis if axis is not None else doy_axis(cube)
     n = len(axis)
@@ -211,7 +213,8 @@ def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: l
     rows = rows.join(F.broadcast(ax_df), "d").select(*CELL, "lat", "lon", "pos", "vs")
     if dense:
         # One row per cell (partial aggregate), then every position; merged with the data rows.
-        spine = cube.groupBy(*CELL).agg(*cell_labels()).select(
+        cells = cells if cells is not None else cube.groupBy(*CELL).agg(*cell_labels())
+        spine = cells.select(
             *CELL, "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"),
             F.array().cast("array<double>").alias("vs"),
         )

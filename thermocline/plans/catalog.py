@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from thermocline.functions.scalar import round_arith
 from thermocline.functions.time import decimal_year, time_parts
 from thermocline.model import CELL, by_cell
+from thermocline.operators.common import cell_labels
 from thermocline.functions.scalar import clip_scale
 from thermocline.operators import clim, extremes, roll, runs, select, trend, udf
 from thermocline.operators import grid as grid_ops
@@ -258,8 +259,9 @@ ROLL_ROWS = 51  # 3 * int(52 / 3)
 
 
 def anom9(spark, sf_dir) -> DataFrame:
-    """Monthly anomalies rounded to 9 places (the comparison convention)."""
-    return clim.anomaly(grid(spark, sf_dir), ndigits=CMP_DIGITS)
+    """Monthly anomalies rounded to 9 places (the comparison convention), on the grid
+    partitioned by cell once so every later per-cell step reuses that shuffle."""
+    return clim.anomaly(by_cell(grid(spark, sf_dir)), ndigits=CMP_DIGITS)
 
 
 @query("trend_map")
@@ -374,7 +376,10 @@ def mhw_parts(spark, sf_dir):
 
 @query("doy_threshold")
 def q_doy_threshold(spark, sf_dir):
-    return rounded(extremes.doy_threshold(grid(spark, sf_dir), MHW_Q).drop("lat", "lon"))
+    g = grid(spark, sf_dir)
+    doys = extremes.doy_axis(g)  # metadata pass before the cell shuffle
+    cells = g.groupBy(*CELL).agg(*cell_labels())  # partial aggregate: one row per cell and task moves
+    return rounded(extremes.doy_threshold(by_cell(g), MHW_Q, axis=doys, cells=cells).drop("lat", "lon"))
 
 
 @query("exceedance")
