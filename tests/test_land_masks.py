@@ -100,3 +100,24 @@ def test_time_selection_is_inclusive(spark):
     assert select.frame_at(cube, -1).first()["t"] == dt.date(2000, 1, 3)
     assert select.frame_at(cube, 0).first()["t"] == dt.date(1999, 12, 30)
     assert select.last_frame(cube).first()["t"] == dt.date(2000, 1, 3)
+
+
+def test_null_on_land_from_yearly_counts(spark):
+    from thermocline.operators import runs
+
+    rows = [(d, 0, j, None if j == 0 else 1.0) for d in days("2000-12-30", 4) for j in range(2)]
+    cube = make_cube(spark, rows).withColumn("mhw", F.lit(True))
+    out = {(r["lon_idx"], r["year"]): r["days"] for r in runs.null_on_land(runs.days_per_year(cube), ["days"]).collect()}
+    assert out == {(0, 2000): None, (0, 2001): None, (1, 2000): 2, (1, 2001): 2}
+
+
+def test_cube_axes_and_literal_arrays(spark):
+    from thermocline.functions.scalar import lit_array
+    from thermocline.model import cube_axes
+
+    rows = [(d, i, j, 1.0) for d in days("2000-02-28", 3) for i in range(2) for j in range(3)]
+    ax = cube_axes(make_cube(spark, rows, dlat=0.25), time=True, doy=True)
+    assert ax["lat"] == [(0, 10.0), (1, 10.25)] and [i for i, _ in ax["lon"]] == [0, 1, 2]
+    assert ax["time"] == days("2000-02-28", 3) and ax["doy"] == [59, 60, 61]
+    got = spark.range(1).select(lit_array([3, 1, 2]).alias("a"), lit_array([0.1, -2.5]).alias("b")).first()
+    assert got["a"] == [3, 1, 2] and got["b"] == [0.1, -2.5]
