@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 
 
 def write_store(df: DataFrame, path: str, partition_by=("year",), mode: str = "overwrite",
-                sort_by=("lat_idx", "lon_idx")) -> None:
-    """Write a partitioned Parquet store, sorted inside files so row-group statistics prune cells."""
+                sort_by=("lat_idx", "lon_idx"), range_by: str = "t") -> None:
+    """Write a partitioned Parquet store whose files are sorted by cell.
+
+    Rows are range-partitioned on time first, so each task covers a contiguous period and
+    writes few files (not one file per year per task); inside a task they are sorted by the
+    partition columns and then the cell, so the writer keeps that order and row-group
+    statistics on ``lat_idx`` / ``lon_idx`` let later cell filters skip data.
+    """
     out = df
     for c in partition_by:
         if c not in out.columns and c == "year":
             out = out.withColumn("year", F.year("t").cast("int"))
-    if sort_by:
-        out = out.sortWithinPartitions(*[c for c in sort_by if c in out.columns])
+    rcol = range_by if range_by in out.columns else partition_by[0]
+    out = out.repartitionByRange(rcol)
+    out = out.sortWithinPartitions(*partition_by, *[c for c in sort_by if c in out.columns])
     out.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
