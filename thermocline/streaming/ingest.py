@@ -42,7 +42,8 @@ def ingest_cube_files(spark: SparkSession, src: str, store: str, checkpoint: str
 
     def append(batch: DataFrame, batch_id: int) -> None:
         # One row per (t, cell) within the batch; partial aggregation keeps copies local.
-        out = batch.dropDuplicates(["t", *CELL]).sortWithinPartitions(*CELL, "t")
+        # Sorted by the partition column first, so the writer keeps the cell order in files.
+        out = batch.dropDuplicates(["t", *CELL]).sortWithinPartitions("year", *CELL, "t")
         # Each micro-batch owns one folder, written in overwrite mode: a batch replayed after a
         # failure replaces its own output instead of appending it twice.
         out.write.mode("overwrite").partitionBy("year").parquet(f"{store.rstrip('/')}/batch={batch_id}")
