@@ -94,3 +94,19 @@ def test_concat_drops_repeated_steps(spark):
     piece = c.where("t = date'2000-01-02'")
     assert cube_io.concat_time([c, piece, piece]).count() == 10
     assert cube_io.concat_time([c, piece], dedupe=False).count() == 12
+
+
+def test_store_files_are_sorted_by_cell(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = [(d, i, j, float(i + j)) for d in days("2000-12-20", 30) for i in range(5) for j in range(3)]
+    c = make_cube(spark, rows).repartition(6)  # scrambled order
+    store.write_store(c, str(tmp_path / "st"))
+    files = glob.glob(str(tmp_path / "st" / "year=*" / "*.parquet"))
+    assert files
+    for f in files:
+        t = pq.read_table(f).to_pandas()
+        key = list(zip(t["lat_idx"], t["lon_idx"]))
+        assert key == sorted(key), f
