@@ -52,7 +52,7 @@ def with_outputs(df: DataFrame, columns: list[str], outputs: dict[str, Column])
     """The payload's columns and then ``outputs``; an input column named like an output gives way to it."""
     taken = {c.lower() for c in outputs}
     kept = [F.col(ROW).getField(c).alias(c) for c in columns if c.lower() not in taken]
-    return df.select(*kept, *[c.alias(n) for n, c in outputs.items()])
+    return df.select(*kept, *[c.alias(n) for n, c in outputs.items()])  # getField takes names with dots as they are
 
 
 def seeded_hash(seed: int, *cols: Column) -> Column:

@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from thermocline.llm.common import ROW, as_payload, with_outputs
 
 WINDOW = 13
 #: Words of the items that one automaton may hold; more items make more automata, passed one after the other.
@@ -146,7 +149,8 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) ->
     return [b for b in blocks if b]
 
 
-SCHEMA = "n_words long, n_hit long, items array<string>, longest int, spans array<struct<first:int,last:int>>"
+SCHEMA = T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("longest", "integer")
+SCHEMA = SCHEMA.add("spans", T.ArrayType(T.StructType().add("first", "integer").add("last", "integer")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, one_in: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -164,15 +168,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     blocks = item_blocks(items, item_id, item_text, block_words)
     # one broadcast per block, each bounded by block_words; a task builds an automaton when it first needs it
     shared = [spark.sparkContext.broadcast(b) for b in blocks]
-    keep = [c for c in docs.columns if c.lower() not in {"n_words", "n_hit", "items", "longest", "spans", "contaminated"}]
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_scan"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1]) + ", " + SCHEMA
+    place = docs.columns.index(text)
+    base = docs.select(as_payload(docs))
+    schema = T.StructType([*base.schema.fields, *SCHEMA.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [ItemAutomaton(b.value, window) for b in shared]
         for batch in batches:
             cols: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "items", "longest", "spans")}
-            for t in batch.column(batch.num_columns - 1):
+            for t in batch.column(0).field(place):
                 words = words_of(t.as_py())
                 hit = np.zeros(len(words), bool)
                 found: set[str] = set()
@@ -188,8 +192,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
                 cols["longest"].append(longest)
                 cols["spans"].append([{"first": int(a), "last": int(b) - 1} for a, b in edge.reshape(-1, 2)])
             kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "longest": pa.int32(), "spans": pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))}
-            out = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(cols[k], kinds[k]) for k in cols]
-            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], *cols])
+            out = [batch.column(0), *[pa.array(cols[k], kinds[k]) for k in cols]]
+            yield pa.RecordBatch.from_arrays(out, names=[ROW, *cols])
 
     out = base.mapInArrow(run, schema)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))
+    found = {c: F.col(c) for c in ("n_words", "n_hit", "items", "longest", "spans")}
+    return with_outputs(out, docs.columns, found | {"contaminated": (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words"))})

@@ -15,6 +15,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from thermocline.llm.common import ROW, as_payload, with_outputs
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most (the first by a hash of their key).
@@ -103,8 +106,8 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
     spark = docs.sparkSession
     at = np.array(sorted(weights), np.int64)
     shared = spark.sparkContext.broadcast((at, np.array([weights[i] for i in at.tolist()])))  # 2^20 at most
-    keep = [c for c in docs.columns if c.lower() != "score"]
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_scan"))
+    place = docs.columns.index(text)
+    base = docs.select(as_payload(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values = shared.value
@@ -113,17 +116,17 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
         seen: dict[bytes, int] = {}
         for b in batches:
             out = np.zeros(b.num_rows)
-            for i, t in enumerate(b.column(b.num_columns - 1)):
+            for i, t in enumerate(b.column(0).field(place)):
                 x = features(t.as_py(), seen)
                 x = np.unique(x[dense[x] != 0])
                 out[i] = dense[1 << BITS] + dense[x].sum()
             out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=[ROW, "p"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(run, f"{schema}, score double")
+    out = base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("p", T.DoubleType())]))
+    return with_outputs(out, docs.columns, {"score": F.col("p")})
 
 
 def filter_toxic(docs: DataFrame, weights: dict[int, float], text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``; columns as they are (but for one named score)."""
+    """The rows of ``docs`` that score below ``limit``; columns as they are (an input column ``score`` is lost)."""
     return score(docs, weights, text).where(F.col("score") < limit).drop("score")
