@@ -24,9 +24,9 @@ from thermocline.llm.common import scratch, shuffle_partitions, worker_state, wr
 END = 0
 BLOCK_IDS = 1 << 20
 #: Bytes of text that are split into pieces at once.
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 #: Distinct pieces whose ids a worker process keeps from chunk to chunk.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 2_000_000
 
 
 # ---- encoding of texts -------------------------------------------------------------------------
@@ -79,9 +79,19 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.used = np.zeros(0, np.uint64), np.zeros(0, bool)
         self.where, self.count, self.table = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
+    def _forget_unused(self) -> None:
+        """Keeps the pieces that were looked up again since they were learnt or last kept; none if these are most."""
+        kept = np.flatnonzero(self.used)
+        if 2 * len(kept) > KEPT_PIECES:
+            return self._forget()
+        n, at = self.count[kept], self.where[kept]
+        end = np.cumsum(n, dtype=np.int32)
+        self.table = self.table[np.arange(end[-1] if len(end) else 0, dtype=np.int32) + np.repeat(at - (end - n), n)]
+        self.keys, self.where, self.count, self.used = self.keys[kept], end - n, n, np.zeros(len(kept), bool)
+
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
@@ -112,12 +122,11 @@ class Encoder:
                 each = self.plain([p.decode() for p in mine])
                 got = np.concatenate([np.zeros(0, np.uint32), *each]), np.fromiter(map(len, each), np.int64, len(each))
             ids, n = got
-            self.keys = np.concatenate((self.keys, keys[chosen]))
-            self.where = np.concatenate((self.where, (len(self.table) + np.cumsum(n) - n).astype(np.int32)))
-            self.count = np.concatenate((self.count, n.astype(np.int32)))
+            place = np.searchsorted(self.keys, keys[chosen])  # both are sorted
+            begin = (len(self.table) + np.cumsum(n) - n).astype(np.int32)
+            self.keys, self.where = np.insert(self.keys, place, keys[chosen]), np.insert(self.where, place, begin)
+            self.count, self.used = np.insert(self.count, place, n.astype(np.int32)), np.insert(self.used, place, False)
             self.table = np.concatenate((self.table, ids))
-        order = np.argsort(self.keys)
-        self.keys, self.where, self.count = self.keys[order], self.where[order], self.count[order]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode() for t in texts]
@@ -131,14 +140,17 @@ class Encoder:
         lens = np.diff(at, append=len(data))
         keys, first, which = np.unique(self._hash(data, at, lens), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > KEPT_PIECES:
-            self._forget()
-        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
+            self._forget_unused()
+        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.used[place[known]] = True
+        new = np.flatnonzero(~known)
         if len(new):
             self._learn(keys[new], [blob[a : a + n] for a, n in zip(at[first[new]].tolist(), lens[first[new]].tolist(), strict=True)])
-        known = np.searchsorted(self.keys, keys)
-        n = self.count[known][which]
+        at_key = np.searchsorted(self.keys, keys)
+        n = self.count[at_key][which]
         end = np.cumsum(n)
-        flat = self.table[np.arange(end[-1], dtype=np.int32) + np.repeat(self.where[known][which] - (end - n).astype(np.int32), n)]
+        flat = self.table[np.arange(end[-1], dtype=np.int32) + np.repeat(self.where[at_key][which] - (end - n).astype(np.int32), n)]
         before = np.concatenate(([0], end))[np.searchsorted(at, docs)]  # an empty text begins where the next one does
         return np.split(flat, before[1:])
 
