@@ -113,8 +113,23 @@ def test_frames_are_dense_and_clipped(spark):
     rows = [(d, i, j, float(i * 10 + j)) for d in days("2000-01-01", 5) for i in range(3) for j in range(4)
             if not (i == 1 and j == 2)]
     cube = make_cube(spark, rows)
-    fr = grid.frames(cube, "sst", every=2, lo=0.0, hi=15.0).orderBy("t").collect()
-    assert [r["time_idx"] for r in fr] == [0, 2, 4]
-    m = fr[0]["frame"]
-    assert len(m) == 3 and all(len(row) == 4 for row in m)
+    fr = grid.frames(cube, "sst", every=2, lo=0.0, hi=15.0).orderBy("t", "lat_idx").collect()
+    assert [(r["time_idx"], r["lat_idx"]) for r in fr] == [(t, i) for t in (0, 2, 4) for i in range(3)]
+    m = [r["row"] for r in fr[:3]]
+    assert all(len(row) == 4 for row in m)
     assert m[1][2] is None and m[0][3] == 3.0 and m[2][3] == 15.0  # 23 clipped to 15
+    cells = grid.frame_cells(grid.frames(cube, "sst", every=2, lo=0.0, hi=15.0)).collect()
+    assert len(cells) == 3 * 3 * 4 and sum(r["v"] is None for r in cells) == 3
+
+
+def test_missing_values_stay_missing_when_clipped(spark):
+    rows = [(days("2000-01-01", 1)[0], 0, 0, None), (days("2000-01-01", 1)[0], 0, 1, 99.0), (days("2000-01-01", 1)[0], 1, 1, -5.0)]
+    cube = make_cube(spark, rows)
+    got = {(r["lat_idx"], r["lon_idx"]): r["v"] for r in grid.frame_cells(grid.frames(cube, "sst", every=1, lo=0.0, hi=15.0)).collect()}
+    assert got == {(0, 0): None, (0, 1): 15.0, (1, 0): None, (1, 1): 0.0}
+    from pyspark.sql import functions as F
+
+    from thermocline.functions.scalar import clip_scale
+
+    out = [r[0] for r in cube.orderBy("lat_idx", "lon_idx").select(clip_scale(F.col("sst"), 0.0, 10.0, scale=True)).collect()]
+    assert out == [None, 1.0, 0.0]

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import days, make_cube
-from thermocline.model import by_cell
-from thermocline.operators import clim, extremes, roll, runs, select
+from thermocline.model import by_cell, index_axes, time_axis
+from thermocline.operators import clim, extremes, grid, roll, runs, select
 from thermocline.sources import cube as cube_io
 from thermocline.sources import store
 
@@ -29,19 +29,51 @@ def stored(spark, tmp_path_factory):
 
 
 def test_series_pipeline_shuffles_once(spark, stored):
-    c = cube_io.load_cube(spark, stored, dedupe=False)
-    an = clim.anomaly(by_cell(c))
-    out = roll.rolling_mean(an, "anom", 51)
+    c = cube_io.load_cube(spark, stored)
+    axis = time_axis(c)
+    out = roll.rolling_mean(clim.anomaly(by_cell(c)), "anom", 51, axis=axis)
     assert _exchanges(out) == 1
     # de-duplicating steps at load costs exactly one more (partially aggregated) exchange
-    d = roll.rolling_mean(clim.anomaly(by_cell(cube_io.load_cube(spark, stored))), "anom", 51)
+    d = roll.rolling_mean(clim.anomaly(by_cell(cube_io.load_cube(spark, stored, dedupe=True))), "anom", 51, axis=axis)
     assert _exchanges(d) == 2
 
 
+def test_one_read_and_one_cell_shuffle(spark, stored):
+    """Resampling, unstacking and the reference mask read their input once."""
+    c = cube_io.load_cube(spark, stored)
+    axis = time_axis(c)
+    for out in (roll.rolling_sme(clim.anomaly(by_cell(c)), axis=axis), grid.unstack_year(c, axis=axis)):
+        assert _exchanges(out) == 1 and _plan(out).count("FileScan") == 1
+    assert _plan(select.reference_mask(c)).count("FileScan") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        masked = select.mask_reference(by_cell(c), c, axes=index_axes(c))
+        out = roll.rolling_mean(clim.anomaly(masked), "anom", 51, axis=axis)
+        assert not re.search(r"hashpartitioning\(lat#|hashpartitioning\(lon#", _plan(out))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_axes_plan_as_fast_as_short_ones(spark):
+    import time
+
+    pts = spark.createDataFrame([(k, k * 0.01 - 80, k * 0.02) for k in range(1000)], "point_id long, lat double, lon double")
+    took = []
+    for n in (4, 36_000):
+        lats, lons = [(i, -90 + 180 * i / n) for i in range(n // 2)], [(i, 360 * i / n) for i in range(n)]
+        t0 = time.perf_counter()
+        out = select.nearest_point(None, pts, axes=(lats, lons))
+        took.append(time.perf_counter() - t0)
+    assert took[1] < took[0] + 10
+    r = out.where("point_id = 500").first()
+    assert abs(r["lat"] + 75) < 0.006 and abs(r["lon"] - 10) < 0.006
+
+
 def test_runs_reuse_cell_partitioning(spark, stored):
     c = by_cell(cube_io.load_cube(spark, stored, dedupe=False)).withColumn("f", F.col("sst") > 5)
-    mask = runs.mark_runs(c, "f", 5, out="mhw")
-    ev = runs.events_per_year(mask, "mhw", 5)
+    axis = time_axis(c)
+    mask = runs.mark_runs(c, "f", 5, out="mhw", axis=axis)
+    ev = runs.yearly_runs(mask, "mhw", 5, axis=axis)
     assert _exchanges(ev) == 1
 
 
@@ -49,7 +81,7 @@ def test_bucketed_store_needs_no_shuffle(spark, stored, tmp_path):
     c = cube_io.load_cube(spark, stored, dedupe=False)
     store.write_bucketed(c, "cube_bucketed_test", 4, path=str(tmp_path / "b"))
     b = spark.table("cube_bucketed_test")
-    out = roll.rolling_mean(clim.anomaly(b), "anom", 51)
+    out = roll.rolling_mean(clim.anomaly(b), "anom", 51, axis=time_axis(c))
     assert _exchanges(out) == 0
 
 
@@ -79,9 +111,9 @@ def test_threshold_attach_does_not_reshuffle(spark, stored):
 
 
 def test_no_nested_loop_or_cartesian_in_catalog(spark):
-    import __spark_entry__ as E
+    from thermocline.plans.catalog import QUERIES
 
     sf = "/root/testdata/sf0.001"
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         p = _plan(q(spark, sf))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name

@@ -21,11 +21,11 @@ def test_exact_quantiles_small(spark):
 
 
 def test_exact_quantiles_refinement_path(spark):
-    """Force the bucket search (tiny exact limit) and check it against NumPy."""
+    """Several rounds of the bucket search against NumPy."""
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25)])  # a value holding 40% of rows
     qs = [0.001, 0.3, 0.5, 0.75, 0.999]
-    got = exact_quantiles(_df(spark, v), "x", qs, exact_distinct=64, buckets=16)
+    got = exact_quantiles(_df(spark, v), "x", qs, buckets=16)
     assert got == pytest.approx(list(np.quantile(v, qs)), abs=1e-12)
 
 
@@ -63,6 +63,18 @@ def test_kde_scott_bandwidth(spark):
     assert out[0]["kde"] == pytest.approx(k0, rel=1e-9)
 
 
+def test_kde_scaled_to_counts(spark):
+    """A histogram's curve: from the first to the last year with events, density x events x one year."""
+    counts = [(1990, 0), (1991, 2), (1992, 5), (1993, 1), (1994, 3), (1995, 0)]
+    out = extremes.kde_years(_per_year(spark, counts), bw="scott", points=200, scale="counts").orderBy("i").collect()
+    years = np.repeat([y for y, _ in counts], [n for _, n in counts]).astype(float)
+    h = len(years) ** -0.2 * years.std(ddof=1)
+    x = np.linspace(1991, 1994, 200)
+    k = np.exp(-0.5 * ((x[:, None] - years[None, :]) / h) ** 2).sum(1) / (h * math.sqrt(2 * math.pi))
+    assert [r["year_x"] for r in out] == pytest.approx(list(x), abs=1e-12)
+    assert [r["kde_scaled"] for r in out] == pytest.approx(list(k), rel=1e-9)
+
+
 def test_kde_needs_two_years(spark):
     assert extremes.kde_years(_per_year(spark, [(1999, 0), (2000, 7), (2001, 0)])).count() == 0
     assert extremes.kde_years(_per_year(spark, [(2000, 1)])).count() == 0
@@ -86,5 +98,5 @@ def test_exact_quantiles_heavy_value_anywhere(spark, heavy):
     rng = np.random.default_rng(4)
     v = np.concatenate([rng.uniform(-3, 3, size=1500), np.full(800, heavy)])
     qs = [0.0, 0.2, 0.5, 0.9, 1.0]
-    got = exact_quantiles(_df(spark, v), "x", qs, exact_distinct=32, buckets=8)
+    got = exact_quantiles(_df(spark, v), "x", qs, buckets=8)
     assert got == pytest.approx(list(np.quantile(v, qs)), abs=1e-12)

@@ -38,7 +38,7 @@ def _series():
     on("2000-12-27", 10)           # 5 in 2000, 5 in 2001
     on("2000-12-05", 7); flag[dt.date(2000, 12, 8)] = None   # NULL splits 3 / 3
     on("2001-01-15", 6)
-    del flag[dt.date(2001, 1, 17)]  # missing date: rows stay adjacent -> run of 5 rows
+    del flag[dt.date(2001, 1, 17)]  # a date this cell lacks: 2 / 3
     return flag
 
 
@@ -47,24 +47,54 @@ def _frame(spark, flag, cell=(0, 0)):
     return spark.createDataFrame(rows, "t date, lat_idx int, lon_idx int, f boolean")
 
 
+def _two_cells(spark):
+    """The series as cell (0, 0), and a neighbour that has every date."""
+    every = {d: False for d in days("2000-11-01", 92)}
+    return _frame(spark, _series()).unionByName(_frame(spark, every, (0, 1)))
+
+
 def test_mark_runs_matches_loop(spark):
+    """A step the cell lacks but its neighbour has ends a run, as in a dense cube."""
     flag = _series()
-    df = _frame(spark, flag)
-    got = [r["in_run"] for r in runs.mark_runs(df, "f", 5).orderBy("t").collect()]
-    want = _loop_runs([bool(v) for _, v in sorted(flag.items())], 5)
-    assert got == want
-    assert sum(got) == 5 + 6 + 10 + 5
+    rows = runs.mark_runs(_two_cells(spark), "f", 5).orderBy("t").collect()
+    got = [r["in_run"] for r in rows if r["lon_idx"] == 0]
+    every = days("2000-11-01", 92)
+    want = dict(zip(every, _loop_runs([bool(flag.get(d)) for d in every], 5)))
+    assert got == [want[d] for d in sorted(flag)]
+    assert sum(got) == 5 + 6 + 10 and not any(r["in_run"] for r in rows if r["lon_idx"] == 1)
+
+
+def test_runs_and_windows_of_a_cell_that_lacks_a_step(spark):
+    from thermocline.operators import roll
+
+    ds = days("2001-01-01", 7)
+    rows = [(d, 0, j, True, 1.0) for d in ds for j in range(2) if (d, j) != (ds[3], 0)]
+    df = spark.createDataFrame(rows, "t date, lat_idx int, lon_idx int, f boolean, sst double")
+    marked = {j: 0 for j in range(2)}
+    for r in runs.mark_runs(df, "f", 5).collect():
+        marked[r["lon_idx"]] += r["in_run"]
+    assert marked == {0: 0, 1: 7}
+    rolled = [r["lon_idx"] for r in roll.rolling_mean(df, "sst", 5).where("rolled is not null").collect()]
+    assert rolled == [1, 1, 1]
+    assert [r["in_run"] for r in udf.mark_runs_pandas(df, "f", 5).where("lon_idx = 0").collect()] == [False] * 6
+
+
+def test_years_without_rows_count_zero(spark):
+    rows = [(d, 0, j, True) for d in days("2000-01-01", 3) + days("2002-05-01", 6) for j in range(2) if (d.year, j) != (2002, 1)]
+    df = spark.createDataFrame(rows + [(dt.date(2001, 1, 1), 0, 0, False)], "t date, lat_idx int, lon_idx int, mhw boolean")
+    got = {(r["lon_idx"], r["year"]): (r["days"], r["events"]) for r in runs.yearly_runs(df, "mhw", 5).collect()}
+    assert got == {(0, 2000): (3, 0), (0, 2001): (0, 0), (0, 2002): (6, 1), (1, 2000): (3, 0), (1, 2001): (0, 0), (1, 2002): (0, 0)}
+    d = {(r["lon_idx"], r["year"]): r["days"] for r in runs.days_per_year(df).collect()}
+    assert d == {k: v[0] for k, v in got.items()}
 
 
 def test_days_and_events_cut_at_new_year(spark):
-    flag = _series()
-    mask = runs.mark_runs(_frame(spark, flag), "f", 5, out="mhw")
-    d = {r["year"]: r["days"] for r in runs.days_per_year(mask).collect()}
-    e = {r["year"]: r["events"] for r in runs.events_per_year(mask, "mhw", 5).collect()}
-    assert d == {2000: 5 + 6 + 5, 2001: 5 + 5}
-    # 2000: the 5-day, the 6-day run and the 5-day piece of the New Year run; 2001: its 5-day
-    # piece and the run with a missing date (5 rows).
-    assert e == {2000: 3, 2001: 2}
+    mask = runs.mark_runs(_two_cells(spark), "f", 5, out="mhw")
+    d = {r["year"]: r["days"] for r in runs.days_per_year(mask).where("lon_idx = 0").collect()}
+    e = {r["year"]: r["events"] for r in runs.events_per_year(mask, "mhw", 5).where("lon_idx = 0").collect()}
+    assert d == {2000: 5 + 6 + 5, 2001: 5}
+    # 2000: the 5-day, the 6-day run and the 5-day piece of the New Year run; 2001: its 5-day piece.
+    assert e == {2000: 3, 2001: 1}
 
 
 def test_new_year_piece_too_short(spark):

@@ -30,16 +30,95 @@ def test_load_parquet_csv_json(spark, tmp_path):
         assert got == {(40.5, 0), (39.5, 1), (38.5, 2)}  # descending latitude axis
 
 
-def test_multi_file_concat_skips_other_and_broken_files(spark, tmp_path):
+def test_multi_file_concat_skips_other_files_and_fails_on_broken_ones(spark, tmp_path):
     d = tmp_path / "daily"
     _raw(spark).where("t = date'2001-01-01'").write.parquet(str(d / "a"))
     _raw(spark).where("t = date'2001-01-02'").write.parquet(str(d / "b"))
     for f in os.listdir(d / "b"):
         if f.endswith(".parquet"):
             os.rename(d / "b" / f, d / "b" / "part.txt")  # other extension: ignored
-    (d / "broken.parquet").write_bytes(b"not parquet")
-    c = cube_io.load_cube(spark, [str(d / "a"), str(d / "b"), str(d / "broken.parquet")], glob="*.parquet")
+    c = cube_io.load_cube(spark, [str(d / "a"), str(d / "b")], glob="*.parquet")
     assert c.count() == 6
+    (d / "a" / "broken.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        cube_io.load_cube(spark, [str(d / "a"), str(d / "b")], glob="*.parquet").count()
+    good, bad = cube_io.readable_files(spark, str(d / "a"), glob="*.parquet")
+    assert [os.path.basename(f) for f in bad] == ["broken.parquet"]
+    assert cube_io.load_cube(spark, good).count() == 6
+
+
+def test_sub_daily_times_are_not_truncated(spark, tmp_path):
+    p = tmp_path / "csv"
+    p.mkdir()
+    (p / "a.csv").write_text("t,lat,lon,sst\n2001-01-01 06:00:00,1.5,2.5,3.0\n2001-01-01 18:00:00,1.5,2.5,4.0\n")
+    c = cube_io.load_cube(spark, str(p), fmt="csv", time_type="timestamp_ntz", dedupe=True)
+    assert dict(c.dtypes)["t"] == "timestamp_ntz"
+    assert sorted((r["t"].hour, r["sst"]) for r in c.collect()) == [(6, 3.0), (18, 4.0)]
+    with pytest.raises(Exception, match="time of day"):
+        cube_io.load_cube(spark, str(p), fmt="csv").collect()
+
+
+def test_labels_off_the_axis_are_an_error(spark):
+    from thermocline.model import axis_frame, off_axis_rows
+
+    d = days("2001-01-01", 1)[0]
+    raw = spark.createDataFrame([(d, 1.0, 5.0, 1.0), (d, 2.0, 5.0, 1.0), (d, None, 5.0, 1.0), (d, 1.0, 6.0, 1.0)], "t date, lat double, lon double, sst double")
+    lat, lon = axis_frame(spark, [(0, 1.0)], "lat_idx", "lat"), axis_frame(spark, [(0, 5.0)], "lon_idx", "lon")
+    assert cube_io.index_cube(raw.limit(1), lat_axis=lat, lon_axis=lon).count() == 1
+    with pytest.raises(Exception, match="not on its axis"):
+        cube_io.index_cube(raw, lat_axis=lat, lon_axis=lon).collect()
+    with pytest.raises(Exception, match="not on its axis"):
+        cube_io.index_cube(raw).collect()  # a NULL label has no place on a derived axis either
+    assert sorted((r["lat"] or 0, r["lon"]) for r in off_axis_rows(raw, lat, lon).collect()) == [(0, 5.0), (1.0, 6.0), (2.0, 5.0)]
+
+
+def test_conflicting_copies_keep_a_stated_value(spark):
+    d = days("2001-01-01", 1)[0]
+    c = make_cube(spark, [(d, 0, 0, None), (d, 0, 0, 9.0), (d, 0, 0, 7.5), (d, 0, 1, None), (d, 0, 1, None)])
+    assert {r["lon_idx"]: r["sst"] for r in cube_io.dedupe_steps(c).collect()} == {0: 7.5, 1: None}
+
+
+def test_more_steps_and_points_than_the_broadcast_limit(spark, monkeypatch):
+    from thermocline import model
+    from thermocline.operators import select
+
+    monkeypatch.setattr(model.small_or_plain, "__defaults__", (3,))
+    ds = days("2001-01-01", 8)
+    c = make_cube(spark, [(d, i, j, float(i + j)) for d in ds for i in range(5) for j in range(4)])
+    assert {(r["t"], r["time_idx"]) for r in model.with_time_index(c).collect()} == {(d, k) for k, d in enumerate(ds)}
+    pts = spark.createDataFrame([(k, 10.0 + k % 5 + 0.2, 100.0 + k % 4) for k in range(20)], "point_id long, lat double, lon double")
+    s = select.point_series(c, select.nearest_point(c, pts))
+    assert s.count() == 20 * 8 and s.where("sst <> lat_idx + lon_idx").count() == 0
+
+
+def test_axes_are_stored_beside_the_cube(spark, tmp_path):
+    from thermocline import model
+    from thermocline.operators import select
+
+    ds = days("2001-01-01", 5)
+    c = make_cube(spark, [(d, i, 0, 1.0 * i) for d in ds for i in range(2)])
+    model.write_axes(c, str(tmp_path / "axes"))
+    axes = model.read_axes(spark, str(tmp_path / "axes"))
+    assert [r["t"] for r in axes["time"].orderBy("time_idx").collect()] == ds and axes["lat"].count() == 2
+    assert {r["t"] for r in select.frame_at(c, -1, axes["time"]).collect()} == {ds[-1]}
+    with pytest.raises(IndexError):
+        select.frame_at(c, 9, axes["time"])
+    # with stored axes, building the operators reads the axes only: a cube that cannot be read is no trouble
+    from pyspark.sql import functions as F
+
+    from thermocline.operators import grid, roll, runs
+
+    never = c.select([F.when(F.raise_error(F.lit("the cube was read")).isNull(), F.col(n)).alias(n) for n in c.columns])
+    pairs = [[(r[0], r[1]) for r in axes[n].orderBy(f"{n}_idx").select(f"{n}_idx", n).collect()] for n in ("lat", "lon")]
+    select.stride_subsample(never, axis=axes["time"])
+    roll.rolling_mean(never, "sst", 3, axis=axes["time"])
+    runs.yearly_runs(never.withColumn("mhw", F.lit(True)), axis=axes["time"])
+    grid.unstack_year(never, axis=axes["time"])
+    grid.coarsen(never, 2, 1, axes=pairs)
+    select.nearest_point(never, spark.createDataFrame([(1, 10.0, 100.0)], "point_id long, lat double, lon double"), axes=pairs)
+    grid.frames(never, "sst", axes={"lat": pairs[0], "lon": pairs[1], "time": ds})
+    with pytest.raises(Exception, match="the cube was read"):
+        select.stride_subsample(never, axis=axes["time"]).collect()
 
 
 def test_decode_cf_time_and_values(spark):
@@ -58,19 +137,19 @@ def test_cube_stats(spark):
     assert (r["sst_min"], r["sst_max"]) == (1.0, 2.0)
 
 
-def test_materialize_reads_cache_on_second_call(spark, tmp_path):
-    calls = []
+def test_materialize_is_keyed_on_its_input(spark, tmp_path):
+    src, p = str(tmp_path / "src"), str(tmp_path / "cache" / "map")
+    spark.createDataFrame([(0, 0, 1.25)], "lat_idx int, lon_idx int, variability double").coalesce(1).write.parquet(src)
 
-    def build():
-        calls.append(1)
-        return spark.createDataFrame([(0, 0, 1.25)], "lat_idx int, lon_idx int, variability double")
+    def run(params=()):
+        return store.materialize(spark, p, lambda: spark.read.parquet(src), float_cols=["variability"], params=params)
 
-    p = str(tmp_path / "cache" / "map")
-    a = store.materialize(spark, p, build, float_cols=["variability"])
-    b = store.materialize(spark, p, build, float_cols=["variability"])
-    assert len(calls) == 1
-    assert dict(b.dtypes)["variability"] == "float" and b.first()["variability"] == 1.25
-    assert a.count() == 1
+    assert dict(run().dtypes)["variability"] == "float" and run().first()["variability"] == 1.25
+    assert len(os.listdir(p)) == 1  # the second call read the first one's files
+    run(params=[2])
+    assert len(os.listdir(p)) == 2
+    spark.createDataFrame([(0, 0, 7.5), (0, 1, 1.0)], "lat_idx int, lon_idx int, variability double").coalesce(1).write.mode("overwrite").parquet(src)
+    assert run().count() == 2 and len(os.listdir(p)) == 3
 
 
 def test_write_store_partitioned_by_year(spark, tmp_path):

@@ -23,3 +23,15 @@ def test_ingest_appends_only_new_files(spark, tmp_path):
     assert back.where("sst is null").count() == 4
     assert sorted(r["year"] for r in back.select("year").distinct().collect()) == [2000, 2001]
     assert back.select("batch").distinct().count() == 2
+
+
+def test_ingest_refuses_a_store_of_another_checkpoint(spark, tmp_path):
+    import pytest
+
+    src, store = str(tmp_path / "in"), str(tmp_path / "store")
+    os.makedirs(src)
+    make_cube(spark, [(d, 0, 0, 1.0) for d in days("2000-12-30", 3)]).write.parquet(src + "/f1")
+    ingest_cube_files(spark, src + "/*", store, str(tmp_path / "ck1")).awaitTermination()
+    with pytest.raises(ValueError, match="checkpoint"):
+        ingest_cube_files(spark, src + "/*", store, str(tmp_path / "ck2"))
+    assert spark.read.parquet(store).count() == 3

@@ -37,8 +37,8 @@ def exceed_flag(value: Column, threshold: Column, ndigits: int | None = None) ->
 
 
 def clip_scale(c: Column, lo: float, hi: float, scale: bool = False) -> Column:
-    """Clip to ``[lo, hi]``; optionally map the range to ``[0, 1]``."""
-    clipped = F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi)))
+    """Clip to ``[lo, hi]``; optionally map the range to ``[0, 1]``.  A missing value stays missing."""
+    clipped = F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))))
     if scale:
         return (clipped - F.lit(float(lo))) / F.lit(float(hi - lo))
     return clipped

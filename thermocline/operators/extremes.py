@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermocline.functions.scalar import exceed_flag, lit_array, sorted_array_quantile
-from thermocline.model import CELL
+from thermocline.model import CELL, axis_values, time_axis
 from thermocline.operators.common import cell_labels
 from thermocline.operators.quantile import exact_quantiles
 
@@ -102,18 +102,23 @@ def repeat_years(per_year: DataFrame, count: str = "n_extreme", keys=CELL) -> Da
 
 
 def kde_years(per_year: DataFrame, count: str = "n_extreme", keys=CELL, bw: float | str = 0.35,
-              points: int = 400) -> DataFrame:
-    """Gaussian density of the event years, evaluated on ``points`` grid points from the first
-    to the last year and scaled so that its peak equals the largest yearly count.
-
-    ``bw`` is the factor on the sample std of the repeated years (0.35 in the app; ``'scott'``
-    uses ``N ** -0.2``).  Cells with fewer than two events, or all events in one year, give no rows.
+              points: int = 400, scale: str = "peak") -> DataFrame:
+    """Gaussian density of the event years, evaluated on ``points`` grid points.
+
+    ``scale='peak'`` (the app's curve): from the first to the last year of the series, scaled so
+    that its peak equals the largest yearly count.  ``scale='counts'`` (a histogram's overlaid
+    curve): from the first to the last year *with events*, scaled to density x events x
+    bin width of one year.  ``bw`` is the factor on the sample std of the repeated years (0.35
+    in the app; ``'scott'`` uses ``N ** -0.2``).  Cells with fewer than two events, or all events in one year, give no rows.
     The yearly counts of a cell (one entry per year) are folded with array functions, so no
     pairs of rows are formed, and the peak is the maximum of the cell's own array.
     """
+    if scale not in ("peak", "counts"):
+        raise ValueError(scale)
+    seen = F.col("year") if scale == "peak" else F.when(F.col(count) > 0, F.col("year"))
     per = per_year.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(F.col("year").alias("year"), F.col(count).alias("n")))).alias("yc"),
-        F.min("year").alias("y0"), F.max("year").alias("y1"), F.max(count).alias("nmax"),
+        F.min(seen).alias("y0"), F.max(seen).alias("y1"), F.max(count).alias("nmax"),
     )
     per = per.withColumn("N", F.aggregate("yc", F.lit(0.0), lambda a, s: a + s["n"].cast("double")))
     mean = F.aggregate("yc", F.lit(0.0), lambda a, s: a + s["n"].cast("double") * s["year"].cast("double")) / F.col("N")
@@ -136,12 +141,13 @@ def kde_years(per_year: DataFrame, count: str = "n_extreme", keys=CELL, bw: floa
             lambda a, s: a + s["n"].cast("double") * F.exp(F.lit(-0.5) * F.pow((x - s["year"].cast("double")) / F.col("h"), 2)),
         ) / norm,
     )
-    per = per.select(*keys, "nmax", "xs", dens.alias("kdes"))
+    per = per.select(*keys, "nmax", "N", "xs", dens.alias("kdes"))
     per = per.withColumn("peak", F.array_max("kdes"))
-    out = per.select(*keys, "nmax", "peak", F.posexplode(F.arrays_zip("xs", "kdes")).alias("i", "z"))
+    out = per.select(*keys, "nmax", "N", "peak", F.posexplode(F.arrays_zip("xs", "kdes")).alias("i", "z"))
+    factor = F.col("nmax") / F.col("peak") if scale == "peak" else F.col("N")
     return out.select(
         *keys, "i", F.col("z.xs").alias("year_x"), F.col("z.kdes").alias("kde"),
-        (F.col("z.kdes") * (F.col("nmax") / F.col("peak"))).alias("kde_scaled"),
+        (F.col("z.kdes") * factor).alias("kde_scaled"),
     )
 
 
@@ -154,35 +160,41 @@ def global_quantiles(df: DataFrame, value: str = "anom", qs=(0.01, 0.99)) -> Dat
                                  ", ".join(f"{n} double" for n in names))
 
 
-def exceed_fraction(cube: DataFrame, q: float = 0.9, value: str = "sst") -> DataFrame:
+def exceed_fraction(cube: DataFrame, q: float = 0.9, value: str = "sst", axis: DataFrame | None = None) -> DataFrame:
     """Share of steps per cell and year above one quantile of the whole cube.
 
     Missing values are never above, and the share divides by *all* steps of the year on the
-    shared time axis, missing ones included.
+    shared time axis, missing ones and those the cell has no row for included; every cell
+    has a row for every year of the axis.
     """
+    axis = axis if axis is not None else time_axis(cube)
     thr = exact_quantiles(cube, value, [q])[0]
-    flagged = cube.groupBy(*CELL, F.year("t").cast("int").alias("year")).agg(
-        F.sum(exceed_flag(F.col(value), F.lit(thr))).cast("long").alias("n_above")
-    )
-    steps = cube.select("t").distinct().groupBy(F.year("t").cast("int").alias("year")).agg(
-        F.count(F.lit(1)).alias("n_steps")
-    )
-    out = flagged.join(F.broadcast(steps), "year")  # one row per year
-    return out.select(*CELL, "year", (F.col("n_above") / F.col("n_steps")).alias("fraction"))
+    steps = {r["year"]: r["n"] for r in axis.groupBy(F.year("t").alias("year")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per year
+    above = F.sum(exceed_flag(F.col(value), F.lit(thr))).cast("long")
+    flagged = cube.groupBy(*CELL, F.year("t").cast("int").alias("year")).agg(above.alias("n"))
+    folded = flagged.where("year is not null").groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("_m"))
+    years = sorted(steps)
+    if not years:
+        return flagged.select(*CELL, "year", F.lit(None).cast("double").alias("fraction"))
+    out = folded.select(*CELL, "_m", F.posexplode(lit_array(years)).alias("_i", "year"))
+    n = F.element_at(lit_array([steps[y] for y in years]), F.col("_i") + 1)
+    return out.select(*CELL, "year", (F.coalesce(F.try_element_at("_m", F.col("year")), F.lit(0)) / n).alias("fraction"))
 
 
 # --- day-of-year thresholds -----------------------------------------------------------------------
 
 
 def dedup_days(cube: DataFrame) -> DataFrame:
-    """Keep the first row per cell, year and day of year."""
-    w = Window.partitionBy(*CELL, F.year("t"), F.dayofyear("t")).orderBy("t")
+    """Keep the first row per cell, year and day of year; of rows of one time, a valid value before a
+    missing one, then the smallest value."""
+    order = [F.col("t"), *([F.col("sst").asc_nulls_last()] if "sst" in cube.columns else [])]
+    w = Window.partitionBy(*CELL, F.year("t"), F.dayofyear("t")).orderBy(*order)
     return cube.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def doy_axis(cube: DataFrame) -> list[int]:
     """Days of year present anywhere in the cube (the axis shared by all cells; <= 366)."""
-    return sorted(cube.agg(F.collect_set(F.dayofyear("t")).alias("d")).first()["d"])
+    return axis_values(cube, d=F.dayofyear("t"))["d"]
 
 
 def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: list[int] | None = None,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.functions.scalar import clip_scale, lit_array
-from thermocline.model import CELL, axis_frame, by_cell, cube_axes, index_axes
+from thermocline.model import CELL, axis_frame, axis_values, by_cell, cube_axes, index_axes, small_or_plain
 from thermocline.operators.extremes import dedup_days
 
 
@@ -19,19 +19,21 @@ def _block_labels(pairs, k: int, keep: int) -> list[tuple[int, float]]:
     return [(b, sum(vs) / len(vs)) for b, vs in sorted(blocks.items())]
 
 
+def block_axis(pairs, k: int) -> list[tuple[int, float]]:
+    """The axis of blocks of ``k`` positions, a ragged end trimmed."""
+    return _block_labels(pairs, k, (len(pairs) // k) * k)
+
+
 def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str = "t",
-            boundary: str = "exact", lat_axis: DataFrame | None = None, lon_axis: DataFrame | None = None) -> DataFrame:
+            boundary: str = "exact", axes=None) -> DataFrame:
     """Block means over ``k_lat x k_lon`` cells per time step (missing values skipped).
 
     ``boundary='exact'`` requires the axis sizes to divide; ``'trim'`` drops the ragged end.
-    Block labels are the means of the axis labels in the block.  The partial aggregate runs
+    Block labels are the means of the axis labels in the block.  ``axes`` are the ``(idx, label)``
+    pairs of both dimensions (one pass over ``df`` if absent).  The partial aggregate runs
     before the shuffle, so the shuffle carries at most one row per block and task.
     """
-    if lat_axis is None or lon_axis is None:
-        lat_pairs, lon_pairs = index_axes(df)
-    else:
-        lat_pairs = [(r[0], r[1]) for r in lat_axis.select("lat_idx", "lat").collect()]  # bounded axes
-        lon_pairs = [(r[0], r[1]) for r in lon_axis.select("lon_idx", "lon").collect()]
+    lat_pairs, lon_pairs = axes if axes is not None else index_axes(df)
     n_lat, n_lon = len(lat_pairs), len(lon_pairs)
     if boundary == "exact":
         if n_lat % k_lat or n_lon % k_lon:
@@ -48,40 +50,42 @@ def coarsen(df: DataFrame, k_lat: int, k_lon: int, value: str = "sst", time: str
         (F.col("lat_idx") / k_lat).cast("int").alias("lat_idx"),
         (F.col("lon_idx") / k_lon).cast("int").alias("lon_idx"),
     ).agg(F.avg(value).alias(value))
-    # Block label tables are local and no longer than the axes.
-    return means.join(F.broadcast(blat), "lat_idx").join(F.broadcast(blon), "lon_idx").select(
+    return means.join(small_or_plain(blat), "lat_idx").join(small_or_plain(blon), "lon_idx").select(
         time, *CELL, "lat", "lon", value
     )
 
 
-def unstack_year(cube: DataFrame) -> DataFrame:
+def unstack_year(cube: DataFrame, axis: DataFrame | None = None) -> DataFrame:
     """Dense ``(cell, dayofyear, year)`` table: every day of year and year present anywhere in the
     cube, for every cell; missing combinations have a NULL value (first row wins on duplicates).
 
-    The cube is partitioned by cell once; a per-cell spine of all (year, day) pairs is unioned
-    with the values and aggregated on (cell, year, day), all inside that partitioning.
+    The cube is read and shuffled by cell once: the values of a cell and year (a few hundred at
+    most) are folded into a map and expanded over all days, the years of a cell likewise.
+    ``axis`` is the ``(t, time_idx)`` table; years and days come from it without a pass over the cube.
     """
-    row = cube.agg(F.collect_set(F.year("t")).alias("y"), F.collect_set(F.dayofyear("t")).alias("d")).first()
-    years, doys = sorted(row["y"]), sorted(row["d"])  # at most years and 366 entries
-    c = by_cell(cube)
-    d = dedup_days(c).select(*CELL, F.year("t").cast("int").alias("year"), F.dayofyear("t").cast("int").alias("dayofyear"), "sst")
-    spine = c.select(*CELL).distinct().select(
-        *CELL, F.explode(lit_array([int(y) for y in years])).alias("year")
-    ).select(*CELL, "year", F.explode(lit_array([int(x) for x in doys])).alias("dayofyear"), F.lit(None).cast("double").alias("sst"))
-    return d.unionByName(spine).groupBy(*CELL, "year", "dayofyear").agg(F.max("sst").alias("sst"))
-
-
-def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """One row per kept time step (every ``every``-th): ``frame`` is a dense lat x lon matrix
-    (rows by lat index, columns by lon index, NULL where a cell has no value), clipped to
-    ``[lo, hi]``.
-
-    The values and a spine of every (kept step, cell) are shuffled once by time step; inside a
-    step the lists are complete, so sorting them yields the matrix directly (no lookups).  A
-    frame is bounded by the grid size; frames spread over tasks by step.
+    got = axis_values(axis if axis is not None else cube, y=F.year("t"), d=F.dayofyear("t"))
+    if not got["y"]:
+        return cube.select(*CELL, F.year("t").cast("int").alias("year"), F.dayofyear("t").cast("int").alias("dayofyear"), "sst").limit(0)
+    d = dedup_days(by_cell(cube)).select(*CELL, F.year("t").cast("int").alias("year"), F.dayofyear("t").cast("int").alias("dayofyear"), "sst")
+    per_year = d.groupBy(*CELL, "year").agg(F.map_from_entries(F.collect_list(F.struct("dayofyear", "sst"))).alias("m"))
+    per_cell = per_year.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("year", "m"))).alias("_y"))
+    rows = per_cell.select(*CELL, "_y", F.explode(lit_array([int(y) for y in got["y"]])).alias("year"))
+    rows = rows.select(*CELL, "year", F.try_element_at("_y", F.col("year")).alias("_m"))
+    rows = rows.select(*CELL, "year", "_m", F.explode(lit_array([int(x) for x in got["d"]])).alias("dayofyear"))
+    return rows.select(*CELL, "year", "dayofyear", F.try_element_at("_m", F.col("dayofyear")).alias("sst"))
+
+
+def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | None = None, hi: float | None = None,
+           axes: dict | None = None) -> DataFrame:
+    """One row per kept time step (every ``every``-th) and latitude: ``row`` holds the values by lon
+    index, clipped to ``[lo, hi]``, NULL where the cell has no value.
+
+    Rows of a step spread over tasks, and no row holds more than one line of the grid.  Lines without
+    any value come from a spine of (step, lat) pairs, not of cells.  ``axes`` are the cube's
+    ``cube_axes(..., time=True)``.
     """
     spark = cube.sparkSession
-    axes = cube_axes(cube, time=True)  # grid and time axes in one pass
+    axes = axes if axes is not None else cube_axes(cube, time=True)
     n_lat, n_lon = len(axes["lat"]), len(axes["lon"])
     kept = [(t, i) for i, t in enumerate(axes["time"]) if i % every == 0]
     v = F.col(value)
@@ -89,18 +93,13 @@ def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | Non
         v = clip_scale(v, lo, hi)
     ttype = cube.schema["t"].dataType.simpleString()
     steps = spark.createDataFrame(kept, f"t {ttype}, time_idx int")
-    # kept steps only: a local table, length checked when collected
-    data = cube.join(F.broadcast(steps), "t").select("t", "time_idx", *CELL, v.alias("v"))
-    steps = steps.repartition(max(1, min(len(kept), int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    spine = steps.select("t", "time_idx", F.explode(F.sequence(F.lit(0), F.lit(n_lat - 1))).alias("lat_idx")).select(
-        "t", "time_idx", "lat_idx", F.explode(F.sequence(F.lit(0), F.lit(n_lon - 1))).alias("lon_idx"),
-        F.lit(None).cast("double").alias("v"),
-    )
-    dense = data.unionByName(spine).repartition("t")
-    cells = dense.groupBy("t", "time_idx", *CELL).agg(F.max("v").alias("v"))
-    rows = cells.groupBy("t", "time_idx", "lat_idx").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("lon_idx", "v"))), lambda s: s["v"]).alias("row")
-    )
-    return rows.groupBy("t", "time_idx").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("lat_idx", "row"))), lambda s: s["row"]).alias("frame")
-    )
+    data = cube.join(small_or_plain(steps), "t").select("t", "time_idx", "lat_idx", F.struct("lon_idx", v.alias("v")).alias("c"))
+    spine = steps.select("t", "time_idx", F.explode(F.sequence(F.lit(0), F.lit(max(n_lat - 1, 0)))).alias("lat_idx"), F.lit(None).cast(data.schema["c"].dataType).alias("c"))
+    lines = data.unionByName(spine).groupBy("t", "time_idx", "lat_idx").agg(F.map_from_entries(F.collect_list("c")).alias("_m"))
+    row = F.transform(F.sequence(F.lit(0), F.lit(max(n_lon - 1, 0))), lambda j: F.try_element_at("_m", j))
+    return lines.select("t", "time_idx", "lat_idx", row.alias("row"))
+
+
+def frame_cells(rows: DataFrame) -> DataFrame:
+    """``frames`` as one row per cell: ``t, time_idx, lat_idx, lon_idx, v``."""
+    return rows.select("t", "time_idx", "lat_idx", F.posexplode("row").alias("lon_idx", "v"))

@@ -4,8 +4,8 @@
 fine per cell (a series is bounded by the time axis) but not for a quantile over all rows.
 Here the rank is located by refinement instead: approximate quantiles give bucket edges,
 bucket counts (a partial aggregate) locate the bucket that holds each wanted rank, and the
-search continues inside that bucket until it holds few distinct values, which are then
-ranked exactly.  Only bucket counts and a few scalars reach the driver.
+search goes on inside that bucket, in the same way at every size, until all rows of the
+bucket have one value.  Only bucket counts and a few scalars reach the driver.
 """
 
 from __future__ import annotations
@@ -14,37 +14,26 @@ import math
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_DISTINCT = 1_000_000  # distinct values ranked exactly in one pass
 BUCKETS = 4096
 
 
-def _exact_ranks(sub: DataFrame, ranks: list[int]) -> dict[int, float]:
-    """Rank values exactly: distinct values with counts, running count in value order."""
-    g = sub.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    g = g.withColumn("cum", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    row = g.agg(*[F.min(F.when(F.col("cum") > F.lit(k), F.col("v"))).alias(f"r{i}") for i, k in enumerate(ranks)]).first()
-    return {k: row[f"r{i}"] for i, k in enumerate(ranks)}
-
-
 def _stats(vals: DataFrame):
-    return vals.agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.approx_count_distinct("v", 0.05).alias("nd"),
-    ).first()
+    return vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+
 
+def rank_values(vals: DataFrame, ranks: list[int], buckets: int = BUCKETS, stats=None) -> dict[int, float]:
+    """Values at zero-based ``ranks`` of the ascending non-null column ``v``.
 
-def rank_values(vals: DataFrame, ranks: list[int], exact_distinct: int = EXACT_DISTINCT,
-                buckets: int = BUCKETS, max_depth: int = 12, stats=None) -> dict[int, float]:
-    """Values at zero-based ``ranks`` of the ascending non-null column ``v``."""
+    Each round cuts the rows of a wanted bucket into ``2 * buckets`` parts at least one of
+    whose edges lies strictly between its smallest and largest value, so it ends.
+    """
     ranks = sorted(set(ranks))
     st = stats if stats is not None else _stats(vals)
     if st["lo"] == st["hi"]:
         return {k: st["lo"] for k in ranks}
-    if st["nd"] <= exact_distinct // 2 or max_depth <= 0:
-        return _exact_ranks(vals, ranks)
     # Bucket edges from approximate quantiles (a mergeable sketch, partial per task).
     probs = [i / buckets for i in range(1, buckets)]
     edges = vals.agg(F.percentile_approx("v", probs, 4 * buckets).alias("e")).first()["e"]
@@ -53,20 +42,19 @@ def rank_values(vals: DataFrame, ranks: list[int], exact_distinct: int = EXACT_D
     cand = set(edges) | {math.nextafter(e, math.inf) for e in edges} | {st["lo"] + (st["hi"] - st["lo"]) / 2}
     splits = [-math.inf] + sorted(e for e in cand if st["lo"] < e <= st["hi"]) + [math.inf]
     b = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(vals)
-    counts = sorted((int(r["b"]), r["n"]) for r in b.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect())
-    spans, before = [], 0  # (bucket, rows before it, rows in it); at most ``buckets`` entries
-    for bid, n in counts:
-        spans.append((bid, before, n))
-        before += n
-    wanted: dict[int, list[tuple[int, int]]] = {}
-    for k in ranks:
-        bid, s0, _ = next(s for s in spans if s[1] <= k < s[1] + s[2])
-        wanted.setdefault(bid, []).append((k, k - s0))
+    found = b.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counts = sorted(tuple(r) for r in found.collect())  # at most 2 * buckets rows
     out: dict[int, float] = {}
-    for bid, pairs in wanted.items():
-        inner = b.where(F.col("b") == float(bid)).select("v")
-        rel = rank_values(inner, [r for _, r in pairs], exact_distinct, buckets, max_depth - 1)
-        out.update({k: rel[r] for k, r in pairs})
+    before = 0
+    for bid, n, lo, hi in counts:
+        here = [k for k in ranks if before <= k < before + n]
+        if lo == hi:
+            out.update({k: lo for k in here})
+        elif here:
+            inner = b.where(F.col("b") == bid).select("v")
+            rel = rank_values(inner, [k - before for k in here], buckets, {"n": n, "lo": lo, "hi": hi})
+            out.update({k: rel[k - before] for k in here})
+        before += n
     return out
 
 
@@ -83,7 +71,7 @@ def exact_quantiles(df: DataFrame, col: str, qs, **kw) -> list[float | None]:
 
 
 def _quantiles_of(vals: DataFrame, qs, **kw) -> list[float | None]:
-    st = _stats(vals)  # count, range and approximate distinct count in one job
+    st = _stats(vals)  # count and range in one job
     n = st["n"]
     if n == 0:
         return [None for _ in qs]

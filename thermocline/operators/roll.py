@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermocline.functions.scalar import lit_array
 from thermocline.functions.time import semi_month_label
-from thermocline.model import CELL
+from thermocline.model import CELL, with_time_index
 
 
 def rows_for_years(years: int, steps_per_year: float) -> int:
@@ -17,15 +17,20 @@ def rows_for_years(years: int, steps_per_year: float) -> int:
     return int(years) * int(steps_per_year)
 
 
-def rolling_mean(df: DataFrame, value: str, window: int, keys=CELL, order: str = "t", out: str = "rolled") -> DataFrame:
-    """Centered rolling mean over rows; NULL unless the window is complete and has no missing value.
+def rolling_mean(df: DataFrame, value: str, window: int, keys=CELL, out: str = "rolled", axis: DataFrame | None = None) -> DataFrame:
+    """Centered rolling mean over steps; NULL unless the window is complete and has no missing value.
 
-    Even ``window`` covers ``-w/2 .. w/2 - 1``, odd ``-(w-1)/2 .. (w-1)/2``.  The frame is a
-    bounded ROWS frame inside the cell partition (O(rows * w), fine for w of tens of rows).
+    Even ``window`` covers ``-w/2 .. w/2 - 1``, odd ``-(w-1)/2 .. (w-1)/2`` steps of the time
+    axis all cells share: a step the cell has no row for is missing.  The frame is a RANGE over
+    ``time_idx`` inside the cell partition, of at most ``window`` rows.  ``axis`` is the
+    ``(t, time_idx)`` table (derived from ``df`` if absent).
     """
     w = int(window)
-    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(w // 2), w - 1 - w // 2)
-    return df.withColumn(out, F.when(F.count(value).over(frame) == w, F.avg(value).over(frame)))
+    has = "time_idx" in df.columns
+    d = with_time_index(df, axis)
+    frame = Window.partitionBy(*keys).orderBy("time_idx").rangeBetween(-(w // 2), w - 1 - w // 2)
+    d = d.withColumn(out, F.when(F.col("time_idx").isNotNull() & (F.count(value).over(frame) == w), F.avg(value).over(frame)))
+    return d if has else d.drop("time_idx")
 
 
 def sme_bins(lo: _dt.date, hi: _dt.date) -> list[_dt.date]:
@@ -43,25 +48,32 @@ def sme_bins(lo: _dt.date, hi: _dt.date) -> list[_dt.date]:
     return out
 
 
-def resample_sme(df: DataFrame, value: str = "sst", keys=CELL, out: str = "mean") -> DataFrame:
+def resample_sme(df: DataFrame, value: str = "sst", keys=CELL, out: str = "mean", axis: DataFrame | None = None) -> DataFrame:
+    """Semi-month-end means, see ``_sme_steps``: ``(keys, t, out)``."""
+    return _sme_steps(df, value, keys, out, axis).select(*keys, "t", out)
+
+
+def _sme_steps(df: DataFrame, value: str, keys, out: str, axis: DataFrame | None) -> DataFrame:
     """Semi-month-end resample: mean per bin, bins starting on the 15th and on month ends,
     closed left, labelled by their start.  Empty bins between the first and last bin of the
     whole table appear with a NULL mean (the time axis is shared by all cells).
 
-    The bin means are unioned with a per-key spine of all bins and aggregated on
-    (key, bin): the spine never needs a join, and it shares the means' key partitioning.
+    One read and one shuffle: the bin means of a key are folded into a map, which is expanded over
+    all bins.  ``axis`` gives the first and last step without a scan of the table.
     """
-    binned = df.withColumn("t", semi_month_label("t"))
-    means = binned.groupBy(*keys, "t").agg(F.avg(value).alias(out))
-    span = binned.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    label = semi_month_label("t")
+    means = df.groupBy(*keys, label.alias("t")).agg(F.avg(value).alias(out))
+    span = (axis if axis is not None else df).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    span = span.select(semi_month_label("lo").alias("lo"), semi_month_label("hi").alias("hi")).first()
     if span["lo"] is None:
-        return means
+        return means.withColumn("time_idx", F.lit(0))
     bins = lit_array(sme_bins(span["lo"], span["hi"]))  # 24 per year
-    spine = means.select(*keys).distinct().select(*keys, F.explode(bins).alias("t"), F.lit(None).cast("double").alias(out))
-    return means.unionByName(spine).groupBy(*keys, "t").agg(F.max(out).alias(out))
+    folded = means.where("t is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("t", out))).alias("_m"))
+    rows = folded.select(*keys, "_m", F.posexplode(bins).alias("time_idx", "t"))
+    return rows.select(*keys, "t", "time_idx", F.try_element_at("_m", F.col("t")).alias(out))
 
 
-def rolling_sme(df: DataFrame, value: str = "anom", years: int = 3, per_year: int = 24, keys=CELL) -> DataFrame:
+def rolling_sme(df: DataFrame, value: str = "anom", years: int = 3, per_year: int = 24, keys=CELL, axis: DataFrame | None = None) -> DataFrame:
     """Semi-month resample, then a centered rolling mean of ``years * per_year`` bins."""
-    r = resample_sme(df, value, keys, out="mean")
-    return rolling_mean(r, "mean", years * per_year, keys=keys, out="rolled")
+    r = _sme_steps(df, value, keys, "mean", axis)
+    return rolling_mean(r, "mean", years * per_year, keys=keys, out="rolled").drop("time_idx")

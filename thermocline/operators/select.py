@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.functions.scalar import lit_array
-from thermocline.model import CELL, checked_small, index_axes, time_axis, time_labels
+from thermocline.model import CELL, axis_frame, index_axes, small_or_plain, time_axis, with_time_index
 from thermocline.operators.common import attach_scalars, cell_labels, scalar
 
 
@@ -70,29 +70,26 @@ def exclude_years(df: DataFrame, years, col: str = "t") -> DataFrame:
 # --- strides and positions -----------------------------------------------------------------
 
 
-def with_time_index(cube: DataFrame, axis: DataFrame | None = None) -> DataFrame:
-    """Attach the shared zero-based time position (broadcast join with the size-checked time axis)."""
-    if axis is None:
-        return cube.join(F.broadcast(time_axis(cube)), "t")  # local table, length checked when collected
-    return cube.join(checked_small(axis.select("t", "time_idx"), what="time axis"), "t")
-
-
-def stride_subsample(cube: DataFrame, t_step: int = 3, lat_step: int = 2, lon_step: int = 2) -> DataFrame:
-    """``[::t_step, ::lat_step, ::lon_step]`` on axis positions."""
+def stride_subsample(cube: DataFrame, t_step: int = 3, lat_step: int = 2, lon_step: int = 2, axis: DataFrame | None = None) -> DataFrame:
+    """``[::t_step, ::lat_step, ::lon_step]`` on axis positions (``axis``: the cube's ``(t, time_idx)``)."""
     out = cube.where((F.col("lat_idx") % lat_step == 0) & (F.col("lon_idx") % lon_step == 0))
     if t_step > 1:
-        out = with_time_index(out, time_axis(cube)).where(F.col("time_idx") % t_step == 0).drop("time_idx")
+        out = with_time_index(out, axis if axis is not None else time_axis(cube)).where(F.col("time_idx") % t_step == 0).drop("time_idx")
     return out
 
 
-def frame_at(cube: DataFrame, k: int) -> DataFrame:
+def frame_at(cube: DataFrame, k: int, axis: DataFrame | None = None) -> DataFrame:
     """Positional time selection; negative ``k`` counts from the end (-1 = last step).
 
-    The step is looked up on the (bounded) time axis and applied as a literal filter, which
-    reaches the Parquet scan.
+    The step is looked up on the time axis (one row reaches the driver if ``axis`` is given) and
+    applied as a literal filter, which reaches the Parquet scan.
     """
-    ts = time_labels(cube)
-    return cube.where(F.col("t") == F.lit(ts[k]))
+    axis = axis if axis is not None else time_axis(cube)
+    order = F.col("time_idx").asc() if k >= 0 else F.col("time_idx").desc()
+    row = axis.orderBy(order).offset(k if k >= 0 else -k - 1).limit(1).collect()
+    if not row:
+        raise IndexError(f"no time step {k}")
+    return cube.where(F.col("t") == F.lit(row[0]["t"]))
 
 
 def last_frame(cube: DataFrame) -> DataFrame:
@@ -103,65 +100,46 @@ def last_frame(cube: DataFrame) -> DataFrame:
 # --- nearest point -------------------------------------------------------------------------
 
 
-def nearest_position(x: Column, values: list[float]) -> Column:
-    """1-based position of the nearest label on a sorted axis: clamped to the ends, no wrap,
-    a tie goes to the larger label.  The axis is a literal array (bounded by the grid)."""
-    arr = lit_array([float(v) for v in values])
-    n = len(values)
-    below = F.size(F.filter(arr, lambda a: a < x))  # labels strictly below x
-    left = F.element_at(arr, F.greatest(below, F.lit(1)))
-    right = F.element_at(arr, F.least(below + 1, F.lit(n)))
-    take_right = (below == 0) | ((below < n) & ((right - x) <= (x - left)))
-    return F.when(take_right, F.least(below + 1, F.lit(n))).otherwise(below)
+def nearest_on_axis(points: DataFrame, col: str, pairs, idx: str, label: str) -> DataFrame:
+    """Attach ``idx`` and ``label`` of the axis label nearest to ``col``: clamped to the ends, no
+    wrap, a tie goes to the larger label; a missing coordinate has no neighbour.
+
+    A label's cell reaches from the midpoint below it to the midpoint above.  The midpoints
+    are the splits of a bucketizer (a binary search per point); the bucket number joins the axis table.
+    """
+    pairs = sorted(pairs, key=lambda p: p[1])
+    mids = [(a[1] + b[1]) / 2 for a, b in zip(pairs, pairs[1:])] or [float("-1e308")]  # the only label gets both sides
+    p = points.withColumn("_x", F.coalesce(F.col(col).cast("double"), F.lit(float("nan"))))
+    p = Bucketizer(splits=[float("-inf"), *mids, float("inf")], inputCol="_x", outputCol="_pos", handleInvalid="keep").transform(p)
+    p = p.withColumn("_pos", F.when(F.isnan("_x"), F.lit(None)).otherwise(F.col("_pos"))).drop("_x")
+    table = points.sparkSession.createDataFrame([(float(n), int(i), float(v)) for n, (i, v) in enumerate(pairs)], f"_pos double, {idx} int, {label} double")
+    return p.join(small_or_plain(table), "_pos", "left").drop("_pos")
 
 
 def nearest_point(cube: DataFrame, points: DataFrame, axes=None) -> DataFrame:
     """Map each point ``(point_id, lat, lon)`` to its nearest grid cell, each axis independently.
 
-    No join: the axes (collected once, bounded by the grid) are literal arrays and each
-    point finds its label position with array functions.
+    ``axes`` are the ``(idx, label)`` pairs of both dimensions (derived from the cube if absent).
     """
     lat_pairs, lon_pairs = axes if axes is not None else index_axes(cube)
-    lat_pairs = sorted(lat_pairs, key=lambda p: p[1])
-    lon_pairs = sorted(lon_pairs, key=lambda p: p[1])
-
-    def pick(pairs, col):
-        pos = nearest_position(F.col(col), [v for _, v in pairs])
-        idx = F.element_at(lit_array([int(i) for i, _ in pairs]), pos)
-        lab = F.element_at(lit_array([float(v) for _, v in pairs]), pos)
-        return idx, lab
-
-    lat_i, lat_v = pick(lat_pairs, "lat")
-    lon_i, lon_v = pick(lon_pairs, "lon")
-    return points.select(
-        "point_id",
-        F.col("lat").alias("point_lat"),
-        F.col("lon").alias("point_lon"),
-        lat_i.alias("lat_idx"),
-        lon_i.alias("lon_idx"),
-        lat_v.alias("lat"),
-        lon_v.alias("lon"),
-    )
-
-
-# Up to this many picked cells are also applied as a literal filter before the join.
-MAX_LITERAL_CELLS = 1000
+    p = points.select("point_id", F.col("lat").alias("point_lat"), F.col("lon").alias("point_lon"))
+    p = nearest_on_axis(p, "point_lat", lat_pairs, "lat_idx", "lat")
+    p = nearest_on_axis(p, "point_lon", lon_pairs, "lon_idx", "lon")
+    return p.select("point_id", "point_lat", "point_lon", "lat_idx", "lon_idx", "lat", "lon")
 
 
 def point_series(cube: DataFrame, nearest: DataFrame) -> DataFrame:
     """Series of the cells picked by ``nearest_point`` (one copy per point).
 
-    A few picked cells also become a literal ``lat_idx IN (..) AND lon_idx IN (..)`` filter,
-    which reaches the Parquet scan (row groups of other cells are skipped in a cell-sorted
-    store); the broadcast join then keeps the exact cells.
+    The box around the picked cells becomes a range filter, which reaches the Parquet scan (row
+    groups of other cells are skipped in a cell-sorted store); the join keeps the exact cells.
     """
-    sel = checked_small(nearest.select("point_id", *CELL), what="points")
-    picked = nearest.select(*CELL).distinct().limit(MAX_LITERAL_CELLS + 1).collect()
-    if 0 < len(picked) <= MAX_LITERAL_CELLS:
-        cube = cube.where(
-            F.col("lat_idx").isin(sorted({r[0] for r in picked})) & F.col("lon_idx").isin(sorted({r[1] for r in picked}))
-        )
-    return cube.join(sel, CELL)
+    sel = nearest.select("point_id", *CELL)
+    box = sel.agg(*[f(c).alias(f"{c}_{n}") for c in CELL for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    for c in CELL:
+        if box[f"{c}_lo"] is not None:
+            cube = cube.where(F.col(c).between(box[f"{c}_lo"], box[f"{c}_hi"]))
+    return cube.join(small_or_plain(sel), CELL)
 
 
 # --- masks ---------------------------------------------------------------------------------
@@ -186,34 +164,36 @@ def mask_apply(df: DataFrame, land: DataFrame, cols) -> DataFrame:
 
 
 def reference_mask(ref: DataFrame) -> DataFrame:
-    """Cells missing in the reference's first time step (absent rows count as missing)."""
+    """Cells missing in the reference's first time step (absent rows count as missing), in one read
+    after that step is known."""
     t0 = scalar(ref, F.min("t"))
-    present = ref.where((F.col("t") == F.lit(t0)) & F.col("sst").isNotNull()).select(*CELL).distinct()
-    grid = ref.select(*CELL, "lat", "lon").distinct()
-    return grid.join(present, CELL, "left_anti")
+    valid = F.max(((F.col("t") == F.lit(t0)) & F.col("sst").isNotNull()).cast("int"))
+    return ref.groupBy(*CELL).agg(*cell_labels(), F.coalesce(valid, F.lit(0)).alias("_ok")).where("_ok = 0").drop("_ok")
 
 
-def mask_reference(target: DataFrame, ref: DataFrame, mode: str = "coord", n_lat: int | None = None) -> DataFrame:
+def mask_reference(target: DataFrame, ref: DataFrame, mode: str = "coord", n_lat: int | None = None, axes=None) -> DataFrame:
     """Null out the target where the reference is missing in its first step.
 
     ``coord`` matches cells by label; ``index_negate`` moves the mask row ``i`` to row
-    ``(n - i) % n`` (row 0 stays, k -> n - k); ``flip`` to ``n - 1 - i``.
+    ``(n - i) % n`` (row 0 stays, k -> n - k); ``flip`` to ``n - 1 - i``.  In every mode the mask is
+    brought to the target's cell keys first, so that the join reuses a partitioning by cell.
+    ``axes`` are the target's ``(idx, label)`` pairs (derived from it if absent and needed).
     """
-    m = reference_mask(ref)
+    m, spark = reference_mask(ref), target.sparkSession
     if mode == "coord":
-        keys = ["lat", "lon"]
-        m = m.select("lat", "lon")
+        lats, lons = axes if axes is not None else index_axes(target)
+        m = m.select("lat", "lon").join(small_or_plain(axis_frame(spark, lats, "lat_idx", "lat")), "lat")
+        m = m.join(small_or_plain(axis_frame(spark, lons, "lon_idx", "lon")), "lon").select(*CELL)
     else:
+        if mode not in ("index_negate", "flip"):
+            raise ValueError(f"unknown mode {mode!r}")
         if n_lat is None:
-            n_lat = len(index_axes(target)[0])  # axis size, one pass over the label columns
+            n_lat = len((axes if axes is not None else index_axes(target))[0])
         i = F.col("lat_idx")
         row = (F.lit(n_lat) - i) % F.lit(n_lat) if mode == "index_negate" else F.lit(n_lat - 1) - i
-        if mode not in ("index_negate", "flip"):
-            raise ValueError(f"unknown mode {mode!r}")
         m = m.select(row.cast("int").alias("lat_idx"), "lon_idx")
-        keys = CELL
     m = m.distinct().withColumn("_masked", F.lit(True))
-    out = target.join(m, keys, "left")  # adaptive execution broadcasts it when measured small
+    out = target.join(m, CELL, "left")  # adaptive execution broadcasts it when measured small
     return out.withColumn("sst", F.when(F.col("_masked").isNull(), F.col("sst"))).drop("_masked")
 
 

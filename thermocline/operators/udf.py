@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from thermocline.model import CELL
+from thermocline.model import CELL, with_time_index
 
 
 def apply_along_time(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
@@ -25,27 +25,33 @@ def apply_along_time(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
     return df.groupBy(*keys).applyInPandas(run, schema=schema)
 
 
-def runs_at_least(flags: np.ndarray, min_len: int) -> np.ndarray:
-    """Boolean array: True on elements of runs of at least ``min_len`` consecutive True values."""
+def runs_at_least(flags: np.ndarray, min_len: int, steps: np.ndarray | None = None) -> np.ndarray:
+    """Boolean array: True on elements of runs of at least ``min_len`` consecutive True values.
+
+    ``steps`` are the elements' positions on the time axis (by default one after the other).
+    """
     f = np.asarray(flags, dtype=bool)
     out = np.zeros(f.size, dtype=bool)
     if f.size == 0:
         return out
-    padded = np.concatenate(([False], f, [False])).astype(np.int8)
-    edges = np.flatnonzero(np.diff(padded))
-    for s, e in zip(edges[::2], edges[1::2]):
-        if e - s >= min_len:
-            out[s:e] = True
+    on = np.flatnonzero(f)
+    at = np.arange(f.size) if steps is None else np.asarray(steps)
+    # a run ends where the next flagged element is not on the next step
+    for run in np.split(on, np.flatnonzero(np.diff(at[on]) != 1) + 1):
+        if run.size >= min_len:
+            out[run] = True
     return out
 
 
-def mark_runs_pandas(df: DataFrame, flag: str, min_len: int, keys=CELL, order: str = "t", out: str = "in_run") -> DataFrame:
+def mark_runs_pandas(df: DataFrame, flag: str, min_len: int, keys=CELL, out: str = "in_run", axis: DataFrame | None = None) -> DataFrame:
     """The run marker as a user function (same result as ``runs.mark_runs``)."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema = f"{fields}, {out} boolean"
+    d = with_time_index(df, axis)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf[out] = runs_at_least(pdf[flag].fillna(False).astype(bool).to_numpy(), min_len)
+        on = pdf[flag].fillna(False).astype(bool) & pdf["time_idx"].notna()
+        pdf[out] = runs_at_least(on.to_numpy(), min_len, pdf["time_idx"].fillna(-1).to_numpy())
         return pdf
 
-    return apply_along_time(df, fn, schema, keys=keys, order=order)
+    marked = apply_along_time(d, fn, f"{fields}, {out} boolean", keys=keys, order="time_idx")
+    return marked if "time_idx" in df.columns else marked.drop("time_idx")

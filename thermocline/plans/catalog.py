@@ -7,7 +7,7 @@ sums differ in the last bit.  The SQL twins live in ``thermocline.plans.oracle``
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from thermocline.functions.scalar import round_arith
 from thermocline.functions.time import decimal_year, time_parts
-from thermocline.model import CELL, by_cell
+from thermocline.model import CELL, axis_values, by_cell, time_axis
 from thermocline.operators.common import cell_labels
 from thermocline.functions.scalar import clip_scale
 from thermocline.operators import clim, extremes, roll, runs, select, trend, udf
@@ -68,9 +68,17 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources ----------------------------------------------------------------------------------
 
 
+def cube_files(spark, sf_dir) -> str:
+    """The grid as Parquet files in the shared folder, written anew: what a loader reads."""
+    path = scratch_path(spark, f"cube-files-{uuid.uuid4().hex[:12]}")
+    fixtures.sst_daily_raw(spark, sf_dir).write.parquet(path)
+    return path
+
+
 @query("load_cube")
 def q_load_cube(spark, sf_dir):
-    return rounded(cube_io.index_cube(fixtures.sst_daily_raw(spark, sf_dir)))
+    """Files with labels only are read and indexed."""
+    return rounded(cube_io.load_cube(spark, cube_files(spark, sf_dir)))
 
 
 @query("cube_stats")
@@ -179,14 +187,14 @@ def q_last_frame(spark, sf_dir):
 
 @query("nearest_point")
 def q_nearest_point(spark, sf_dir):
-    return rounded(select.nearest_point(grid(spark, sf_dir), fixtures.points(spark)))
+    return rounded(select.nearest_point(grid(spark, sf_dir), fixtures.points(spark, sf_dir)))
 
 
 @query("point_series")
 def q_point_series(spark, sf_dir):
     """Anomaly series of the cells nearest to each point, with year and decimal year."""
     c = grid(spark, sf_dir)
-    near = select.nearest_point(c, fixtures.points(spark))
+    near = select.nearest_point(c, fixtures.points(spark, sf_dir))
     s = clim.anomaly(select.point_series(c, near))
     return rounded(
         s.select(
@@ -254,7 +262,6 @@ def q_decimal_year(spark, sf_dir):
 
 # Oracle parameters for the heatwave keys (the test grid has no season, see FIXTURES).
 MHW_Q, MHW_MIN_DAYS = 0.75, 3
-CACHE_VERSION = "map-v1"  # part of cache paths: a changed build never reads an older cache
 ROLL_ROWS = 51  # 3 * int(52 / 3)
 
 
@@ -277,7 +284,7 @@ def q_trend_fit(spark, sf_dir):
 
 @query("rolling_mean")
 def q_rolling_mean(spark, sf_dir):
-    out = roll.rolling_mean(anom9(spark, sf_dir), "anom", ROLL_ROWS)
+    out = roll.rolling_mean(anom9(spark, sf_dir), "anom", ROLL_ROWS, axis=time_axis(grid(spark, sf_dir)))
     return rounded(out.select("t", *CELL, "anom", "rolled"))
 
 
@@ -341,7 +348,7 @@ def q_kde_years(spark, sf_dir):
 
 @query("kde_scott")
 def q_kde_scott(spark, sf_dir):
-    return rounded(extremes.kde_years(extremes.extremes_per_year(flags95(spark, sf_dir), "q95"), bw="scott"))
+    return rounded(extremes.kde_years(extremes.extremes_per_year(flags95(spark, sf_dir), "q95"), bw="scott", points=200, scale="counts"))
 
 
 @query("global_quantiles")
@@ -366,12 +373,13 @@ def q_clip_scale(spark, sf_dir):
 
 def mhw_parts(spark, sf_dir):
     g = grid(spark, sf_dir)
-    doys = extremes.doy_axis(g)  # metadata pass before the cell shuffle
+    axis = time_axis(g)  # metadata pass before the cell shuffle
+    doys = axis_values(axis, d=F.dayofyear("t"))["d"]
     c = by_cell(g)
     thr = extremes.doy_threshold(c, MHW_Q, axis=doys, dense=False)  # looked up by the cube's own rows
     ex = extremes.exceedance(c, thr, ndigits=CMP_DIGITS)
-    mask = runs.mark_runs(ex, "exceed", MHW_MIN_DAYS, out="mhw")
-    return c, thr, ex, mask
+    mask = runs.mark_runs(ex, "exceed", MHW_MIN_DAYS, out="mhw", axis=axis)
+    return axis, ex, mask
 
 
 @query("doy_threshold")
@@ -384,33 +392,33 @@ def q_doy_threshold(spark, sf_dir):
 
 @query("exceedance")
 def q_exceedance(spark, sf_dir):
-    _, _, ex, _ = mhw_parts(spark, sf_dir)
+    _, ex, _ = mhw_parts(spark, sf_dir)
     return rounded(ex.select("t", *CELL, "sst", "dayofyear", "thr", "exceed"))
 
 
 @query("mhw_mask")
 def q_mhw_mask(spark, sf_dir):
-    _, _, _, mask = mhw_parts(spark, sf_dir)
+    _, _, mask = mhw_parts(spark, sf_dir)
     return rounded(mask.select("t", *CELL, "sst", "thr", "exceed", "mhw"))
 
 
 @query("apply_along_time")
 def q_apply_along_time(spark, sf_dir):
-    _, _, ex, _ = mhw_parts(spark, sf_dir)
+    axis, ex, _ = mhw_parts(spark, sf_dir)
     ex = ex.select("t", *CELL, "sst", "thr", "exceed")
-    return rounded(udf.mark_runs_pandas(ex, "exceed", MHW_MIN_DAYS, out="mhw"))
+    return rounded(udf.mark_runs_pandas(ex, "exceed", MHW_MIN_DAYS, out="mhw", axis=axis))
 
 
 @query("mhw_days")
 def q_mhw_days(spark, sf_dir):
-    _, _, _, mask = mhw_parts(spark, sf_dir)
-    return runs.null_on_land(runs.days_per_year(mask, "mhw"), ["days"])
+    axis, _, mask = mhw_parts(spark, sf_dir)
+    return runs.null_on_land(runs.days_per_year(mask, "mhw", axis=axis), ["days"])
 
 
 @query("mhw_events")
 def q_mhw_events(spark, sf_dir):
-    _, _, _, mask = mhw_parts(spark, sf_dir)
-    return runs.null_on_land(runs.events_per_year(mask, "mhw", MHW_MIN_DAYS), ["events"])
+    axis, _, mask = mhw_parts(spark, sf_dir)
+    return runs.null_on_land(runs.events_per_year(mask, "mhw", MHW_MIN_DAYS, axis=axis), ["events"])
 
 
 @query("mhw_pipeline")
@@ -421,6 +429,17 @@ def q_mhw_pipeline(spark, sf_dir):
     return rounded(out["days_ds"])
 
 
+@query("mhw_reference")
+def q_mhw_reference(spark, sf_dir):
+    """Q4 at the reference's parameters (2 x 2 blocks first, quantile 0.9, five days) on the grid with
+    warm spells; days and events of one aggregate, written as a store and read back."""
+    out = pipelines.mhw_pipeline(fixtures.sst_spells(spark, sf_dir), days_block=None, events_block=None, ndigits=CMP_DIGITS)
+    path = scratch_path(spark, f"mhw-{uuid.uuid4().hex[:12]}")
+    store.write_store(out["yearly"], path, partition_by=("year",))
+    back = store.read_store(spark, path)
+    return back.select(*CELL, F.col("year").cast("int").alias("year"), "days", "events")
+
+
 @query("dedup_days")
 def q_dedup_days(spark, sf_dir):
     return rounded(extremes.dedup_days(grid(spark, sf_dir)))
@@ -446,7 +465,8 @@ def q_unstack_year(spark, sf_dir):
 
 @query("frames")
 def q_frames(spark, sf_dir):
-    return pipelines.frame_export(grid(spark, sf_dir), every=2, ndigits=CMP_DIGITS)
+    """Every second anomaly frame, clipped to the global 1% / 99% quantiles, one row per cell of a frame."""
+    return rounded(grid_ops.frame_cells(pipelines.frame_export(grid(spark, sf_dir), every=2, ndigits=CMP_DIGITS)))
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------
@@ -454,10 +474,29 @@ def q_frames(spark, sf_dir):
 
 @query("concat_time")
 def q_concat_time(spark, sf_dir):
+    """Three sets of files, of which two overlap, are loaded and appended along time."""
     c = grid(spark, sf_dir)
-    y = F.year("t")
-    pieces = [c.where(y < 1997), c.where((y >= 1997) & (y < 1999)), c.where(y >= 1999)]
-    return rounded(cube_io.concat_time(pieces))
+    cuts = [F.col("t") < "1997-06-01", F.col("t").between("1997-01-01", "1998-12-31"), (F.col("t") > "1998-12-31") | F.col("t").isNull()]
+    paths = [scratch_path(spark, f"cube-part-{uuid.uuid4().hex[:12]}") for _ in cuts]
+    for cut, path in zip(cuts, paths):
+        c.where(cut).write.parquet(path)
+    return rounded(cube_io.concat_time([cube_io.load_cube(spark, p) for p in paths]))
+
+
+@query("store_partitioned")
+def q_store_partitioned(spark, sf_dir):
+    """The cube written as a year-partitioned store and read back."""
+    path = scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}")
+    store.write_store(grid(spark, sf_dir), path)
+    return rounded(store.read_store(spark, path).withColumn("year", F.col("year").cast("int")))
+
+
+@query("store_bucketed")
+def q_store_bucketed(spark, sf_dir):
+    """The cube saved as a table bucketed by cell; climatologies of all cells read it without a shuffle."""
+    name = f"cube_bucketed_{uuid.uuid4().hex[:12]}"
+    store.write_bucketed(grid(spark, sf_dir), name, 8, path=scratch_path(spark, name))
+    return rounded(clim.cell_stats(spark.table(name)))
 
 
 @query("sort_time")
@@ -490,13 +529,8 @@ def q_map_float32(spark, sf_dir):
 @query("materialize")
 def q_materialize(spark, sf_dir):
     """Q1 through the cache-aside store in the shared checkpoint folder (float32 map)."""
-    tag = hashlib.sha1(f"{CACHE_VERSION}|{sf_dir}".encode()).hexdigest()[:12]
-    path = scratch_path(spark, f"variability_map_{tag}")
-
-    def build():
-        return q_variability_map(spark, sf_dir)
-
-    return store.materialize(spark, path, build, float_cols=["variability"])
+    return store.materialize(spark, scratch_path(spark, "variability_map"), lambda: q_variability_map(spark, sf_dir),
+                             float_cols=["variability"], params=[TIME_STRIDE, LAT_STRIDE, LON_STRIDE])
 
 
 # --- reports -------------------------------------------------------------------------------------------------
@@ -509,15 +543,72 @@ def q_cell_reports(spark, sf_dir):
 
 @query("point_report")
 def q_point_report(spark, sf_dir):
-    return rounded(pipelines.point_report(grid(spark, sf_dir), fixtures.points(spark), EXTREME_QUANTILE, ndigits=CMP_DIGITS))
+    return rounded(pipelines.point_report(grid(spark, sf_dir), fixtures.points(spark, sf_dir), EXTREME_QUANTILE, ndigits=CMP_DIGITS))
+
+
+@query("point_report_series")
+def q_point_report_series(spark, sf_dir):
+    """Q2 per step: anomaly, rolling mean and fitted line of the cell nearest to each point."""
+    g = grid(spark, sf_dir)
+    an = pipelines.point_anomalies(g, fixtures.points(spark, sf_dir), ndigits=CMP_DIGITS)
+    return rounded(pipelines.series_report(an, ROLL_ROWS, keys=["point_id", *CELL], axis=time_axis(g)))
+
+
+@query("point_report_years")
+def q_point_report_years(spark, sf_dir):
+    """Q2 per year: zero-filled counts of extremes."""
+    an = pipelines.point_anomalies(grid(spark, sf_dir), fixtures.points(spark, sf_dir), ndigits=CMP_DIGITS)
+    return pipelines.yearly_report(an, EXTREME_QUANTILE, ["point_id", *CELL], CMP_DIGITS)
+
+
+@query("point_report_density")
+def q_point_report_density(spark, sf_dir):
+    """Q2 density curve over the years of the extremes."""
+    an = pipelines.point_anomalies(grid(spark, sf_dir), fixtures.points(spark, sf_dir), ndigits=CMP_DIGITS)
+    return rounded(pipelines.density_report(an, EXTREME_QUANTILE, ["point_id", *CELL], CMP_DIGITS))
+
+
+@query("cell_report_series")
+def q_cell_report_series(spark, sf_dir):
+    """Q3 per step, for all cells."""
+    return rounded(pipelines.series_report(anom9(spark, sf_dir), ROLL_ROWS, axis=time_axis(grid(spark, sf_dir))))
+
+
+@query("cell_report_density")
+def q_cell_report_density(spark, sf_dir):
+    """Q3 density curves, for all cells."""
+    return rounded(pipelines.density_report(anom9(spark, sf_dir), EXTREME_QUANTILE, CELL, CMP_DIGITS))
+
+
+@query("point_quantiles_propagate")
+def q_point_quantiles_propagate(spark, sf_dir):
+    """Quantiles per cell that a missing value makes missing, as NumPy's do."""
+    return rounded(extremes.point_quantiles(anom9(spark, sf_dir), "anom", nan_policy="propagate"))
+
+
+BOUNDS = {"lat_min": 20.5, "lat_max": 40.5, "lon_min": 0.5, "lon_max": 20.5}
+
+
+def region9(spark, sf_dir) -> DataFrame:
+    return pipelines.masked_region(grid(spark, sf_dir), fixtures.reference_grid(spark, sf_dir), BOUNDS, "coord", CMP_DIGITS)
 
 
 @query("regional_study")
 def q_regional_study(spark, sf_dir):
-    c = grid(spark, sf_dir)
-    bounds = {"lat_min": 20.5, "lat_max": 40.5, "lon_min": 0.5, "lon_max": 20.5}
-    return pipelines.regional_study(c, c, bounds, fixtures.points(spark), EXTREME_QUANTILE,
-                                    exclude=[2001], mask_mode="coord", ndigits=CMP_DIGITS)
+    return pipelines.regional_study(grid(spark, sf_dir), fixtures.reference_grid(spark, sf_dir), BOUNDS, fixtures.points(spark, sf_dir),
+                                    EXTREME_QUANTILE, exclude=[2001], mask_mode="coord", ndigits=CMP_DIGITS)
+
+
+@query("regional_maps")
+def q_regional_maps(spark, sf_dir):
+    """Q5 maps: variability and trend of the masked region."""
+    return rounded(pipelines.regional_maps(region9(spark, sf_dir)))
+
+
+@query("regional_series")
+def q_regional_series(spark, sf_dir):
+    """Q5 per step and cell of the masked region: anomaly, rolling mean, fitted line."""
+    return rounded(pipelines.series_report(region9(spark, sf_dir), ROLL_ROWS, axis=time_axis(grid(spark, sf_dir))))
 
 
 @query("region_yearly")
@@ -542,10 +633,26 @@ def q_mhw_events_ds(spark, sf_dir):
 @query("rolling_mean_weekly")
 def q_rolling_mean_weekly(spark, sf_dir):
     """Weekly anomalies and their centered 51-row (about one year) complete-window mean."""
-    a = clim.anomaly(fixtures.sst_weekly(spark, sf_dir), ndigits=CMP_DIGITS)
-    return rounded(roll.rolling_mean(a, "anom", ROLL_ROWS).select("t", *CELL, "anom", "rolled"))
+    w = fixtures.sst_weekly(spark, sf_dir)
+    a = clim.anomaly(by_cell(w), ndigits=CMP_DIGITS)
+    return rounded(roll.rolling_mean(a, "anom", ROLL_ROWS, axis=time_axis(w)).select("t", *CELL, "anom", "rolled"))
 
 
 @query("cell_reports_weekly")
 def q_cell_reports_weekly(spark, sf_dir):
     return rounded(pipelines.cell_reports(fixtures.sst_weekly(spark, sf_dir), EXTREME_QUANTILE, ndigits=CMP_DIGITS))
+
+
+# --- a grid whose cells grow with the table -----------------------------------------------------
+
+
+@query("wide_variability")
+def q_wide_variability(spark, sf_dir):
+    """The variability map of a grid of up to 180 x 360 cells, filled as the table grows."""
+    return rounded(clim.variability_map(fixtures.sst_wide(spark, sf_dir)))
+
+
+@query("wide_reports")
+def q_wide_reports(spark, sf_dir):
+    """The cell reports of the wide grid."""
+    return rounded(pipelines.cell_reports(fixtures.sst_wide(spark, sf_dir), EXTREME_QUANTILE, ndigits=CMP_DIGITS))

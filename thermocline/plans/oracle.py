@@ -193,7 +193,9 @@ sql(
 
 sql("last_frame", f"SELECT {CUBE_COLS} FROM cube WHERE t = (SELECT MAX(t) FROM cube)")
 
-POINTS = "pts(point_id, plat, plon) AS (VALUES (1::BIGINT, 23.0::DOUBLE, 5.5::DOUBLE), (2, 40.4, 30.5), (3, 5.0, 99.0), (4, 31.0, 16.0))"
+POINTS = """pts(point_id, plat, plon) AS (SELECT * FROM (VALUES (1::BIGINT, 23.0::DOUBLE, 5.5::DOUBLE), (2, 40.4, 30.5), (3, 5.0, 99.0), (4, 31.0, 16.0))
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 100, CAST(2 * n_nationkey AS DOUBLE) + CAST(0.75 AS DOUBLE),
+         CAST(47.0 AS DOUBLE) - n_nationkey * CAST(2.25 AS DOUBLE) FROM nation)"""
 NEAREST = """near AS (
   SELECT p.point_id, p.plat AS point_lat, p.plon AS point_lon, la.lat_idx, la.lat, lo.lon_idx, lo.lon
   FROM pts p
@@ -298,13 +300,17 @@ FROM (SELECT *, {DECYEAR} AS x FROM an9) WINDOW w AS (PARTITION BY lat_idx, lon_
     AN9,
 )
 
-sql(
-    "rolling_mean",
-    """SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom,
-       ROUND(CASE WHEN COUNT(anom) OVER w = 51 THEN AVG(anom) OVER w END, 6) AS rolled
-FROM an9 WINDOW w AS (PARTITION BY lat_idx, lon_idx ORDER BY t ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)""",
-    AN9,
-)
+# every cell x every step of the shared axis: absent rows stand as missing values
+DENSE_AN = """dn AS (SELECT cells.lat_idx, cells.lon_idx, tax.t, a.anom, a.t IS NOT NULL AS present
+FROM (SELECT DISTINCT lat_idx, lon_idx FROM an9) cells CROSS JOIN tax
+LEFT JOIN an9 a ON a.lat_idx = cells.lat_idx AND a.lon_idx = cells.lon_idx AND a.t = tax.t)"""
+
+ROLLED = """SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom, ROUND(rolled, 6) AS rolled
+FROM (SELECT *, CASE WHEN COUNT(anom) OVER w = 51 THEN AVG(anom) OVER w END AS rolled
+      FROM dn WINDOW w AS (PARTITION BY lat_idx, lon_idx ORDER BY t ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING))
+WHERE present"""
+
+sql("rolling_mean", ROLLED, AN9, TIME_AX, DENSE_AN)
 
 
 def sme(src: str, value: str) -> list[str]:
@@ -385,30 +391,36 @@ sql("repeat_years",
     AN9, FL, EP)
 
 
-def kde(factor: str) -> list[str]:
+def kde(factor: str, keys: str = "lat_idx, lon_idx", points: int = 400, seen: str = "year") -> list[str]:
+    k_of = lambda t: ", ".join(f"{t}.{k.strip()}" for k in keys.split(","))
     return [
-        """st AS (SELECT lat_idx, lon_idx, MIN(year) AS y0, MAX(year) AS y1, MAX(n_extreme) AS nmax,
+        f"""st AS (SELECT {keys}, MIN({seen}) AS y0, MAX({seen}) AS y1, MAX(n_extreme) AS nmax,
        CAST(SUM(n_extreme) AS DOUBLE) AS nn, CAST(SUM(n_extreme * year) AS DOUBLE) / CAST(SUM(n_extreme) AS DOUBLE) AS mu
-FROM ep GROUP BY lat_idx, lon_idx)""",
+FROM ep GROUP BY {keys})""",
         f"""par AS (SELECT st.*, {factor} * SQRT(v.ss / (st.nn - 1)) AS h FROM st JOIN (
-       SELECT e.lat_idx, e.lon_idx, SUM(e.n_extreme * POW(e.year - s.mu, 2)) AS ss
-       FROM ep e JOIN st s USING (lat_idx, lon_idx) GROUP BY e.lat_idx, e.lon_idx) v USING (lat_idx, lon_idx)
+       SELECT {k_of("e")}, SUM(e.n_extreme * POW(e.year - s.mu, 2)) AS ss
+       FROM ep e JOIN st s USING ({keys}) GROUP BY {k_of("e")}) v USING ({keys})
 WHERE st.nn >= 2)""",
-        """g AS (SELECT par.*, CAST(i AS INTEGER) AS i,
-       CASE WHEN i = 399 THEN CAST(y1 AS DOUBLE)
-            ELSE CAST(y0 AS DOUBLE) + CAST(i AS DOUBLE) * (CAST(y1 - y0 AS DOUBLE) / CAST(399 AS DOUBLE)) END AS x
-FROM par, range(400) r(i) WHERE h > 0)""",
-        """k AS (SELECT g.lat_idx, g.lon_idx, g.i, g.x, g.nmax,
+        f"""g AS (SELECT par.*, CAST(i AS INTEGER) AS i,
+       CASE WHEN i = {points - 1} THEN CAST(y1 AS DOUBLE)
+            ELSE CAST(y0 AS DOUBLE) + CAST(i AS DOUBLE) * (CAST(y1 - y0 AS DOUBLE) / CAST({points - 1} AS DOUBLE)) END AS x
+FROM par, range({points}) r(i) WHERE h > 0)""",
+        f"""k AS (SELECT {k_of("g")}, g.i, g.x, g.nmax, g.nn,
        SUM(e.n_extreme * EXP(-0.5 * POW((g.x - e.year) / g.h, 2))) / (g.nn * g.h * SQRT(2 * PI())) AS kde
-FROM g JOIN ep e USING (lat_idx, lon_idx) GROUP BY g.lat_idx, g.lon_idx, g.i, g.x, g.nmax, g.nn, g.h)""",
+FROM g JOIN ep e USING ({keys}) GROUP BY {k_of("g")}, g.i, g.x, g.nmax, g.nn, g.h)""",
     ]
 
 
-KDE_OUT = """SELECT lat_idx, lon_idx, i, ROUND(x, 6) AS year_x, ROUND(kde, 6) AS kde,
-       ROUND(kde * (nmax / MAX(kde) OVER (PARTITION BY lat_idx, lon_idx)), 6) AS kde_scaled FROM k"""
+def kde_out(keys: str = "lat_idx, lon_idx", scaled: str | None = None) -> str:
+    scaled = scaled or f"kde * (nmax / MAX(kde) OVER (PARTITION BY {keys}))"
+    return f"""SELECT {keys}, i, ROUND(x, 6) AS year_x, ROUND(kde, 6) AS kde,
+       ROUND({scaled}, 6) AS kde_scaled FROM k"""
 
-sql("kde_years", KDE_OUT, AN9, FL, EP, *kde("0.35"))
-sql("kde_scott", KDE_OUT, AN9, FL, EP, *kde("POW(st.nn, -0.2)"))
+
+sql("kde_years", kde_out(), AN9, FL, EP, *kde("0.35"))
+# a histogram's curve: over the years with events, density x events x one year
+sql("kde_scott", kde_out(scaled="kde * nn"), AN9, FL, EP,
+    *kde("POW(st.nn, -0.2)", points=200, seen="CASE WHEN n_extreme > 0 THEN year END"))
 
 sql(
     "global_quantiles",
@@ -418,18 +430,19 @@ sql(
 
 sql(
     "exceed_fraction",
-    f"""SELECT lat_idx, lon_idx, {YEAR} AS year,
-       ROUND(SUM(CASE WHEN sst > (SELECT QUANTILE_CONT(sst, 0.9) FROM cube) THEN 1 ELSE 0 END)
-             / MAX(st.n), 6) AS fraction
-FROM cube JOIN (SELECT YEAR(t) AS y, COUNT(*) AS n FROM (SELECT DISTINCT t FROM cube) GROUP BY YEAR(t)) st
-ON st.y = YEAR(t) GROUP BY lat_idx, lon_idx, {YEAR}""",
+    f"""SELECT c.lat_idx, c.lon_idx, CAST(st.y AS INTEGER) AS year, ROUND(COUNT(a.t) / st.n, 6) AS fraction
+FROM (SELECT DISTINCT lat_idx, lon_idx FROM cube) c
+CROSS JOIN (SELECT YEAR(t) AS y, COUNT(*) AS n FROM (SELECT DISTINCT t FROM cube) GROUP BY YEAR(t)) st
+LEFT JOIN (SELECT * FROM cube WHERE sst > (SELECT QUANTILE_CONT(sst, 0.9) FROM cube)) a
+  ON a.lat_idx = c.lat_idx AND a.lon_idx = c.lon_idx AND YEAR(a.t) = st.y
+GROUP BY c.lat_idx, c.lon_idx, st.y, st.n""",
 )
 
 sql(
     "clip_scale",
     """SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom, ROUND(c, 6) AS clipped,
        ROUND((c - CAST(-2.0892258 AS DOUBLE)) / (CAST(2.215498 AS DOUBLE) - CAST(-2.0892258 AS DOUBLE)), 6) AS scaled
-FROM (SELECT *, LEAST(GREATEST(anom, CAST(-2.0892258 AS DOUBLE)), CAST(2.215498 AS DOUBLE)) AS c FROM an9)""",
+FROM (SELECT *, CASE WHEN anom IS NOT NULL THEN LEAST(GREATEST(anom, CAST(-2.0892258 AS DOUBLE)), CAST(2.215498 AS DOUBLE)) END AS c FROM an9)""",
     AN9,
 )
 
@@ -451,38 +464,53 @@ EX = f"""ex AS (SELECT c.t, c.lat_idx, c.lon_idx, c.lat, c.lon, c.sst, {DOY} AS
        COALESCE({R9("c.sst")} > {R9("thr.thr")}, FALSE) AS exceed
 FROM cube c JOIN thr ON thr.lat_idx = c.lat_idx AND thr.lon_idx = c.lon_idx AND thr.dayofyear = DAYOFYEAR(c.t))"""
 
-MK = """mk AS (SELECT *, exceed AND SUM(CAST(exceed AS INTEGER)) OVER (PARTITION BY lat_idx, lon_idx, isl) >= 3 AS mhw
+
+def marked(n: int = 3) -> list[str]:
+    """Runs of ``n`` on a dense spine: a step without a row is not an exceedance; ``mk`` has all steps."""
+    return [
+        TIME_AX,
+        """dx AS (SELECT cells.lat_idx, cells.lon_idx, tax.t, e.lat, e.lon, e.sst, e.thr, COALESCE(e.exceed, FALSE) AS exceed,
+       e.t IS NOT NULL AS present
+FROM (SELECT DISTINCT lat_idx, lon_idx FROM ex) cells CROSS JOIN tax
+LEFT JOIN ex e ON e.lat_idx = cells.lat_idx AND e.lon_idx = cells.lon_idx AND e.t = tax.t)""",
+        f"""mk AS (SELECT *, exceed AND SUM(CAST(exceed AS INTEGER)) OVER (PARTITION BY lat_idx, lon_idx, isl) >= {n} AS mhw
 FROM (SELECT *, SUM(CASE WHEN exceed THEN 0 ELSE 1 END)
-                OVER (PARTITION BY lat_idx, lon_idx ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl FROM ex))"""
+                OVER (PARTITION BY lat_idx, lon_idx ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl FROM dx))""",
+    ]
+
+
+MK = marked()
 
 sql("doy_threshold", "SELECT lat_idx, lon_idx, dayofyear, ROUND(thr, 6) AS thr FROM thr", *THR)
 
 sql("exceedance",
     "SELECT t, lat_idx, lon_idx, ROUND(sst, 6) AS sst, dayofyear, ROUND(thr, 6) AS thr, exceed FROM ex", *THR, EX)
 
-MASK_OUT = "SELECT t, lat_idx, lon_idx, ROUND(sst, 6) AS sst, ROUND(thr, 6) AS thr, exceed, mhw FROM mk"
-sql("mhw_mask", MASK_OUT, *THR, EX, MK)
-sql("apply_along_time", MASK_OUT, *THR, EX, MK)
+MASK_OUT = "SELECT t, lat_idx, lon_idx, ROUND(sst, 6) AS sst, ROUND(thr, 6) AS thr, exceed, mhw FROM mk WHERE present"
+sql("mhw_mask", MASK_OUT, *THR, EX, *MK)
+sql("apply_along_time", MASK_OUT, *THR, EX, *MK)
 
 DAYS = f"""days AS (SELECT m.lat_idx, m.lon_idx, {YEAR} AS year,
        CASE WHEN MAX(l.land) THEN NULL ELSE CAST(SUM(CAST(mhw AS INTEGER)) AS BIGINT) END AS days
 FROM mk m JOIN land l USING (lat_idx, lon_idx) GROUP BY m.lat_idx, m.lon_idx, {YEAR})"""
 
-sql("mhw_days", "SELECT * FROM days", *THR, EX, MK, LAND, DAYS)
+sql("mhw_days", "SELECT * FROM days", *THR, EX, *MK, LAND, DAYS)
 
-sql(
-    "mhw_events",
-    """SELECT e.lat_idx, e.lon_idx, e.year, CASE WHEN l.land THEN NULL ELSE e.events END AS events
+def events(n: int = 3) -> str:
+    return f"""events AS (SELECT e.lat_idx, e.lon_idx, e.year, CASE WHEN l.land THEN NULL ELSE e.events END AS events
 FROM (SELECT lat_idx, lon_idx, year, CAST(SUM(CAST(st AS INTEGER)) AS BIGINT) AS events FROM (
         SELECT *, lng AND NOT COALESCE(LAG(lng) OVER (PARTITION BY lat_idx, lon_idx, year ORDER BY t), FALSE) AS st
-        FROM (SELECT *, mhw AND SUM(CAST(mhw AS INTEGER)) OVER (PARTITION BY lat_idx, lon_idx, year, isl2) >= 3 AS lng
+        FROM (SELECT *, mhw AND SUM(CAST(mhw AS INTEGER)) OVER (PARTITION BY lat_idx, lon_idx, year, isl2) >= {n} AS lng
               FROM (SELECT *, SUM(CASE WHEN mhw THEN 0 ELSE 1 END) OVER (
                         PARTITION BY lat_idx, lon_idx, year ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl2
-                    FROM (SELECT *, CAST(YEAR(t) AS INTEGER) AS year FROM mk))))
+                    FROM (SELECT *, {YEAR} AS year FROM mk))))
       GROUP BY lat_idx, lon_idx, year) e
-JOIN land l USING (lat_idx, lon_idx)""",
-    *THR, EX, MK, LAND,
-)
+JOIN land l USING (lat_idx, lon_idx))"""
+
+
+EVENTS = events()
+
+sql("mhw_events", "SELECT * FROM events", *THR, EX, *MK, LAND, EVENTS)
 
 sql(
     "mhw_pipeline",
@@ -493,13 +521,13 @@ JOIN (SELECT CAST(lat_idx // 2 AS INTEGER) AS lat_idx, AVG(lat) AS lat
       FROM (SELECT DISTINCT lat_idx, lat FROM cube) WHERE lat_idx < 6 GROUP BY 1) bl USING (lat_idx)
 JOIN (SELECT CAST(lon_idx // 2 AS INTEGER) AS lon_idx, AVG(lon) AS lon
       FROM (SELECT DISTINCT lon_idx, lon FROM cube) WHERE lon_idx < 4 GROUP BY 1) bo USING (lon_idx)""",
-    *THR, EX, MK, LAND, DAYS,
+    *THR, EX, *MK, LAND, DAYS,
 )
 
 sql(
     "dedup_days",
     f"""SELECT {CUBE_COLS} FROM (SELECT *, ROW_NUMBER() OVER (
-       PARTITION BY lat_idx, lon_idx, YEAR(t), DAYOFYEAR(t) ORDER BY t) AS rn FROM cube) WHERE rn = 1""",
+       PARTITION BY lat_idx, lon_idx, YEAR(t), DAYOFYEAR(t) ORDER BY t, sst) AS rn FROM cube) WHERE rn = 1""",
 )
 
 # --- grid reshaping ------------------------------------------------------------------------------------------
@@ -588,18 +616,82 @@ sql(
 FROM cube c JOIN near n USING (lat_idx, lon_idx))""",
 )
 
+REFGRID = """ref AS (SELECT CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS t, CAST(o_custkey % 6 AS INTEGER) AS lat_idx,
+       CAST((o_custkey // 6) % 4 AS INTEGER) AS lon_idx, CAST(20.5 + 5 * (o_custkey % 6) AS DOUBLE) AS lat,
+       CAST(0.5 + 10 * ((o_custkey // 6) % 4) AS DOUBLE) AS lon, CAST(SUM(FLOOR(o_totalprice)) AS BIGINT) AS q
+FROM orders GROUP BY ALL)"""
+
+REGION9 = ["""rmask AS (SELECT lat, lon FROM ref GROUP BY lat, lon
+HAVING COALESCE(MAX(CASE WHEN t = (SELECT MIN(t) FROM ref) AND q % 4 <> 0 THEN 1 END), 0) = 0)""",
+    """mc AS (SELECT c.t, c.lat_idx, c.lon_idx, c.lat, c.lon, CASE WHEN m.lat IS NULL THEN c.sst END AS sst
+FROM cube c LEFT JOIN rmask m USING (lat, lon)
+WHERE c.lat BETWEEN 20.5 AND 40.5 AND c.lon BETWEEN 0.5 AND 20.5)""",
+    f"""an9 AS (SELECT *, {MONTH} AS month, {R9("sst - AVG(sst) OVER (PARTITION BY lat_idx, lon_idx, MONTH(t))")} AS anom FROM mc)"""]
+
+
 sql(
     "regional_study",
     f"""SELECT point_id, flag, COUNT(*) AS n FROM {flags_over("ps", "point_id, lat_idx, lon_idx")}
 WHERE year <> 2001 GROUP BY point_id, flag""",
-    REFMASK,
-    """mc AS (SELECT c.t, c.lat_idx, c.lon_idx, c.lat, c.lon, CASE WHEN m.lat IS NULL THEN c.sst END AS sst
-FROM cube c LEFT JOIN (SELECT DISTINCT lat, lon FROM refmask) m USING (lat, lon)
-WHERE c.lat BETWEEN 20.5 AND 40.5 AND c.lon BETWEEN 0.5 AND 20.5)""",
-    f"""an AS (SELECT *, {R9("sst - AVG(sst) OVER (PARTITION BY lat_idx, lon_idx, MONTH(t))")} AS anom FROM mc)""",
+    REFGRID,
+    *REGION9,
     POINTS,
     NEAREST.replace("FROM cube) a", "FROM mc) a"),
-    "ps AS (SELECT n.point_id, a.* FROM an a JOIN near n USING (lat_idx, lon_idx))",
+    "ps AS (SELECT n.point_id, a.* FROM an9 a JOIN near n USING (lat_idx, lon_idx))",
+)
+
+sql(
+    "regional_maps",
+    f"""SELECT v.lat_idx, v.lon_idx, v.lat, v.lon, ROUND(v.variability, 6) AS variability, v.n_valid, ROUND(s.slope * 10, 6) AS trend_decade
+FROM (SELECT lat_idx, lon_idx, MIN(lat) AS lat, MIN(lon) AS lon, AVG(sd) AS variability, CAST(SUM(n) AS BIGINT) AS n_valid
+      FROM (SELECT lat_idx, lon_idx, month, MIN(lat) AS lat, MIN(lon) AS lon, STDDEV_POP(sst) AS sd, COUNT(anom) AS n
+            FROM an9 GROUP BY lat_idx, lon_idx, month) GROUP BY lat_idx, lon_idx) v
+JOIN (SELECT lat_idx, lon_idx, REGR_SLOPE(anom, {DECYEAR}) AS slope FROM an9 GROUP BY lat_idx, lon_idx) s USING (lat_idx, lon_idx)""",
+    REFGRID, *REGION9,
+)
+
+
+def series_report(src: str, keys: str) -> tuple[str, str]:
+    """(query, CTE of the dense spine) of the per-step report."""
+    on = " AND ".join(f"a.{k.strip()} = cells.{k.strip()}" for k in keys.split(","))
+    dense = f"""dn AS (SELECT cells.*, tax.t, a.anom, a.t IS NOT NULL AS present
+FROM (SELECT DISTINCT {keys} FROM {src}) cells CROSS JOIN tax LEFT JOIN {src} a ON {on} AND a.t = tax.t)"""
+    body = f"""SELECT t, {keys}, ROUND(anom, 6) AS anom, ROUND(x, 6) AS continuous_time, ROUND(rolled, 6) AS rolled,
+       ROUND(REGR_INTERCEPT(anom, x) OVER p + REGR_SLOPE(anom, x) OVER p * x, 6) AS pred_ols
+FROM (SELECT *, {DECYEAR} AS x, CASE WHEN COUNT(anom) OVER w = 51 THEN AVG(anom) OVER w END AS rolled
+      FROM dn WINDOW w AS (PARTITION BY {keys} ORDER BY t ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING))
+WHERE present WINDOW p AS (PARTITION BY {keys})"""
+    return body, dense
+
+
+PKEYS = "point_id, lat_idx, lon_idx"
+PA = f"""pa AS (SELECT n.point_id, c.*,
+       {R9("c.sst - AVG(c.sst) OVER (PARTITION BY n.point_id, c.lat_idx, c.lon_idx, MONTH(c.t))")} AS anom
+FROM cube c JOIN near n USING (lat_idx, lon_idx))"""
+
+
+def yearly(src: str, keys: str) -> list[str]:
+    fl = f"fl AS (SELECT * FROM {flags_over(src, keys)})"
+    return [fl, f"""ep AS (SELECT {", ".join("s." + k.strip() for k in keys.split(","))}, s.year, CAST(COALESCE(p.n, 0) AS BIGINT) AS n_extreme
+FROM (SELECT {keys}, CAST(UNNEST(generate_series(MIN(year), MAX(year))) AS INTEGER) AS year FROM fl GROUP BY {keys}) s
+LEFT JOIN (SELECT {keys}, year, SUM(flag) AS n FROM fl GROUP BY {keys}, year) p USING ({keys}, year))"""]
+
+
+_body, _dense = series_report("pa", PKEYS)
+sql("point_report_series", _body, POINTS, NEAREST, PA, TIME_AX, _dense)
+sql("point_report_years", "SELECT * FROM ep", POINTS, NEAREST, PA, *yearly("pa", PKEYS))
+sql("point_report_density", kde_out(PKEYS), POINTS, NEAREST, PA, *yearly("pa", PKEYS), *kde("0.35", PKEYS))
+_body, _dense = series_report("an9", "lat_idx, lon_idx")
+sql("cell_report_series", _body, AN9, TIME_AX, _dense)
+sql("cell_report_density", kde_out(), AN9, *yearly("an9", "lat_idx, lon_idx"), *kde("0.35"))
+sql("regional_series", _body, REFGRID, *REGION9, TIME_AX, _dense)
+
+sql(
+    "point_quantiles_propagate",
+    "SELECT lat_idx, lon_idx, MIN(lat) AS lat, MIN(lon) AS lon, "
+    + ", ".join(f"ROUND(CASE WHEN COUNT(anom) = COUNT(*) THEN QUANTILE_CONT(anom, {q}) END, 6) AS {n}" for q, n in ((0.05, "q05"), (0.10, "q10"), (0.90, "q90"), (0.95, "q95")))
+    + " FROM an9 GROUP BY lat_idx, lon_idx",
+    AN9,
 )
 
 sql(
@@ -610,16 +702,6 @@ FROM (SELECT year, AVG(region_mean) AS mean FROM rs GROUP BY year)""",
     REGION,
 )
 
-EVENTS = f"""events AS (SELECT e.lat_idx, e.lon_idx, e.year, CASE WHEN l.land THEN NULL ELSE e.events END AS events
-FROM (SELECT lat_idx, lon_idx, year, CAST(SUM(CAST(st AS INTEGER)) AS BIGINT) AS events FROM (
-        SELECT *, lng AND NOT COALESCE(LAG(lng) OVER (PARTITION BY lat_idx, lon_idx, year ORDER BY t), FALSE) AS st
-        FROM (SELECT *, mhw AND SUM(CAST(mhw AS INTEGER)) OVER (PARTITION BY lat_idx, lon_idx, year, isl2) >= 3 AS lng
-              FROM (SELECT *, SUM(CASE WHEN mhw THEN 0 ELSE 1 END) OVER (
-                        PARTITION BY lat_idx, lon_idx, year ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl2
-                    FROM (SELECT *, {YEAR} AS year FROM mk))))
-      GROUP BY lat_idx, lon_idx, year) e
-JOIN land l USING (lat_idx, lon_idx))"""
-
 sql(
     "mhw_events_ds",
     """SELECT d.year, d.lat_idx, d.lon_idx, bl.lat, bo.lon, ROUND(d.events, 6) AS events
@@ -629,7 +711,7 @@ JOIN (SELECT CAST(lat_idx // 4 AS INTEGER) AS lat_idx, AVG(lat) AS lat
       FROM (SELECT DISTINCT lat_idx, lat FROM cube) WHERE lat_idx < 4 GROUP BY 1) bl USING (lat_idx)
 JOIN (SELECT CAST(lon_idx // 4 AS INTEGER) AS lon_idx, AVG(lon) AS lon
       FROM (SELECT DISTINCT lon_idx, lon FROM cube) WHERE lon_idx < 4 GROUP BY 1) bo USING (lon_idx)""",
-    *THR, EX, MK, LAND, EVENTS,
+    *THR, EX, *MK, LAND, EVENTS,
 )
 
 
@@ -643,12 +725,60 @@ WEEKLY = """wk AS (SELECT CAST(DATE_TRUNC('week', t) AS DATE) AS t, lat_idx, lon
 AN9W = f"""an9 AS (SELECT *, {MONTH} AS month,
        {R9("sst - AVG(sst) OVER (PARTITION BY lat_idx, lon_idx, MONTH(t))")} AS anom FROM wk)"""
 
+sql("rolling_mean_weekly", ROLLED, WEEKLY, AN9W, TIME_AX.replace("FROM cube", "FROM wk"), DENSE_AN)
+
+sql("cell_reports_weekly", report("lat_idx, lon_idx", flags_over("an9", "lat_idx, lon_idx")), WEEKLY, AN9W)
+
+# --- frames, stores ---------------------------------------------------------------------------------------
+
 sql(
-    "rolling_mean_weekly",
-    """SELECT t, lat_idx, lon_idx, ROUND(anom, 6) AS anom,
-       ROUND(CASE WHEN COUNT(anom) OVER w = 51 THEN AVG(anom) OVER w END, 6) AS rolled
-FROM an9 WINDOW w AS (PARTITION BY lat_idx, lon_idx ORDER BY t ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)""",
-    WEEKLY, AN9W,
+    "frames",
+    f"""SELECT tax.t, tax.time_idx, CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx,
+       ROUND(CASE WHEN a.anom IS NOT NULL THEN LEAST(GREATEST(a.anom, lim.lo), lim.hi) END, 6) AS v
+FROM tax CROSS JOIN range(6) r(i) CROSS JOIN range(4) s(j)
+CROSS JOIN (SELECT QUANTILE_CONT(anom, 0.01) AS lo, QUANTILE_CONT(anom, 0.99) AS hi FROM an9) lim
+LEFT JOIN an9 a ON a.t = tax.t AND a.lat_idx = i AND a.lon_idx = j WHERE tax.time_idx % 2 = 0""",
+    AN9, TIME_AX,
 )
 
-sql("cell_reports_weekly", report("lat_idx, lon_idx", flags_over("an9", "lat_idx, lon_idx")), WEEKLY, AN9W)
+sql("store_partitioned", f"SELECT {CUBE_COLS}, {YEAR} AS year FROM cube")
+SQL["store_bucketed"] = SQL["cell_stats"]
+
+# --- heatwaves at the reference's parameters: 2 x 2 blocks, quantile 0.9, five days -----------------------
+
+WARM = """spell AS (SELECT t, lat_idx, lon_idx, lat, lon,
+       CASE WHEN (YEAR(t) = 1994 AND DAYOFYEAR(t) BETWEEN 60 AND 79) OR (YEAR(t) = 1996 AND DAYOFYEAR(t) BETWEEN 200 AND 205)
+            THEN sst + CAST(40.0 AS DOUBLE) ELSE sst END AS sst FROM cube)"""
+BLOCKS = """blk AS (SELECT t, CAST(lat_idx // 2 AS INTEGER) AS lat_idx, CAST(lon_idx // 2 AS INTEGER) AS lon_idx, AVG(lat) AS lat, AVG(lon) AS lon,
+       AVG(sst) AS sst FROM spell GROUP BY t, lat_idx // 2, lon_idx // 2)"""
+
+
+def _of_blocks(cte: str) -> str:
+    return cte.replace("FROM cube", "FROM blk").replace("0.75", "0.9")
+
+
+DAYS_REF = f"""days AS (SELECT m.lat_idx, m.lon_idx, {YEAR} AS year,
+       CASE WHEN MAX(l.land) THEN NULL ELSE CAST(SUM(CAST(mhw AS INTEGER)) AS BIGINT) END AS days
+FROM mk m JOIN land l USING (lat_idx, lon_idx) GROUP BY m.lat_idx, m.lon_idx, {YEAR})"""
+
+sql(
+    "mhw_reference",
+    "SELECT lat_idx, lon_idx, year, days, events FROM days JOIN events USING (lat_idx, lon_idx, year)",
+    WARM, BLOCKS, *[_of_blocks(c) for c in (*THR, EX, *marked(5), LAND)], DAYS_REF, events(5),
+)
+
+# --- the grid whose cells grow with the table --------------------------------------------------------------
+
+WIDE = """wide AS (SELECT CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS t, CAST(l_suppkey % 180 AS INTEGER) AS lat_idx,
+       CAST(l_partkey % 360 AS INTEGER) AS lon_idx, CAST(l_suppkey % 180 AS DOUBLE) - CAST(89.5 AS DOUBLE) AS lat,
+       CAST(l_partkey % 360 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS lon,
+       CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) * CAST(0.6 AS DOUBLE) / COUNT(*) AS sst FROM lineitem GROUP BY ALL)"""
+
+sql(
+    "wide_variability",
+    """SELECT lat_idx, lon_idx, MIN(lat) AS lat, MIN(lon) AS lon, ROUND(AVG(sd), 6) AS variability
+FROM m GROUP BY lat_idx, lon_idx""",
+    WIDE, "m AS (" + MONTHLY.format(src="wide") + ")",
+)
+
+sql("wide_reports", report("lat_idx, lon_idx", flags_over("an9", "lat_idx, lon_idx")), WIDE, AN9W.replace("FROM wk", "FROM wide"))

@@ -37,11 +37,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "therm
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a scratch folder is only chosen when the
-    session names none (local tests).
+    The cluster's setting always wins; a scratch folder is only chosen when a local
+    session names none (tests).  A cluster session without one is an error: a machine-local
+    folder would be lost with its machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="thermocline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermocline.model import CELL, nan_to_null, normalize_cube, with_cell_index
+from thermocline.model import CELL, axis_values, nan_to_null, normalize_cube, with_cell_index
 
 RAW_SCHEMA = T.StructType(
     [
@@ -28,24 +30,48 @@ def index_cube(raw: DataFrame, var: str = "sst", time: str = "t", lat_descending
     return df.select("t", *CELL, "lat", "lon", "sst")
 
 
+def readable_files(spark: SparkSession, path, glob: str | None = None) -> tuple[list[str], list[str]]:
+    """(readable, unreadable) Parquet files under ``path``: each file's footer and first row group
+    is tried by a task of its own.  Use it to load what can be read and to report what cannot."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    files = [r["path"] for r in reader.load(path).select("path").collect()]  # names only
+    good, bad = [], []
+    for f in files:
+        try:
+            spark.read.parquet(f).limit(1).collect()
+            good.append(f)
+        except (PySparkException, Py4JJavaError):
+            bad.append(f)
+    return good, bad
+
+
 def load_cube(spark: SparkSession, path, fmt: str = "parquet", var: str = "sst", time: str = "t",
-              schema: T.StructType | None = None, glob: str | None = None, dedupe: bool = True,
-              **axes) -> DataFrame:
+              schema: T.StructType | None = None, glob: str | None = None, dedupe: bool = False,
+              time_type: str = "date", **axes) -> DataFrame:
     """Read cube files (Parquet, CSV or JSON) with an explicit schema and index the cells.
 
-    ``glob`` keeps one file extension (``*.parquet``); unreadable files are skipped, as the
-    multi-file daily loader did.  ``dedupe`` keeps one row per (t, cell) when files overlap
-    (the reference's own loader appends one file twice), so no cell can hold more rows than
-    the time axis; pass ``dedupe=False`` for inputs known to be unique to save a shuffle.
+    ``glob`` keeps one file extension (``*.parquet``).  A corrupt file, a CSV or JSON value that
+    does not fit its type, and a label that is NULL or off a given axis fail the job; see
+    ``readable_files`` and ``off_axis_rows`` for sorting out such input beforehand.  ``time_type`` is the
+    type of time in CSV and JSON files (``date`` or ``timestamp_ntz``): a sub-daily time read as a date
+    is an error, not a truncation.  ``dedupe`` keeps one row per (t, cell) when files overlap
+    (a full shuffle; see ``dedupe_steps``); leave it off for inputs known to be unique.
     """
-    reader = spark.read.format(fmt).option("ignoreCorruptFiles", "true")
+    reader = spark.read.format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    if fmt in ("csv", "json") or schema is not None:
-        reader = reader.schema(schema or _raw_schema(var, time))
+    text = fmt in ("csv", "json") and schema is None
+    if text:  # times are read as text and parsed strictly below
+        reader = reader.schema(_raw_schema(var, time)).option("mode", "FAILFAST")
+    elif schema is not None:
+        reader = reader.schema(schema).option("mode", "FAILFAST")
     if fmt == "csv":
         reader = reader.option("header", "true")
     df = reader.load(path)
+    if text:
+        df = df.withColumn(time, strict_time(F.col(time), time_type))
     if "lat_idx" in df.columns and "lon_idx" in df.columns and not axes:
         out = normalize_cube(df, var=var, time=time).select("t", *CELL, "lat", "lon", "sst")
     else:
@@ -53,10 +79,22 @@ def load_cube(spark: SparkSession, path, fmt: str = "parquet", var: str = "sst",
     return dedupe_steps(out) if dedupe else out
 
 
+def strict_time(text: Column, time_type: str) -> Column:
+    """ISO text as ``date`` or ``timestamp_ntz``; text that does not fit without loss is an error."""
+    t = text.cast("timestamp_ntz")  # an error for what is no time at all
+    if time_type == "timestamp_ntz":
+        return t
+    if time_type != "date":
+        raise ValueError(time_type)
+    whole = t == F.date_trunc("day", t).cast("timestamp_ntz")
+    lost = F.raise_error(F.concat(F.lit("time of day would be lost: "), text)).cast("date")
+    return F.when(text.isNull() | whole, t.cast("date")).otherwise(lost)
+
+
 def _raw_schema(var: str, time: str) -> T.StructType:
     return T.StructType(
         [
-            T.StructField(time, T.DateType()),
+            T.StructField(time, T.StringType()),
             T.StructField("lat", T.DoubleType()),
             T.StructField("lon", T.DoubleType()),
             T.StructField(var, T.DoubleType()),
@@ -79,15 +117,14 @@ def concat_time(pieces, dedupe: bool = True) -> DataFrame:
 
 
 def dedupe_steps(cube: DataFrame) -> DataFrame:
-    """One row per (t, cell).
+    """One row per (t, cell): a valid value before a missing one, of several valid ones the smallest.
 
-    ``dropDuplicates`` aggregates partially before its shuffle: copies inside a task collapse
-    there, so even a key repeated in a third of all rows sends at most one row per task, and
-    the rest spreads over (t, cell).  The labels are part of the key (they depend on the
-    cell), so filters on them still reach the scan.
+    ``min`` skips missing values and aggregates partially before the shuffle: copies inside a
+    task collapse there.  The labels are part of the key (they depend on the cell), so filters on
+    them still reach the scan.  Other columns are not kept.
     """
     keys = ["t", *CELL] + [c for c in ("lat", "lon") if c in cube.columns]
-    return cube.dropDuplicates(keys)
+    return cube.groupBy(*keys).agg(F.min("sst").alias("sst"))
 
 
 def sort_time(cube: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -120,15 +157,13 @@ def decode_values(raw: Column, scale: float = 1.0, offset: float = 0.0, fill=Non
 
 
 def cube_stats(cube: DataFrame) -> DataFrame:
-    """Axis sizes, value range and missing count in one pass (one row).
+    """Axis sizes, value range and missing count (one row).
 
-    Axis sizes come from per-task sets of axis labels (bounded by the grid, merged after
-    partial aggregation) rather than three DISTINCT aggregates, which would triple the rows.
+    Axis sizes are counts over hash-partitioned distinct labels; the value statistics are partial sums.
     """
+    axes = axis_values(cube, t=F.col("t"), lat=F.col("lat_idx"), lon=F.col("lon_idx"))
     return cube.agg(
-        F.size(F.collect_set("t")).cast("long").alias("n_time"),
-        F.size(F.collect_set("lat_idx")).cast("long").alias("n_lat"),
-        F.size(F.collect_set("lon_idx")).cast("long").alias("n_lon"),
+        *[F.lit(len(axes[a])).cast("long").alias(n) for a, n in (("t", "n_time"), ("lat", "n_lat"), ("lon", "n_lon"))],
         F.min("sst").alias("sst_min"),
         F.max("sst").alias("sst_max"),
         F.count("sst").alias("n_valid"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +52,24 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], float_cols=()) -> DataFrame:
-    """Cache-aside: read ``path`` when a complete write exists, else build, write (float32
-    columns as asked) and read back.  Errors are not swallowed."""
-    if not _complete(spark, path):
-        as_float32(build(), float_cols).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def input_tag(df: DataFrame, *params) -> str:
+    """A digest of the files a frame reads (path, size, modification time) and of the parameters."""
+    spark = df.sparkSession
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = [repr(params)]
+    for f in sorted(df.inputFiles()):
+        st = fs.Path(f).getFileSystem(conf).getFileStatus(fs.Path(f))
+        parts.append(f"{f}|{st.getLen()}|{st.getModificationTime()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
+
+
+def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], float_cols=(), params=()) -> DataFrame:
+    """Cache-aside: read the result stored under ``path`` if it was built from the same input files
+    with the same ``params``, else build, write (float32 columns as asked) and read back.
+    Changed input or parameters lead to another folder under ``path``; errors are not swallowed."""
+    df = build()
+    target = f"{path.rstrip('/')}/{input_tag(df, *params, *float_cols)}"
+    if not _complete(spark, target):
+        as_float32(df, float_cols).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thermocline.model import CELL, nan_to_null
-from thermocline.session import scratch_path
+from thermocline.sources.cube import dedupe_steps
 
 INDEXED_SCHEMA = T.StructType(
     [
@@ -30,28 +30,40 @@ INDEXED_SCHEMA = T.StructType(
 )
 
 
-def ingest_cube_files(spark: SparkSession, src: str, store: str, checkpoint: str | None = None,
+def ingest_cube_files(spark: SparkSession, src: str, store: str, checkpoint: str,
                       schema: T.StructType = INDEXED_SCHEMA, glob: str = "*.parquet",
                       max_files_per_trigger: int | None = None):
-    """Start (and, with availableNow, finish) the ingest; returns the StreamingQuery."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true")
+    """Start (and, with availableNow, finish) the ingest; returns the StreamingQuery.
+
+    Every stream has a ``checkpoint`` of its own, which belongs to ``store``: a new checkpoint over
+    a store that already has batches is refused, as its batch numbers would overwrite them.  A
+    corrupt file fails the stream.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(conf).globStatus(p)
+        return found is not None and len(found) > 0
+
+    if there(f"{store.rstrip('/')}/batch=*") and not there(f"{checkpoint.rstrip('/')}/offsets"):
+        raise ValueError(f"{store} has batches, but {checkpoint} is not the checkpoint that wrote them")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(src)
-    stream = stream.withColumn("sst", nan_to_null(F.col("sst"))).withColumn("year", F.year("t").cast("int"))
+    stream = stream.withColumn("sst", nan_to_null(F.col("sst")))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        # One row per (t, cell) within the batch; partial aggregation keeps copies local.
-        # Sorted by the partition column first, so the writer keeps the cell order in files.
-        out = batch.dropDuplicates(["t", *CELL]).sortWithinPartitions("year", *CELL, "t")
+        # one row per (t, cell) within the batch, sorted so that files keep the cell order
+        out = dedupe_steps(batch).withColumn("year", F.year("t").cast("int")).sortWithinPartitions("year", *CELL, "t")
         # Each micro-batch owns one folder, written in overwrite mode: a batch replayed after a
         # failure replaces its own output instead of appending it twice.
         out.write.mode("overwrite").partitionBy("year").parquet(f"{store.rstrip('/')}/batch={batch_id}")
 
-    ckpt = checkpoint or scratch_path(spark, "ingest-checkpoint")
     return (
         stream.writeStream.foreachBatch(append)
-        .option("checkpointLocation", ckpt)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
