@@ -43,9 +43,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def as_payload(df: DataFrame) -> Column:
-    """All columns of ``df`` as one struct, so that no internal name can clash with them."""
-    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias(ROW)
+def as_payload(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns (all if not named) of ``df`` as one struct, so that no internal name can clash with them."""
+    names = df.columns if columns is None else columns
+    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in names]
+    return F.struct(*quoted or [F.lit(None).alias("none")]).alias(ROW)
 
 
 def with_outputs(df: DataFrame, columns: list[str], outputs: dict[str, Column]) -> DataFrame:
@@ -70,23 +72,17 @@ def rank_within(df: DataFrame, group: str, order: str, ties: list[str], rows_per
     bits = min(40, (df.count() // rows_per_cell).bit_length())
     # leading bits of the hash as an unsigned number
     cell = F.shiftrightunsigned(F.col(order), 64 - bits) if bits else F.lit(0).cast("long")
-    rows = df.withColumn("_cell", cell)
-    by_group = Window.partitionBy(group)
-    before = by_group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        rows.groupBy(group, "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            F.col(group).alias("_g"),
-            F.col("_cell").alias("_c"),
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-            F.sum("_n").over(by_group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_size"),
-        )
-    )
-    inside = Window.partitionBy(group, "_cell").orderBy(order, *ties)
+    # groups by a 64-bit hash, which is never null: window and join then share one shuffle
+    rows = df.withColumn("_cell", cell).withColumn("_gk", F.xxhash64(F.col(group).isNull(), F.col(group)))
+    by_group = Window.partitionBy("_g")
+    before = by_group.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    whole = by_group.orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = rows.groupBy(F.col("_gk").alias("_g"), F.col("_cell").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.select("_g", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_size"))
+    inside = Window.partitionBy("_gk", "_cell").orderBy(order, *ties)
     ranked = rows.withColumn("_rn", F.row_number().over(inside) - 1)
-    on = ranked[group].eqNullSafe(cells["_g"]) & (ranked["_cell"] == cells["_c"])
-    return ranked.join(cells, on).withColumn("_rank", F.col("_before") + F.col("_rn")).drop("_g", "_c", "_cell", "_rn", "_before")
+    ranked = ranked.join(cells, (F.col("_gk") == F.col("_g")) & (F.col("_cell") == F.col("_c")))
+    return ranked.withColumn("_rank", F.col("_before") + F.col("_rn")).drop("_g", "_c", "_gk", "_cell", "_rn", "_before")
 
 
 def rank_by_fraction(df: DataFrame, fraction: str, ties: list[str], rows_per_cell: int = 50_000) -> DataFrame:

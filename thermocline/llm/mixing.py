@@ -48,7 +48,7 @@ def pfair_period(slots: dict) -> list[tuple]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_rows: int = 32, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_rows: int = 32, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 11, keep: list[str] | None = None) -> DataFrame:
     """``docs`` interleaved to target weights, with ``epoch``, ``block``, ``slot``, ``release``,
     ``deadline`` and ``offset`` (row within the block); sorting by (slot, offset) gives the stream.
 
@@ -60,10 +60,11 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
     A null source is a source of its own. Every source of ``docs`` must have a positive weight
     and there may be ``MAX_SOURCES`` of them at most (an error otherwise: counts of sources are
     held by the driver). Null keys and texts are values like others; repeated rows are rows of
-    their own; an empty table gives no rows. Input columns named like an output give way to it.
+    their own; an empty table gives no rows. Input columns named like an output give way to it; others are
+    kept (those of ``keep``, if given).
     """
     spark = docs.sparkSession
-    rows = docs.select(as_payload(docs), F.col(source).alias("_source"), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_text"))
+    rows = docs.select(as_payload(docs, keep), F.col(source).alias("_source"), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_text"))
     counts = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
     rows = rows.join(F.broadcast(table), rows["_source"].eqNullSafe(table["_s"]) & (rows["_in"] == table["_i"]))  # one period
     return with_outputs(
         rows,
-        docs.columns,
+        docs.columns if keep is None else keep,
         {
             "epoch": F.col("_epoch"),
             "block": F.col("_block"),

@@ -38,8 +38,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).drop("text")
+    return mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +47,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = sharding.shard(docs, SHARDS)
+    out = sharding.shard(read(spark, sf_dir, "documents"), SHARDS, keep=["doc_id", "source"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 

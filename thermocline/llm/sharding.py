@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from thermocline.llm.common import ROW, as_payload, rank_by_fraction, rank_within, seeded_hash, with_outputs
 
 
-def shard(docs: DataFrame, n_shards: int = 16, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 7) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 7, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``shard`` (0 to n_shards - 1), ``slot`` (gapless from 0 in its shard), ``size``,
     ``text_crc32`` and ``law`` = "rows".
 
@@ -24,11 +24,12 @@ def shard(docs: DataFrame, n_shards: int = 16, source: str = "source", key: str
     A null source is a source of its own; a null or empty text has size 1 and checksum 0; a null
     key is hashed as such; repeated rows get slots of their own (which of them gets which is
     arbitrary); fewer rows than shards leave shards empty; an empty table gives no rows. Input
-    columns named like an output are replaced by it, others are kept.
+    columns named like an output are replaced by it, others are kept (those of ``keep``, if given:
+    texts that nobody asks for are not shuffled).
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
-        as_payload(docs),
+        as_payload(docs, keep),
         F.col(source).alias("_source"),
         F.col(key).alias("_key"),
         (F.octet_length(body) + 1).cast("long").alias("_bytes"),
@@ -43,6 +44,6 @@ def shard(docs: DataFrame, n_shards: int = 16, source: str = "source", key: str
     rows = rows.withColumn("_shard", at.cast("int")).withColumn("_slot", F.col("_pos") - first)
     return with_outputs(
         rows,
-        docs.columns,
+        docs.columns if keep is None else keep,
         {"size": F.col("_bytes"), "text_crc32": F.col("_crc"), "law": F.lit("rows"), "shard": F.col("_shard"), "slot": F.col("_slot").cast("long")},
     )
