@@ -143,25 +143,45 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+#: Parts that the rows of a hub are dealt to, and the share of all edges that makes a node one.
+HUB_PARTS, HUB_SHARE, HUB_LEAST = 64, 10_000, 100
+
+
+def _with_least(edges: DataFrame, node: str, other: str, n_edges: int) -> DataFrame:
+    """``edges`` with ``m``, the smallest of the node and its ``other`` ends.
+
+    Minima and degrees are partial aggregates. A node with more than a share of all edges (of
+    which there can be ``2 * HUB_SHARE`` at most) is a hub: its rows are dealt to parts, and its
+    minimum is repeated for each, so that the join has no hot key.
+    """
+    least = edges.groupBy(node).agg(F.least(F.min(other), F.col(node)).alias("m"), F.count(F.lit(1)).alias("_d"))
+    hub = F.col("_d") > max(HUB_LEAST, n_edges // HUB_SHARE)
+    hubs = F.broadcast(least.where(hub).select(node, F.lit(True).alias("_hub")))  # at most 2 * HUB_SHARE rows
+    part = F.when(F.col("_hub"), F.pmod(F.xxhash64(other), F.lit(HUB_PARTS))).otherwise(F.lit(0).cast("long"))
+    dealt = edges.join(hubs, node, "left").withColumn("_part", part).drop("_hub")
+    every = F.when(hub, F.sequence(F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(least.select(node, "m", F.explode(every).alias("_part")), [node, "_part"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node of each connected component, by alternating stars.
 
     Large star: a node's larger neighbours are linked to the smallest one it knows; small star:
-    its smaller ones and itself are. Minima are pre-aggregated before each shuffle, every round
-    is written to the shared folder, and rounds grow with the logarithm of the largest component.
+    its smaller ones and itself are. Every round is written to the shared folder, and rounds grow
+    with the logarithm of the largest component.
     """
     edges = written(edges.select("a", "b").distinct(), name)
+    n = edges.count()
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
+        large = _with_least(both, "a", "b", n).where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         # small star over the large star's edges (x > y)
-        small_least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(small_least, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("b"), F.col("m").alias("a"))
+        small = _with_least(large, "x", "y", n).select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("b"), F.col("m").alias("a"))
         after = written(small.where("a <> b").select("a", "b").distinct(), name)
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
+        n_after = after.count()
+        if n_after == n and after.exceptAll(edges).isEmpty():
             return after.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        edges = after
+        edges, n = after, n_after
 
 
 def _classified(docs: DataFrame, key: str, text: str, shingle: int, max_bits: int, seed: int, *more) -> DataFrame:
