@@ -62,14 +62,19 @@ def seeded_hash(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def rank_within(df: DataFrame, group: str, order: str, ties: list[str], rows_per_cell: int = 50_000) -> DataFrame:
+def cell_count(df: DataFrame, rows_per_cell: int) -> int:
+    """Cells of ``rows_per_cell`` rows; of more rows where the table of the cells would not fit one task."""
+    return max(1, min(df.count() // rows_per_cell, 100_000))
+
+
+def rank_within(df: DataFrame, group: str, order: str, ties: list[str], rows_per_cell: int = 2_000) -> DataFrame:
     """Adds ``_rank`` (0-based rank by ``order`` in ``group``) and ``_size`` (rows of the group).
 
     ``order`` is a uniform 64-bit hash, so its leading bits cut every group into cells of
     bounded size: one window task sorts one cell, never a whole (possibly hot) group, and the
     cells' counts give each cell its offset. ``ties`` break equal hashes.
     """
-    bits = min(40, (df.count() // rows_per_cell).bit_length())
+    bits = (cell_count(df, rows_per_cell) - 1).bit_length()
     # leading bits of the hash as an unsigned number
     cell = F.shiftrightunsigned(F.col(order), 64 - bits) if bits else F.lit(0).cast("long")
     # groups by a 64-bit hash, which is never null: window and join then share one shuffle
@@ -85,12 +90,12 @@ def rank_within(df: DataFrame, group: str, order: str, ties: list[str], rows_per
     return ranked.withColumn("_rank", F.col("_before") + F.col("_rn")).drop("_g", "_c", "_gk", "_cell", "_rn", "_before")
 
 
-def rank_by_fraction(df: DataFrame, fraction: str, ties: list[str], rows_per_cell: int = 50_000) -> DataFrame:
+def rank_by_fraction(df: DataFrame, fraction: str, ties: list[str], rows_per_cell: int = 2_000) -> DataFrame:
     """Adds ``_pos`` (0-based position in the order of ``fraction``) and ``_total``.
 
     ``fraction`` is spread evenly over [0, 1), so equal slices of it are cells of bounded size.
     """
-    n = max(1, df.count() // rows_per_cell)
+    n = cell_count(df, rows_per_cell)
     rows = df.withColumn("_cell", F.least(F.floor(F.col(fraction) * n), F.lit(n - 1)))
     every = Window.orderBy("_c")  # one row per cell
     cells = rows.groupBy(F.col("_cell").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
