@@ -27,14 +27,10 @@ ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 6.0, 0.0, 4
 _WORD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def features(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
-    """Coordinates of all n-grams and skip-grams of a text, repeats included. ``seen``: hashes of words met before."""
+def features(text: str | None) -> np.ndarray:
+    """Coordinates of all n-grams and skip-grams of a text, repeats included."""
     words = text.lower().encode("utf-8", "surrogatepass").translate(_WORD).split() if text else []
-    if len(seen) > 500_000:
-        seen.clear()
-    for w in set(words).difference(seen):
-        seen[w] = xxhash.xxh64_intdigest(w, 17)
-    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         a, b = h * np.uint64(0x9E3779B97F4A7C15), h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)
         grams = np.concatenate((h, a[:-1] ^ b[1:], (a[:-2] ^ b[2:]) * np.uint64(0xFF51AFD7ED558CCD)))
@@ -81,10 +77,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = rows.select(F.xxhash64(F.lit(seed + 1), "_d", "t").alias("h"), "t", "y").repartition(1).sortWithinPartitions("h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen, data = Ftrl(), {}, []
+        model, data = Ftrl(), []
         for b in batches:
             for t, y in zip(b.column(1), b.column(2), strict=True):
-                data.append((np.unique(features(t.as_py(), seen)), y.as_py()))
+                data.append((np.unique(features(t.as_py())), y.as_py()))
                 model.learn(*data[-1])
         for _ in range(EPOCHS - 1):
             for x, y in data:
@@ -113,11 +109,10 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
         at, values = shared.value
         dense = np.zeros((1 << BITS) + 1)
         dense[at] = values
-        seen: dict[bytes, int] = {}
         for b in batches:
             out = np.zeros(b.num_rows)
             for i, t in enumerate(b.column(0).field(place)):
-                x = features(t.as_py(), seen)
+                x = features(t.as_py())
                 x = np.unique(x[dense[x] != 0])
                 out[i] = dense[1 << BITS] + dense[x].sum()
             out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
