@@ -58,7 +58,10 @@ def test_golay_tables():
     assert not simhash.syndrome(words).any() and np.bitwise_count(words ^ x).max() == 3
 
 
-def test_links_find_every_pair_within_two_bits(spark):
+@pytest.mark.parametrize(("hot_key", "part"), [(5_000, 50_000), (2, 4)])
+def test_links_find_every_pair_within_two_bits(spark, monkeypatch, hot_key, part):
+    monkeypatch.setattr(simhash, "HOT_KEY", hot_key)
+    monkeypatch.setattr(simhash, "PART_PROBES", part)
     r = np.random.default_rng(4)
     base = r.integers(-(1 << 63), 1 << 63, 60)
     fps = set(base.tolist())
@@ -70,7 +73,7 @@ def test_links_find_every_pair_within_two_bits(spark):
     every = sorted(fps)
     want = {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
     got = simhash.links(spark.createDataFrame([(f,) for f in every], "_fp long")).collect()
-    assert {(x["a"], x["b"]) for x in got} == want and len(want) > 200
+    assert {(x["a"], x["b"]) for x in got} == want and len(want) > 200 and len(got) == len(want)
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "_fp long"), 3)
 

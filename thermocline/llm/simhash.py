@@ -128,19 +128,58 @@ def _keyed(fps: DataFrame, near_only: bool) -> DataFrame:
     return fps.select("_fp").mapInArrow(run, "key long, fp long")
 
 
+#: A key of more fingerprints than this is searched by flipping bits; probes of a part; keys that are broadcast.
+HOT_KEY, PART_PROBES, HOT_KEYS_SENT = 5_000, 50_000, 100_000
+
+
+def _flipped(rows: DataFrame) -> DataFrame:
+    """Links of hot keys: (key, part, fp, member) rows, each part with some probes and all members of its key.
+
+    A probe and a member of one key agree in a segment, so their link is one of some thousand
+    ways to flip two bits at most of the other segments: each is looked up among the sorted
+    members. The work grows with the members, not with their pairs.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        fp, member = table.column("fp").to_numpy(), table.column("member").to_numpy(zero_copy_only=False)
+        probes, members = fp[~member], np.sort(fp[member])
+        exact = key[0].as_py() >> 35
+        ones = [np.uint64(1) << np.uint64(at + i) for n, (at, w) in enumerate(SEGMENTS) if n != exact for i in range(w)]
+        flips = np.array(ones + [x | y for i, x in enumerate(ones) for y in ones[i + 1 :]], np.uint64).view(np.int64)
+        out = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(probes), 1000):
+            a = probes[at : at + 1000, None]
+            b = a ^ flips
+            near = members[np.minimum(np.searchsorted(members, b), len(members) - 1)] == b if len(members) else np.zeros(b.shape, bool)
+            r, c = np.nonzero(near & (a < b))
+            out.append(np.stack((a[r, 0], b[r, c]), 1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return rows.groupBy("key", "part").applyInArrow(run, "a long, b long")
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs (a < b) of distinct fingerprints of ``fps._fp`` that differ in at most ``max_bits`` bits.
 
     The keys find every pair up to two bits apart; more are refused. A key's pairs are verified
-    inside the join, so only true links leave it; a pair may meet at several keys.
+    inside the join, so only true links leave it; the pairs of a key of very many fingerprints are
+    not formed but looked up. A link may meet at several keys.
     """
-    if max_bits > MAX_BITS:
-        raise ValueError(f"the Golay keys cover up to {MAX_BITS} differing bits")
+    if not 0 < max_bits <= MAX_BITS:
+        raise ValueError(f"the Golay keys cover 1 to {MAX_BITS} differing bits")
     wide = _keyed(fps, near_only=False).select("key", F.col("fp").alias("a"))
     near = _keyed(fps, near_only=True).select(F.col("key").alias("k"), F.col("fp").alias("b"))
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = wide.join(near, (wide["key"] == near["k"]) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= max_bits))
-    return pairs.select("a", "b").distinct()
+    hot = near.groupBy(F.col("k").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY)
+    hot = written(hot.select("h", F.ceil(F.col("n") / PART_PROBES).cast("int").alias("parts")), "simhash-hot")
+    diff = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    few = F.broadcast(hot) if hot.count() <= HOT_KEYS_SENT else hot
+    cold = wide.join(few, wide["key"] == hot["h"], "left_anti")
+    pairs = cold.join(near, (cold["key"] == near["k"]) & (F.col("a") < F.col("b")) & (diff <= max_bits)).select("a", "b")
+    probes = wide.join(few, wide["key"] == hot["h"]).select("key", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("fp"), F.lit(False).alias("member"))
+    members = near.join(few, near["k"] == hot["h"]).select(F.col("k").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("fp"), F.lit(True).alias("member"))
+    looked_up = _flipped(probes.unionByName(members)).where(diff <= max_bits)
+    return pairs.unionByName(looked_up).distinct()
 
 
 #: Parts that the rows of a hub are dealt to, and the share of all edges that makes a node one.
