@@ -67,7 +67,7 @@ def cell_count(df: DataFrame, rows_per_cell: int) -> int:
     return max(1, min(df.count() // rows_per_cell, 100_000))
 
 
-def rank_within(df: DataFrame, group: str, order: str, ties: list[str], rows_per_cell: int = 2_000) -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: str, ties: list[str], rows_per_cell: int = 500) -> DataFrame:
     """Adds ``_rank`` (0-based rank by ``order`` in ``group``) and ``_size`` (rows of the group).
 
     ``order`` is a uniform 64-bit hash, so its leading bits cut every group into cells of
@@ -90,7 +90,7 @@ def rank_within(df: DataFrame, group: str, order: str, ties: list[str], rows_per
     return ranked.withColumn("_rank", F.col("_before") + F.col("_rn")).drop("_g", "_c", "_gk", "_cell", "_rn", "_before")
 
 
-def rank_by_fraction(df: DataFrame, fraction: str, ties: list[str], rows_per_cell: int = 2_000) -> DataFrame:
+def rank_by_fraction(df: DataFrame, fraction: str, ties: list[str], rows_per_cell: int = 500) -> DataFrame:
     """Adds ``_pos`` (0-based position in the order of ``fraction``) and ``_total``.
 
     ``fraction`` is spread evenly over [0, 1), so equal slices of it are cells of bounded size.
