@@ -297,6 +297,27 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert Counter(whole) == Counter(sharded)
 
 
+def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    none = spark.createDataFrame([], "item_id long, text string")
+    for name, df in (("odd", awkward(spark)), ("empty", awkward(spark).limit(0))):
+        d = f"{tmp_path}/{name}"
+        df.write.parquet(f"{d}/documents.parquet")
+        none.write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(1, 0), (None, 1), (4, None)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        out = P.run(spark, d)
+        assert set(df.columns) - {"shard", "slot"} <= set(out.columns) and out.columns.count("shard") == 1
+        rows = out.select("doc_id", "text").collect()
+        if name == "empty":
+            assert rows == []
+            continue
+        # scores of one half are rejected unless labels say otherwise; copies, blank texts and repeated rows keep one
+        fps = [(k, brute_fingerprint(t)) for k, t, _ in awkward_rows()]
+        want = brute_components(fps)
+        assert {r["doc_id"] for r in rows} <= {k for (k, _), c in want.items() if k == c}
+
+
 def test_registered_queries():
     import __spark_entry__ as E
 

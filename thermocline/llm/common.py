@@ -50,11 +50,16 @@ def as_payload(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.struct(*quoted or [F.lit(None).alias("none")]).alias(ROW)
 
 
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The payload's columns as they were."""
+    return df.select(*[F.col(ROW).getField(c).alias(c) for c in columns])  # getField takes names with dots as they are
+
+
 def with_outputs(df: DataFrame, columns: list[str], outputs: dict[str, Column]) -> DataFrame:
     """The payload's columns and then ``outputs``; an input column named like an output gives way to it."""
     taken = {c.lower() for c in outputs}
     kept = [F.col(ROW).getField(c).alias(c) for c in columns if c.lower() not in taken]
-    return df.select(*kept, *[c.alias(n) for n, c in outputs.items()])  # getField takes names with dots as they are
+    return df.select(*kept, *[c.alias(n) for n, c in outputs.items()])
 
 
 def seeded_hash(seed: int, *cols: Column) -> Column:

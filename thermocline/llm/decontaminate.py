@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermocline.llm.common import ROW, as_payload, with_outputs
+from thermocline.llm.common import ROW, as_payload, unpacked, with_outputs
 
 WINDOW = 13
 #: Words of the items that one automaton may hold; more items make more automata, passed one after the other.
@@ -153,17 +153,8 @@ SCHEMA = T.StructType().add("n_words", "long").add("n_hit", "long").add("items",
 SCHEMA = SCHEMA.add("spans", T.ArrayType(T.StructType().add("first", "integer").add("last", "integer")))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, one_in: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit`` (words inside an occurrence of an item's window), ``items``
-    (ids of the items met, as sorted strings), ``longest`` (longest match in words), ``spans``
-    (first and last word of each maximal hit run) and ``contaminated`` (some hit, and one word in
-    ``one_in`` or more is hit).
-
-    A null or empty text has no words, no hit and is clean; an item without words is ignored; an
-    item shorter than the window counts as one window; repeated items and rows count each; a
-    null item id reads as the empty string; an empty table gives no rows, and no items no hits.
-    Input columns named like an output give way to it. Texts of any length are streamed whole.
-    """
+def _matched(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, one_in: int, block_words: int) -> DataFrame:
+    """Payload, what was found in the text, and ``contaminated``."""
     spark = docs.sparkSession
     blocks = item_blocks(items, item_id, item_text, block_words)
     # one broadcast per block, each bounded by block_words; a task builds an automaton when it first needs it
@@ -196,5 +187,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
             yield pa.RecordBatch.from_arrays(out, names=[ROW, *cols])
 
     out = base.mapInArrow(run, schema)
-    found = {c: F.col(c) for c in ("n_words", "n_hit", "items", "longest", "spans")}
-    return with_outputs(out, docs.columns, found | {"contaminated": (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words"))})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, one_in: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with ``n_words``, ``n_hit`` (words inside an occurrence of an item's window), ``items``
+    (ids of the items met, as sorted strings), ``longest`` (longest match in words), ``spans``
+    (first and last word of each maximal hit run) and ``contaminated`` (some hit, and one word in
+    ``one_in`` or more is hit).
+
+    A null or empty text has no words, no hit and is clean; an item without words is ignored; an
+    item shorter than the window counts as one window; repeated items and rows count each; a
+    null item id reads as the empty string; an empty table gives no rows, and no items no hits.
+    Input columns named like an output give way to it. Texts of any length are streamed whole.
+    """
+    out = _matched(docs, items, text, item_id, item_text, window, one_in, block_words)
+    return with_outputs(out, docs.columns, {c: F.col(c) for c in ("n_words", "n_hit", "items", "longest", "spans", "contaminated")})
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, one_in: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all columns as they are."""
+    out = _matched(docs, items, text, item_id, item_text, window, one_in, block_words)
+    return unpacked(out.where(~F.col("contaminated")), docs.columns)

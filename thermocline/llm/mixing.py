@@ -17,7 +17,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.llm.common import as_payload, rank_within, seeded_hash, with_outputs
+from thermocline.llm.common import ROW, as_payload, rank_within, seeded_hash, unpacked, with_outputs
 
 MAX_SOURCES = 4096
 
@@ -48,21 +48,8 @@ def pfair_period(slots: dict) -> list[tuple]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_rows: int = 32, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 11, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` interleaved to target weights, with ``epoch``, ``block``, ``slot``, ``release``,
-    ``deadline`` and ``offset`` (row within the block); sorting by (slot, offset) gives the stream.
-
-    ``weights`` maps each source to its target; by default a source's row count to the power
-    ``temperature``. The stream is as long as it takes to give every row once to the source
-    with the most blocks for its weight; other sources start a new ``epoch`` when used up. So no
-    row is dropped and the targets hold over the whole stream as over each of its prefixes.
-
-    A null source is a source of its own. Every source of ``docs`` must have a positive weight
-    and there may be ``MAX_SOURCES`` of them at most (an error otherwise: counts of sources are
-    held by the driver). Null keys and texts are values like others; repeated rows are rows of
-    their own; an empty table gives no rows. Input columns named like an output give way to it; others are
-    kept (those of ``keep``, if given).
-    """
+def _scheduled(docs: DataFrame, weights: dict | None, temperature: float, block_rows: int, source: str, key: str, text: str, seed: int, keep: list[str] | None) -> DataFrame:
+    """Payload and each row's place in the stream."""
     spark = docs.sparkSession
     rows = docs.select(as_payload(docs, keep), F.col(source).alias("_source"), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_text"))
     counts = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
@@ -93,15 +80,37 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
     rows = rows.withColumn("_nth", F.col("_epoch") * F.col("_blocks") + F.col("_block"))
     rows = rows.withColumn("_in", F.expr("_nth % _per")).withColumn("_start", F.expr(f"(_nth div _per) * {period}"))
     rows = rows.join(F.broadcast(table), rows["_source"].eqNullSafe(table["_s"]) & (rows["_in"] == table["_i"]))  # one period
-    return with_outputs(
-        rows,
-        docs.columns if keep is None else keep,
-        {
-            "epoch": F.col("_epoch"),
-            "block": F.col("_block"),
-            "slot": F.col("_start") + F.col("_t"),
-            "release": F.col("_start") + F.col("_release"),
-            "deadline": F.col("_start") + F.col("_due"),
-            "offset": F.expr(f"_rank % {block_rows}"),
-        },
-    )
+    places = {
+        "epoch": F.col("_epoch"),
+        "block": F.col("_block"),
+        "slot": F.col("_start") + F.col("_t"),
+        "release": F.col("_start") + F.col("_release"),
+        "deadline": F.col("_start") + F.col("_due"),
+        "offset": F.expr(f"_rank % {block_rows}"),
+    }
+    return rows.select(ROW, *[c.alias(n) for n, c in places.items()])
+
+
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_rows: int = 32, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 11, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` interleaved to target weights, with ``epoch``, ``block``, ``slot``, ``release``,
+    ``deadline`` and ``offset`` (row within the block); sorting by (slot, offset) gives the stream.
+
+    ``weights`` maps each source to its target; by default a source's row count to the power
+    ``temperature``. The stream is as long as it takes to give every row once to the source
+    with the most blocks for its weight; other sources start a new ``epoch`` when used up. So no
+    row is dropped and the targets hold over the whole stream as over each of its prefixes.
+
+    A null source is a source of its own. Every source of ``docs`` must have a positive weight
+    and there may be ``MAX_SOURCES`` of them at most (an error otherwise: counts of sources are
+    held by the driver). Null keys and texts are values like others; repeated rows are rows of
+    their own; an empty table gives no rows. Input columns named like an output give way to it; others are
+    kept (those of ``keep``, if given).
+    """
+    out = _scheduled(docs, weights, temperature, block_rows, source, key, text, seed, keep)
+    return with_outputs(out, docs.columns if keep is None else keep, {n: F.col(n) for n in ("epoch", "block", "slot", "release", "deadline", "offset")})
+
+
+def stream(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_rows: int = 32, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 11) -> DataFrame:
+    """The rows of ``mix`` in the order of the stream (across and within partitions), with the columns of ``docs`` only."""
+    out = _scheduled(docs, weights, temperature, block_rows, source, key, text, seed, None)
+    return unpacked(out.repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset"), docs.columns)

@@ -73,7 +73,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_decontaminate, op4_mix, op5_licenses, op6_shards, op7_pseudonyms, op8_simhash, op9_repeats, op10_toxicity)}
 
+def _license_sql() -> str:
+    """Sentences by split and map lookup, then one step per rule: take its matches away, note its name as often."""
+    known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items()) + "}"
+    steps = [
+        rf"""s AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\n|[.!?;:]\s|[()]'),
+          lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS said FROM documents)""",
+        f"i AS (SELECT doc_id, list_filter(list_transform(said, lambda x: {known}[x]), lambda x: x IS NOT NULL) AS ids FROM s)",
+        "r0 AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda x: ' ' || x || ' '), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM i)",
+    ]
+    for n, (name, ids) in enumerate(licenses.RULES, 1):
+        rule = r"((?: \S+ )*?)".join(f" {x} " for x in ids)
+        keep = "".join(f"\\{k}" for k in range(1, len(ids)))
+        steps.append(
+            f"r{n} AS (SELECT doc_id, ids, regexp_replace(rest, '{rule}', '{keep}', 'g') AS rest,"
+            f" list_concat(found, list_transform(regexp_extract_all(rest, '{rule}'), lambda x: '{name}')) AS found FROM r{n - 1})"
+        )
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(found, ',') AS licenses,"
+        " found[1] AS license, CAST(len(list_filter(string_split(rest, ' '), lambda x: x <> '')) AS BIGINT) AS n_unresolved"
+        f" FROM r{len(licenses.RULES)}"
+    )
+
+
 SQL = {
+    "op5_licenses": _license_sql(),
     # words with their places; windows of 13 (or all words of a shorter item) as strings; hits by join
     "op3_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

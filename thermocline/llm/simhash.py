@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermocline.llm.common import ROW, as_payload, written
+from thermocline.llm.common import as_payload, unpacked, written
 
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
 GENERATOR = 0b110001110101
@@ -265,4 +265,4 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     tagged = docs.select(as_payload(docs), *ident)
     kept = tagged.join(best, ["_id1", "_id2"], "left_semi")
     one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id1", "_id2").orderBy("_id1"))).where("_n = 1")
-    return one.select(*[F.col(ROW).getField(c).alias(c) for c in docs.columns])
+    return unpacked(one, docs.columns)

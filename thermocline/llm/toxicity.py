@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermocline.llm.common import ROW, as_payload, with_outputs
+from thermocline.llm.common import ROW, as_payload, unpacked, with_outputs
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most (the first by a hash of their key).
@@ -93,12 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return {r["at"]: r["w"] for r in rows.mapInArrow(run, "at long, w double").collect()}
 
 
-def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the probability of toxicity of the whole text (0 to 1).
-
-    A null or empty text has the bias alone; an input column ``score`` gives way; rows are scored
-    one by one, so repeated rows score alike and an empty table gives no rows.
-    """
+def _scored(docs: DataFrame, weights: dict[int, float], text: str) -> DataFrame:
+    """Payload and ``_p``."""
     spark = docs.sparkSession
     at = np.array(sorted(weights), np.int64)
     shared = spark.sparkContext.broadcast((at, np.array([weights[i] for i in at.tolist()])))  # 2^20 at most
@@ -116,12 +112,20 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
                 x = np.unique(x[dense[x] != 0])
                 out[i] = dense[1 << BITS] + dense[x].sum()
             out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=[ROW, "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=[ROW, "_p"])
+
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("_p", T.DoubleType())]))
 
-    out = base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("p", T.DoubleType())]))
-    return with_outputs(out, docs.columns, {"score": F.col("p")})
+
+def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> DataFrame:
+    """``docs`` with ``score``, the probability of toxicity of the whole text (0 to 1).
+
+    A null or empty text has the bias alone; an input column ``score`` gives way; rows are scored
+    one by one, so repeated rows score alike and an empty table gives no rows.
+    """
+    return with_outputs(_scored(docs, weights, text), docs.columns, {"score": F.col("_p")})
 
 
 def filter_toxic(docs: DataFrame, weights: dict[int, float], text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``; columns as they are (an input column ``score`` is lost)."""
-    return score(docs, weights, text).where(F.col("score") < limit).drop("score")
+    """The rows of ``docs`` that score below ``limit``, with all columns as they are."""
+    return unpacked(_scored(docs, weights, text).where(F.col("_p") < limit), docs.columns)
