@@ -1,9 +1,17 @@
-"""Pipeline from raw documents to shards: each stage is written as Parquet and read again by the next."""
+"""Pipeline from raw documents to shards: each stage is written as Parquet and read again by the next.
+
+Every stage takes whole tables as they come. A null or empty text scores by the model's bias, shares one
+near-duplicate group with all texts without words, has no words to contaminate, and is mixed and sharded as
+an empty text. A row without doc_id stays only if nothing of its group has one; a null source is a source of
+its own. Repeated rows and ties: of a group, the row of the smallest doc_id stays (by a hash of the row if
+several have it). Without usable labels every score is one half, which is rejected. Empty tables pass as
+empty tables. Columns beside those of documents pass unchanged, but for those named like the last stage's
+outputs (shard, slot, size, text_crc32, law), which give way.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from thermocline.llm import decontaminate, mixing, sharding, simhash, toxicity
 from thermocline.llm.common import read, written
@@ -26,15 +34,13 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go, the others stay as they are."""
-    out = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    return out.where(~F.col("contaminated")).select(*docs.columns)
+    return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The stream in which sources hold their target weights: every document once, those of
     sources below their target again in further epochs, in the order of the stream."""
-    out = mixing.mix(docs)
-    return out.repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset").select(*docs.columns)
+    return mixing.stream(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
