@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,20 +29,20 @@ def index_cube(raw: DataFrame, var: str = "sst", time: str = "t", lat_descending
 
 
 def readable_files(spark: SparkSession, path, glob: str | None = None) -> tuple[list[str], list[str]]:
-    """(readable, unreadable) Parquet files under ``path``: each file's footer and first row group
-    is tried by a task of its own.  Use it to load what can be read and to report what cannot."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = [r["path"] for r in reader.load(path).select("path").collect()]  # names only
-    good, bad = [], []
-    for f in files:
-        try:
-            spark.read.parquet(f).limit(1).collect()
-            good.append(f)
-        except (PySparkException, Py4JJavaError):
-            bad.append(f)
-    return good, bad
+    """(readable, unreadable) Parquet files under ``path``, in one distributed pass.
+
+    Unreadable are files whose footer cannot be read, or that have no rows.  Use it to load what can be
+    read and to report what cannot; ``load_cube`` itself never skips a file.
+    """
+    def names(reader) -> set[str]:
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        return {r[0] for r in reader.load(path).select(F.col("_metadata.file_path")).distinct().collect()}  # names only
+
+    listed = names(spark.read.format("binaryFile").option("recursiveFileLookup", "true"))
+    footers = spark.read.format("parquet").schema("none string").option("recursiveFileLookup", "true")
+    good = names(footers.option("ignoreCorruptFiles", "true"))
+    return sorted(listed & good), sorted(listed - good)
 
 
 def load_cube(spark: SparkSession, path, fmt: str = "parquet", var: str = "sst", time: str = "t",
