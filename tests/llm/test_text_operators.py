@@ -129,7 +129,7 @@ def brute_hits(text, items, window=13):
     return len(words), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block_words", [10_000, 30])
+@pytest.mark.parametrize("block_words", [10_000, 30, 6])
 def test_decontamination_against_brute_force(spark, block_words):
     import random
 

@@ -9,6 +9,7 @@ reach the coverage limit is contaminated.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermocline.llm.common import ROW, as_payload, unpacked, with_outputs
+from thermocline.llm.common import ROW, as_payload, unpacked, with_outputs, worker_state
 
 WINDOW = 13
 #: Words of the items that one automaton may hold; more items make more automata, passed one after the other.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 200_000
+#: Automata that a worker holds at a time; with more blocks, the others are built anew for each batch of documents.
+KEPT_AUTOMATA = 3
 
 #: A-Z to a-z; bytes below 0x80 that are neither letters nor digits to a blank.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -157,34 +160,46 @@ def _matched(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
     """Payload, what was found in the text, and ``contaminated``."""
     spark = docs.sparkSession
     blocks = item_blocks(items, item_id, item_text, block_words)
-    # one broadcast per block, each bounded by block_words; a task builds an automaton when it first needs it
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]
+    shared = [spark.sparkContext.broadcast(b) for b in blocks]  # each bounded by block_words
+    job = uuid.uuid4().hex
     place = docs.columns.index(text)
     base = docs.select(as_payload(docs))
     schema = T.StructType([*base.schema.fields, *SCHEMA.fields])
 
+    def automaton(k: int) -> ItemAutomaton:
+        """The k-th automaton; a worker keeps the first few from task to task, others are built when needed."""
+        kept = worker_state()
+        if kept.get("items_of") != job:
+            kept["items_of"], kept["automata"] = job, {}
+        if k not in kept["automata"]:
+            made = ItemAutomaton(shared[k].value, window)
+            if len(kept["automata"]) >= KEPT_AUTOMATA:
+                return made
+            kept["automata"][k] = made
+        return kept["automata"][k]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [ItemAutomaton(b.value, window) for b in shared]
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "items", "longest", "spans")}
-            for t in batch.column(0).field(place):
-                words = words_of(t.as_py())
-                hit = np.zeros(len(words), bool)
-                found: set[str] = set()
-                longest = 0
-                for a in automata:
-                    names, n = a.scan(words, hit)
-                    found |= names
-                    longest = max(longest, n)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                cols["n_words"].append(len(words))
-                cols["n_hit"].append(int(hit.sum()))
-                cols["items"].append(sorted(found))
-                cols["longest"].append(longest)
-                cols["spans"].append([{"first": int(a), "last": int(b) - 1} for a, b in edge.reshape(-1, 2)])
-            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "longest": pa.int32(), "spans": pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))}
-            out = [batch.column(0), *[pa.array(cols[k], kinds[k]) for k in cols]]
-            yield pa.RecordBatch.from_arrays(out, names=[ROW, *cols])
+            texts = batch.column(0).field(place)
+            sizes = [len(words_of(t.as_py())) for t in texts]
+            hits = [np.zeros(n, bool) for n in sizes]
+            names: list[set[str]] = [set() for _ in sizes]
+            longest = [0] * len(sizes)
+            for k in range(len(shared)):
+                scan = automaton(k).scan
+                for i, t in enumerate(texts):
+                    found, n = scan(words_of(t.as_py()), hits[i])
+                    names[i] |= found
+                    longest[i] = max(longest[i], n)
+            edges = [np.flatnonzero(np.diff(np.concatenate(([0], h.view(np.int8), [0])))).reshape(-1, 2) for h in hits]
+            cols = {
+                "n_words": pa.array(sizes, pa.int64()),
+                "n_hit": pa.array([int(h.sum()) for h in hits], pa.int64()),
+                "items": pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+                "longest": pa.array(longest, pa.int32()),
+                "spans": pa.array([[{"first": int(a), "last": int(b) - 1} for a, b in e] for e in edges], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+            }
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols.values()], names=[ROW, *cols])
 
     out = base.mapInArrow(run, schema)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))
