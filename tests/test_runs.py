@@ -165,6 +165,9 @@ def test_mhw_pipeline_end_to_end_and_store(spark, tmp_path):
     assert days_[(0, 0, 2002)] is None and ev[(0, 0, 2002)] is None  # land block after the 2 x 2 mean
     assert days_[(1, 1, 2002)] >= 10 and ev[(1, 1, 2002)] >= 1
     assert out["days_ds"].count() == 8  # 2 x 2 coarse grid -> one block per year (2001-2008)
-    pipelines.store_mhw(out, str(tmp_path / "mhw"))
+    pipelines.store_mhw(out, str(tmp_path / "mhw"), events_block=(2, 2))
+    stored = spark.read.parquet(str(tmp_path / "mhw" / "events_ds")).select("year", "lat_idx", "lon_idx", "lat", "lon", "events")
+    want = out["events_ds"].select(*stored.columns)
+    assert stored.exceptAll(want).count() == 0 and want.exceptAll(stored).count() == 0
     back = spark.read.parquet(str(tmp_path / "mhw" / "days_ds"))
     assert sorted(r["year"] for r in back.select("year").distinct().collect()) == list(range(2001, 2009))

@@ -15,7 +15,7 @@ from thermocline.functions.time import decimal_year
 from thermocline.model import CELL, axis_frame, by_cell, cube_axes, with_time_index
 from thermocline.operators import clim, extremes, grid, roll, runs, select
 from thermocline.operators.common import cell_labels
-from thermocline.sources.store import materialize, write_store
+from thermocline.sources.store import materialize, read_store, write_store
 
 
 # Q1 ---------------------------------------------------------------------------------------------
@@ -33,7 +33,7 @@ def cached_variability_map(cube: DataFrame, path: str, start: str, end: str, str
     spark = cube.sparkSession
     return materialize(
         spark, path, lambda: variability_map_pipeline(cube, start, end, strides),
-        float_cols=["variability"],
+        float_cols=["variability"], params=[start, end, *strides],
     )
 
 
@@ -128,17 +128,27 @@ def mhw_pipeline(cube: DataFrame, q: float = 0.9, min_days: int = 5, half_window
     mask = runs.mark_runs(with_time_index(ex, steps), "exceed", min_days, out="mhw")
     yearly = runs.null_on_land(runs.yearly_runs(mask, "mhw", min_days, axis=steps), ["days", "events"])
     out = {"threshold": thr, "mask": mask.drop("time_idx"), "yearly": yearly, "days": yearly.drop("events"), "events": yearly.drop("days")}
-    for name, block in (("days", days_block), ("events", events_block)):
-        if block:
-            out[f"{name}_ds"] = grid.coarsen(yearly, *block, value=name, time="year", boundary="trim", axes=(lats, lons))
-    return out
+    out |= {"lat": axis_frame(spark, lats, "lat_idx", "lat"), "lon": axis_frame(spark, lons, "lon_idx", "lon")}  # of the yearly table
+    return out | block_maps(yearly, (lats, lons), days_block, events_block)
 
 
-def store_mhw(out: dict[str, DataFrame], base: str) -> None:
-    """Write the block-averaged days / events maps as year-partitioned stores (overwrite)."""
-    for name in ("days_ds", "events_ds"):
-        if name in out:
-            write_store(out[name], f"{base.rstrip('/')}/{name}", partition_by=("year",))
+def block_maps(yearly: DataFrame, axes, days_block=(2, 2), events_block=(4, 4)) -> dict[str, DataFrame]:
+    """Block means of the yearly table: ``days_ds`` and ``events_ds``."""
+    blocks = {"days": days_block, "events": events_block}
+    return {f"{n}_ds": grid.coarsen(yearly, *k, value=n, time="year", boundary="trim", axes=axes) for n, k in blocks.items() if k}
+
+
+def store_mhw(out: dict[str, DataFrame], base: str, days_block=(2, 2), events_block=(4, 4)) -> None:
+    """Write the yearly table and its block-averaged maps as year-partitioned stores (overwrite).
+
+    The maps are made from the stored yearly table: the cube's chain runs once.
+    """
+    root = base.rstrip("/")
+    write_store(out["yearly"], f"{root}/yearly", partition_by=("year",))
+    yearly = read_store(out["yearly"].sparkSession, f"{root}/yearly")
+    axes = [[(r[0], r[1]) for r in out[n].collect()] for n in ("lat", "lon")]  # local tables
+    for name, table in block_maps(yearly, axes, days_block, events_block).items():
+        write_store(table, f"{root}/{name}", partition_by=("year",))
 
 
 # Q5 -----------------------------------------------------------------------------------------------
