@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.llm.common import ROW, as_payload, rank_by_fraction, rank_within, seeded_hash, with_outputs
+from thermocline.llm.common import as_payload, rank_by_fraction, rank_within, seeded_hash, with_outputs
 
 
 def shard(docs: DataFrame, n_shards: int = 16, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 7, keep: list[str] | None = None) -> DataFrame:
