@@ -252,8 +252,8 @@ def rank_table(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                c = np.bincount(_expand(x.as_py()))
+            for at in range(0, b.num_rows, 500):
+                c = np.bincount(np.concatenate([_expand(x.as_py()) for x in b.column(0)[at : at + 500]]))
                 if len(c) > len(total):
                     total = np.concatenate((total, np.zeros(len(c) - len(total), np.int64)))
                 total[: len(c)] += c
