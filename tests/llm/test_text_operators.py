@@ -215,6 +215,54 @@ def test_license_rules_against_brute_force(spark):
         assert (r["licenses"], r["unresolved"]) == brute(r["text"])
 
 
+GPL = "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{b} either version {v} of the License, or (at your option) any later version."
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_NAMES = "\n3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License."""
+STANDARD = [
+    (GPL.format(what="program", a=";", kind="", b=";", v="2"), "GPL-2.0-or-later"),
+    (GPL.format(what="program", a=":", kind="", b=",", v="3"), "GPL-3.0-or-later"),
+    (GPL.format(what="library", a=";", kind="Lesser ", b=";", v="2.1"), "LGPL-2.1-or-later"),
+    (GPL.format(what="library", a=":", kind="Lesser ", b=",", v="3"), "LGPL-3.0-or-later"),
+    (GPL.format(what="library", a=";", kind="Lesser ", b=";", v="3"), "LGPL-3.0-or-later"),
+    (GPL.format(what="library", a=";", kind="Library ", b=";", v="2"), "LGPL-2.0-or-later"),
+    (GPL.format(what="program", a=":", kind="Affero ", b=",", v="3"), "AGPL-3.0-or-later"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "GPL-2.0-only"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    (MIT, "MIT"),
+    (BSD, "BSD-2-Clause"),
+    (BSD + BSD_NAMES.format("the copyright holder"), "BSD-3-Clause"),
+    (BSD + BSD_NAMES.format("Example Inc."), "BSD-3-Clause"),
+    (APACHE, "Apache-2.0"),
+]
+
+
+def test_standard_notices_wrapped_and_unwrapped(spark):
+    import textwrap
+
+    def wrapped(text, width, prefix):
+        lines = [x for p in text.split("\n") for x in textwrap.wrap(p, width) or [""]]
+        return "\n".join(prefix + x for x in ["Copyright 2020 A. Nyone", *lines])
+
+    forms = [lambda t: t, lambda t: "/* " + t + " */", lambda t: t.replace("\n", "\r\n")]
+    forms += [lambda t, w=w, p=p: wrapped(t, w, p) for w in (30, 72) for p in ("", "# ", " * ", "// ", ";; ", "dnl ", "REM ")]
+    rows = [(i * 100 + j, form(text), name) for i, (text, name) in enumerate(STANDARD) for j, form in enumerate(forms)]
+    for r in licenses.scan(plain(spark, rows)).collect():
+        assert (r["licenses"], [x for x in r["unresolved"] if x != "GplFree"]) == ([r["source"]], []), r["text"]
+
+
 # ---- pseudonyms ----
 
 

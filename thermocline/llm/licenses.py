@@ -1,6 +1,8 @@
 """License scans by sentence rules.
 
-Each sentence of a text is normalised and looked up among known licence sentences; the
+A text is reduced to its words and the marks between them: ends of sentences, and weak ends (line
+ends, brackets, the full stop of "v. 2") at which a sentence may end or go on, so that wrapped and
+commented notices read like unwrapped ones. Known licence sentences are found from mark to mark; the
 identifiers found, in the order of the text, are then matched against ordered licence rules. A
 rule that matches takes its identifiers away, so that a general rule (an unversioned or unnamed
 licence) only sees what the more exact rules before it left.
@@ -90,16 +92,66 @@ RULES = [
 ]
 
 
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+_LATER = "either version {} of the license or at your option any later version"
+_ONLY = "you can redistribute it and or modify it under the terms of the gnu {0}general public license {1} as published by the free software foundation"
+
+# Sentences as the licences' own notices have them, where they are longer than those above or
+# stand in one sentence, and their identifiers. A semicolon within does not matter.
+NOTICES = {
+    **{f"{_TERMS.format('')} {_LATER.format(v)}": ["GplTerms", i] for v, i in (("2", "Version2Later"), ("3", "Version3Later"))},
+    f"{_TERMS.format('lesser ')} {_LATER.format('2 1')}": ["LgplTerms", "Version21Later"],
+    f"{_TERMS.format('lesser ')} {_LATER.format('3')}": ["Lgpl3Later"],
+    f"{_TERMS.format('library ')} {_LATER.format('2')}": ["Lgpl2Later"],
+    f"{_TERMS.format('affero ')} {_LATER.format('3')}": ["Agpl3Later"],
+    **{_ONLY.format(kind, f"{word}{v}"): [i] for word in ("version ", "v") for kind, v, i in (("", "2", "GplRef2"), ("", "3", "GplRef3"), ("lesser ", "3", "LgplRef3"), ("affero ", "3", "AgplRef3"))},
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": ["AsIs"],
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": ["ApacheAsIs"],
+    **{f"you may obtain a copy of the license at {web} www apache org licenses license 2 0": ["ApacheCopy"] for web in ("http", "https")},
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": ["BsdName"],
+}
+
+# Rules of the identifiers that only NOTICES gives, tried before the others.
+NOTICE_RULES = [
+    ("LGPL-3.0-or-later", ["Lgpl3Later"]),
+    ("LGPL-2.0-or-later", ["Lgpl2Later"]),
+    ("AGPL-3.0-or-later", ["Agpl3Later"]),
+]
+
+# From raw lower-case text, led by a line end, to words and marks: P (end of a sentence or paragraph), S (semicolon), W (weak end).
+MARKS = [
+    (r"\n[^a-z0-9\n]*+(?:(?:dnl|rem)(?![a-z0-9])[^a-z0-9\n]*+)?", "\n"),  # comment prefixes
+    (r"\n\n+", "P"),
+    (r"(?<![a-z0-9])(v|ver|vers)\.\s(?=[0-9])", "$1W"),
+    (r"[.!?:]\s", "P"),
+    (r";\s", "S"),
+    (r"[\n()]", "W"),
+    (r"[^a-z0-9PSW]+", " "),
+    # the clause on names holds whatever names it has
+    (r"neither[ W]++the[ W]++name[ W]++of[ W][a-z0-9 PSW]{1,160}?[ PSW]nor[ W]++the[ W]++names[ W]++of[ W]++(?:its[ W]++)?contributors(?![a-z0-9])", "neither the name of the copyright holder nor the names of its contributors"),
+]
+
+
+def _known() -> str:
+    """All known sentences from mark to mark, longer ones first."""
+    gaps = {**{s: "[ WS]++" for s in NOTICES}, **{s: "[ W]++" for s in SENTENCES}}
+    return r"(?<=[PSW] {0,1})(?:" + "|".join(gaps[s].join(s.split()) for s in sorted(gaps, key=lambda s: (-len(s), s))) + r")(?= ?[PSW])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known licence sentences of a text, in its order.
 
-    Sentences end at line ends, at . ! ? ; : before white space, and at brackets; commas do not
-    end one, as licence names have them.
+    Sentences end at . ! ? ; : before white space and at blank lines, and may end at line ends and
+    brackets; commas do not end one, as licence names have them. Of several known sentences from one
+    mark the longest counts.
     """
-    known = F.from_json(F.lit(json.dumps(SENTENCES)), "map<string,string>")
-    parts = F.split(text, r"\n|[.!?;:]\s|[()]", -1)
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    ids = {**{s: [i] for s, i in SENTENCES.items()}, **NOTICES}
+    known = F.from_json(F.lit(json.dumps(ids)), "map<string,array<string>>")
+    plain = F.concat(F.lit("\n"), F.lower(text), F.lit("\n"))
+    for pattern, mark in MARKS:
+        plain = F.regexp_replace(plain, pattern, mark)
+    found = F.regexp_extract_all(plain, F.lit(_known()), F.lit(0))
+    return F.flatten(F.transform(found, lambda m: F.try_element_at(known, F.regexp_replace(m, "[ WS]+", " "))))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -110,7 +162,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     of their own; an empty table gives no rows; input columns named like an output give way.
     """
     # identifiers stand between blanks; what lies between those of a rule is kept
-    made = [{"name": n, "ids": r"((?: \S+ )*?)".join(f" {i} " for i in ids), "keep": "".join(f"${k}" for k in range(1, len(ids)))} for n, ids in RULES]
+    made = [{"name": n, "ids": r"((?: \S+ )*?)".join(f" {i} " for i in ids), "keep": "".join(f"${k}" for k in range(1, len(ids)))} for n, ids in [*NOTICE_RULES, *RULES]]
     rules = F.from_json(F.lit(json.dumps(made)), "array<struct<name:string,ids:string,keep:string>>")
     rows = docs.select(as_payload(docs), sentence_ids(F.coalesce(F.col(text), F.lit(""))).alias("_ids"))
     none = F.array().cast("array<string>")
