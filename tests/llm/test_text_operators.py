@@ -287,6 +287,28 @@ def test_pseudonyms_keep_format_and_links_and_go_back(spark):
     assert back == {k: t for k, t, _ in rows}
 
 
+CARD_RUNS = ["4111 1111 1111 1111 123", "4111 1111 1111 1111 12/25", "7 4111111111111111", "No.4111-1111-1111-1111", "4111 1111 1111 1111 5500 0000 0000 0004"]
+PHONES = ["+44 20 7946 0958", "+33 1 42 68 53 00", "+49 30 901820", "+34 912 345 678", "+44 (0)20 7946 0958", "+351 21 123 4567", "(415) 555-2671", "415-555-2671", "020 7946 0958", "01 42 68 53 00", "(030) 901820"]
+DAYS = ["1980-02-03T10:00:00Z", "24.12.1999", "3.2.1980", "1/2/1980", "1980/02/03", "24-12-1999", "3 February 1980", "Feb 3, 1980", "1980-02-03/1980-02-09"]
+
+
+def test_pseudonyms_of_more_layouts(spark):
+    rows = [(i, f"see {t} there", t) for i, t in enumerate([*CARD_RUNS, *PHONES, *DAYS])]
+    rows += [(100, "+14155552671 and +1 (415) 555-2671 and (415) 555-2671, +34 912 345 678 42 items", ""), (101, "12 123-45-6789 13 1980-01-01", ""), (102, "4111 " * 3 + "1111 " * 5000, "")]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(plain(spark, rows), "secret").collect()}
+    for i, text, value in rows[: len(CARD_RUNS)]:
+        assert got[i]["n_card"] == (2 if "5500" in value else 1) and "1111" not in got[i]["text"].replace(" ", "").replace("-", "")[:24], got[i]
+    assert got[0]["text"].endswith(" 123 there") and got[1]["text"].endswith(" 12/25 there") and got[2]["text"].startswith("see 7 ")
+    for i, text, value in rows[len(CARD_RUNS) : len(CARD_RUNS) + len(PHONES)]:
+        assert got[i]["n_phone"] == 1 and got[i]["text"] != text and len(got[i]["text"]) == len(text), got[i]
+        assert sum(got[i][f"n_{k}"] for k in pii.KINDS) == 1
+    for i, text, value in rows[len(CARD_RUNS) + len(PHONES) : -3]:
+        assert got[i]["n_date"] == (2 if "/1980-" in value else 1) and value not in got[i]["text"], got[i]
+    digits = ["".join(c for c in x if c.isdigit())[-10:] for x in got[100]["text"].split(", ")[0].split(" and ")]
+    assert len(set(digits)) == 1 and got[100]["text"].endswith(" 42 items") and got[100]["n_phone"] == 4
+    assert (got[101]["n_ssn"], got[101]["n_date"]) == (1, 1)
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(35 * 35).select(pii.permute((F.col("id") / 35).cast("long"), F.col("id") % 35, F.lit(35).cast("long"), F.lit(35).cast("long"), "k", "t", 0).alias("p"))
     assert df.select("p.l", "p.r").distinct().count() == 35 * 35
