@@ -254,6 +254,29 @@ def test_mix_gives_every_row_and_holds_the_targets(spark):
         mixing.mix(plain(spark, rows), weights={"hot": 1.0})
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 3e6**0.7, "b": 2e6**0.7, "c": 1.5e6**0.7, "d": 1e6**0.7, "e": 1e3**0.7}])
+def test_schedule_keeps_to_the_unrounded_weights(weights):
+    whole = mixing.whole_weights(weights)
+    total = sum(map(Fraction, weights.values()))
+    assert all(Fraction(whole[s], sum(whole.values())) == Fraction(w) / total for s, w in weights.items())
+    given, n = Counter(), 0
+    for s, i, t, release, due in mixing.pfair_stream([(s, w, 30_000 if s == "a" else 1) for s, w in whole.items()]):
+        assert t == n and given[s] == i and release <= t < due
+        given[s] += 1
+        n += 1
+        assert all(abs(n * w - given[k] * sum(whole.values())) < sum(whole.values()) for k, w in whole.items())
+    assert n > 50_000 and given["a"] == 30_000
+
+
+def test_mix_keeps_to_the_unrounded_weights(spark):
+    rows = [(i, f"t{i}", "a" if i < 3000 else "b") for i in range(9000)]
+    out = mixing.mix(plain(spark, rows), weights={"a": 1, "b": 2}, block_rows=1).where("offset = 0").select("source", "slot").collect()
+    seen = Counter()
+    for t, s in enumerate(r["source"] for r in sorted(out, key=lambda r: r["slot"])):
+        seen[s] += 1
+        assert abs(Fraction(t + 1, 3) - seen["a"]) < 1
+
+
 def test_mix_of_awkward_tables(spark):
     df = awkward(spark)
     out = mixing.mix(df, block_rows=1)

@@ -6,46 +6,67 @@ released block that is due first. On one processor this meets every deadline, so
 number t of slots each source has had between floor(w t) and ceil(w t) of them: less than one
 block from its target at every point of the stream.
 
-Weights are rounded to multiples of 1 / period, after which the schedule repeats; only one period
-is computed, on the driver, and its size does not depend on the data.
+Weights are exact fractions, so the bound holds over a stream of any length. One task runs the schedule
+and streams it out as a table with one row per block; it holds one block per source at a time.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.llm.common import ROW, as_payload, rank_within, seeded_hash, unpacked, with_outputs
 
 MAX_SOURCES = 4096
+PLAN_ROWS = 50_000
+
+
+def whole_weights(weights: dict) -> dict:
+    """``weights`` as whole numbers in exactly their proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*[w.denominator for w in exact.values()]) if exact else 1
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def pfair_stream(sources: list[tuple]) -> Iterator[tuple]:
+    """(source, index, slot, release, deadline) of each block, slot by slot, until every source of
+    ``sources`` (source, whole weight, blocks) has given all its blocks once."""
+    total = sum(w for _, w, _ in sources)
+    later = [(0, s) for s in range(len(sources))]
+    index, open_ = [0] * len(sources), len(sources)
+    ready: list[tuple] = []
+    t = 0
+    while open_:
+        while later and later[0][0] <= t:
+            release, s = heapq.heappop(later)
+            w = sources[s][1]
+            i = index[s]
+            index[s] = i + 1
+            heapq.heappush(ready, (-(-(i + 1) * total // w), release, s, i))
+            heapq.heappush(later, ((i + 1) * total // w, s))
+        due, release, s, i = heapq.heappop(ready)
+        open_ -= i == sources[s][2] - 1
+        yield sources[s][0], i, t, release, due
+        t += 1
 
 
 def rounded_weights(weights: dict, period: int) -> dict:
-    """``weights`` as whole slots per period: largest remainders, at least one slot each."""
-    total = sum(weights.values())
-    share = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    slots = {s: 1 + int(x) for s, x in share.items()}
-    by_rest = sorted(share, key=lambda s: (int(share[s]) - share[s], str(s)))
-    for s in by_rest[: period - sum(slots.values())]:
-        slots[s] += 1
-    return slots
+    """``weights`` as slots per period: exact fractions, no longer rounded to whole slots."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    return {s: w / sum(exact.values()) * period for s, w in exact.items()}
 
 
 def pfair_period(slots: dict) -> list[tuple]:
-    """(source, index in the period, slot, release, deadline) of each block of one period."""
-    period = sum(slots.values())
-    releases = sorted(((i * period // c, -(-(i + 1) * period // c), str(s), s, i) for s, c in slots.items() for i in range(c)), reverse=True)
-    ready: list[tuple] = []
-    out = []
-    for t in range(period):
-        while releases and releases[-1][0] <= t:
-            release, due, name, s, i = releases.pop()
-            heapq.heappush(ready, (due, release, name, i, s))
-        due, release, _, i, s = heapq.heappop(ready)
-        out.append((s, i, t, release, due))
-    return out
+    """(source, index, slot, release, deadline) of the blocks of the first period."""
+    period = int(sum(slots.values()))
+    return list(islice(pfair_stream([(s, w, period + 1) for s, w in whole_weights(slots).items()]), period))
 
 
 def _scheduled(docs: DataFrame, weights: dict | None, temperature: float, block_rows: int, source: str, key: str, text: str, seed: int, keep: list[str] | None) -> DataFrame:
@@ -58,34 +79,32 @@ def _scheduled(docs: DataFrame, weights: dict | None, temperature: float, block_
     wanted = {s: n**temperature for s, n in counts.items()} if weights is None else {s: weights.get(s, 0) for s in counts}
     if any(w <= 0 for w in wanted.values()):
         raise ValueError(f"sources without a weight: {[s for s, w in wanted.items() if w <= 0][:10]}")
-    period = max(1024, 8 * len(counts))
-    slots = rounded_weights(wanted, period) if counts else {}
-    plan = pfair_period(slots)
-    place = {(s, i): t for s, i, t, _, _ in plan}
+    whole = whole_weights(wanted)
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    # the slot after which every source has given its last block once
-    end = max((((b - 1) // slots[s]) * period + place[s, (b - 1) % slots[s]] + 1 for s, b in blocks.items()), default=0)
-
-    def until_end(s) -> int:
-        """Blocks of s in the slots before ``end``."""
-        return end // period * slots[s] + sum(place[s, i] < end % period for i in range(slots[s]))
-
-    table = spark.createDataFrame([(s, i, t, r, d) for s, i, t, r, d in plan], f"_s {docs.schema[source].dataType.simpleString()}, _i long, _t long, _release long, _due long")
-    sources = spark.createDataFrame([(s, slots[s], blocks[s], until_end(s)) for s in counts], f"_src {docs.schema[source].dataType.simpleString()}, _per long, _blocks long, _given long")
+    known = sorted(counts, key=lambda s: (s is not None, str(s)))
+    plan = [(n, whole[s], blocks[s]) for n, s in enumerate(known)]
+
+    def task(_):
+        size = {n: b for n, _, b in plan}
+        slots = pfair_stream(plan)
+        while part := [(n, i % size[n], i // size[n], t, r, min(d, (1 << 63) - 1)) for n, i, t, r, d in islice(slots, PLAN_ROWS)]:
+            yield pd.DataFrame(part, columns=["_n", "_at", "_epoch", "_t", "_release", "_due"])
+
+    table = spark.range(0, 1, 1, 1).mapInPandas(task, "_n long, _at long, _epoch long, _t long, _release long, _due long")
+    table = table.groupBy("_n", "_at").agg(F.collect_list(F.struct("_epoch", "_t", "_release", "_due")).alias("_uses"))
+    sources = spark.createDataFrame([(s, n) for n, s in enumerate(known)], f"_src {docs.schema[source].dataType.simpleString()}, _id long")
     rows = rows.withColumn("_hash", seeded_hash(seed, F.col("_source"), F.col("_key"), F.col("_text")))
     rows = rank_within(rows, "_source", "_hash", ["_key", "_text"])
     rows = rows.withColumn("_block", F.expr(f"_rank div {block_rows}"))
     rows = rows.join(F.broadcast(sources), rows["_source"].eqNullSafe(sources["_src"]))  # at most MAX_SOURCES rows
-    rows = rows.withColumn("_epoch", F.explode(F.expr("sequence(0L, (_given - 1 - _block) div _blocks)")))
-    rows = rows.withColumn("_nth", F.col("_epoch") * F.col("_blocks") + F.col("_block"))
-    rows = rows.withColumn("_in", F.expr("_nth % _per")).withColumn("_start", F.expr(f"(_nth div _per) * {period}"))
-    rows = rows.join(F.broadcast(table), rows["_source"].eqNullSafe(table["_s"]) & (rows["_in"] == table["_i"]))  # one period
+    rows = rows.join(table, (rows["_id"] == table["_n"]) & (rows["_block"] == table["_at"]))  # each block once, before its epochs
+    rows = rows.withColumn("_use", F.explode("_uses"))
     places = {
-        "epoch": F.col("_epoch"),
+        "epoch": F.col("_use._epoch"),
         "block": F.col("_block"),
-        "slot": F.col("_start") + F.col("_t"),
-        "release": F.col("_start") + F.col("_release"),
-        "deadline": F.col("_start") + F.col("_due"),
+        "slot": F.col("_use._t"),
+        "release": F.col("_use._release"),
+        "deadline": F.col("_use._due"),
         "offset": F.expr(f"_rank % {block_rows}"),
     }
     return rows.select(ROW, *[c.alias(n) for n, c in places.items()])
