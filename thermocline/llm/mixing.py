@@ -91,7 +91,8 @@ def _scheduled(docs: DataFrame, weights: dict | None, temperature: float, block_
             yield pd.DataFrame(part, columns=["_n", "_at", "_epoch", "_t", "_release", "_due"])
 
     table = spark.range(0, 1, 1, 1).mapInPandas(task, "_n long, _at long, _epoch long, _t long, _release long, _due long")
-    table = table.groupBy("_n", "_at").agg(F.collect_list(F.struct("_epoch", "_t", "_release", "_due")).alias("_uses"))
+    # grows with the table, which Spark's estimate of it does not see: never broadcast
+    table = table.groupBy("_n", "_at").agg(F.collect_list(F.struct("_epoch", "_t", "_release", "_due")).alias("_uses")).hint("shuffle_hash")
     sources = spark.createDataFrame([(s, n) for n, s in enumerate(known)], f"_src {docs.schema[source].dataType.simpleString()}, _id long")
     rows = rows.withColumn("_hash", seeded_hash(seed, F.col("_source"), F.col("_key"), F.col("_text")))
     rows = rank_within(rows, "_source", "_hash", ["_key", "_text"])
