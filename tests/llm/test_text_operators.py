@@ -49,6 +49,13 @@ def test_fingerprints_are_of_multisets_of_lines(spark):
     assert r["sum_hi"] == r["c_hi"] and r["sum_lo"] == r["c_lo"] and r["back_hi"] == r["a_hi"] and r["back_lo"] == r["a_lo"]
 
 
+@pytest.mark.parametrize("words", [600_000, (1 << 20) + 1000])
+def test_likeness_of_long_repetitive_texts(spark, words):
+    rows = [(1, "0 " * words, ""), (2, prose(3, 4000) * 40, "")]
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(plain(spark, rows)).collect()}
+    assert got[1]["near_edited"] > 0.9 and got[1]["near_edited"] > got[1]["near_next"]
+
+
 def test_fingerprints_of_awkward_tables(spark):
     df = awkward(spark)
     rows = fingerprint.edited_fingerprints(df).collect()
