@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermocline.llm import decontaminate, fingerprint, licenses, mixing, pii, sharding, simhash, suffixes, tokens, toxicity
+from thermocline.llm import decontaminate, fingerprint, licenses, mixing, pii, sharding, simhash, spelling, suffixes, tokens, toxicity
 from thermocline.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,7 +71,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_decontaminate, op4_mix, op5_licenses, op6_shards, op7_pseudonyms, op8_simhash, op9_repeats, op10_toxicity)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_decontaminate, op4_mix, op5_licenses, op6_shards, op7_pseudonyms, op8_simhash, op9_repeats, op10_toxicity, op13_spelling)}
+
 
 def _license_sql() -> str:
     """Sentences by split and map lookup, then one step per rule: take its matches away, note its name as often."""
