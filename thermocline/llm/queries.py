@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermocline.llm import decontaminate, fingerprint, licenses, mixing, pii, sharding, simhash, spelling, suffixes, tokens, toxicity
+from thermocline.llm import decontaminate, fingerprint, licenses, mixing, pii, sharding, simhash, spelling, suffixes, tokens, toxicity, trie
 from thermocline.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,11 +71,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_shared_heads(trie.sequences(read(spark, sf_dir, "conversations"))))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_decontaminate, op4_mix, op5_licenses, op6_shards, op7_pseudonyms, op8_simhash, op9_repeats, op10_toxicity, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_decontaminate, op4_mix, op5_licenses, op6_shards, op7_pseudonyms, op8_simhash, op9_repeats, op10_toxicity, op12_prefix_trie, op13_spelling)}
 
 
 def _license_sql() -> str:
@@ -101,7 +105,63 @@ def _license_sql() -> str:
     )
 
 
+def _crc32_sql(codes: str) -> str:
+    """Unsigned CRC-32 of a list of byte values, four bits at a time."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
+        table.append(n)
+    half = f"(xor(%s >> 4, ({table})[CAST(xor(%s, %s) & 15 AS INTEGER) + 1]))"
+    first = half % ("a", "a", "b")
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda a, b: {half % (first, first, '(b >> 4)')}), 4294967295)"
+
+
+def _latin_codes_sql(s: str) -> str:
+    """UTF-8 byte values of a string whose characters are below U+0100."""
+    return f"flatten(list_transform(string_split({s}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL = {
+    # rebuilt turns; a prefix is the digests of its turns end to end, so ancestors are its beginnings
+    "op12_prefix_trie": rf"""
+WITH t AS (SELECT conv_id AS c, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS m, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {_crc32_sql(_latin_codes_sql("CAST(c AS VARCHAR)"))} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+heads AS (SELECT ids.c, t.i, t.m, t.w FROM ids JOIN t ON t.c = ids.c - ids.c % 20 AND t.i <= ids.h),
+sizes AS (SELECT ids.c, h, coalesce(n, 0) AS n FROM ids LEFT JOIN (SELECT c, count(*) AS n FROM heads GROUP BY 1) x ON x.c = ids.c),
+turns AS (SELECT * FROM heads UNION ALL SELECT t.c, n + t.i - h, m, w FROM t JOIN sizes ON sizes.c = t.c AND t.i > h),
+members AS (SELECT c, CAST(0 AS BIGINT) AS d, '' AS k, 0 AS w FROM ids
+            UNION ALL SELECT c, i, string_agg(m, '') OVER (PARTITION BY c ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w FROM turns),
+lasts AS (SELECT c, max(d) AS last FROM members GROUP BY 1),
+node AS (SELECT k, d, min(members.c) AS c, count(*) AS n, max(w) AS w, string_agg(CASE WHEN d = last THEN CAST(members.c AS VARCHAR) END, ',' ORDER BY members.c) AS ends FROM members JOIN lasts ON lasts.c = members.c GROUP BY 1, 2),
+kids AS (SELECT substr(k, 1, CAST(32 * (d - 1) AS BIGINT)) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+below AS (SELECT substr(x.k, 1, CAST(32 * up AS BIGINT)) AS k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * x.w) AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM node) x LEFT JOIN kids ON kids.k = x.k GROUP BY 1)
+SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children, CAST(below.leaves AS BIGINT) AS n_leaves,
+       CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN below ON below.k = node.k LEFT JOIN kids ON kids.k = node.k LEFT JOIN node up ON node.d > 0 AND up.d = node.d - 1 AND up.k = substr(node.k, 1, CAST(32 * (node.d - 1) AS BIGINT))
+""",
+    # words one edit apart agree after one deletion: at the same place (replaced), or in one of them only
+    "op13_spelling": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS r FROM documents),
+one AS (SELECT doc_id, r, count(*) AS n FROM d WHERE length(r) >= 6 GROUP BY 1, 2),
+hashed AS (SELECT r, n, {_crc32_sql(_latin_codes_sql("CAST(doc_id AS VARCHAR) || ':' || r"))} AS h FROM one),
+said AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word AS a, b.word AS b, b.n AS n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS i FROM pairs),
+known AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN ranked.n >= 5 * words.n THEN b END AS form, CASE WHEN ranked.n >= 5 * words.n THEN ranked.n END AS form_n
+          FROM words LEFT JOIN ranked ON ranked.a = words.word AND ranked.i = 1),
+steps AS (SELECT word, word AS root FROM known UNION SELECT steps.word, known.form FROM steps JOIN known ON known.word = steps.root WHERE known.form IS NOT NULL),
+roots AS (SELECT steps.word, steps.root FROM steps JOIN known ON known.word = steps.root WHERE known.form IS NULL)
+SELECT known.word, form, root, n, n_near, form_n FROM known JOIN roots ON roots.word = known.word
+""",
     "op5_licenses": _license_sql(),
     # words with their places; windows of 13 (or all words of a shorter item) as strings; hits by join
     "op3_decontaminate": r"""
