@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermocline.llm import decontaminate, fingerprint, licenses, mixing, pii, sharding, simhash, spelling, suffixes, tokens, toxicity, trie
+from thermocline.llm import decontaminate, fingerprint, licenses, minhash, mixing, pii, sharding, simhash, spelling, suffixes, tokens, toxicity, trie
 from thermocline.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.with_shared_heads(trie.sequences(read(spark, sf_dir, "conversations"))))
 
@@ -79,7 +83,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_decontaminate, op4_mix, op5_licenses, op6_shards, op7_pseudonyms, op8_simhash, op9_repeats, op10_toxicity, op12_prefix_trie, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_decontaminate, op4_mix, op5_licenses, op6_shards, op7_pseudonyms, op8_simhash, op9_repeats, op10_toxicity, op11_minhash, op12_prefix_trie, op13_spelling)}
 
 
 def _license_sql() -> str:
@@ -125,6 +129,18 @@ def _latin_codes_sql(s: str) -> str:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    # shingle sets, pairs by their common shingles, components by reachability
+    "op11_minhash": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM d),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r)
+SELECT reach.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, reach.doc_id = min(r) AS kept
+FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id
+""",
     # rebuilt turns; a prefix is the digests of its turns end to end, so ancestors are its beginnings
     "op12_prefix_trie": rf"""
 WITH t AS (SELECT conv_id AS c, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS m, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
