@@ -60,6 +60,30 @@ def sorted_array_quantile(arr: Column, q: float) -> Column:
     return F.when(n > 0, val)
 
 
+def dense_line(entries: Column, n: Column | int, index: str = "i", value: str = "v") -> Column:
+    """An array of ``n`` values by position from an array of (``index``, ``value``) structs: NULL where no entry has it.
+
+    The entries are sorted once; each then gives the NULLs between the entry before it and itself,
+    and its value, and the pieces are joined. So the cost is that of the sort and of writing ``n`` values;
+    nothing is looked up. Indices must be distinct and within 0 to ``n`` - 1.
+    """
+    n = F.lit(n) if isinstance(n, int) else n
+    # bound once: what a lambda refers to outside of it is worked out anew for every element
+    blanks = F.transform(F.array_repeat(F.lit(0), n), lambda _: F.when(F.lit(False), F.get(entries, F.lit(0))[value]))
+    bound = F.array(F.struct(F.sort_array(entries).alias("e"), blanks.alias("blanks")))
+
+    def line(s: Column) -> Column:
+        def upto(k: Column) -> Column:  # positions up to entry k
+            return F.coalesce(F.get(s["e"], k)[index].cast("int"), F.lit(-1)) + 1
+
+        def piece(x: Column, k: Column) -> Column:
+            return F.concat(F.slice(s["blanks"], F.lit(1), x[index].cast("int") - upto(k - 1)), F.array(x[value]))
+
+        return F.concat(F.flatten(F.transform(s["e"], piece)), F.slice(s["blanks"], F.lit(1), n - upto(F.size(s["e"]) - 1)))
+
+    return F.get(F.transform(bound, line), F.lit(0))
+
+
 def lit_array(values) -> Column:
     """A literal array as one SQL expression (one call to the JVM, whatever its length).
 

@@ -51,3 +51,9 @@ def semi_month_label(t: str | Column = "t") -> Column:
         .when(F.dayofmonth(d) >= 15, F.date_add(F.trunc(d, "MM"), 14))
         .otherwise(F.date_sub(F.trunc(d, "MM"), 1))
     )
+
+
+def semi_month_number(label: str | Column) -> Column:
+    """A running number of semi-month bins from their labels: 15ths are even, month ends odd."""
+    d = F.col(label) if isinstance(label, str) else label
+    return 2 * (F.year(d) * 12 + F.month(d)) + (F.dayofmonth(d) > 15).cast("int")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermocline.functions.scalar import exceed_flag, lit_array, sorted_array_quantile
+from thermocline.functions.scalar import exceed_flag, lit_array
 from thermocline.model import CELL, axis_values, time_axis
 from thermocline.operators.common import cell_labels
 from thermocline.operators.quantile import exact_quantiles
@@ -197,53 +199,69 @@ def doy_axis(cube: DataFrame) -> list[int]:
     return axis_values(cube, d=F.dayofyear("t"))["d"]
 
 
+def pooled_quantiles(pos: np.ndarray, values: np.ndarray, n: int, half_window: int, q: float) -> np.ndarray:
+    """For each of ``n`` circular positions the ``q`` quantile (linear interpolation) of the values within
+    ``half_window`` positions, NaN without any.
+
+    Values are sorted once by position. A position's pool is its neighbours' lists, gathered from one padded table;
+    in each pool only the two wanted ranks are selected, nothing is sorted again.
+    """
+    order = np.lexsort((values, pos))
+    pos, values = pos[order], values[order]
+    size = np.bincount(pos, minlength=n)
+    lists = np.full((n, max(1, int(size.max(initial=0)))), np.inf)  # a pool's padding ranks last
+    lists[pos, np.arange(len(pos)) - np.repeat(np.cumsum(size) - size, size)] = values
+    around = np.arange(-half_window, n + half_window) % n
+    pools = np.lib.stride_tricks.sliding_window_view(lists[around], 2 * half_window + 1, axis=0).reshape(n, -1)
+    in_pool = np.lib.stride_tricks.sliding_window_view(size[around], 2 * half_window + 1).sum(1)
+    at = q * (in_pool - 1).astype(float)
+    low, high = np.floor(at).astype(int), np.ceil(at).astype(int)
+    out = np.full(n, np.nan)
+    for count in np.unique(in_pool[in_pool > 0]).tolist():  # pools of one size share their ranks
+        some = np.flatnonzero(in_pool == count)
+        i, j = int(low[some[0]]), int(high[some[0]])
+        ranked = np.partition(pools[some], (i, j) if i != j else i, axis=1)
+        lo, hi = ranked[:, i], ranked[:, j]
+        out[some] = lo if i == j else lo + (hi - lo) * (at[some] - i)
+    return out
+
+
 def doy_threshold(cube: DataFrame, q: float = 0.9, half_window: int = 5, axis: list[int] | None = None,
                   dense: bool = True, cells: DataFrame | None = None) -> DataFrame:
     """Per cell and day of year: the ``q`` quantile of all years' values within ``half_window``
     positions on the circular day-of-year axis (linear interpolation, missing values skipped).
 
-    Plan: values grouped per (cell, day) into lists and placed on the shared axis position;
-    positions near the ends are copied once to ``pos -/+ n`` for the wrap-around; a RANGE
-    window of ``+/- half_window`` positions gathers each pool, so days a cell lacks need no
-    rows.  Every step is keyed by the cell: a cube partitioned by cell is not shuffled again.
+    Plan: first rows per (cell, year, day), then one NumPy call per cell (``pooled_quantiles``); both are
+    keyed by the cell, so a cube partitioned by cell is not shuffled again.
 
     ``dense`` returns every axis position for every cell (the threshold cube); without it only
-    the positions where the cell has data, which is all a lookup by the cube's rows needs.
-    ``cells`` (``lat_idx, lon_idx, lat, lon``, one row per cell) feeds the dense spine; build it
-    with a partial aggregate before repartitioning the cube, so it costs a tiny shuffle.
+    the positions where the cell has rows, which is all a lookup by the cube's rows needs.
+    ``cells`` (``lat_idx, lon_idx, lat, lon``, one row per cell) names cells to return beside those with rows.
     """
-    axis = axis if axis is not None else doy_axis(cube)
+    axis = [int(d) for d in (axis if axis is not None else doy_axis(cube))]
     n = len(axis)
     if n < half_window:
         raise ValueError(f"day-of-year axis of {n} days is shorter than the window radius")
-    spark = cube.sparkSession
-    ax_df = spark.createDataFrame([(int(d), i) for i, d in enumerate(axis)], "d int, pos int")  # <= 366 rows
-    # collect_list skips NULLs, so an all-missing (land) cell keeps its rows with empty lists.
-    rows = dedup_days(cube).groupBy(*CELL, F.dayofyear("t").cast("int").alias("d")).agg(
-        *cell_labels(), F.collect_list("sst").alias("vs")
-    )
-    rows = rows.join(F.broadcast(ax_df), "d").select(*CELL, "lat", "lon", "pos", "vs")
-    if dense:
-        # One row per cell (partial aggregate), then every position; merged with the data rows.
-        cells = cells if cells is not None else cube.groupBy(*CELL).agg(*cell_labels())
-        spine = cells.select(
-            *CELL, "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"),
-            F.array().cast("array<double>").alias("vs"),
-        )
-        rows = rows.unionByName(spine).groupBy(*CELL, "pos").agg(
-            *cell_labels(), F.flatten(F.collect_list("vs")).alias("vs")
-        )
-    hw = half_window
-    pad = F.filter(F.array(F.col("pos") - n, F.col("pos"), F.col("pos") + n), lambda x: x.between(-hw, n - 1 + hw))
-    padded = rows.select(*CELL, "lat", "lon", "vs", F.explode(pad).alias("pp"))
-    w = Window.partitionBy(*CELL).orderBy("pp").rangeBetween(-hw, hw)
-    pooled = padded.withColumn("_pool", F.sort_array(F.flatten(F.collect_list("vs").over(w))))
-    pooled = pooled.where(F.col("pp").between(0, n - 1))
-    ax = lit_array([int(d) for d in axis])
-    return pooled.select(
-        *CELL, "lat", "lon", F.element_at(ax, F.col("pp") + 1).cast("int").alias("dayofyear"),
-        sorted_array_quantile(F.col("_pool"), q).alias("thr"),
-    )
+    place = np.full(367, -1)
+    place[axis] = np.arange(n)
+    schema = "lat_idx int, lon_idx int, lat double, lon double, dayofyear int, thr double"
+    wanted = ["lat_idx", "lon_idx", "lat", "lon", "d", "sst"]
+
+    def thresholds(table: pa.Table) -> pa.Table:
+        d = table.column("d").to_numpy(zero_copy_only=False)
+        pos = place[np.where(np.isnan(d), 0, d).astype(int)] if d.dtype.kind == "f" else place[d]
+        v = table.column("sst").to_numpy(zero_copy_only=False).astype(float)
+        on = (pos >= 0) & ~np.isnan(v)
+        thr = pooled_quantiles(pos[on], v[on], n, half_window, q)
+        days = np.arange(n) if dense else np.unique(pos[pos >= 0])
+        same = [pa.array([next((x for x in table.column(c).to_pylist() if x is not None), None)] * len(days), t) for c, t in (("lat_idx", pa.int32()), ("lon_idx", pa.int32()), ("lat", pa.float64()), ("lon", pa.float64()))]
+        return pa.table([*same, pa.array(np.array(axis)[days], pa.int32()), pa.array(thr[days], mask=np.isnan(thr[days]))], names=[*wanted[:4], "dayofyear", "thr"])
+
+    rows = dedup_days(cube).select(*CELL, "lat", "lon", F.dayofyear("t").cast("int").alias("d"), F.col("sst").cast("double").alias("sst"))
+    if cells is not None and dense:
+        none = [F.lit(None).cast("int").alias("d"), F.lit(None).cast("double").alias("sst")]
+        rows = rows.unionByName(cells.select(*CELL, "lat", "lon", *none))
+    return rows.select(*wanted).groupBy(*CELL).applyInArrow(thresholds, schema)
 
 
 def attach_by_cell_day(cube: DataFrame, thr: DataFrame) -> DataFrame:
@@ -251,8 +269,9 @@ def attach_by_cell_day(cube: DataFrame, thr: DataFrame) -> DataFrame:
 
     Written as a union followed by a window over (cell, day): when both inputs are
     partitioned by cell, Spark needs no further shuffle (a join on (cell, day) would
-    re-shuffle both sides on all three keys).  The threshold rows keep the cell labels,
-    so both branches read the same columns and adaptive execution reuses one cell shuffle.
+    re-shuffle both sides on all three keys).  The thresholds, at most 366 a cell, are brought to the cell
+    partitioning; they keep the cell labels, so that where they come from ``cube`` both branches read the
+    same columns and adaptive execution reuses one cell shuffle.
     """
     a = cube.withColumns({
         "dayofyear": F.dayofyear("t").cast("int"),
@@ -260,7 +279,7 @@ def attach_by_cell_day(cube: DataFrame, thr: DataFrame) -> DataFrame:
         "_is_thr": F.lit(False),
     })
     keep = [c for c in [*CELL, "lat", "lon", "dayofyear", "thr"] if c in thr.columns]
-    b = thr.select(*keep)
+    b = thr.select(*keep).repartition(*CELL)
     for c in a.columns:
         if c not in b.columns:
             b = b.withColumn(c, F.lit(None).cast(a.schema[c].dataType))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.functions.scalar import clip_scale, lit_array
+from thermocline.functions.scalar import clip_scale, dense_line, lit_array
 from thermocline.model import CELL, axis_frame, axis_values, by_cell, cube_axes, index_axes, small_or_plain
 from thermocline.operators.extremes import dedup_days
 
@@ -60,19 +60,29 @@ def unstack_year(cube: DataFrame, axis: DataFrame | None = None) -> DataFrame:
     cube, for every cell; missing combinations have a NULL value (first row wins on duplicates).
 
     The cube is read and shuffled by cell once: the values of a cell and year (a few hundred at
-    most) are folded into a map and expanded over all days, the years of a cell likewise.
+    most) become a dense line by their places on the day axis, the lines of a cell one of years.
     ``axis`` is the ``(t, time_idx)`` table; years and days come from it without a pass over the cube.
     """
     got = axis_values(axis if axis is not None else cube, y=F.year("t"), d=F.dayofyear("t"))
-    if not got["y"]:
+    days, years = [int(x) for x in got["d"]], [int(x) for x in got["y"]]
+    if not years:
         return cube.select(*CELL, F.year("t").cast("int").alias("year"), F.dayofyear("t").cast("int").alias("dayofyear"), "sst").limit(0)
-    d = dedup_days(by_cell(cube)).select(*CELL, F.year("t").cast("int").alias("year"), F.dayofyear("t").cast("int").alias("dayofyear"), "sst")
-    per_year = d.groupBy(*CELL, "year").agg(F.map_from_entries(F.collect_list(F.struct("dayofyear", "sst"))).alias("m"))
-    per_cell = per_year.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("year", "m"))).alias("_y"))
-    rows = per_cell.select(*CELL, "_y", F.explode(lit_array([int(y) for y in got["y"]])).alias("year"))
-    rows = rows.select(*CELL, "year", F.try_element_at("_y", F.col("year")).alias("_m"))
-    rows = rows.select(*CELL, "year", "_m", F.explode(lit_array([int(x) for x in got["d"]])).alias("dayofyear"))
-    return rows.select(*CELL, "year", "dayofyear", F.try_element_at("_m", F.col("dayofyear")).alias("sst"))
+
+    def place(axis: list[int], label: Column) -> Column:
+        """Position on an integer axis: read off an array that covers its range."""
+        at = {v: i for i, v in enumerate(axis)}
+        return F.get(lit_array([at.get(v, -1) for v in range(axis[0], axis[-1] + 1)]), (label - axis[0]).cast("int"))
+
+    d = dedup_days(by_cell(cube)).where("t IS NOT NULL")
+    d = d.select(*CELL, place(years, F.year("t")).alias("_y"), place(days, F.dayofyear("t")).alias("_d"), "sst")
+    lines = d.groupBy(*CELL, "_y").agg(F.collect_list(F.struct("_d", "sst")).alias("_e"))
+    lines = lines.select(*CELL, "_y", dense_line(F.col("_e"), len(days), "_d", "sst").alias("_line"))
+    blank = F.array_repeat(F.lit(None).cast(cube.schema["sst"].dataType), len(days))
+    cells = lines.groupBy(*CELL).agg(F.collect_list(F.struct("_y", "_line")).alias("_e"))
+    rows = cells.select(*CELL, F.posexplode(dense_line(F.col("_e"), len(years), "_y", "_line")).alias("_y", "_line"))
+    rows = rows.select(*CELL, "_y", F.posexplode(F.coalesce("_line", blank)).alias("_d", "sst"))
+    named = [F.element_at(lit_array(years), F.col("_y") + 1).alias("year"), F.element_at(lit_array(days), F.col("_d") + 1).alias("dayofyear")]
+    return rows.select(*CELL, *named, "sst")
 
 
 def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | None = None, hi: float | None = None,
@@ -80,7 +90,8 @@ def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | Non
     """One row per kept time step (every ``every``-th) and latitude: ``row`` holds the values by lon
     index, clipped to ``[lo, hi]``, NULL where the cell has no value.
 
-    Rows of a step spread over tasks, and no row holds more than one line of the grid.  Lines without
+    Rows of a step spread over tasks, and no row holds more than one line of the grid, put in place in
+    one pass over its sorted entries (a cell must have one row a step; see ``dedupe_steps``).  Lines without
     any value come from a spine of (step, lat) pairs, not of cells.  ``axes`` are the cube's
     ``cube_axes(..., time=True)``.
     """
@@ -95,9 +106,8 @@ def frames(cube: DataFrame, value: str = "anom", every: int = 2, lo: float | Non
     steps = spark.createDataFrame(kept, f"t {ttype}, time_idx int")
     data = cube.join(small_or_plain(steps), "t").select("t", "time_idx", "lat_idx", F.struct("lon_idx", v.alias("v")).alias("c"))
     spine = steps.select("t", "time_idx", F.explode(F.sequence(F.lit(0), F.lit(max(n_lat - 1, 0)))).alias("lat_idx"), F.lit(None).cast(data.schema["c"].dataType).alias("c"))
-    lines = data.unionByName(spine).groupBy("t", "time_idx", "lat_idx").agg(F.map_from_entries(F.collect_list("c")).alias("_m"))
-    row = F.transform(F.sequence(F.lit(0), F.lit(max(n_lon - 1, 0))), lambda j: F.try_element_at("_m", j))
-    return lines.select("t", "time_idx", "lat_idx", row.alias("row"))
+    lines = data.unionByName(spine).groupBy("t", "time_idx", "lat_idx").agg(F.collect_list("c").alias("_e"))
+    return lines.select("t", "time_idx", "lat_idx", dense_line(F.col("_e"), n_lon, "lon_idx", "v").alias("row"))
 
 
 def frame_cells(rows: DataFrame) -> DataFrame:

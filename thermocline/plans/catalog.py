@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from thermocline.functions.scalar import round_arith
 from thermocline.functions.time import decimal_year, time_parts
 from thermocline.model import CELL, axis_values, by_cell, time_axis
-from thermocline.operators.common import cell_labels
 from thermocline.functions.scalar import clip_scale
 from thermocline.operators import clim, extremes, roll, runs, select, trend, udf
 from thermocline.operators import grid as grid_ops
@@ -386,8 +385,7 @@ def mhw_parts(spark, sf_dir):
 def q_doy_threshold(spark, sf_dir):
     g = grid(spark, sf_dir)
     doys = extremes.doy_axis(g)  # metadata pass before the cell shuffle
-    cells = g.groupBy(*CELL).agg(*cell_labels())  # partial aggregate: one row per cell and task moves
-    return rounded(extremes.doy_threshold(by_cell(g), MHW_Q, axis=doys, cells=cells).drop("lat", "lon"))
+    return rounded(extremes.doy_threshold(by_cell(g), MHW_Q, axis=doys).drop("lat", "lon"))
 
 
 @query("exceedance")
@@ -406,7 +404,7 @@ def q_mhw_mask(spark, sf_dir):
 def q_apply_along_time(spark, sf_dir):
     axis, ex, _ = mhw_parts(spark, sf_dir)
     ex = ex.select("t", *CELL, "sst", "thr", "exceed")
-    return rounded(udf.mark_runs_pandas(ex, "exceed", MHW_MIN_DAYS, out="mhw", axis=axis))
+    return rounded(udf.mark_runs_along_time(ex, "exceed", MHW_MIN_DAYS, out="mhw", axis=axis))
 
 
 @query("mhw_days")
@@ -511,6 +509,14 @@ def q_decode_time(spark, sf_dir):
     return rounded(cube_io.decode_cf_time(c, "days", "days since 1800-01-01", out="t_decoded"))
 
 
+@query("decode_time_fraction")
+def q_decode_time_fraction(spark, sf_dir):
+    """Hours with fractions since the year 1: numbers that leave a double few bits for the fraction."""
+    days = F.datediff("t", F.lit("0001-01-01").cast("date")).cast("double")
+    c = grid(spark, sf_dir).select("t", *CELL, (days * 24 + (F.col("lat_idx") * 4 + F.col("lon_idx")).cast("double") / 10).alias("hours"))
+    return rounded(cube_io.decode_cf_time(c, "hours", "hours since 1-1-1 00:00:0.0", out="t_decoded"))
+
+
 @query("decode_values")
 def q_decode_values(spark, sf_dir):
     """Pack the values as int16 hundredths with a fill value, then decode them."""
@@ -630,6 +636,14 @@ def q_mhw_events_ds(spark, sf_dir):
 # --- weekly grid (the reference's main input is weekly) -------------------------------------------
 
 
+@query("rolling_mean_long")
+def q_rolling_mean_long(spark, sf_dir):
+    """The region's daily mean series and its centered mean over 1,095 steps (about three years)."""
+    series = clim.region_series(grid(spark, sf_dir))
+    out = roll.rolling_mean(series.withColumn("region", F.lit(0)), "region_mean", 1095, keys=["region"], axis=time_axis(series))
+    return rounded(out.select("t", "region_mean", "rolled"))
+
+
 @query("rolling_mean_weekly")
 def q_rolling_mean_weekly(spark, sf_dir):
     """Weekly anomalies and their centered 51-row (about one year) complete-window mean."""

@@ -568,6 +568,14 @@ sql(
 FROM (SELECT t, lat_idx, lon_idx, CAST(DATEDIFF('day', DATE '1800-01-01', t) AS DOUBLE) AS days FROM cube)""",
 )
 
+sql(
+    "decode_time_fraction",
+    """SELECT t, lat_idx, lon_idx, ROUND(hours, 6) AS hours,
+       CAST(TIMESTAMP '0001-01-01 00:00:00' + TO_MICROSECONDS(CAST(FLOOR(hours) AS BIGINT) * 3600000000
+         + CAST(FLOOR((hours - FLOOR(hours)) * 3600000000 + 0.5) AS BIGINT)) AS TIMESTAMP) AS t_decoded
+FROM (SELECT t, lat_idx, lon_idx, CAST(DATEDIFF('day', DATE '0001-01-01', t) AS DOUBLE) * 24 + CAST(lat_idx * 4 + lon_idx AS DOUBLE) / 10 AS hours FROM cube)""",
+)
+
 sql(
     "decode_values",
     """SELECT t, lat_idx, lon_idx, raw,
@@ -725,6 +733,14 @@ WEEKLY = """wk AS (SELECT CAST(DATE_TRUNC('week', t) AS DATE) AS t, lat_idx, lon
 AN9W = f"""an9 AS (SELECT *, {MONTH} AS month,
        {R9("sst - AVG(sst) OVER (PARTITION BY lat_idx, lon_idx, MONTH(t))")} AS anom FROM wk)"""
 
+sql(
+    "rolling_mean_long",
+    """SELECT t, ROUND(region_mean, 6) AS region_mean, CASE WHEN n = 1095 THEN ROUND(m, 6) END AS rolled
+FROM (SELECT t, region_mean, COUNT(region_mean) OVER w AS n, AVG(region_mean) OVER w AS m FROM rs
+      WINDOW w AS (ORDER BY t ROWS BETWEEN 547 PRECEDING AND 547 FOLLOWING))""",
+    REGION,
+)
+
 sql("rolling_mean_weekly", ROLLED, WEEKLY, AN9W, TIME_AX.replace("FROM cube", "FROM wk"), DENSE_AN)
 
 sql("cell_reports_weekly", report("lat_idx, lon_idx", flags_over("an9", "lat_idx, lon_idx")), WEEKLY, AN9W)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,19 +132,35 @@ def sort_time(cube: DataFrame, partitions: int | None = None) -> DataFrame:
     return out.sortWithinPartitions("t", *CELL)
 
 
+# CF time units (singular) and their microseconds.
+CF_UNITS = {"day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1_000, "microsecond": 1}
+_CF_ORIGIN = re.compile(r"(\d{1,4})-(\d{1,2})-(\d{1,2})(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6})\d*)?)?)?\s*(?:UTC|Z|\+?0{1,2}:?0{0,2})?")
+
+
+def cf_origin(text: str) -> _dt.datetime:
+    """The origin of CF time units: ``Y-M-D[ h:m[:s[.f]]][ UTC]``, digits not necessarily padded."""
+    m = _CF_ORIGIN.fullmatch(text.strip())
+    if m is None:
+        raise ValueError(f"unsupported CF origin {text!r}")
+    year, month, day, hour, minute, second = (int(x or 0) for x in m.groups()[:6])
+    return _dt.datetime(year, month, day, hour, minute, second, int((m.group(7) or "").ljust(6, "0")))
+
+
 def decode_cf_time(df: DataFrame, col: str, units: str, out: str = "t") -> DataFrame:
-    """CF time: ``'<unit> since YYYY-MM-DD[ hh:mm:ss]'`` numbers to timestamps (days/hours/...)."""
+    """CF time, numbers in ``'<unit> since <origin>'``, as timestamps without time zone (proleptic Gregorian).
+
+    Whole units and the fraction are turned into microseconds apart, the fraction rounded to the nearest: a number
+    that leaves a double few bits for its fraction (an early origin) loses nothing that it has. NaN is missing.
+    """
     unit, _, origin = units.partition(" since ")
-    unit = unit.strip().lower()
-    seconds = {"days": 86400, "day": 86400, "hours": 3600, "hour": 3600, "minutes": 60,
-               "minute": 60, "seconds": 1, "second": 1}
-    if unit not in seconds:
+    micros = CF_UNITS.get(unit.strip().lower().removesuffix("s"))
+    if micros is None:
         raise ValueError(f"unsupported CF unit {unit!r}")
-    base = _dt.datetime.fromisoformat(origin.strip())
-    micros = (F.col(col).cast("double") * F.lit(float(seconds[unit] * 1_000_000))).cast("long")
-    origin = F.lit(base.isoformat(sep=" ")).cast("timestamp_ntz")  # no time zone involved
-    ts = F.timestamp_add("MICROSECOND", micros, origin)
-    return df.withColumn(out, ts)
+    number = nan_to_null(F.col(col))
+    whole = F.floor(number)
+    part = F.floor((number - whole) * F.lit(float(micros)) + F.lit(0.5))
+    base = F.lit(cf_origin(origin).isoformat(sep=" ")).cast("timestamp_ntz")  # no time zone involved
+    return df.withColumn(out, F.timestamp_add("MICROSECOND", whole * F.lit(micros).cast("long") + part, base))
 
 
 def decode_values(raw: Column, scale: float = 1.0, offset: float = 0.0, fill=None) -> Column:

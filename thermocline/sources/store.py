@@ -45,11 +45,24 @@ def as_float32(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("float") for c in cols})
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Sorted paths that match a glob pattern."""
+    fs, p = file_system(spark, pattern)
+    return sorted(f.getPath().toString() for f in fs.globStatus(p) or [])
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    return bool(listed(spark, pattern))
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return p.getFileSystem(conf).exists(p)
+    return exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
 def input_tag(df: DataFrame, *params) -> str:
