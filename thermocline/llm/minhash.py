@@ -134,50 +134,58 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(-1)
 
 
+def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes alone do not rule a pair out."""
+    return (100 * a >= percent * b) & (100 * b >= percent * a)
+
+
 def least_agreement(similarity: float, hashes: int = HASHES) -> int:
     """Minima that a pair of that similarity has in common, less ``SIGMAS`` standard deviations."""
     return max(1, int(np.floor(hashes * similarity - SIGMAS * np.sqrt(hashes * similarity * (1 - similarity)))))
 
 
-def _neighbours(forest: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _neighbours(forest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, same): neighbours in the order of each region, with the minima that they have in common.
 
     Regions are ranges of one order, cut anywhere: a neighbour across a cut is left to the search of regions.
     """
 
+    least = least_agreement(percent / 100)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            region, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            sig = _bytes(b.column(2))
+            rows = (*[b.column(i).to_numpy() for i in range(3)], _bytes(b.column(3)))
             if before is not None:
-                region, node, sig = np.append(before[0], region), np.append(before[1], node), np.concatenate((before[2], sig))
+                rows = tuple(np.concatenate(x) for x in zip(before, rows, strict=True))
+            region, node, size, sig = rows
             same = _agreement(sig[1:], sig[:-1])
-            ok = (region[1:] == region[:-1]) & (same >= least)
+            ok = (region[1:] == region[:-1]) & (same >= least) & _sizes_fit(size[1:], size[:-1], percent)
             x, y = node[1:][ok], node[:-1][ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(same[ok])], names=["a", "b", "same"])
-            before = region[-1:], node[-1:], sig[-1:]
+            before = tuple(x[-1:] for x in rows)
 
     # signatures of one region are turned alike, so that turned ones agree as often
-    rows = forest.join(sets.select("node", "_sig"), "node").select("region", "node", _tree_order(F.col("region"), F.col("_sig")).alias("_order"))
+    rows = forest.join(sets.select("node", "_n", "_sig"), "node").select("region", "node", "_n", _tree_order(F.col("region"), F.col("_sig")).alias("_order"))
     n = shuffle_partitions(sets.sparkSession)
     rows = rows.repartitionByRange(n, "region", "_order", "node").sortWithinPartitions("region", "_order", "node")
     return rows.mapInArrow(run, "a long, b long, same long").distinct()
 
 
-def _searched(members: DataFrame, least: int) -> DataFrame:
-    """(a, b): candidates of different classes of each bounded region (region, node, group, _sig)."""
+def _searched(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidates of different classes of each bounded region (region, node, group, _n, _sig)."""
+    least = least_agreement(percent / 100)
 
-    def search(region: np.ndarray, node: np.ndarray, group: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    def search(region: np.ndarray, node: np.ndarray, group: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(np.diff(region, prepend=region[0] - 1))
         size = np.diff(np.append(first, len(region)))
         after = np.repeat(first + size, size) - np.arange(len(region))  # rows of the region from this one on
         out = [np.zeros((0, 2), np.int64)]
         for lag in range(1, int(size.max())):
             left = np.flatnonzero(after > lag)
-            left = left[group[left] != group[left + lag]]
+            left = left[(group[left] != group[left + lag]) & _sizes_fit(n[left], n[left + lag], percent)]
             for at in range(0, len(left), 50_000):
                 i = left[at : at + 50_000]
                 i = i[_agreement(sig[i], sig[i + lag]) >= least]
@@ -193,7 +201,7 @@ def _searched(members: DataFrame, least: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = (*[b.column(i).to_numpy() for i in range(3)], _bytes(b.column(3)))
+            rows = (*[b.column(i).to_numpy() for i in range(4)], _bytes(b.column(4)))
             if kept is not None:
                 rows = tuple(np.concatenate(x) for x in zip(kept, rows, strict=True))
             cut = int(np.flatnonzero(rows[0] == rows[0][-1])[0])
@@ -204,26 +212,28 @@ def _searched(members: DataFrame, least: int) -> DataFrame:
             yield batch(search(*kept))
 
     n = shuffle_partitions(members.sparkSession)
-    rows = members.select("region", "node", "group", "_sig").repartition(n, "region").sortWithinPartitions("region")
+    rows = members.select("region", "node", "group", "_n", "_sig").repartition(n, "region").sortWithinPartitions("region")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _block_by_block(members: DataFrame, sizes: DataFrame, region: int, least: int) -> DataFrame:
+def _block_by_block(members: DataFrame, sizes: DataFrame, region: int, percent: int) -> DataFrame:
     """(a, b): candidates of regions too dense for every forest. Members are dealt to blocks of bounded size,
     and each pair of blocks is a group of its own."""
+    least = least_agreement(percent / 100)
     blocks = sizes.select(F.col("region").alias("_r"), F.ceil(F.col("size") / region).cast("int").alias("_blocks"))
     rows = members.join(blocks, members["region"] == F.col("_r")).withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    rows = rows.select("region", "node", "group", "_sig", "_mine", other)
-    rows = rows.select("region", F.least("_mine", "_other").alias("_x"), F.greatest("_mine", "_other").alias("_y"), "node", "group", "_sig", "_mine")
+    rows = rows.select("region", "node", "group", "_n", "_sig", "_mine", other)
+    rows = rows.select("region", F.least("_mine", "_other").alias("_x"), F.greatest("_mine", "_other").alias("_y"), "node", "group", "_n", "_sig", "_mine")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x, y = key[1].as_py(), key[2].as_py()
-        block, node, group = (table.column(n).to_numpy() for n in ("_mine", "node", "group"))
+        block, node, group, n = (table.column(c).to_numpy() for c in ("_mine", "node", "group", "_n"))
         sig, out = _bytes(table.column("_sig")), [np.zeros((0, 2), np.int64)]
         others = np.flatnonzero(block == y)
         for i in np.flatnonzero(block == x).tolist():
             k = others[(group[others] != group[i]) & ((node[others] > node[i]) | (x != y))]
+            k = k[_sizes_fit(n[k], n[i], percent)]
             k = k[_agreement(sig[k], sig[i]) >= least]
             out.append(np.stack((np.minimum(node[k], node[i]), np.maximum(node[k], node[i])), 1))
         pairs = np.concatenate(out)
@@ -249,17 +259,38 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * common >= percent * (len(both) - common)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    left = full.select(F.col("node").alias("a"), F.col("_set").alias("_x"), F.col("_n").alias("_nx"))
-    right = full.select(F.col("node").alias("b"), F.col("_set").alias("_y"), F.col("_n").alias("_ny"))
-    near = (F.col("_nx") * 100 >= F.col("_ny") * percent) & (F.col("_ny") * 100 >= F.col("_nx") * percent)  # sizes alone can rule a pair out
-    sized = pairs.join(left.select("a", "_nx"), "a").join(right.select("b", "_ny"), "b").where(near).select("a", "b")
-    rows = sized.join(left.select("a", "_x"), "a").join(right.select("b", "_y"), "b")
-    return rows.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    left = full.select(F.col("node").alias("a"), F.col("_set").alias("_x"))
+    right = full.select(F.col("node").alias("b"), F.col("_set").alias("_y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+
 
+#: Links, 16 bytes each, that one task brings together; more go through rounds of joins.
+LINKS_AT_ONCE = 1_000_000
 
-def _classes(links: DataFrame) -> DataFrame:
-    roots = components(links, "minhash-links")
-    return roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+
+def _classes(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
+    """(_node, _root): the smallest node of each class of linked nodes."""
+    links = written(links.select("a", "b").distinct(), "minhash-links")
+    if links.count() > at_once:
+        return components(links, "minhash-links").select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        if root:
+            nodes = list(root)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["_node", "_root"])
+
+    return links.repartition(1).mapInArrow(run, "_node long, _root long")  # at_once links at most
 
 
 def _grouped(rows: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
@@ -299,8 +330,6 @@ def near_duplicates(
     sets = rows.where(F.col("_name").isNotNull()).groupBy("_name").agg(one, F.min("_key").alias("_first"), *[F.first(c).alias(c) for c in ("_n", "_minima", "_sig")])
     sets = sets.select("_name", "_one.*", "_n", "_minima", "_sig", "_first", F.monotonically_increasing_id().alias("node"))
     sets = written(sets, "minhash-sets")  # numbered once, as written
-    least = least_agreement(percent / 100)
-
     # regions of several texts; the others are done with
     planted = written(_planted(sets, DEPTH, HASHES // DEPTH), "minhash-planted")
     sizes = planted.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -309,9 +338,9 @@ def near_duplicates(
     full = _full_sets(raw, involved, size)
 
     # neighbours: the best candidates of each class, a few rounds, then what is left of them
-    candidates = written(_neighbours(forest, sets, least), "minhash-neighbours")
+    candidates = written(_neighbours(forest, sets, percent), "minhash-neighbours")
     links = written(candidates.limit(0).select("a", "b"), "minhash-confirmed")
-    classes = _classes(links)
+    classes = written(_classes(links), "minhash-classes")
     for turn in range(rounds):
         open_ = _between(candidates, classes)
         if turn < rounds - 1:
@@ -326,9 +355,9 @@ def near_duplicates(
         candidates = written(candidates.join(best, ["a", "b"], "left_anti"), "minhash-neighbours")
         classes = written(_classes(links), "minhash-classes")
 
-    found = _all_regions(forest, sets, classes, full, least, region, deeper, seed)
+    found = _all_regions(forest, sets, classes, full, percent, region, deeper, seed)
     links = written(links.unionAll(_confirmed(written(found, "minhash-found"), full, percent)), "minhash-confirmed")
-    classes = _classes(links)
+    classes = written(_classes(links), "minhash-classes")
 
     rooted = _grouped(sets.select("_name", "_first", "node"), classes, "node", "_root_node")
     smallest = rooted.groupBy("_root_node").agg(F.min("_first").alias("_component"))
@@ -339,22 +368,22 @@ def near_duplicates(
 
 
 def _full_sets(raw: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, _n, _set): the full sets of the nodes of ``wanted``, worked out anew from one text of each."""
+    """(node, _set): the full sets of the nodes of ``wanted``, worked out anew from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), size) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "_n", "_set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "_set"])
 
     at = wanted.select(F.col("_one_key").alias("_k"), F.col("_text_hash"), "node")
     texts = raw.join(at, raw["_key"].eqNullSafe(at["_k"]) & (raw["_h"] == at["_text_hash"])).select("node", "_text")
-    return written(texts.dropDuplicates(["node"]).mapInArrow(run, "node long, _n long, _set binary"), "minhash-full")
+    return written(texts.dropDuplicates(["node"]).mapInArrow(run, "node long, _set binary"), "minhash-full")
 
 
-def _all_regions(forest: DataFrame, sets: DataFrame, classes: DataFrame, full: DataFrame, least: int, region: int, deeper: tuple[tuple[int, int], ...], seed: int) -> DataFrame:
+def _all_regions(forest: DataFrame, sets: DataFrame, classes: DataFrame, full: DataFrame, percent: int, region: int, deeper: tuple[tuple[int, int], ...], seed: int) -> DataFrame:
     """(a, b): candidates between classes of all regions, dense ones by deeper forests."""
     found = None
-    sig = sets.select("node", "_sig")
+    sig = sets.select("node", "_n", "_sig")
     levels = list(deeper)
     while True:
         grouped = _grouped(forest, classes, "node", "group")
@@ -362,14 +391,13 @@ def _all_regions(forest: DataFrame, sets: DataFrame, classes: DataFrame, full: D
         mixed = written(mixed, "minhash-mixed")
         bounded, dense = mixed.where(F.col("size") <= region), mixed.where(F.col("size") > region)
         few = grouped.join(bounded.select("region"), "region", "left_semi").join(sig, "node")
-        pairs = _searched(few.select("region", "node", "group", "_sig"), least)
+        pairs = _searched(few, percent)
         found = pairs if found is None else found.unionAll(pairs)
         if dense.isEmpty():
             return found.distinct()
         crowded = grouped.join(dense.select("region"), "region", "left_semi")
         if not levels:
-            members = crowded.join(sig, "node").select("region", "node", "group", "_sig")
-            return found.unionAll(_block_by_block(members, dense, region, least)).distinct()
+            return found.unionAll(_block_by_block(crowded.join(sig, "node"), dense, region, percent)).distinct()
         depth, trees = levels.pop(0)
         crowd = written(crowded.select("node").distinct(), "minhash-crowd")
         forest = written(_deeper(crowd, full, depth, trees, seed + depth), "minhash-forest")
