@@ -18,12 +18,13 @@ from thermocline.functions.scalar import round_arith
 from thermocline.functions.time import decimal_year, time_parts
 from thermocline.model import CELL, axis_values, by_cell, time_axis
 from thermocline.functions.scalar import clip_scale
-from thermocline.operators import clim, extremes, roll, runs, select, trend, udf
+from thermocline.operators import clim, extremes, roll, runs, select, state, trend, udf
 from thermocline.operators import grid as grid_ops
 from thermocline.plans import pipelines
 from thermocline.session import scratch_path
 from thermocline.sources import cube as cube_io
-from thermocline.sources import fixtures, store
+from thermocline.sources import fixtures, store, tiles
+from thermocline.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -497,6 +498,64 @@ def q_store_bucketed(spark, sf_dir):
     return rounded(clim.cell_stats(spark.table(name)))
 
 
+@query("tile_store")
+def q_tile_store(spark, sf_dir):
+    """The cube written as a chunked store of 48 x 180 x 180 tiles and read back."""
+    path = scratch_path(spark, f"tiles-{uuid.uuid4().hex[:12]}")
+    tiles.write_tiles(grid(spark, sf_dir), path)
+    return rounded(tiles.read_tiles(spark, path))
+
+
+@query("tile_box")
+def q_tile_box(spark, sf_dir):
+    """Warm rows of a box of positions, read from small tiles that the box and the bound choose."""
+    path = scratch_path(spark, f"tiles-{uuid.uuid4().hex[:12]}")
+    tiles.write_tiles(grid(spark, sf_dir), path, (30, 2, 3))
+    return rounded(tiles.read_tiles(spark, path, time=(100, 1500), lat=(1, 4), lon=(2, 3), above=15.0))
+
+
+#: Fixed value: where the incremental queries cut the grid's period into files.
+FILE_CUTS = ["1997-06-10", "1999-11-20"]
+
+
+def file_parts(spark, sf_dir) -> list[DataFrame]:
+    c = grid(spark, sf_dir)
+    cuts = [F.lit(x).cast("date") for x in FILE_CUTS]
+    return [c.where(F.col("t") < cuts[0]), c.where((F.col("t") >= cuts[0]) & (F.col("t") < cuts[1])), c.where(F.col("t") >= cuts[1])]
+
+
+def state_store(spark, sf_dir) -> DataFrame:
+    """States of three files, the second of which comes twice, compacted before the third."""
+    first, base = (scratch_path(spark, f"states-{uuid.uuid4().hex[:12]}") for _ in range(2))
+    parts = file_parts(spark, sf_dir)
+    for n in (0, 1, 1):
+        state.append_states(parts[n], first, f"file {n}")
+    state.compact_states(spark, first, base)
+    state.append_states(parts[2], base, "file 2")
+    return state.read_states(spark, base)
+
+
+@query("monthly_incremental")
+def q_monthly_incremental(spark, sf_dir):
+    """Monthly means and deviations from the stored states of several files."""
+    return rounded(state.monthly_climatology(state_store(spark, sf_dir)))
+
+
+@query("variability_incremental")
+def q_variability_incremental(spark, sf_dir):
+    return rounded(state.variability_map(state_store(spark, sf_dir)))
+
+
+@query("ingest_upsert")
+def q_ingest_upsert(spark, sf_dir):
+    """Files that overlap and repeat, ingested batch by batch: one row per step and cell."""
+    path = scratch_path(spark, f"ingest-{uuid.uuid4().hex[:12]}")
+    parts = file_parts(spark, sf_dir)
+    for n, batch in enumerate([parts[0], parts[1].unionByName(parts[0].where("month(t) = 5")), parts[1], parts[2]]):
+        ingest.upsert(batch, n, path)
+    return rounded(ingest.read_ingested(spark, path))
+
+
 @query("sort_time")
 def q_sort_time(spark, sf_dir):
     return rounded(cube_io.sort_time(grid(spark, sf_dir)))

@@ -74,6 +74,12 @@ TIME_AX = "tax AS (SELECT t, CAST(ROW_NUMBER() OVER (ORDER BY t) - 1 AS INTEGER)
 
 sql("load_cube", f"SELECT {CUBE_COLS} FROM cube")
 
+sql("tile_store", f"SELECT {CUBE_COLS} FROM cube")
+
+sql("tile_box", f"SELECT {CUBE_COLS} FROM cube JOIN tax USING (t) WHERE time_idx BETWEEN 100 AND 1500 AND lat_idx BETWEEN 1 AND 4 AND lon_idx BETWEEN 2 AND 3 AND sst > 15", TIME_AX)
+
+sql("ingest_upsert", f"SELECT {CUBE_COLS} FROM cube")
+
 sql(
     "cube_stats",
     """SELECT COUNT(DISTINCT t) AS n_time, COUNT(DISTINCT lat_idx) AS n_lat, COUNT(DISTINCT lon_idx) AS n_lon,
@@ -103,9 +109,19 @@ FROM m GROUP BY lat_idx, lon_idx""",
     "m AS (" + MONTHLY.format(src="cube") + ")",
 )
 
+sql(
+    "variability_incremental",
+    """SELECT lat_idx, lon_idx, MIN(lat) AS lat, MIN(lon) AS lon, ROUND(AVG(sd), 6) AS variability
+FROM m GROUP BY lat_idx, lon_idx""",
+    "m AS (" + MONTHLY.format(src="cube") + ")",
+)
+
 sql("monthly_clim", "SELECT lat_idx, lon_idx, month, lat, lon, ROUND(clim, 6) AS clim, ROUND(sd, 6) AS sd FROM m",
     "m AS (" + MONTHLY.format(src="cube") + ")")
 
+sql("monthly_incremental", "SELECT lat_idx, lon_idx, month, lat, lon, ROUND(clim, 6) AS clim, ROUND(sd, 6) AS sd FROM m",
+    "m AS (" + MONTHLY.format(src="cube") + ")")
+
 sql("monthly_std", "SELECT lat_idx, lon_idx, lat, lon, month, ROUND(sd, 6) AS sd FROM m",
     "m AS (" + MONTHLY.format(src="cube") + ")")
 
