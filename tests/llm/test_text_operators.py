@@ -358,3 +358,49 @@ def test_toxicity_of_awkward_tables(spark):
     some = toxicity.fit(df, spark.createDataFrame([(1, 1), (1, 0), (9, 0), (2, 0), (4, 0), (13, 1)], "doc_id long, toxic int"))
     assert toxicity.score(df, some).where("score < 0 or score > 1 or score is null").count() == 0
     assert toxicity.score(df.limit(0), some).count() == 0
+
+
+def test_license_rules_take_any_number_of_identifiers(spark):
+    """Neither many identifiers between those of a rule nor many beginnings without an end cost more than a walk."""
+    grant, notice = (next(s for s, i in licenses.SENTENCES.items() if i == x) for x in ("MitGrant", "MitNotice"))
+    rights = "All rights reserved.\n"
+    texts = [
+        (1, f"{grant}.\n" + rights * 100_000 + f"{notice}.\n", "MIT"),
+        (2, f"{grant}.\n" * 20_000 + rights, "Proprietary"),
+        (3, f"{grant}.\n{grant}.\n{notice}.\n{notice}.\n", "MIT"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(plain(spark, texts)).collect()}
+    assert all(got[k]["license"] == want for k, _, want in texts)
+    assert got[1]["licenses"] == ["MIT"] + ["Proprietary"] * 100_000 and got[1]["unresolved"] == []
+    assert got[2]["unresolved"] == ["MitGrant"] * 20_000
+    assert got[3]["licenses"] == ["MIT"] and got[3]["unresolved"] == ["MitGrant", "MitNotice"]
+
+
+LONG_NAME = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+
+
+def test_licenses_by_tag_name_and_grant(spark):
+    texts = {
+        "// SPDX-License-Identifier: MIT": ["MIT"],
+        "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport os": ["Apache-2.0", "MIT"],
+        "/* SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0 */": ["GPL-2.0-or-later"],
+        "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0-only"],
+        "SPDX-License-Identifier: No-Such-Licence": [],
+        "spdx mit or apache": [],
+        "This file is licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        "Text before. Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)": ["BSL-1.0"],
+        "Creative Commons Attribution-ShareAlike 4.0 International": ["CC-BY-SA-4.0"],
+        "This work is licensed under the Creative Commons\nAttribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"],
+        "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": ["ISC", "ISC"],
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n": ["Zlib"],
+        "we like zlib": [],
+        "zlib": [],
+        LONG_NAME.format("the " + "very long " * 200 + "Company, Inc."): ["BSD-3-Clause"],
+        LONG_NAME.format("the copyright holder"): ["BSD-3-Clause"],
+        LONG_NAME.partition("Neither")[0]: ["BSD-2-Clause"],
+    }
+    rows = licenses.scan(plain(spark, [(k, t, "") for k, t in enumerate(texts)])).collect()
+    assert {r["text"]: r["licenses"] for r in rows} == texts

@@ -11,6 +11,7 @@ licence) only sees what the more exact rules before it left.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,8 +119,74 @@ NOTICE_RULES = [
     ("AGPL-3.0-or-later", ["Agpl3Later"]),
 ]
 
+# SPDX identifiers that a tag or an expression may name (those ending in -only also without that ending).
+SPDX = """
+0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause
+BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0
+CDDL-1.0 CDDL-1.1 CECILL-2.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GPL-1.0-only GPL-1.0-or-later GPL-2.0-only
+GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later
+LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OSL-3.0 PostgreSQL PSF-2.0 Unicode-3.0 Unlicense
+UPL-1.0 Vim W3C WTFPL Zlib
+""".split()
+
+# Names by which notices refer to licences (normalised, without the word license at their end).
+NAMES = {
+    "apache license version 2 0": "Apache-2.0",
+    "apache license v 2 0": "Apache-2.0",
+    "apache license 2 0": "Apache-2.0",
+    "apache 2 0": "Apache-2.0",
+    "artistic license 2 0": "Artistic-2.0",
+    "boost software license version 1 0": "BSL-1.0",
+    "boost software license 1 0": "BSL-1.0",
+    "bsd 2 clause": "BSD-2-Clause",
+    "bsd 3 clause": "BSD-3-Clause",
+    "2 clause bsd": "BSD-2-Clause",
+    "3 clause bsd": "BSD-3-Clause",
+    "common development and distribution license version 1 0": "CDDL-1.0",
+    "eclipse public license version 1 0": "EPL-1.0",
+    "eclipse public license version 2 0": "EPL-2.0",
+    "eclipse public license v 2 0": "EPL-2.0",
+    "eclipse public license 2 0": "EPL-2.0",
+    "european union public licence version 1 2": "EUPL-1.2",
+    "gnu general public license v 2 0": "GPL-2.0-only",
+    "gnu general public license v 3 0": "GPL-3.0-only",
+    "gnu general public license version 2 0": "GPL-2.0-only",
+    "gnu general public license version 3 0": "GPL-3.0-only",
+    "gnu lesser general public license version 2 1": "LGPL-2.1-only",
+    "isc": "ISC",
+    "mit": "MIT",
+    "mozilla public license version 1 1": "MPL-1.1",
+    "mozilla public license version 2 0": "MPL-2.0",
+    "mozilla public license v 2 0": "MPL-2.0",
+    "mozilla public license 2 0": "MPL-2.0",
+    "postgresql": "PostgreSQL",
+    "sil open font license version 1 1": "OFL-1.1",
+    "university of illinois ncsa open source": "NCSA",
+    "zlib": "Zlib",
+    "zlib libpng": "Zlib",
+    **{f"creative commons attribution{kind} {v}": f"CC-BY{short}-{v[0]}.0" for v in ("4 0 international", "4 0", "3 0 unported") for kind, short in (("", ""), (" sharealike", "-SA"), (" share alike", "-SA"), (" noncommercial", "-NC"), (" noncommercial sharealike", "-NC-SA"), (" noncommercial noderivatives", "-NC-ND"), (" noderivatives", "-ND"))},
+    "creative commons zero v1 0 universal": "CC0-1.0",
+    "cc0 1 0 universal": "CC0-1.0",
+}
+
+# Sentences of further licences that name them by themselves.
+GRANTS = {
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0BSD",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "Zlib",
+    "you just do what the fuck you want to": "WTFPL",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "PostgreSQL",
+}
+
+#: What may stand before a licence's name in a sentence that refers to it.
+LEAD = r"(?:(?:this|the)[ W]++(?:file|work|project|software|program|code|library|package|content|document|repository)[ W]++is[ W]++)?+(?:licensed|released|distributed|available|provided|published)[ W]++under[ W]++(?:the[ W]++)?+(?:terms[ W]++of[ W]++the[ W]++)?+"
+
 # From raw lower-case text, led by a line end, to words and marks: P (end of a sentence or paragraph), S (semicolon), W (weak end).
 MARKS = [
+    # each licence of an SPDX expression is a line of its own
+    (r"(?:spdx-license-identifier:[ \t(]*+|\G[ \t)]*+(?:or|and|with)[ \t(]++)([a-z0-9.+-]++)", "\nspdx id $1\n"),
+    (r"(?<=\nspdx id )([a-z0-9.-]++)\+", "$1-or-later"),
     (r"\n[^a-z0-9\n]*+(?:(?:dnl|rem)(?![a-z0-9])[^a-z0-9\n]*+)?", "\n"),  # comment prefixes
     (r"\n\n+", "P"),
     (r"(?<![a-z0-9])(v|ver|vers)\.\s(?=[0-9])", "$1W"),
@@ -127,53 +194,102 @@ MARKS = [
     (r";\s", "S"),
     (r"[\n()]", "W"),
     (r"[^a-z0-9PSW]+", " "),
-    # the clause on names holds whatever names it has
-    (r"neither[ W]++the[ W]++name[ W]++of[ W][a-z0-9 PSW]{1,160}?[ PSW]nor[ W]++the[ W]++names[ W]++of[ W]++(?:its[ W]++)?contributors(?![a-z0-9])", "neither the name of the copyright holder nor the names of its contributors"),
+    # the clause on names holds whatever names it has: its second half stands for it
+    (r"(?<![a-z0-9])nor[ W]++the[ W]++names[ W]++of[ W]++(?:its[ W]++)?contributors(?![a-z0-9])", "Wnor the names of its contributors"),
 ]
 
+#: Identifiers of each known sentence; a licence's name is led by "under".
+KNOWN = {
+    **{s: [i] for s, i in SENTENCES.items()},
+    **NOTICES,
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": ["BsdName"],
+    **{s: [f"Grant-{x}"] for s, x in GRANTS.items()},
+    **{f"under {s}": [f"Ref-{x}"] for s, x in NAMES.items()},
+    **{f"spdx id {re.sub('[^a-z0-9]+', ' ', form.lower())}": [f"Spdx-{x}"] for x in SPDX for form in {x, x.removesuffix("-only")}},
+}
+
+#: All rules in the order in which they are tried.
+ALL_RULES = [*[(x, [f"Spdx-{x}"]) for x in SPDX], *NOTICE_RULES, *[(x, [f"{kind}-{x}"]) for kind, table in (("Grant", GRANTS), ("Ref", NAMES)) for x in dict.fromkeys(table.values())], *RULES]
+
+#: Each identifier as one character (of the private use area), so that a list of them is a string.
+CODES = {i: chr(0xE000 + n) for n, i in enumerate(dict.fromkeys(i for ids in KNOWN.values() for i in ids))}
+
+
+def _words(sentence: str, gap: str) -> str:
+    return gap.join(sentence.split())
+
 
 def _known() -> str:
-    """All known sentences from mark to mark, longer ones first."""
-    gaps = {**{s: "[ WS]++" for s in NOTICES}, **{s: "[ W]++" for s in SENTENCES}}
-    return r"(?<=[PSW] {0,1})(?:" + "|".join(gaps[s].join(s.split()) for s in sorted(gaps, key=lambda s: (-len(s), s))) + r")(?= ?[PSW])"
+    """All known sentences from mark to mark, longer ones first, then references by name."""
+    joined = {s: "[ WS]++" if s in NOTICES else "[ W]++" for s in KNOWN if not s.startswith("under ")}
+    whole = "|".join(_words(s, joined[s]) for s in sorted(joined, key=lambda s: (-len(s), s)))
+    names = sorted(NAMES, key=lambda s: (-len(s), s))
+    every, long = ("|".join(_words(s, "[ W]++") for s in table) for table in (names, [s for s in names if len(s.split()) > 2]))
+    suffix = "[ W]++licen[cs]e"
+    named = f"{LEAD}(?:{every})(?:{suffix})?|(?:the[ W]++)?(?:(?:{every}){suffix}|{long})"
+    return rf"(?<=[PSW] {{0,1}})(?:{whole}|{named})(?= ?[PSW])"
+
+
+def _codes(text: Column) -> Column:
+    """The identifiers of ``sentence_ids``, a character each."""
+    known = F.from_json(F.lit(json.dumps({s: "".join(CODES[i] for i in ids) for s, ids in KNOWN.items()})), "map<string,string>")
+    plain = F.concat(F.lit("\n"), F.lower(text), F.lit("\n"))
+    for pattern, mark in MARKS:
+        plain = F.regexp_replace(plain, pattern, mark)
+    found = F.regexp_extract_all(plain, F.lit(_known()), F.lit(0))
+
+    def code(m: Column) -> Column:
+        said = F.regexp_replace(m, "[ WS]+", " ")
+        name = F.concat(F.lit("under "), F.regexp_replace(F.regexp_replace(said, f"^(?:{LEAD}|the )", ""), " licen[cs]e$", ""))
+        return F.coalesce(F.try_element_at(known, said), F.try_element_at(known, name))
+
+    return F.array_join(F.transform(found, code), "")
+
+
+def _decoded(codes: Column) -> Column:
+    names = F.from_json(F.lit(json.dumps({c: i for i, c in CODES.items()})), "map<string,string>")
+    return F.transform(F.filter(F.split(codes, ""), lambda c: c != ""), lambda c: F.try_element_at(names, c))
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known licence sentences of a text, in its order.
+    """Identifiers of the known licence sentences of a text, in its order (null of a null text).
 
     Sentences end at . ! ? ; : before white space and at blank lines, and may end at line ends and
     brackets; commas do not end one, as licence names have them. Of several known sentences from one
-    mark the longest counts.
+    mark the longest counts. Each licence of an SPDX tag's expression is a sentence.
     """
-    ids = {**{s: [i] for s, i in SENTENCES.items()}, **NOTICES}
-    known = F.from_json(F.lit(json.dumps(ids)), "map<string,array<string>>")
-    plain = F.concat(F.lit("\n"), F.lower(text), F.lit("\n"))
-    for pattern, mark in MARKS:
-        plain = F.regexp_replace(plain, pattern, mark)
-    found = F.regexp_extract_all(plain, F.lit(_known()), F.lit(0))
-    return F.flatten(F.transform(found, lambda m: F.try_element_at(known, F.regexp_replace(m, "[ WS]+", " "))))
+    return _decoded(_codes(text))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids`` (in the order of the text), ``licenses`` (in the order of the rules, each
     as often as found), ``license`` (the first of them, or null) and ``unresolved`` (identifiers that no rule took).
 
+    A rule takes the first of its identifiers and then the next one of each that follows, again and again up to
+    the end; those between stay. Time is linear in the text for each rule, however many identifiers it has.
+
     Null and empty texts have none; texts of any length are scanned whole; repeated rows are rows
     of their own; an empty table gives no rows; input columns named like an output give way.
     """
-    # identifiers stand between blanks; what lies between those of a rule is kept
-    made = [{"name": n, "ids": r"((?: \S+ )*?)".join(f" {i} " for i in ids), "keep": "".join(f"${k}" for k in range(1, len(ids)))} for n, ids in [*NOTICE_RULES, *RULES]]
-    rules = F.from_json(F.lit(json.dumps(made)), "array<struct<name:string,ids:string,keep:string>>")
-    rows = docs.select(as_payload(docs), sentence_ids(F.coalesce(F.col(text), F.lit(""))).alias("_ids"))
+
+    def rule(name: str, ids: list[str]) -> dict:
+        first, *others = (CODES[i] for i in ids)
+        # to the next one of each; where one is missing, it is to all later beginnings too: the rest stays
+        taken = first + "".join(f"([^{c}]*+){c}" for c in others)
+        keep = "".join(f"${k}" for k in range(1, len(others) + 2))
+        return {"name": name, "first": first, "ids": f"{taken}|({first}.*+)", "keep": keep, "n": len(ids)}
+
+    rules = F.from_json(F.lit(json.dumps([rule(*r) for r in ALL_RULES])), "array<struct<name:string,first:string,ids:string,keep:string,n:int>>")
+    rows = docs.select(as_payload(docs), _codes(F.coalesce(F.col(text), F.lit(""))).alias("_ids"))
     none = F.array().cast("array<string>")
-    start = F.struct(F.array_join(F.transform("_ids", lambda i: F.concat(F.lit(" "), i, F.lit(" "))), "").alias("left"), none.alias("found"))
 
     def step(state: Column, rule: Column) -> Column:
-        times = F.size(F.regexp_extract_all(state["left"], rule["ids"], F.lit(0)))
-        return F.when(times > 0, F.struct(F.regexp_replace(state["left"], rule["ids"], rule["keep"]).alias("left"), F.concat(state["found"], F.array_repeat(rule["name"], times)).alias("found"))).otherwise(state)
+        left = F.regexp_replace(state["left"], rule["ids"], rule["keep"])
+        times = ((F.length(state["left"]) - F.length(left)) / rule["n"]).cast("int")
+        taken = F.struct(left.alias("left"), F.concat(state["found"], F.array_repeat(rule["name"], times)).alias("found"))
+        return F.when(F.contains(state["left"], rule["first"]), taken).otherwise(state)
 
     # most texts have no licence sentence: no rule is tried on them
-    done = F.when(F.size("_ids") > 0, F.aggregate(rules, start, step)).otherwise(F.struct(F.lit("").alias("left"), none.alias("found")))
-    rows = rows.withColumn("_done", done)
-    left = F.filter(F.split("_done.left", " ", -1), lambda x: x != "")
-    return with_outputs(rows, docs.columns, {"sentence_ids": F.col("_ids"), "licenses": F.col("_done.found"), "license": F.get(F.col("_done.found"), 0), "unresolved": left})
+    start = F.struct(F.col("_ids").alias("left"), none.alias("found"))
+    rows = rows.withColumn("_done", F.when(F.col("_ids") != "", F.aggregate(rules, start, step)).otherwise(start))
+    return with_outputs(rows, docs.columns, {"sentence_ids": _decoded(F.col("_ids")), "licenses": F.col("_done.found"), "license": F.get(F.col("_done.found"), 0), "unresolved": _decoded(F.col("_done.left"))})
