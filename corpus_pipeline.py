@@ -4,7 +4,7 @@ Every stage takes whole tables as they come. A null or empty text scores by the
 near-duplicate group with all texts without words, has no words to contaminate, and is mixed and sharded as
 an empty text. A row without doc_id stays only if nothing of its group has one; a null source is a source of
 its own. Repeated rows and ties: of a group, the row of the smallest doc_id stays (by a hash of the row if
-several have it). Without usable labels every score is one half, which is rejected. Empty tables pass as
+several have it). Without usable labels there is no model, and every document passes. Empty tables pass as
 empty tables. Columns beside those of documents pass unchanged, but for those named like the last stage's
 outputs (shard, slot, size, text_crc32, law), which give way.
 """

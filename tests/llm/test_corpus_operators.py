@@ -335,7 +335,7 @@ def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
         if name == "empty":
             assert rows == []
             continue
-        # scores of one half are rejected unless labels say otherwise; copies, blank texts and repeated rows keep one
+        # one clean label rejects nothing; copies, blank texts and repeated rows keep one
         fps = [(k, brute_fingerprint(t)) for k, t, _ in awkward_rows()]
         want = brute_components(fps)
         assert {r["doc_id"] for r in rows} <= {k for (k, _), c in want.items() if k == c}

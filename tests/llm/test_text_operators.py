@@ -404,3 +404,21 @@ def test_licenses_by_tag_name_and_grant(spark):
     }
     rows = licenses.scan(plain(spark, [(k, t, "") for k, t in enumerate(texts)])).collect()
     assert {r["text"]: r["licenses"] for r in rows} == texts
+
+
+def test_toxicity_without_labels_keeps_every_row(spark):
+    df = awkward(spark)
+    assert toxicity.filter_toxic(df, {}).count() == df.count()
+
+
+def test_toxicity_fit_is_bounded(spark):
+    """One row of a repeated key, and no more features than asked for, however long the texts."""
+    keys = [k for k in range(1, 400) if zlib.crc32(str(k).encode()) % 5]
+    rows = [(k, f"{'awful' if k % 2 else 'kind'} words{k % 7}", "") for k in keys]
+    labels = spark.createDataFrame([(k, k % 2) for k in keys], "doc_id long, toxic int")
+    weights = toxicity.fit(plain(spark, rows), labels)
+    assert weights and weights == toxicity.fit(plain(spark, rows + [rows[0]] * 5_000, parts=7), labels)
+    tail = " ".join(f"word{i}" for i in range(50_000))
+    long = [(k, f"{t} {tail}", "") for k, t, _ in rows[:20]]
+    assert toxicity.fit(plain(spark, long), labels, fit_features=10_000) == {}
+    assert toxicity.fit(plain(spark, rows[:20] + long[1:]), labels, fit_features=10_000) != {}

@@ -22,6 +22,8 @@ from thermocline.llm.common import ROW, as_payload, unpacked, with_outputs
 BITS = 20
 #: Labelled rows that a model is fitted on at most (the first by a hash of their key).
 FIT_ROWS = 20_000
+#: Features of these rows that the fit holds for its epochs at most, 4 bytes each: rows from the first that exceeds it on are not learnt from.
+FIT_FEATURES = 100_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 6.0, 0.0, 4
 
 _WORD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -64,24 +66,29 @@ def held_out(key: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, seed: int = 5) -> dict[int, float]:
-    """Non-zero weights by coordinate (2^20: bias), learnt from at most ``fit_rows`` labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES, seed: int = 5) -> dict[int, float]:
+    """Non-zero weights by coordinate (2^20: bias), learnt from at most ``fit_rows`` labelled rows of
+    ``fit_features`` distinct features in all.
 
     Rows held out, without key or without label are not learnt from; of labels of one key the
-    largest counts; a row whose document is missing is skipped; without any row all scores are 1/2.
+    largest counts, of documents of one key the one of the smallest hash; a row whose document is missing is skipped; without any row there are no weights.
     The rows go through one task in a seeded order: the fit is sequential and its size bounded.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64(F.lit(seed), "_k"), "_k").limit(fit_rows)
     rows = docs.select(F.col(key).alias("_d"), F.col(text).alias("t")).join(F.broadcast(some), F.col("_d") == F.col("_k"))  # fit_rows rows at most
-    rows = rows.select(F.xxhash64(F.lit(seed + 1), "_d", "t").alias("h"), "t", "y").repartition(1).sortWithinPartitions("h", "t")
+    one = F.min(F.struct(F.xxhash64(F.lit(seed + 1), "_d", "t").alias("h"), "t", "y")).alias("one")  # of a key that is repeated
+    rows = rows.groupBy("_d").agg(one).select("one.*").repartition(1).sortWithinPartitions("h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, data = Ftrl(), []
-        for b in batches:
-            for t, y in zip(b.column(1), b.column(2), strict=True):
-                data.append((np.unique(features(t.as_py())), y.as_py()))
-                model.learn(*data[-1])
+        model, data, held = Ftrl(), [], 0
+        for t, y in ((t, y) for b in batches for t, y in zip(b.column(1), b.column(2), strict=True)):
+            x = np.unique(features(t.as_py()))
+            held += len(x)
+            if held > fit_features:
+                break
+            data.append((x, y.as_py()))
+            model.learn(*data[-1])
         for _ in range(EPOCHS - 1):
             for x, y in data:
                 model.learn(x, y)
@@ -127,5 +134,11 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
 
 
 def filter_toxic(docs: DataFrame, weights: dict[int, float], text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, with all columns as they are."""
+    """The rows of ``docs`` that score below ``limit``, with all columns as they are.
+
+    Without weights (nothing was learnt) all rows stay. A null or empty text scores by the bias alone; repeated
+    rows stay or go together; an empty table gives no rows.
+    """
+    if not weights:
+        return docs
     return unpacked(_scored(docs, weights, text).where(F.col("_p") < limit), docs.columns)
