@@ -421,4 +421,4 @@ def test_toxicity_fit_is_bounded(spark):
     tail = " ".join(f"word{i}" for i in range(50_000))
     long = [(k, f"{t} {tail}", "") for k, t, _ in rows[:20]]
     assert toxicity.fit(plain(spark, long), labels, fit_features=10_000) == {}
-    assert toxicity.fit(plain(spark, rows[:20] + long[1:]), labels, fit_features=10_000) != {}
+    assert toxicity.fit(plain(spark, rows[:20]), labels, fit_features=10_000) != {}
