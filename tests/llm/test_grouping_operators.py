@@ -46,7 +46,7 @@ def edited(words, n, seed):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("settings", [{}, {"region": 2, "rounds": 0}, {"region": 2, "deeper": (), "rounds": 0}])
+@pytest.mark.parametrize("settings", [{}, {"region": 2, "rounds": 0}, {"region": 2, "deeper": (), "rounds": 0}, {"region": 2, "blocks": 1, "rounds": 0}])
 def test_near_duplicates_against_brute_force(spark, settings):
     rows = [(k, t) for k, t, _ in awkward_rows()]
     for base in range(3):
@@ -54,6 +54,8 @@ def test_near_duplicates_against_brute_force(spark, settings):
         rows += [(1000 * (base + 1) + n, edited(words, n % 13, n)) for n in range(25)]
     rows += [(5000 + i, " ".join(f"w{j}" for j in range(n))) for i, n in enumerate((5, 6, 7, 2, 3, 3))]
     rows.append((6000, prose(5, 40_000)))  # very long
+    long = [f"{w}{i % 40}" for i, w in enumerate(prose(7, 2_000).split(" "))]  # sets that do not travel
+    rows += [(7000 + n, edited(long, 60 * n, n)) for n in range(5)]
     got = minhash.near_duplicates(plain(spark, [(k, t, "s") for k, t in rows]), **settings).collect()
     assert Counter(map(tuple, got)) == brute_near(rows)
 

@@ -10,10 +10,12 @@ its longest common prefix. Of these candidates each text takes its best in anoth
 on the full sets, and confirmed links join classes, for a few rounds. This brings together nearly all that
 belongs together at a cost in proportion to the texts, however large their groups are.
 
-Then every region that still holds several classes is searched whole for pairs of different classes. A
-region of more texts than ``REGION`` is too dense for its depth: its texts (any pair lost by going
-deeper has both ends among them) are searched by a further forest of deeper and more trees, which keeps
-the same probability, and so on; what is too dense even then is compared block by block.
+Then every region that still holds several classes is searched whole for pairs of different classes, each pair
+in the first tree where it meets. Pairs of short sets are confirmed where they meet, and only those that join
+classes leave the task: a dense group of unlike texts gives no rows for its pairs. A region of more than
+``REGION`` texts is compared block by block. One of more than ``BLOCKS`` blocks is too dense for its depth: its
+texts (any pair lost by going deeper has both ends among them) are searched by a further forest of deeper and
+more trees, which keeps the same probability, and so on; what is too dense even then is compared block by block.
 
 All candidates are confirmed on the full sets.
 """
@@ -36,10 +38,12 @@ from thermocline.llm.simhash import components
 #: trees are so many that (1 - 0.8 ** depth) ** trees is under one in a million.
 HASHES, DEPTH = 128, 4
 DEEPER = ((8, 88), (12, 220))
-#: Texts of a region that are compared with each other; a denser one goes deeper.
-REGION = 1_000
+#: Texts of a region that one task compares with each other, and blocks of so many of which a denser one is compared.
+REGION, BLOCKS = 1_000, 16
+#: Sets of so many hashes travel to their regions; pairs of larger ones are confirmed by a join.
+SHORT_SET = 1_000
 #: Rounds of confirming neighbours: the last one takes all that are left.
-ROUNDS = 3
+ROUNDS = 2
 #: A pair is a candidate if so many standard deviations below its expected agreement at least (binomial, six: one in 10**9).
 SIGMAS = 6.0
 
@@ -78,11 +82,11 @@ def minima(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, size: int, odd: np.ndarray) -> DataFrame:
-    """``_key``, ``_h``, set size, 128-bit name of the set, its minima and a byte of each, of each row (``_key``, ``_h``, ``_text``)."""
+    """``_key``, ``_h``, set size, 128-bit name of the set, its minima, a byte of each, and 32 bits of each tree's, of each row (``_key``, ``_h``, ``_text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, names, sigs, short = [], [], [], []
+            sizes, names, sigs, short, trees = [], [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), size)
                 least = minima(s, odd) if len(s) else None
@@ -90,18 +94,20 @@ def _signed(rows: DataFrame, size: int, odd: np.ndarray) -> DataFrame:
                 names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(least.tobytes() if len(s) else None)
                 short.append(least.astype("u1").tobytes() if len(s) else None)
-            made = [pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (names, sigs, short)]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["_key", "_h", "_n", "_name", "_minima", "_sig"])
+                trees.append((least.reshape(-1, DEPTH) * mix).sum(1, dtype="u4").tobytes() if len(s) else None)
+            made = [pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (names, sigs, short, trees)]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["_key", "_h", "_n", "_name", "_minima", "_sig", "_trees"])
 
+    mix = multipliers(DEPTH, size).astype("u4")  # odd: minima that differ in one place never agree
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.select("_key", "_h", "_text").mapInArrow(run, f"_key {kind}, _h long, _n long, _name binary, _minima binary, _sig binary")
+    return rows.select("_key", "_h", "_text").mapInArrow(run, f"_key {kind}, _h long, _n long, _name binary, _minima binary, _sig binary, _trees binary")
 
 
 # ---- the forest --------------------------------------------------------------------------------
 
 
 def _planted(sets: DataFrame, depth: int, trees: int) -> DataFrame:
-    """(region, node): the region of each set (node, _minima) in each tree, named by a hash of its minima."""
+    """(region, node): the region of each set (node, _minima) in each tree, named by a hash of its minima with the tree in the last byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = np.arange(trees, dtype=np.uint64)
@@ -114,6 +120,7 @@ def _planted(sets: DataFrame, depth: int, trees: int) -> DataFrame:
                 for d in range(depth):
                     h = (h ^ own[:, :, d]) * np.uint64(0xC2B2AE3D27D4EB4F)
                     h = h ^ (h >> np.uint64(29))
+            h = (h & ~np.uint64(0xFF)) | tree  # 256 trees at most
             node = np.repeat(b.column(0).to_numpy(), trees)
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(node)], names=["region", "node"])
 
@@ -121,8 +128,8 @@ def _planted(sets: DataFrame, depth: int, trees: int) -> DataFrame:
 
 
 def _tree_order(region: Column, sig: Column) -> Column:
-    """A tree's sequence of the signature's bytes: it starts at a place of its own."""
-    at = F.pmod(region, F.lit(HASHES)).cast("int")
+    """A tree's sequence of the signature's bytes: it starts with the tree's own minima."""
+    at = F.pmod(region.bitwiseAND(0xFF) * DEPTH, F.lit(HASHES)).cast("int")
     return F.concat(F.substring(sig, at + 1, F.length(sig)), F.substring(sig, F.lit(1), at))
 
 
@@ -174,12 +181,61 @@ def _neighbours(forest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, same long").distinct()
 
 
-def _searched(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidates of different classes of each bounded region (region, node, group, _n, _sig)."""
+def _first_met(region: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the region's tree is the first in which the rows ``a`` and ``b`` (``_trees``) meet."""
+    return (a == b).argmax(1) == (region & 0xFF)
+
+
+def _joining(left: np.ndarray, right: np.ndarray, group: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """(left, right, sure): of pairs of rows those that join classes (``group``) by their full sets, and as not sure all with a set that is not here."""
+    size = np.array([len(x) for x in sets])
+    here = (size[left] > 0) & (size[right] > 0)
+    out = [np.stack((left[~here], right[~here], np.zeros((~here).sum(), np.int64)), 1)]
+    left, right = left[here], right[here]
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    group = group.copy()
+    first = np.flatnonzero(np.diff(left, prepend=-1))
+    for at, end in zip(first.tolist(), np.append(first, len(left))[1:].tolist(), strict=True):
+        i, js = int(left[at]), right[at:end]
+        js = js[group[js] != group[i]]
+        for part in np.array_split(js, len(js) // 500 + 1):
+            if not len(part):
+                continue
+            theirs = np.concatenate([sets[j] for j in part])
+            hit = sets[i][np.minimum(np.searchsorted(sets[i], theirs), size[i] - 1)] == theirs
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[part]) - size[part])
+            for j in part[100 * common >= percent * (size[i] + size[part] - common)].tolist():
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    out.append(np.array([[i, j, 1]]))
+    return np.concatenate(out)
+
+
+def _as_pairs(node: np.ndarray, rows: np.ndarray) -> pa.Table:
+    x, y = node[rows[:, 0]], node[rows[:, 1]]
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "sure": rows[:, 2].astype(bool)})
+
+
+def _sets_here(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in column]
+
+
+PAIRS = "a long, b long, sure boolean"
+MEMBER = ("region", "node", "group", "_n", "_sig", "_trees", "_short")
+
+
+def _searched(members: DataFrame, percent: int, base: bool) -> DataFrame:
+    """(a, b, sure): pairs that join classes of each bounded region of the rows ``MEMBER``.
+
+    In the first forest (``base``) a pair counts where it meets first, and is confirmed there if its sets are short.
+    """
     least = least_agreement(percent / 100)
 
-    def search(region: np.ndarray, node: np.ndarray, group: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
-        first = np.flatnonzero(np.diff(region, prepend=region[0] - 1))
+    def search(rows: pa.Table) -> pa.Table:
+        region, node, group, n = (rows.column(i).to_numpy() for i in range(4))
+        sig, trees = _bytes(rows.column(4)), _bytes(rows.column(5)).view("<u4")
+        first = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
         size = np.diff(np.append(first, len(region)))
         after = np.repeat(first + size, size) - np.arange(len(region))  # rows of the region from this one on
         out = [np.zeros((0, 2), np.int64)]
@@ -189,57 +245,58 @@ def _searched(members: DataFrame, percent: int) -> DataFrame:
             for at in range(0, len(left), 50_000):
                 i = left[at : at + 50_000]
                 i = i[_agreement(sig[i], sig[i + lag]) >= least]
-                out.append(np.stack((np.minimum(node[i], node[i + lag]), np.maximum(node[i], node[i + lag])), 1))
-        return np.concatenate(out)
+                if base:
+                    i = i[_first_met(region[i], trees[i], trees[i + lag])]
+                out.append(np.stack((i, i + lag), 1))
+        pairs = np.concatenate(out)
+        if not base:
+            return _as_pairs(node, np.column_stack((pairs, np.zeros(len(pairs), np.int64))))
+        return _as_pairs(node, _joining(pairs[:, 0], pairs[:, 1], group, _sets_here(rows.column(6)), percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None  # the last region may go on in the next batch
-
-        def batch(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
+        kept: list[pa.RecordBatch] = []  # the last region may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = (*[b.column(i).to_numpy() for i in range(4)], _bytes(b.column(4)))
-            if kept is not None:
-                rows = tuple(np.concatenate(x) for x in zip(kept, rows, strict=True))
-            cut = int(np.flatnonzero(rows[0] == rows[0][-1])[0])
+            rows = pa.Table.from_batches([*kept, b])
+            region = rows.column(0).to_numpy()
+            cut = int(np.flatnonzero(region == region[-1])[0])
             if cut:
-                yield batch(search(*[x[:cut] for x in rows]))
-            kept = tuple(x[cut:] for x in rows)
-        if kept is not None:
-            yield batch(search(*kept))
+                yield from search(rows.slice(0, cut)).to_batches()
+            kept = rows.slice(cut).to_batches()
+        if kept:
+            yield from search(pa.Table.from_batches(kept)).to_batches()
 
     n = shuffle_partitions(members.sparkSession)
-    rows = members.select("region", "node", "group", "_n", "_sig").repartition(n, "region").sortWithinPartitions("region")
-    return rows.mapInArrow(run, "a long, b long")
+    return members.select(*MEMBER).repartition(n, "region").sortWithinPartitions("region").mapInArrow(run, PAIRS)
 
 
-def _block_by_block(members: DataFrame, sizes: DataFrame, region: int, percent: int) -> DataFrame:
-    """(a, b): candidates of regions too dense for every forest. Members are dealt to blocks of bounded size,
+def _block_by_block(members: DataFrame, sizes: DataFrame, region: int, percent: int, base: bool) -> DataFrame:
+    """(a, b, sure): as ``_searched`` of dense regions (region, size). Members are dealt to blocks of bounded size,
     and each pair of blocks is a group of its own."""
     least = least_agreement(percent / 100)
     blocks = sizes.select(F.col("region").alias("_r"), F.ceil(F.col("size") / region).cast("int").alias("_blocks"))
     rows = members.join(blocks, members["region"] == F.col("_r")).withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    rows = rows.select("region", "node", "group", "_n", "_sig", "_mine", other)
-    rows = rows.select("region", F.least("_mine", "_other").alias("_x"), F.greatest("_mine", "_other").alias("_y"), "node", "group", "_n", "_sig", "_mine")
+    rows = rows.select(*MEMBER, "_mine", other)
+    rows = rows.select(*MEMBER, F.least("_mine", "_other").alias("_x"), F.greatest("_mine", "_other").alias("_y"), "_mine")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x, y = key[1].as_py(), key[2].as_py()
-        block, node, group, n = (table.column(c).to_numpy() for c in ("_mine", "node", "group", "_n"))
-        sig, out = _bytes(table.column("_sig")), [np.zeros((0, 2), np.int64)]
+        at, block, node, group, n = (table.column(c).to_numpy() for c in ("region", "_mine", "node", "group", "_n"))
+        sig, trees, out = _bytes(table.column("_sig")), _bytes(table.column("_trees")).view("<u4"), [np.zeros((0, 2), np.int64)]
         others = np.flatnonzero(block == y)
         for i in np.flatnonzero(block == x).tolist():
             k = others[(group[others] != group[i]) & ((node[others] > node[i]) | (x != y))]
             k = k[_sizes_fit(n[k], n[i], percent)]
             k = k[_agreement(sig[k], sig[i]) >= least]
-            out.append(np.stack((np.minimum(node[k], node[i]), np.maximum(node[k], node[i])), 1))
+            if base:
+                k = k[_first_met(at[k], trees[k], trees[i])]
+            out.append(np.stack((np.full(len(k), i), k), 1))
         pairs = np.concatenate(out)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return _as_pairs(node, _joining(pairs[:, 0], pairs[:, 1], group, _sets_here(table.column("_short")), percent))
 
-    return rows.groupBy("region", "_x", "_y").applyInArrow(run, "a long, b long")
+    return rows.groupBy("region", "_x", "_y").applyInArrow(run, PAIRS)
 
 
 # ---- confirmation ------------------------------------------------------------------------------
@@ -312,6 +369,7 @@ def near_duplicates(
     deeper: tuple[tuple[int, int], ...] = DEEPER,
     rounds: int = ROUNDS,
     seed: int = 20,
+    blocks: int = BLOCKS,
 ) -> DataFrame:
     """(key, n_shingles, component_id, kept) per row: the size of the text's set of distinct ``size``-word shingles (of
     lower-cased A-Z; fewer words are one shingle), the smallest key reachable over texts whose sets
@@ -327,8 +385,8 @@ def near_duplicates(
     raw = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("_h"), body.alias("_text"))
     rows = written(_signed(raw, size, multipliers(HASHES, seed)), "minhash-rows")
     one = F.min(F.struct(F.col("_key").alias("_one_key"), F.col("_h").alias("_text_hash"))).alias("_one")
-    sets = rows.where(F.col("_name").isNotNull()).groupBy("_name").agg(one, F.min("_key").alias("_first"), *[F.first(c).alias(c) for c in ("_n", "_minima", "_sig")])
-    sets = sets.select("_name", "_one.*", "_n", "_minima", "_sig", "_first", F.monotonically_increasing_id().alias("node"))
+    sets = rows.where(F.col("_name").isNotNull()).groupBy("_name").agg(one, F.min("_key").alias("_first"), *[F.first(c).alias(c) for c in ("_n", "_minima", "_sig", "_trees")])
+    sets = sets.select("_name", "_one.*", "_n", "_minima", "_sig", "_trees", "_first", F.monotonically_increasing_id().alias("node"))
     sets = written(sets, "minhash-sets")  # numbered once, as written
     # regions of several texts; the others are done with
     planted = written(_planted(sets, DEPTH, HASHES // DEPTH), "minhash-planted")
@@ -355,8 +413,9 @@ def near_duplicates(
         candidates = written(candidates.join(best, ["a", "b"], "left_anti"), "minhash-neighbours")
         classes = written(_classes(links), "minhash-classes")
 
-    found = _all_regions(forest, sets, classes, full, percent, region, deeper, seed)
-    links = written(links.unionAll(_confirmed(written(found, "minhash-found"), full, percent)), "minhash-confirmed")
+    found = written(_all_regions(forest, sets, classes, full, percent, region, deeper, seed, blocks), "minhash-found")
+    open_ = _confirmed(found.where("NOT sure").select("a", "b").distinct(), full, percent)
+    links = written(links.unionAll(found.where("sure").select("a", "b")).unionAll(open_), "minhash-confirmed")
     classes = written(_classes(links), "minhash-classes")
 
     rooted = _grouped(sets.select("_name", "_first", "node"), classes, "node", "_root_node")
@@ -380,27 +439,30 @@ def _full_sets(raw: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return written(texts.dropDuplicates(["node"]).mapInArrow(run, "node long, _set binary"), "minhash-full")
 
 
-def _all_regions(forest: DataFrame, sets: DataFrame, classes: DataFrame, full: DataFrame, percent: int, region: int, deeper: tuple[tuple[int, int], ...], seed: int) -> DataFrame:
-    """(a, b): candidates between classes of all regions, dense ones by deeper forests."""
-    found = None
-    sig = sets.select("node", "_n", "_sig")
+def _all_regions(forest: DataFrame, sets: DataFrame, classes: DataFrame, full: DataFrame, percent: int, region: int, deeper: tuple[tuple[int, int], ...], seed: int, blocks: int) -> DataFrame:
+    """(a, b, sure): pairs that join classes, of all regions: bounded ones whole, dense ones in blocks, denser ones by deeper forests."""
+    found, base = None, True
+    short = full.where(F.length("_set") <= 8 * SHORT_SET).select("node", F.col("_set").alias("_short"))
+    sig = sets.select("node", "_n", "_sig", "_trees").join(full.select("node"), "node", "left_semi").join(short, "node", "left")
     levels = list(deeper)
     while True:
         grouped = _grouped(forest, classes, "node", "group")
         mixed = grouped.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("region", "size")
         mixed = written(mixed, "minhash-mixed")
-        bounded, dense = mixed.where(F.col("size") <= region), mixed.where(F.col("size") > region)
-        few = grouped.join(bounded.select("region"), "region", "left_semi").join(sig, "node")
-        pairs = _searched(few, percent)
+        few = grouped.join(mixed.where(F.col("size") <= region).select("region"), "region", "left_semi")
+        pairs = _searched(few.join(sig, "node"), percent, base)
+        # blocks where all is compared once at most, that is in the first forest, or where no deeper one is left
+        crowded = F.col("size") > (region * blocks if base and levels else region)
+        dense = mixed.where((F.col("size") > region) & (~crowded if levels else F.lit(True)))
+        if (base or not levels) and not dense.isEmpty():
+            many = grouped.join(dense.select("region"), "region", "left_semi")
+            pairs = pairs.unionAll(_block_by_block(many.join(sig, "node"), dense, max(1, region // 2), percent, base))
         found = pairs if found is None else found.unionAll(pairs)
-        if dense.isEmpty():
+        if not levels or mixed.where(crowded).isEmpty():
             return found.distinct()
-        crowded = grouped.join(dense.select("region"), "region", "left_semi")
-        if not levels:
-            return found.unionAll(_block_by_block(crowded.join(sig, "node"), dense, region, percent)).distinct()
         depth, trees = levels.pop(0)
-        crowd = written(crowded.select("node").distinct(), "minhash-crowd")
-        forest = written(_deeper(crowd, full, depth, trees, seed + depth), "minhash-forest")
+        crowd = written(grouped.join(mixed.where(crowded).select("region"), "region", "left_semi").select("node").distinct(), "minhash-crowd")
+        forest, base = written(_deeper(crowd, full, depth, trees, seed + depth), "minhash-forest"), False
 
 
 def _deeper(crowd: DataFrame, full: DataFrame, depth: int, trees: int, seed: int) -> DataFrame:
